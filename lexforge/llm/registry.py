@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import secrets, toxicity
+from lexforge.llm import quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secrets.query,
+        "op5_quality_rules": quality.query,
         "op10_toxicity": toxicity.query,
     }
 
