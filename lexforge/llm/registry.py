@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import quality, secrets, simhash, toxicity
+from lexforge.llm import pii, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secrets.query,
+        "op3_pii": pii.query,
         "op5_quality_rules": quality.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_toxicity": toxicity.query,
