@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import pii, quality, secrets, simhash, substrings, toxicity
+from lexforge.llm import packing, pii, quality, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secrets.query,
+        "op2_packing": packing.query,
         "op3_pii": pii.query,
         "op5_quality_rules": quality.query,
         "op6_suffix_array_dedup": substrings.query,
