@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import neighbours, packing, pii, quality, secrets, simhash, substrings, toxicity
+from lexforge.llm import neighbours, packing, pieces, pii, quality, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_embedding_near_dedup": neighbours.query,
         "op5_quality_rules": quality.query,
         "op6_suffix_array_dedup": substrings.query,
+        "op7_sentencepiece": pieces.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_toxicity": toxicity.query,
     }
