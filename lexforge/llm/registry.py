@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import neighbours, packing, pieces, pii, quality, secrets, simhash, substrings, toxicity
+import corpus_pipeline
+from lexforge.llm import html_main, neighbours, packing, pieces, pii, quality, secrets, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality.query,
         "op6_suffix_array_dedup": substrings.query,
         "op7_sentencepiece": pieces.query,
+        "op8_html_extraction": html_main.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_toxicity": toxicity.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
