@@ -53,13 +53,27 @@ def _drop_staged() -> None:
         return
 
 
+def slices(frame: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """frame in row runs whose texts (column t, if any) hold about chars characters, one row at least."""
+    if "t" not in frame or not len(frame):
+        yield frame
+        return
+    size = np.cumsum(frame["t"].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy(np.int64) + 1)
+    at = 0
+    while at < len(frame):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chars, "right")))
+        yield frame.iloc[at:to].reset_index(drop=True)
+        at = to
+
+
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """df through fn, one Arrow batch at a time."""
+    """df through fn, some texts at a time: an Arrow batch goes in slices, so memory is bounded."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                yield fn(frame)
+            for piece in slices(frame):
+                if len(piece):
+                    yield fn(piece)
 
     return df.mapInPandas(run, schema)
 
