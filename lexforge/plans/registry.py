@@ -1,6 +1,8 @@
-"""Collects the reference-operator queries and their oracle SQL."""
+"""The reference-operator queries, each with the SQL that gives the same rows where there is one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lexforge.plans import curation, events, relational, searching, texts, vectors
+from lexforge.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "curation", "events", "relational", "searching", "texts", "vectors"]
