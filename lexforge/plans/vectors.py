@@ -1 +1,122 @@
-"""Queries."""
+"""Queries on duplicates, contamination, embeddings and neighbour prediction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexforge.functions import similarity as M
+from lexforge.operators import dedup as U
+from lexforge.operators import learn as L
+from lexforge.plans.base import query
+from lexforge.session import table
+
+_DOT = "list_dot_product(a.v, b.v)"
+
+
+@query("""SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def exact_dups(spark: SparkSession, d: str) -> DataFrame:
+    return U.exact_groups(table(spark, d, "documents"), "doc_id", "text")
+
+
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS k FROM s WHERE len(s) > 0 GROUP BY s), e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM c),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k)
+SELECT a, b, round(both::DOUBLE / (na + nb - both), 6) AS similarity FROM p WHERE both::DOUBLE / (na + nb - both) >= 0.8
+UNION ALL SELECT c.k, s.doc_id, 1.0 FROM s JOIN c ON c.s = s.s WHERE c.k <> s.doc_id""")
+def near_dups(spark: SparkSession, d: str) -> DataFrame:
+    return U.shingle_links(table(spark, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark))),
+t AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)))
+SELECT doc_id, item_id, count(*) AS shared FROM t JOIN b USING (g) GROUP BY doc_id, item_id""")
+def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
+    grams = lambda name, key: table(spark, d, name).select(key, F.explode(U.shingles(F.lower("text"), 8)).alias("g")).where(F.size(F.split("g", " ")) == 8)
+    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS r, regexp_replace(substr(replace(text, 'th', 't'), 1, 200), '[^ -~]', '', 'g') AS h FROM benchmark), c AS (SELECT item_id, CASE WHEN length(r) > 0 THEN levenshtein(r, h)::DOUBLE / length(r) WHEN length(h) = 0 THEN 0 ELSE 1 END AS cer FROM b)
+SELECT item_id, round(cer, 6) AS cer, CASE WHEN cer <= 0.02 THEN 'A+' WHEN cer <= 0.05 THEN 'A' WHEN cer < 0.1 THEN 'B' WHEN cer <= 0.2 THEN 'C' WHEN cer <= 0.4 THEN 'D' ELSE 'F' END AS grade FROM c""")
+def cer_grade(spark: SparkSession, d: str) -> DataFrame:
+    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
+    rows = table(spark, d, "benchmark").select("item_id", ascii_(F.substring("text", 1, 200)).alias("r"), ascii_(F.substring(F.replace(F.col("text"), F.lit("th"), F.lit("t")), 1, 200)).alias("h"))
+    rate = M.cer(F.col("r"), F.col("h"))
+    return rows.select("item_id", F.round(rate, 6).alias("cer"), M.grade(rate).alias("grade"))
+
+
+@query("""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS r, regexp_replace(substr(replace(text, 'th', 't'), 1, 200), '[^ -~]', '', 'g') AS h FROM benchmark)
+SELECT round(sum(levenshtein(r, h))::DOUBLE / sum(length(r)), 6) AS micro, round(avg(levenshtein(r, h)::DOUBLE / length(r)), 6) AS macro, round(avg((r = h)::INT), 6) AS exact, count(*) AS n FROM b WHERE length(r) > 0""")
+def corpus_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
+    rows = table(spark, d, "benchmark").select(ascii_(F.substring("text", 1, 200)).alias("r"), ascii_(F.substring(F.replace(F.col("text"), F.lit("th"), F.lit("t")), 1, 200)).alias("h")).where("char_length(r) > 0")
+    edits, n = F.levenshtein("r", "h"), F.char_length("r")
+    return rows.agg(F.round(F.sum(edits) / F.sum(n), 6).alias("micro"), F.round(F.avg(edits / n), 6).alias("macro"), F.round(F.avg((F.col("r") == F.col("h")).cast("int")), 6).alias("exact"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("h"))
+    return rows.select("item_id", F.round(M.wer(F.col("text"), F.col("h")), 6).alias("wer"))
+
+
+@query()
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("text", F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("h"))
+    return M.confusions(rows, "text", "h")
+
+
+@query()
+def seq_ratio(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.lower("text").alias("low"))
+    return rows.select("item_id", F.round(M.sequence_ratio("text", "low"), 6).alias("ratio"))
+
+
+_NORMED = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+@query(f"""SELECT q, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, vec_id) AS r FROM (
+SELECT a.vec_id AS q, b.vec_id, round({_DOT} / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity FROM {_NORMED} a JOIN {_NORMED} b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)) WHERE r <= 5""")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return L.top_k(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5, tenant="label")
+
+
+@query(f"""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS r FROM (SELECT a.vec_id AS q, b.vec_id, b.label, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS d
+FROM {_NORMED} a JOIN {_NORMED} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)) WHERE r <= 5), v AS (SELECT q, label, sum(1 / greatest(d, 1e-6)) AS w FROM n GROUP BY q, label),
+t AS (SELECT q, sum(w) AS total FROM v GROUP BY q), a AS (SELECT q, avg(d) AS avg_d FROM n GROUP BY q)
+SELECT q, label, round_even(least(greatest(0.6 * w / total + 0.4 * least(greatest(1 - 0.8 * avg_d, 0), 1), 0.3), 0.98), 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(w, 6) DESC, label) AS r FROM v) JOIN t USING (q) JOIN a USING (q) WHERE r = 1""")
+def knn_predict(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return L.knn_predict(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "label", 5)
+
+
+@query("""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding, embedding))) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.42),
+r AS (SELECT DISTINCT a AS node, a AS component FROM l UNION SELECT l.b, r.component FROM r JOIN l ON l.a = r.node)
+SELECT node, min(component) AS component FROM r GROUP BY node""")
+def dedup_components(spark: SparkSession, d: str) -> DataFrame:
+    links = U.cosine_links(table(spark, d, "embeddings"), "vec_id", "embedding", 0.42)
+    return U.components(links)
+
+
+@query()
+def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    links = U.cosine_links(e, "vec_id", "embedding", 0.42).checkpoint()
+    got = U.merged_clusters(e, U.components(links), links, "vec_id", F.col("vec_id").cast("string"))
+    return got.withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT round((1 - count(DISTINCT text)::DOUBLE / count(*)) * 100, 1) AS dedup_ratio, count(*) AS total, count(DISTINCT text) AS distinct_texts FROM documents""")
+def dedup_ratio(spark: SparkSession, d: str) -> DataFrame:
+    got = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total"), F.count_distinct("text").alias("distinct_texts"))
+    return got.select(F.round((1 - F.col("distinct_texts") / F.col("total")) * 100, 1).alias("dedup_ratio"), "total", "distinct_texts")
+
+
+@query()
+def diversity_sample(spark: SparkSession, d: str) -> DataFrame:
+    return L.farthest_points(table(spark, d, "embeddings"), "vec_id", "embedding", 6)
