@@ -37,6 +37,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use's lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def evaluation(c: Column) -> Column:
     """For error rates: no diacritics, hamza forms to alef (madda stays), dotless yeh to yeh, collapsed."""
     c = F.translate(F.regexp_replace(c, DIACRITICS, ""), ALEF_HAMZA + YEH_DOTLESS, ALEF * len(ALEF_HAMZA) + YEH)

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.functions.normalize import words
+from lexforge.functions.normalize import bound, words
+from lexforge.session import cut
 
 
 def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -17,9 +18,12 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def shingles(c: Column, width: int = 5) -> Column:
     """Distinct word shingles of a text; a shorter text is one shingle, an empty one has none."""
-    w = words(c)
-    full = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
-    return F.when(F.size(w) >= width, F.array_distinct(full)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        full = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) >= width, F.array_distinct(full)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(c), cut)
 
 
 def shingle_links(df: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -51,14 +55,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Every round a node takes the least label around it, then the label of its label, so paths halve.
     Lineage is cut by checkpoint().
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).checkpoint()
+    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     last = None
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(around, "a").select("a", F.least("label", "near").alias("label"))
         jump = stepped.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        labels = stepped.join(jump, "label").select("a", F.least("label", "up").alias("label")).checkpoint()
+        labels = cut(stepped.join(jump, "label").select("a", F.least("label", "up").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == last:
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
@@ -76,7 +80,7 @@ def cosine_links(df: DataFrame, key: str, vector: str, threshold: float, pivots:
     angle = math.acos(min(1.0, threshold))
     rows = df.select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("n", norm(F.col("v"))).where("n > 0").select("key", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    rows = rows.where(norm(F.col("v")) > 0).select("key", bound(norm(F.col("v")), lambda n: F.transform("v", lambda x: x / n)).alias("v"))
     chosen = rows.orderBy(F.xxhash64("key"), "key").limit(pivots).select(F.col("key").alias("pivot"), F.col("v").alias("p"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     all_pivots = F.broadcast(chosen.agg(F.array_sort(F.collect_list(F.struct("pivot", "p"))).alias("ps")))  # bounded by pivots

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.similarity import cosine
+from lexforge.session import cut
 
 
 def _paired(queries: DataFrame, base: DataFrame, key: str, vector: str, keep: list[str], tenant: str | None) -> DataFrame:
@@ -139,7 +140,7 @@ def spatial_fusion(tokens: DataFrame, page: str, terms: list[str], eps: float =
     weight = F.coalesce(F.create_map(*[F.lit(v) for kv in ENGINE_WEIGHTS.items() for v in kv])[F.col("engine")], F.lit(0.8))
     bonus = F.when(F.lower("text").isin([t.lower() for t in terms]), 1.4).otherwise(1.0) if terms else F.lit(1.0)
     kept = tokens.where(F.col("confidence") >= least).withColumn("w", F.col("confidence") * weight * bonus * F.least(1 + 0.02 * F.char_length("text"), F.lit(1.3)))
-    kept = kept.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    kept = cut(kept.withColumn("id", F.monotonically_increasing_id()))
     cell = kept.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
     near = cell.withColumn("cx", F.explode(F.array(F.col("cx") - 1, F.col("cx"), F.col("cx") + 1))).withColumn("cy", F.explode(F.array(F.col("cy") - 1, F.col("cy"), F.col("cy") + 1)))
     a, b = near.alias("a"), cell.alias("b")

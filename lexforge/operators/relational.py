@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.session import cut
+
 
 def column_of(df: DataFrame, name: str) -> Column:
     """The column called name; names are only ever taken from the frame itself."""
@@ -131,7 +133,7 @@ def lineage(edges: DataFrame, child: str, parent: str, rounds: int = 32) -> Data
     for _ in range(rounds):
         more = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.child"))
         more = more.select(F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        known = known.unionAll(more).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
+        known = cut(known.unionAll(more).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")))
         now = known.count()
         if now == size:
             return known

@@ -9,7 +9,7 @@ from lexforge.functions import similarity as M
 from lexforge.operators import dedup as U
 from lexforge.operators import learn as L
 from lexforge.plans.base import query
-from lexforge.session import table
+from lexforge.session import cut, table
 
 _DOT = "list_dot_product(a.v, b.v)"
 
@@ -24,16 +24,19 @@ _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
 c AS (SELECT s, min(doc_id) AS k FROM s WHERE len(s) > 0 GROUP BY s), e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM c),
-p AS (SELECT a.k AS a, b.k AS b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k)
-SELECT a, b, round(both::DOUBLE / (na + nb - both), 6) AS similarity FROM p WHERE both::DOUBLE / (na + nb - both) >= 0.8
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k)
+SELECT a, b, round(shared::DOUBLE / (na + nb - shared), 6) AS similarity FROM p WHERE shared::DOUBLE / (na + nb - shared) >= 0.8
 UNION ALL SELECT c.k, s.doc_id, 1.0 FROM s JOIN c ON c.s = s.s WHERE c.k <> s.doc_id""")
 def near_dups(spark: SparkSession, d: str) -> DataFrame:
     return U.shingle_links(table(spark, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM benchmark))),
-t AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)))
-SELECT doc_id, item_id, count(*) AS shared FROM t JOIN b USING (g) GROUP BY doc_id, item_id""")
+def _grams(name: str, key: str) -> str:
+    tail = " || ' ' || ".join(f"lead(w, {k}) OVER o" for k in range(1, 8))
+    return f"SELECT DISTINCT {key}, g FROM (SELECT {key}, w || ' ' || {tail} AS g FROM (SELECT {key}, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {name})) WINDOW o AS (PARTITION BY {key} ORDER BY i)) WHERE g IS NOT NULL"
+
+
+@query(f"WITH b AS ({_grams('benchmark', 'item_id')}), t AS ({_grams('documents', 'doc_id')}) SELECT doc_id, item_id, count(*) AS shared FROM t JOIN b USING (g) GROUP BY doc_id, item_id")
 def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
     grams = lambda name, key: table(spark, d, name).select(key, F.explode(U.shingles(F.lower("text"), 8)).alias("g")).where(F.size(F.split("g", " ")) == 8)
     return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
@@ -106,7 +109,7 @@ def dedup_components(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    links = U.cosine_links(e, "vec_id", "embedding", 0.42).checkpoint()
+    links = cut(U.cosine_links(e, "vec_id", "embedding", 0.42))
     got = U.merged_clusters(e, U.components(links), links, "vec_id", F.col("vec_id").cast("string"))
     return got.withColumn("score", F.round("score", 6))
 

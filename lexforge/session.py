@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lexforge", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,3 +32,11 @@ def build_session(app: str = "lexforge", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table; only Spark touches the path, so any Hadoop file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder of spark.checkpoint.dir; own folder only if unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-"))
+    return df.checkpoint()
