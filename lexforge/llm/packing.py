@@ -144,14 +144,14 @@ def tokenized(df: DataFrame, id_col: str, text_col: str, unit: int, path: str |
 
 
 def _filler_threshold(hist: dict[int, int], sums: dict[int, int], capacity: int, unit: int) -> int:
-    """Documents longer than this are cut to fill the gaps of the rest."""
+    """Documents longer than this are cut to fill the gaps of the rest; whole unit lengths only."""
     docs = sum(hist.values()) - hist.get(capacity + 1, 0)
     tokens, threshold = sums.get(capacity + 1, 0), capacity
     while threshold > 0 and tokens < 0.6 * unit * docs + 4 * capacity:
         tokens += sums.get(threshold, 0)
         docs -= hist.get(threshold, 0)
         threshold -= 1
-    return threshold
+    return threshold - threshold % unit
 
 
 def _offsets(counts: DataFrame, by: list[str], part: str, size: str) -> DataFrame:
