@@ -130,8 +130,14 @@ def fold(events: DataFrame, machine) -> DataFrame:
     return dealt.mapInPandas(run, f"key string, id long, t double, {machine.out}")
 
 
-def stream(events: DataFrame, machine, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream of keyed() events; state is dropped after idle_ms without events."""
+def stream(events: DataFrame, machine, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The same over a stream of keyed() events; state is dropped after idle_ms without events.
+
+    A processing-time timeout keeps a query running batch after batch, so give None for a query
+    that is to end by itself (trigger availableNow).
+    """
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -141,7 +147,8 @@ def stream(events: DataFrame, machine, idle_ms: int = 3_600_000) -> DataFrame:
         frame = pd.concat(list(frames), ignore_index=True).sort_values(["t", "id"])
         out = _run(machine, held, frame)
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
-    return events.groupBy("key").applyInPandasWithState(step, f"key string, id long, t double, {machine.out}", "s string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("key").applyInPandasWithState(step, f"key string, id long, t double, {machine.out}", "s string", "append", timeout)

@@ -143,8 +143,8 @@ def test_fold_equals_stream(spark, tmp_path):
     want = sorted(tuple(r) for r in state.fold(events, machine).collect())
     events.write.json(str(tmp_path / "in"))
     source = spark.readStream.schema(events.schema).json(str(tmp_path / "in"))
-    query = state.stream(source, machine).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = state.stream(source, machine, idle_ms=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == want
 
