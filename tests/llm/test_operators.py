@@ -245,6 +245,7 @@ def test_neighbours(spark, tmp_path):
     v[300:340] = v[0] + 0.05 * rng.normal(size=(40, 16))
     v[350:355] = v[1]
     rows = [(int(i), [float(x) for x in e]) for i, e in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16)]
+    rows += [(910, [1.0, 2.0]), (911, [1.0, 2.001]), (912, [])]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.vec_id: r for r in neighbours.query(spark, str(tmp_path)).collect()}
     u = v / np.linalg.norm(v, axis=1)[:, None]
@@ -255,7 +256,8 @@ def test_neighbours(spark, tmp_path):
     assert found >= 0.97 * (hit.sum() - 400)
     assert all(got[i].n_links <= hit[i].sum() - 1 for i in range(400))
     assert np.mean([got[i].component_id == roots[i] for i in range(400)]) > 0.98
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (900, 901, 902, 903))
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (900, 901, 902, 903, 912))
+    assert got[911].n_links == 1 and got[911].component_id == 910
 
 
 def test_pieces_equal_the_library_and_round_trip(spark, folder, texts):
