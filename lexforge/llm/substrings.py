@@ -295,15 +295,18 @@ def repeats(df: DataFrame, text_col: str = "text", length: int = 200, block_rows
     rows = map_batches(keyed, lambda f: _anchor_rows(f, length), "p long, a long, b long, g long, cls long, key long")
     rows = staged(rows.select("g", "cls", "key", *(F.col(c).cast("int").alias(c) for c in ("p", "a", "b"))), "anchors")
     again = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("n > 1")
-    seen = staged(rows.join(again.select("g", (F.col("lo") == F.col("hi")).alias("alike")), "g"), "again")
+    # tables between a count and the join it serves: Spark splits a hot key only in a join by itself
+    again = staged(again.select("g", (F.col("lo") == F.col("hi")).alias("alike")), "grams")
+    seen = staged(rows.join(again, "g"), "again")
     alike = seen.where("alike").select("key", "a", "b")
     mixed = seen.where("not alike")
     spans = mixed.groupBy("g", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p", "a", "b")).alias("one"))
     spans = staged(spans, "spans")
     copied = mixed.join(spans.where("n > 1").select("g", "cls"), ["g", "cls"], "left_semi").select("key", "a", "b")
     sizes = spans.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 and m > 1").select("g", "m")
+    sizes = staged(sizes, "sizes")
     wanted = spans.join(sizes, "g").select("g", "cls", "n", "m", "one.key", "one.p", "one.a", "one.b")
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("g", "cls", "n", "m", "p", "a", "b")).alias("w"))
+    wanted = staged(wanted.groupBy("key").agg(F.collect_list(F.struct("g", "cls", "n", "m", "p", "a", "b")).alias("w")), "wanted")
 
     def cut(frames):
         done: set[int] = set()
@@ -331,7 +334,7 @@ def repeats(df: DataFrame, text_col: str = "text", length: int = 200, block_rows
     large = wide.where("n = 1").join(twice, ["g", "o", "h"], "left_semi").select("key", F.col("s").alias("a"), F.col("s").alias("b"))
     every = alike.unionAll(copied).unionAll(small).unionAll(large)
     ends = every.groupBy("key", "a").agg(F.max("b").alias("b"))
-    return ends.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    return staged(ends.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
 
 
 def kept_bytes(data: bytes, runs, length: int) -> tuple[bytes, int]:
