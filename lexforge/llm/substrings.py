@@ -34,20 +34,22 @@ from lexforge.llm.common import map_batches, mix64, staged, text_of
 GRAM = 32
 _POS = 24
 _BASE = 0x9E3779B97F4A7C55
-_CHUNK = 1_000_000
+_CHUNK = 500_000
 _cache: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte values, and powers of the base and of its inverse modulo 2**64."""
-    if len(_cache.get("pow", ())) < n:
-        size = max(n, _CHUNK + 8192)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("pow", _BASE), ("inv", inverse)):
-            steps = np.full(size, base, dtype=np.uint64)
+    """Byte values, and powers of the base and of its inverse modulo 2**64; usual sizes are kept."""
+    usual = _CHUNK + 8192
+    if "byte" not in _cache or n > usual:
+        out = {"byte": mix64(np.arange(1, 257, dtype=np.uint64), 11)}
+        for name, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, usual), base, dtype=np.uint64)
             steps[0] = 1
-            _cache[name] = np.multiply.accumulate(steps)
-        _cache["byte"] = mix64(np.arange(1, 257, dtype=np.uint64), 11)
+            out[name] = np.multiply.accumulate(steps, out=steps)
+        if n > usual:
+            return out["byte"], out["pow"][:n], out["inv"][:n]
+        _cache.update(out)
     return _cache["byte"], _cache["pow"][:n], _cache["inv"][:n]
 
 
@@ -57,7 +59,10 @@ class PrefixHash:
     def __init__(self, data: np.ndarray) -> None:
         byte, power, self.inverse = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(byte[data] * power[: len(data)], out=self.sums[1:])
+        tail = self.sums[1:]
+        np.take(byte, data, out=tail)
+        tail *= power[: len(data)]
+        np.cumsum(tail, out=tail)
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * self.inverse[start]
@@ -262,7 +267,7 @@ def block_repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"key": frame["key"].to_numpy()[row], "a": p[row] - (after - 1), "b": p[row] - first})
 
 
-def _blocks(frames, length: int, rows: int = 20_000):
+def _blocks(frames, length: int, rows: int = 5_000):
     """block_repeats over frames sorted by g, some whole blocks at a time."""
     held = None
     for frame in frames:

@@ -97,9 +97,13 @@ class FactorizationMachine:
         self.active = {}
         if not len(rows) or not sum(map(len, rows)):
             return
-        flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        df = np.bincount(flat, weight[owner], 1 << self.bits)
-        pos = np.bincount(flat, (weight * y)[owner], 1 << self.bits)
+        df, pos = np.zeros(1 << self.bits), np.zeros(1 << self.bits)
+        for at in range(0, len(rows), 1000):
+            part = rows[at : at + 1000]
+            owner = np.repeat(np.arange(at, at + len(part)), [len(r) for r in part])
+            flat = np.concatenate(part)
+            np.add.at(df, flat, weight[owner])
+            np.add.at(pos, flat, (weight * y)[owner])
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = 2 * (np.nan_to_num(pos * np.log(pos / (df * p0))) + np.nan_to_num((df - pos) * np.log((df - pos) / (df * (1 - p0)))))
         self.active = {int(b): i for i, b in enumerate(np.flatnonzero((df >= 3) & (gain >= least)))}
@@ -156,7 +160,7 @@ def score_texts(texts: pd.Series, model: FactorizationMachine, cache: dict[str,
             hit = cache.get(chunk)
             if hit is None:
                 hit = tuple(model.active[t] for t in model.terms(chunk) if t in model.active)
-                if len(cache) > 400_000:
+                if len(cache) > 150_000:
                     cache.clear()
                 cache[chunk] = hit
             if hit:

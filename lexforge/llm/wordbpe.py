@@ -46,7 +46,7 @@ class _Memo(dict):
 class WordBpe:
     """ids(text) as little-endian unsigned 16-bit bytes, without special tokens."""
 
-    def __init__(self, path: str | None = None, remember: int = 700_000) -> None:
+    def __init__(self, path: str | None = None, remember: int = 400_000) -> None:
         path = path or public_tokenizers.path("word_bpe_49k.json")
         self.reference = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:  # a vocabulary that ships with the Python environment
