@@ -10,9 +10,12 @@ have numbers of their own, and a component is named by its smallest id. Other co
    other, and each keeps its best. Entries under cos(2*acos(t)) are not kept: two links of one node
    can never be further apart, so no path of links is lost.
 3. Edges at or over t in double precision give components.
-4. A list that is full of links is saturated: lists are enlarged to the whole component, compared
-   in blocks of bounded size, and only counts leave a task. Pairs are never written.
-5. A sample of nodes is compared with all nodes, in blocks, to audit recall; tables are added until
+4. A list that is full of links is saturated and may hide links to other components. Saturated
+   nodes get further lists that hold only nodes of other components; components that these link
+   become one, and lists are made again until no link is left.
+5. Links are counted over the whole component, compared in blocks of bounded size, and only counts
+   leave a task. Pairs are never written.
+6. A sample of nodes is compared with all nodes, in blocks, to audit recall; tables are added until
    it reaches the floor.
 """
 
@@ -77,10 +80,10 @@ def _matrix(col, dtype=np.float32) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in col]).astype(dtype)
 
 
-def _best_rows(ids: np.ndarray, v: np.ndarray, k: int, floor: float) -> tuple[list, list, list]:
-    """Each row's best k others at or over floor, as (u, v, sim)."""
+def _best_rows(ids: np.ndarray, comp: np.ndarray, v: np.ndarray, k: int, floor: float) -> tuple[list, list, list]:
+    """Each row's best k rows of other components at or over floor, as (u, v, sim)."""
     s = v @ v.T
-    np.fill_diagonal(s, -2)
+    s[comp[:, None] == comp[None]] = -2
     n = min(k, len(ids) - 1)
     if n <= 0:
         return [], [], []
@@ -95,14 +98,14 @@ def _grouped(key: str, k: int, floor: float):
 
     def flush(held: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
-        ids, units = held["m"].to_numpy(), held["unit"]
+        ids, comp, units = held["m"].to_numpy(), held["comp"].to_numpy(), held["unit"]
         alike = units.map(len).nunique() == 1  # else lengths differ between groups, never within one
         vectors = _matrix(units) if alike else None
         cuts = np.flatnonzero(held[key].to_numpy()[1:] != held[key].to_numpy()[:-1]) + 1
         for a, b in zip([0, *cuts], [*cuts, len(held)], strict=True):
             if b - a > 1:
                 group = vectors[a:b] if alike else _matrix(units.iloc[a:b])
-                for have, more in zip(out, _best_rows(ids[a:b], group, k, floor), strict=True):
+                for have, more in zip(out, _best_rows(ids[a:b], comp[a:b], group, k, floor), strict=True):
                     have += more
         return pd.DataFrame({"u": out[0], "v": out[1], "sim": out[2]}).astype({"u": "int64", "v": "int64", "sim": "float64"})
 
@@ -129,7 +132,7 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
 
 
 def first_graph(nodes: DataFrame, rule: Descent, count: int, floor: float, seed: int) -> DataFrame:
-    """(u, v, sim) from sign-projection cells."""
+    """(u, v, sim) from sign-projection cells, between nodes of different comp."""
     bits = max(1, math.ceil(math.log2(max(2, count / rule.cell))))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -151,22 +154,26 @@ def first_graph(nodes: DataFrame, rule: Descent, count: int, floor: float, seed:
     salted = celled.join(crowded, "cell", "left").withColumn(
         "cell", F.concat_ws(":", "cell", F.pmod(F.xxhash64("m", F.lit(seed)), F.ceil(F.coalesce("c", F.lit(1)) / rule.most_cell)))
     )
-    dealt = salted.select("cell", "m").join(nodes.select(F.col("nid").alias("m"), "unit"), "m")
+    dealt = salted.select("cell", "m").join(nodes.select(F.col("nid").alias("m"), "comp", "unit"), "m")
     found = dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(_grouped("cell", rule.k, floor), "u long, v long, sim double")
     return staged(_top(found, rule.k), "graph")
 
 
-def refine(graph: DataFrame, nodes: DataFrame, rule: Descent, floor: float) -> DataFrame:
-    """One round of neighbours-of-neighbours: members of each list meet, and lists keep their best."""
+def met(graph: DataFrame, nodes: DataFrame, rule: Descent, floor: float) -> DataFrame:
+    """(u, v, sim): members of each node's list and reverse list meet, where they are among nodes."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turned = graph.select(F.col("v").alias("w"), F.col("u").alias("m"))
     rank = F.row_number().over(Window.partitionBy("w").orderBy(F.xxhash64("w", "m"), "m"))
     turned = turned.withColumn("r", rank).where(F.col("r") <= rule.k).drop("r")
     own = graph.select(F.col("u").alias("w"), F.col("u").alias("m")).distinct()
     lists = graph.select(F.col("u").alias("w"), F.col("v").alias("m")).unionAll(turned).unionAll(own).distinct()
-    dealt = lists.join(nodes.select(F.col("nid").alias("m"), "unit"), "m")
-    met = dealt.repartition(parts, "w").sortWithinPartitions("w").mapInPandas(_grouped("w", rule.k, floor), "u long, v long, sim double")
-    return staged(_top(graph.unionAll(met), rule.k), "graph")
+    dealt = lists.join(nodes.select(F.col("nid").alias("m"), "comp", "unit"), "m")
+    return dealt.repartition(parts, "w").sortWithinPartitions("w").mapInPandas(_grouped("w", rule.k, floor), "u long, v long, sim double")
+
+
+def refine(graph: DataFrame, nodes: DataFrame, rule: Descent, floor: float) -> DataFrame:
+    """One round of neighbours-of-neighbours: members of each list meet, and lists keep their best."""
+    return staged(_top(graph.unionAll(met(graph, nodes, rule, floor)), rule.k), "graph")
 
 
 def confirmed(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -184,6 +191,36 @@ def confirmed(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return map_batches(both, run, "a long, b long")
 
 
+def widened(graph: DataFrame, nodes: DataFrame, named: DataFrame, rule: Descent, count: int, floor: float, seeds: list[int]) -> DataFrame:
+    """named, with the components made one whose links only saturated lists had cut off.
+
+    A link is lost by a cut only where both lists are full of links, so only such nodes meet again,
+    in the same cells and lists, and keep their best of other components. Every round that finds a
+    link joins components, and the last one finds none.
+    """
+    full = graph.where(F.col("sim") >= rule.threshold - 1e-4).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rule.k)
+    full = staged(nodes.join(full.select(F.col("u").alias("nid")), "nid"), "saturated")
+    alone = full.select(F.col("nid").alias("node")).join(named, "node", "left_anti")
+    named = staged(named.unionAll(alone.select("node", F.col("node").alias("component"))), "named")
+    while True:
+        some = staged(full.drop("comp").join(named.select(F.col("node").alias("nid"), F.col("component").alias("comp")), "nid"), "saturated")
+        if some.select("comp").distinct().limit(2).count() < 2:
+            return named
+        outer = None
+        for seed in seeds:
+            more = first_graph(some, rule, count, floor, seed)
+            outer = more if outer is None else staged(_top(outer.unionAll(more), rule.k), "graph")
+        for _ in range(rule.rounds):
+            outer = staged(_top(outer.unionAll(met(graph.unionAll(outer), some, rule, floor)), rule.k), "graph")
+        links, comp = confirmed(outer, nodes, rule.threshold), some.select("nid", "comp")
+        links = links.join(comp.toDF("a", "x"), "a").join(comp.toDF("b", "y"), "b")
+        links = staged(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            return named
+        joined = components(links).toDF("component", "whole")
+        named = staged(named.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "named")
+
+
 def counted(nodes: DataFrame, named: DataFrame, rule: Descent) -> DataFrame:
     """(nid, links): weight of the other nodes of the component at or over the threshold, exactly.
 
@@ -254,7 +291,7 @@ def near_duplicates(df: DataFrame, rule: Descent | None = None, id_col: str = "v
     floor = max(math.cos(2 * math.acos(rule.threshold)), 0.0)
     rows = staged(prepared(df, id_col, vec_col), "vectors")
     nodes = rows.where("twin is not null").groupBy("twin").agg(F.min("nid").alias("nid"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.min("id").alias("id"))
-    nodes = staged(nodes, "nodes")
+    nodes = staged(nodes.withColumn("comp", F.col("nid")), "nodes")
     count = nodes.count()
     graph = None
     for attempt in range(rule.attempts):
@@ -263,6 +300,7 @@ def near_duplicates(df: DataFrame, rule: Descent | None = None, id_col: str = "v
         for _ in range(rule.rounds):
             graph = refine(graph, nodes, rule, floor)
         named = staged(components(confirmed(graph, nodes, rule.threshold)), "named")
+        named = widened(graph, nodes, named, rule, count, floor, list(range(attempt + 1)))
         links = staged(counted(nodes, named, rule), "links")
         if audited(nodes, links, rule) >= rule.recall:
             break

@@ -260,6 +260,19 @@ def test_neighbours(spark, tmp_path):
     assert got[911].n_links == 1 and got[911].component_id == 910
 
 
+def test_neighbours_across_saturated_lists(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    q = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    noise = rng.normal(size=(80, 14)) @ q[2:]
+    v = np.repeat([q[0], 0.92 * q[0] + (1 - 0.92**2) ** 0.5 * q[1]], 40, axis=0) + 0.06 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = u @ u.T >= 0.9
+    assert (u[:40] @ u[:40].T).min() > 0.98 and hit.all()
+    spark.createDataFrame([(int(i), [float(x) for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = neighbours.query(spark, str(tmp_path)).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(79, 0)}
+
+
 def test_pieces_equal_the_library_and_round_trip(spark, folder, texts):
     import public_tokenizers
     import sentencepiece
