@@ -5,7 +5,9 @@ of different lengths do not link with each other. Bit-identical
 vectors are one node with a weight, so copies cost nothing. Repeated or null ids are fine: nodes
 have numbers of their own, and a component is named by its smallest id. Other columns pass by.
 
-1. A first neighbour graph comes from sign-projection tables; crowded cells are salted to a size.
+1. A first neighbour graph comes from sign-projection tables, as many as a pair at t needs to meet
+   by angle alone with the chance of the floor, whatever the number of nodes. A crowded cell is cut
+   in blocks, and every pair of blocks meets.
 2. NN-descent: in every round each node's neighbours and reverse neighbours are compared with each
    other, and each keeps its best. Entries under cos(2*acos(t)) are not kept: two links of one node
    can never be further apart, so no path of links is lost.
@@ -15,13 +17,15 @@ have numbers of their own, and a component is named by its smallest id. Other co
    become one, and lists are made again until no link is left.
 5. Links are counted over the whole component, compared in blocks of bounded size, and only counts
    leave a task. Pairs are never written.
-6. A sample of nodes is compared with all nodes, in blocks, to audit recall; tables are added until
-   it reaches the floor.
+6. A new sample of nodes is compared with all nodes to audit recall: the mean over nodes with links of
+   the share of linked nodes found. It grows until it holds enough nodes with links. Tables are
+   doubled until recall reaches the floor; if it does not, the run fails rather than return less.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,32 +84,43 @@ def _matrix(col, dtype=np.float32) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in col]).astype(dtype)
 
 
-def _best_rows(ids: np.ndarray, comp: np.ndarray, v: np.ndarray, k: int, floor: float) -> tuple[list, list, list]:
-    """Each row's best k rows of other components at or over floor, as (u, v, sim)."""
-    s = v @ v.T
-    s[comp[:, None] == comp[None]] = -2
+def _best_rows(ids: np.ndarray, comp: np.ndarray, v: np.ndarray, k: int, floor: float, second: np.ndarray | None = None) -> tuple[list, list, list]:
+    """Each row's best k rows of other components at or over floor, as (u, v, sim).
+
+    With second, a row is compared only with rows of the other kind: of two blocks, pairs across.
+    """
+    out: tuple[list, list, list] = ([], [], [])
     n = min(k, len(ids) - 1)
     if n <= 0:
-        return [], [], []
-    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-    sim = np.take_along_axis(s, top, 1)
-    row, col = np.nonzero(sim >= floor)
-    return list(ids[row]), list(ids[top[row, col]]), list(sim[row, col].astype(float))
+        return out
+    for at in range(0, len(ids), 512):
+        s = v[at : at + 512] @ v.T
+        s[comp[at : at + 512, None] == comp[None]] = -2
+        if second is not None:
+            s[second[at : at + 512, None] == second[None]] = -2
+        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+        sim = np.take_along_axis(s, top, 1)
+        row, col = np.nonzero(sim >= floor)
+        for have, more in zip(out, (ids[at + row], ids[top[row, col]], sim[row, col].astype(float)), strict=True):
+            have += list(more)
+    return out
 
 
 def _grouped(key: str, k: int, floor: float):
-    """mapInPandas over frames sorted by key: best pairs within each run of key."""
+    """mapInPandas over frames sorted by key: best pairs within each run of key; where a column side holds 0 and 1, across it."""
 
     def flush(held: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
         ids, comp, units = held["m"].to_numpy(), held["comp"].to_numpy(), held["unit"]
+        side = held["side"].to_numpy() if "side" in held else np.zeros(len(held), np.int32)
         alike = units.map(len).nunique() == 1  # else lengths differ between groups, never within one
         vectors = _matrix(units) if alike else None
         cuts = np.flatnonzero(held[key].to_numpy()[1:] != held[key].to_numpy()[:-1]) + 1
         for a, b in zip([0, *cuts], [*cuts, len(held)], strict=True):
             if b - a > 1:
                 group = vectors[a:b] if alike else _matrix(units.iloc[a:b])
-                for have, more in zip(out, _best_rows(ids[a:b], comp[a:b], group, k, floor), strict=True):
+                second = side[a:b] if side[a:b].any() else None
+                for have, more in zip(out, _best_rows(ids[a:b], comp[a:b], group, k, floor, second), strict=True):
                     have += more
         return pd.DataFrame({"u": out[0], "v": out[1], "sim": out[2]}).astype({"u": "int64", "v": "int64", "sim": "float64"})
 
@@ -131,9 +146,19 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return best.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+def tables_for(rule: Descent, bits: int) -> int:
+    """Tables in which two vectors at the threshold share a cell at least once with chance 1 - (1 - recall) / 2."""
+    alone = (1 - math.acos(rule.threshold) / math.pi) ** bits
+    return 1 if alone >= 1 else math.ceil(math.log((1 - rule.recall) / 2) / math.log1p(-alone))
+
+
+def bits_for(rule: Descent, count: int) -> int:
+    return max(1, math.ceil(math.log2(max(2, count / rule.cell))))
+
+
 def first_graph(nodes: DataFrame, rule: Descent, count: int, floor: float, seed: int) -> DataFrame:
     """(u, v, sim) from sign-projection cells, between nodes of different comp."""
-    bits = max(1, math.ceil(math.log2(max(2, count / rule.cell))))
+    bits = bits_for(rule, count)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cells(frame: pd.DataFrame) -> pd.DataFrame:
@@ -151,10 +176,13 @@ def first_graph(nodes: DataFrame, rule: Descent, count: int, floor: float, seed:
 
     celled = staged(map_batches(nodes.select("nid", "unit"), cells, "cell long, m long"), "cells")
     crowded = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rule.most_cell)
-    salted = celled.join(crowded, "cell", "left").withColumn(
-        "cell", F.concat_ws(":", "cell", F.pmod(F.xxhash64("m", F.lit(seed)), F.ceil(F.coalesce("c", F.lit(1)) / rule.most_cell)))
-    )
-    dealt = salted.select("cell", "m").join(nodes.select(F.col("nid").alias("m"), "comp", "unit"), "m")
+    # a crowded cell is cut in blocks of a node's own hash in this cell; block i meets block j in the group (i, j)
+    salted = celled.join(crowded, "cell", "left").withColumn("nb", F.ceil(F.coalesce("c", F.lit(1)) / F.lit(rule.block)).cast("int"))
+    salted = salted.withColumn("mine", F.pmod(F.xxhash64("m", "cell", F.lit(seed)), F.col("nb")).cast("int"))
+    salted = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    group = F.concat_ws(":", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell")
+    salted = salted.select(group, "m", (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    dealt = salted.join(nodes.select(F.col("nid").alias("m"), "comp", "unit"), "m")
     found = dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(_grouped("cell", rule.k, floor), "u long, v long, sim double")
     return staged(_top(found, rule.k), "graph")
 
@@ -222,7 +250,7 @@ def widened(graph: DataFrame, nodes: DataFrame, named: DataFrame, rule: Descent,
 
 
 def counted(nodes: DataFrame, named: DataFrame, rule: Descent) -> DataFrame:
-    """(nid, links): weight of the other nodes of the component at or over the threshold, exactly.
+    """(nid, links, near): weight and number of the other nodes of the component at or over the threshold, exactly.
 
     Components of more than rule.block nodes are cut in blocks; every ordered pair of blocks is a
     group of its own, so no task holds more than two blocks of one component.
@@ -239,14 +267,15 @@ def counted(nodes: DataFrame, named: DataFrame, rule: Descent) -> DataFrame:
     def one(held: pd.DataFrame) -> pd.DataFrame:
         q, m = held[held["ask"]], held[~held["ask"]]
         if not len(q) or not len(m):
-            return pd.DataFrame({"nid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
-        v, weight, out = _matrix(m["unit"], np.float64), m["weight"].to_numpy(np.float64), []
+            return pd.DataFrame({"nid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "near": np.zeros(0, np.int64)})
+        v, weight, out, near = _matrix(m["unit"], np.float64), m["weight"].to_numpy(np.float64), [], []
         for at in range(0, len(q), 512):
             part = q.iloc[at : at + 512]
             hit = (_matrix(part["unit"], np.float64) @ v.T) >= rule.threshold
             hit &= part["nid"].to_numpy()[:, None] != m["nid"].to_numpy()[None]
             out.append(hit @ weight)
-        return pd.DataFrame({"nid": q["nid"].to_numpy(), "links": np.concatenate(out).astype(np.int64)})
+            near.append(hit.sum(1))
+        return pd.DataFrame({"nid": q["nid"].to_numpy(), "links": np.concatenate(out).astype(np.int64), "near": np.concatenate(near).astype(np.int64)})
 
     def run(frames):
         held = None
@@ -259,30 +288,55 @@ def counted(nodes: DataFrame, named: DataFrame, rule: Descent) -> DataFrame:
         if held is not None and len(held):
             yield one(held)
 
-    got = keyed.select("key", "ask", "nid", "weight", "unit").repartition(parts, "key").sortWithinPartitions("key").mapInPandas(run, "nid long, links long")
-    return got.groupBy("nid").agg(F.sum("links").alias("links"))
+    got = keyed.select("key", "ask", "nid", "weight", "unit").repartition(parts, "key").sortWithinPartitions("key").mapInPandas(run, "nid long, links long, near long")
+    return got.groupBy("nid").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+
+
+def audited(nodes: DataFrame, links: DataFrame, rule: Descent, count: int, seed: int) -> float:
+    """Mean share of linked nodes found, over the nodes with links of a sample of distinct vectors.
 
+    The sample starts with rule.audit nodes and takes four times as many until rule.audit / 8 of
+    them have links, at most 64 * rule.audit: links that are rarer than that are not audited.
+    """
+    size, linked, total, at = rule.audit, 0, 0.0, 0
+    ranked = nodes.select("nid", "unit").orderBy(F.xxhash64("nid", F.lit(seed)), "nid")
+    while True:
+        for asked in _runs(ranked, at, min(size, count), 4 * rule.audit):
+            for _, own in asked.groupby(asked["unit"].map(len)):
+                n, share = _audit(nodes, links, rule, own)
+                linked, total = linked + n, total + share
+        at = min(size, count)
+        if linked >= rule.audit // 8 or at >= min(count, 64 * rule.audit):
+            return total / linked if linked else 1.0
+        size *= 4
+
+
+def _runs(ranked: DataFrame, start: int, end: int, most: int) -> Iterator[pd.DataFrame]:
+    """Rows start to end of ranked, at most most at a time."""
+    for at in range(start, end, most):
+        yield ranked.offset(at).limit(min(most, end - at)).toPandas()
 
-def audited(nodes: DataFrame, links: DataFrame, rule: Descent) -> float:
-    """Share of the true links of a sample (at most rule.audit nodes) that were found."""
-    asked = nodes.orderBy(F.xxhash64("nid"), "nid").limit(rule.audit).select("nid", "unit").toPandas()
-    if not len(asked):
-        return 1.0
-    asked = asked[asked["unit"].map(len) == asked["unit"].map(len).mode()[0]]
+
+def _audit(nodes: DataFrame, links: DataFrame, rule: Descent, asked: pd.DataFrame) -> tuple[int, float]:
+    """Of nodes of one length: how many have links, and the sum of the shares found."""
     shared = nodes.sparkSession.sparkContext.broadcast((asked["nid"].to_numpy(), _matrix(asked["unit"], np.float64)))  # bounded by rule.audit
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frames):
         ids, q = shared.value
-        frame = frame[frame["unit"].map(len) == q.shape[1] * 8]
-        if not len(frame):
-            return pd.DataFrame({"nid": [], "truth": []}).astype("int64")
-        hit = (q @ _matrix(frame["unit"], np.float64).T) >= rule.threshold
-        hit &= ids[:, None] != frame["nid"].to_numpy()[None]
-        return pd.DataFrame({"nid": ids, "truth": (hit @ frame["weight"].to_numpy(np.float64)).astype(np.int64)})
+        truth = np.zeros(len(ids), np.int64)
+        for frame in frames:
+            frame = frame[frame["unit"].map(len) == q.shape[1] * 8]
+            for at in range(0, len(frame), 2048):
+                part = frame.iloc[at : at + 2048]
+                hit = (q @ _matrix(part["unit"], np.float64).T) >= rule.threshold
+                truth += (hit & (ids[:, None] != part["nid"].to_numpy()[None])).sum(1)
+        yield pd.DataFrame({"nid": ids, "truth": truth})[truth > 0]
 
-    truth = map_batches(nodes.select("nid", "unit", "weight"), run, "nid long, truth long").groupBy("nid").agg(F.sum("truth").alias("truth")).where("truth > 0")
-    row = truth.join(links, "nid", "left").agg(F.sum("truth"), F.sum(F.least(F.col("truth"), F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    truth = nodes.select("nid", "unit").mapInPandas(run, "nid long, truth long").groupBy("nid").agg(F.sum("truth").alias("truth"))
+    found = F.least(F.lit(1.0), F.coalesce("near", F.lit(0)) / F.col("truth"))
+    row = truth.join(links, "nid", "left").agg(F.count(F.lit(1)), F.sum(found)).first()
+    shared.unpersist()
+    return row[0], row[1] or 0.0
 
 
 def near_duplicates(df: DataFrame, rule: Descent | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -293,19 +347,25 @@ def near_duplicates(df: DataFrame, rule: Descent | None = None, id_col: str = "v
     nodes = rows.where("twin is not null").groupBy("twin").agg(F.min("nid").alias("nid"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.min("id").alias("id"))
     nodes = staged(nodes.withColumn("comp", F.col("nid")), "nodes")
     count = nodes.count()
-    graph = None
+    graph, seed, recall = None, 0, 0.0
+    passes = math.ceil(tables_for(rule, bits_for(rule, count)) / rule.tables)
     for attempt in range(rule.attempts):
-        more = first_graph(nodes, rule, count, floor, attempt)
-        graph = more if graph is None else staged(_top(graph.unionAll(more), rule.k), "graph")
+        for seed in range(seed, passes << attempt):
+            more = first_graph(nodes, rule, count, floor, seed)
+            graph = more if graph is None else staged(_top(graph.unionAll(more), rule.k), "graph")
+        seed = passes << attempt
         for _ in range(rule.rounds):
             graph = refine(graph, nodes, rule, floor)
         named = staged(components(confirmed(graph, nodes, rule.threshold)), "named")
-        named = widened(graph, nodes, named, rule, count, floor, list(range(attempt + 1)))
+        named = widened(graph, nodes, named, rule, count, floor, list(range(seed)))
         links = staged(counted(nodes, named, rule), "links")
-        if audited(nodes, links, rule) >= rule.recall:
+        recall = audited(nodes, links, rule, count, attempt)
+        if recall >= rule.recall:
             break
+    else:
+        raise RuntimeError(f"recall of links {recall:.4f} is under {rule.recall} after {seed * rule.tables} tables")
     low = named.join(nodes.select(F.col("nid").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("name"))
-    tagged = nodes.select("nid", "twin", "weight", F.col("id").alias("own")).join(links, "nid", "left").join(named.withColumnRenamed("node", "nid"), "nid", "left").join(low, "component", "left")
+    tagged = nodes.select("nid", "twin", "weight", F.col("id").alias("own")).join(links.select("nid", "links"), "nid", "left").join(named.withColumnRenamed("node", "nid"), "nid", "left").join(low, "component", "left")
     tagged = tagged.select("twin", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("name", "own").alias("component"))
     out = rows.select("id", "twin").join(tagged, "twin", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))

@@ -273,6 +273,45 @@ def test_neighbours_across_saturated_lists(spark, tmp_path):
     assert {(r.n_links, r.component_id) for r in got} == {(79, 0)}
 
 
+def test_neighbours_tables_keep_up_with_the_rows():
+    rule = neighbours.Descent()
+    for count in (10**3, 10**5, 10**7, 10**9):
+        bits = neighbours.bits_for(rule, count)
+        alone = (1 - np.arccos(rule.threshold) / np.pi) ** bits
+        assert 1 - (1 - alone) ** neighbours.tables_for(rule, bits) >= rule.recall
+
+
+def test_neighbours_fail_under_the_recall_floor(spark, monkeypatch):
+    """One large group with every link must not hide 20 lost pairs."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(100, 16))
+    v[20:40] = v[:20] + 0.01 * rng.normal(size=(20, 16))
+    v[40:] = v[40] + 0.01 * rng.normal(size=(60, 16))
+    df = spark.createDataFrame([(int(i), [float(x) for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    near = neighbours.confirmed
+
+    def lossy(graph, nodes, threshold):
+        return near(graph, nodes, threshold).join(nodes.where("id >= 40").selectExpr("nid as a"), "a", "left_semi")
+
+    monkeypatch.setattr(neighbours, "confirmed", lossy)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(df, neighbours.Descent(attempts=1)).count()
+
+
+def test_neighbours_in_a_crowded_cell(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 24)) + 1.0
+    v[200:] = v[:100] + 0.2 * rng.normal(size=(100, 24))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    rule = neighbours.Descent(cell=300, most_cell=16, block=16, k=299, tables=1)
+    nodes = spark.createDataFrame([(int(i), int(i), e.tobytes()) for i, e in enumerate(u)], "nid long, comp long, unit binary")
+    got = {(r.u, r.v) for r in neighbours.first_graph(nodes, rule, 300, 0.9, 0).where("sim >= 0.9").collect()}
+    planes = np.random.default_rng([0, 24 * 8]).normal(size=(24, 1)).astype(np.float32)
+    side = (u.astype(np.float32) @ planes > 0)[:, 0]
+    a, b = np.nonzero((u @ u.T >= 0.9) & ~np.eye(300, dtype=bool) & (side[:, None] == side[None]))
+    assert len(a) > 50 and got == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_pieces_equal_the_library_and_round_trip(spark, folder, texts):
     import public_tokenizers
     import sentencepiece
