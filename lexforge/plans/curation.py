@@ -12,9 +12,9 @@ from lexforge.session import table
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation turns in the role of engine readings, with a confidence from a hash."""
+    """Conversation turns, whole, in the role of engine readings, with a confidence from a hash."""
     conf = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 13, F.lit(50)) / 100.0 + 0.5
-    return table(spark, d, "conversations").select("conv_id", F.col("role").alias("engine"), F.substring("text", 1, 60).alias("text"), conf.alias("confidence"), F.col("turn").alias("y"))
+    return table(spark, d, "conversations").select("conv_id", F.col("role").alias("engine"), "text", conf.alias("confidence"), F.col("turn").alias("y"))
 
 
 _READINGS = "(SELECT conv_id, role AS engine, substr(text, 1, 60) AS text, ((conv_id * 7 + turn * 13) % 50) / 100.0::DOUBLE + 0.5 AS confidence, turn AS y FROM conversations)"
