@@ -45,8 +45,7 @@ def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS r, regexp_replace(substr(replace(text, 'th', 't'), 1, 200), '[^ -~]', '', 'g') AS h FROM benchmark), c AS (SELECT item_id, CASE WHEN length(r) > 0 THEN levenshtein(r, h)::DOUBLE / length(r) WHEN length(h) = 0 THEN 0 ELSE 1 END AS cer FROM b)
 SELECT item_id, round(cer, 6) AS cer, CASE WHEN cer <= 0.02 THEN 'A+' WHEN cer <= 0.05 THEN 'A' WHEN cer < 0.1 THEN 'B' WHEN cer <= 0.2 THEN 'C' WHEN cer <= 0.4 THEN 'D' ELSE 'F' END AS grade FROM c""")
 def cer_grade(spark: SparkSession, d: str) -> DataFrame:
-    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    rows = table(spark, d, "benchmark").select("item_id", ascii_(F.substring("text", 1, 200)).alias("r"), ascii_(F.substring(F.replace(F.col("text"), F.lit("th"), F.lit("t")), 1, 200)).alias("h"))
+    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("r"), F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("h"))
     rate = M.cer(F.col("r"), F.col("h"))
     return rows.select("item_id", F.round(rate, 6).alias("cer"), M.grade(rate).alias("grade"))
 
@@ -54,8 +53,7 @@ def cer_grade(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS r, regexp_replace(substr(replace(text, 'th', 't'), 1, 200), '[^ -~]', '', 'g') AS h FROM benchmark)
 SELECT round(sum(levenshtein(r, h))::DOUBLE / sum(length(r)), 6) AS micro, round(avg(levenshtein(r, h)::DOUBLE / length(r)), 6) AS macro, round(avg((r = h)::INT), 6) AS exact, count(*) AS n FROM b WHERE length(r) > 0""")
 def corpus_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    rows = table(spark, d, "benchmark").select(ascii_(F.substring("text", 1, 200)).alias("r"), ascii_(F.substring(F.replace(F.col("text"), F.lit("th"), F.lit("t")), 1, 200)).alias("h")).where("char_length(r) > 0")
+    rows = table(spark, d, "benchmark").select(F.col("text").alias("r"), F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("h")).where("char_length(r) > 0")
     edits, n = F.levenshtein("r", "h"), F.char_length("r")
     return rows.agg(F.round(F.sum(edits) / F.sum(n), 6).alias("micro"), F.round(F.avg(edits / n), 6).alias("macro"), F.round(F.avg((F.col("r") == F.col("h")).cast("int")), 6).alias("exact"), F.count(F.lit(1)).alias("n"))
 

@@ -34,3 +34,24 @@ def test_fusions_of_whole_readings(spark, tmp_path):
                 votes[text.ljust(size, "\0")[i]] += weights[r.conv_id, t]
             out += min(votes, key=lambda ch: (-votes[ch], ch))
         assert r.fused == out.replace("\0", "")
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    texts = ["x" * 210 + " the other path", "\u00e9th\u00e9 na\u00efve", "\u65e5\u672c\u8a9e", "plain", "th" * 150, ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    n = [edits(t, t.replace("th", "t")) for t in texts]
+    got = {r.item_id: r for r in QUERIES["cer_grade"](spark, str(tmp_path)).collect()}
+    assert {i: r.cer for i, r in got.items()} == {i: round(k / len(t), 6) if t else 0 for i, (k, t) in enumerate(zip(n, texts, strict=True))}
+    assert [got[i].grade for i in range(6)] == ["A+", "C", "A+", "A+", "F", "A+"]
+    r = QUERIES["corpus_error_rate"](spark, str(tmp_path)).first()
+    rates = [k / len(t) for k, t in zip(n, texts, strict=True) if t]
+    assert (r.micro, r.macro, r.exact, r.n) == (round(sum(n) / sum(map(len, texts)), 6), round(sum(rates) / 5, 6), 0.4, 5)
