@@ -189,8 +189,8 @@ def entity_spans(spark: SparkSession, d: str) -> DataFrame:
 def fhir_bundle(spark: SparkSession, d: str) -> DataFrame:
     from lexforge.operators.export import fhir
 
-    docs = table(spark, d, "documents").where(~F.col("text").contains("/"))
-    return docs.select("doc_id", fhir(F.concat(F.lit("document "), F.col("doc_id").cast("string")), F.substring("text", 1, 40)).alias("bundle"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", fhir(F.concat(F.lit("document "), F.col("doc_id").cast("string")), F.col("text")).alias("bundle"))
 
 
 @query("""SELECT doc_id, 'MSH|^~\\&|LEXFORGE|||||ORU^R01|' || doc_id || '|P|2.5' || chr(13) || 'PID|1||' || doc_id || chr(13) || 'OBR|1|||' || source || chr(13) || 'NTE|1||' || substr(replace(text, chr(10), ' '), 1, 500) AS message FROM documents""")

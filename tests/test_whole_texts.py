@@ -1,5 +1,6 @@
 """Queries work on whole texts, not on prefixes or on some of the rows."""
 
+import json
 from collections import Counter, defaultdict
 
 from lexforge.operators.learn import vote_weight
@@ -55,3 +56,14 @@ def test_error_rates_of_whole_texts(spark, tmp_path):
     r = QUERIES["corpus_error_rate"](spark, str(tmp_path)).first()
     rates = [k / len(t) for k, t in zip(n, texts, strict=True) if t]
     assert (r.micro, r.macro, r.exact, r.n) == (round(sum(n) / sum(map(len, texts)), 6), round(sum(rates) / 5, 6), 0.4, 5)
+
+
+def test_bundles_of_all_documents(spark, tmp_path):
+    texts = ["y" * 90 + " end", "see https://example.org/a/b and /etc/hosts", 'quote " back \\ tab \t line \n bell \x07', "\u00e9 \u65e5 \U0001f600", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: json.loads(r.bundle) for r in QUERIES["fhir_bundle"](spark, str(tmp_path)).collect()}
+    section = lambda t: {} if t is None else {"text": t}
+    assert got == {
+        i: {"resourceType": "Bundle", "type": "document", "entry": [{"resource": {"resourceType": "Composition", "title": f"document {i}", "section": [section(t)]}}]}
+        for i, t in enumerate(texts)
+    }
