@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import atexit
-import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
-_STAGED: set[str] = set()
+_STAGED: dict[str, None] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only in local mode, where all tasks see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(shared_root, "own", None) or f"file://{tempfile.mkdtemp(prefix='lexforge-')}"
         shared_root.own = root
     return root.rstrip("/")
@@ -28,16 +33,32 @@ def shared_root(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written once as Parquet in the shared folder and read back; this cuts lineage.
 
-    Files stay until the application ends, since results may be read lazily.
+    Files stay until the application ends, since results may be read lazily, or until dropped().
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     if not _STAGED:
         atexit.register(_drop_staged)
-    _STAGED.add(path)
+    _STAGED[path] = None
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes staged tables that nothing reads any more; a round's table goes when the next is written."""
+    for table in tables:
+        path = getattr(table, "_staged_at", None)
+        if path in _STAGED:
+            _delete(table.sparkSession, path)
+            del _STAGED[path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_staged() -> None:
@@ -45,44 +66,77 @@ def _drop_staged() -> None:
     if spark is None:
         return
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _STAGED:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        for path in list(_STAGED):
+            _delete(spark, path)
     except Exception:  # noqa: BLE001  the session may already be gone at exit
         return
 
 
-def slices(frame: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """frame in row runs whose texts (column t, if any) hold about chars characters, one row at least."""
-    if "t" not in frame or not len(frame):
-        yield frame
+def slices(batch: pa.RecordBatch, bytes_: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """batch in row runs whose texts (column t, if any) hold about bytes_ bytes, one row at least."""
+    if "t" not in batch.schema.names or not batch.num_rows:
+        yield batch
         return
-    size = np.cumsum(frame["t"].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy(np.int64) + 1)
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
-    while at < len(frame):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chars, "right")))
-        yield frame.iloc[at:to].reset_index(drop=True)
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + bytes_, "right")))
+        yield batch.slice(at, to - at)
         at = to
 
 
-def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """df through fn, some texts at a time: an Arrow batch goes in slices, so memory is bounded."""
+def map_tasks(df: DataFrame, start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, carry: Sequence[str] = ()) -> DataFrame:
+    """df through the function that start makes once per task, some texts at a time.
+
+    An Arrow batch goes in slices, so memory is bounded. Columns of carry stay in Arrow beside what
+    the function makes of the others (and of t, if that is carried), which then gives one row per
+    row: a nullable long, a NaN or an old date passes unchanged, which it would not through pandas.
+    """
+    carry = list(carry)
+    made = StructType.fromDDL(schema)
+    shape = to_arrow_schema(made)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = start()
+        for batch in batches:
+            for piece in slices(batch):
+                if piece.num_rows:
+                    rest = [c for c in piece.schema.names if c not in carry or c == "t"]
+                    got = fn(piece.select(rest).to_pandas())
+                    arrays = [piece.column(c) for c in carry] + [pa.Array.from_pandas(got[f.name], type=f.type) for f in shape]
+                    yield pa.RecordBatch.from_arrays(arrays, [*carry, *shape.names])
+
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in carry), *made]))
+
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for piece in slices(frame):
-                if len(piece):
-                    yield fn(piece)
+def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, carry: Sequence[str] = ()) -> DataFrame:
+    """map_tasks with one function for all tasks."""
+    return map_tasks(df, lambda: fn, schema, carry)
 
-    return df.mapInPandas(run, schema)
 
+def span_text(spans: Column) -> Column:
+    """kind:start:end of array<struct<start,end,kind,...>>, comma-joined in the order given."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
-def span_digest(spans: list[tuple[int, int, str]], order: dict[str, int]) -> tuple[str, str]:
-    """(joined spans, sha256 of it) for (start, end, kind), by start and then kind as listed."""
-    spans = sorted(spans, key=lambda s: (s[0], order.get(s[2], len(order)), s[1]))
-    joined = ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
-    return joined, hashlib.sha256(joined.encode()).hexdigest()
+
+def running(sizes: DataFrame, size: str, group: int = 4096) -> DataFrame:
+    """(part, base): the sum of size over smaller parts, for rows (part, size) with one row per part.
+
+    Sums of groups of parts are summed in the same way, level by level, so no task orders more
+    than group rows however many parts there are.
+    """
+    parts = staged(sizes.select("part", F.col(size).alias("s"), F.floor(F.col("part") / group).alias("up")), "sums")
+    ups = staged(parts.groupBy("up").agg(F.sum("s").alias("s")), "sums")
+    if ups.count() > group:
+        above = running(ups.select(F.col("up").alias("part"), "s"), "s", group)
+        above = above.select(F.col("part").alias("up"), F.col("base").alias("ahead"))
+    else:  # at most group rows
+        rows = sorted((r["up"], r["s"]) for r in ups.collect())
+        ahead = np.concatenate([[0], np.cumsum([s for _, s in rows])]).astype(np.int64)
+        shape = StructType([StructField("up", LongType()), StructField("ahead", LongType())])
+        above = sizes.sparkSession.createDataFrame([(u, int(a)) for (u, _), a in zip(rows, ahead)], shape)
+    inside = Window.partitionBy("up").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("in", F.coalesce(F.sum("s").over(inside), F.lit(0))).join(above, "up").select("part", (F.col("in") + F.col("ahead")).alias("base"))
 
 
 def text_of(value: object) -> str:
@@ -140,7 +194,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours hang on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = staged(small.where("u <> v").distinct(), "edges")
+        last, e = e, staged(small.where("u <> v").distinct(), "edges")
+        dropped(last)
         now = e.agg(F.count(F.lit(1)), F.expr("sum(cast(u as decimal(38,0)))"), F.expr("sum(cast(v as decimal(38,0)))")).first()
         if tuple(now) == previous:
             leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

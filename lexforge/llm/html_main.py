@@ -382,16 +382,15 @@ def main_texts(sources: list[str], trees: BoostedTrees) -> list[str]:
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), trees: BoostedTrees | None = None) -> DataFrame:
     """keep columns, text and n_chars of every page."""
     shared = df.sparkSession.sparkContext.broadcast(trees or default_trees())  # bounded by rounds and depth
-    kinds = dict(df.dtypes)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         texts = []
         for at in range(0, len(frame), 64):
             texts += main_texts([text_of(t) for t in frame["t"].iloc[at : at + 64]], shared.value)
-        return frame.drop(columns="t").assign(text=texts, n_chars=[len(t) for t in texts])
+        return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
     columns = [*(df[c].alias(f"k{i}") for i, c in enumerate(keep)), df[html_col].alias("t")]
-    got = map_batches(df.select(*columns), run, ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "text string", "n_chars long"]))
+    got = map_batches(df.select(*columns), run, "text string, n_chars long", carry=[f"k{i}" for i in range(len(keep))])
     for i, c in enumerate(keep):
         got = got.withColumnRenamed(f"k{i}", c)
     return got

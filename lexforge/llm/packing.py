@@ -10,8 +10,10 @@ are laid end to end against the gaps laid end to end; what remains of them fills
 and, at the very end, powers of two, which need no padding.
 
 The driver holds the length histogram (at most capacity+1 rows), the patterns and a few sums.
-Ranks and prefix sums are two-level (within task output, then over tasks); nothing is ordered in
-one task. Repeated rows are documents of their own; columns other than id and text are not read.
+Ranks and prefix sums go level by level (within a task's output, then over groups of tasks), so no
+task orders more than one group. Ties of length go by task and row. Repeated rows are documents of
+their own; columns other than id and text are not read, and ids of any type, null included, come
+back as they were. A text of any length is one document.
 """
 
 from __future__ import annotations
@@ -25,9 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import slices, staged, text_of
-
-OUT = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+from lexforge.llm.common import map_batches, map_tasks, running, staged, text_of
 
 
 @dataclass(frozen=True)
@@ -115,32 +115,32 @@ def first_fit(left: np.ndarray) -> np.ndarray:
 
 
 def tokenized(df: DataFrame, id_col: str, text_col: str, unit: int, path: str | None = None) -> DataFrame:
-    """doc_id, part, at, cls, rk, n, crc, ids: rk ranks the rows of a unit length within their task."""
-    kind = dict(df.dtypes)[id_col]
+    """id, part, at, cls, rk, n, crc, ids: rk ranks the rows of a unit length within their task."""
     end = np.array([2], dtype="<u2").tobytes()
 
-    def run(frames):
+    def start():
         from lexforge.llm.wordbpe import WordBpe
 
         coder, part, at = WordBpe(path), TaskContext.get().partitionId(), 0
         ranks: dict[int, int] = {}
-        for frame in frames:
-            for piece in slices(frame):
-                ids = [b + end for b in coder.encode([text_of(t) for t in piece["t"]])]
-                rows = []
-                for b in ids:
-                    n = len(b) // 2
-                    cls = -(-n // unit)
-                    rk = ranks.get(cls, 0)
-                    ranks[cls] = rk + 1
-                    rows.append((part, at, cls, rk, n, zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes())))
-                    at += 1
-                out = pd.DataFrame(rows, columns=["part", "at", "cls", "rk", "n", "crc"])
-                out.insert(0, "id", piece["id"].to_numpy())
-                yield out.assign(ids=ids)
-
-    shape = f"id {kind}, part long, at long, cls long, rk long, n long, crc long, ids binary"
-    return df.select(df[id_col].alias("id"), df[text_col].alias("t")).mapInPandas(run, shape)
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            nonlocal at
+            rows = []
+            for b in coder.encode([text_of(t) for t in frame["t"]]):
+                b += end
+                n = len(b) // 2
+                cls = -(-n // unit)
+                rk = ranks.get(cls, 0)
+                ranks[cls] = rk + 1
+                rows.append((part, at, cls, rk, n, zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()), b))
+                at += 1
+            return pd.DataFrame(rows, columns=["part", "at", "cls", "rk", "n", "crc", "ids"])
+
+        return run
+
+    shape = "part long, at long, cls long, rk long, n long, crc long, ids binary"
+    return map_tasks(df.select(df[id_col].alias("id"), df[text_col].alias("t")), start, shape, carry=["id"])
 
 
 def _filler_threshold(hist: dict[int, int], sums: dict[int, int], capacity: int, unit: int) -> int:
@@ -154,15 +154,9 @@ def _filler_threshold(hist: dict[int, int], sums: dict[int, int], capacity: int,
     return threshold - threshold % unit
 
 
-def _offsets(counts: DataFrame, by: list[str], part: str, size: str) -> DataFrame:
-    """counts with base: the sum of size over smaller part within by."""
-    w = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("base", F.coalesce(F.sum(size).over(w), F.lit(0)))
-
-
 def pack(df: DataFrame, capacity: int = 4096, unit: int = 16, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence."""
-    kind, spark = dict(df.dtypes)[id_col], df.sparkSession
+    spark = df.sparkSession
     docs = staged(tokenized(df, id_col, text_col, unit, path), "tokens")
     rows = docs.groupBy(F.least("n", F.lit(capacity + 1)).alias("k")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).collect()
     hist, sums = {r["k"]: r["c"] for r in rows}, {r["k"]: r["s"] for r in rows}
@@ -177,7 +171,14 @@ def pack(df: DataFrame, capacity: int = 4096, unit: int = 16, id_col: str = "doc
 
     # ranked documents to slots: rank within the unit length -> pattern, sequence, slot
     small = docs.where(F.col("n") <= threshold).drop("ids")
-    bases = _offsets(small.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("c")), ["cls"], "part", "c").drop("c")
+    # a unit length and a task make one part; its base within the length is the running sum less the length's own start
+    counts = staged(small.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("c")), "counts")
+    tasks = counts.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
+    bases = running(counts.select((F.col("cls") * tasks + F.col("part")).alias("part"), "c"), "c")
+    bases = bases.select(F.floor(F.col("part") / tasks).alias("cls"), F.pmod("part", F.lit(tasks)).alias("part"), "base")
+    before = np.concatenate([[0], np.cumsum(demand)])[:-1]
+    ahead = spark.createDataFrame([(c + 1, int(b)) for c, b in enumerate(before)], "cls long, ahead long")  # one row per unit length
+    bases = bases.join(F.broadcast(ahead), "cls").select("cls", "part", (F.col("base") - F.col("ahead")).alias("base"))
     ranked = small.join(bases, ["cls", "part"]).withColumn("rank", F.col("rk") + F.col("base"))
     shared = spark.sparkContext.broadcast((plan.patterns, plan.counts, first))  # bounded by the unit lengths
 
@@ -205,7 +206,7 @@ def pack(df: DataFrame, capacity: int = 4096, unit: int = 16, id_col: str = "doc
         out = whole.unionAll(_cut_fillers(docs.where(F.col("n") > threshold), whole, capacity, n_patterned, total))
     else:
         out = whole
-    return out.select(F.col("id").cast(kind).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def _cut_fillers(long_docs: DataFrame, whole: DataFrame, capacity: int, n_patterned: int, total: int, cell: int = 32_768) -> DataFrame:
@@ -213,13 +214,13 @@ def _cut_fillers(long_docs: DataFrame, whole: DataFrame, capacity: int, n_patter
     group = 4096
     gaps = whole.groupBy("sequence_id").agg(F.sum("length").alias("used")).withColumn("gap", capacity - F.col("used")).where("gap > 0")
     gaps = gaps.withColumn("part", F.floor(F.col("sequence_id") / group))
-    gap_base = _offsets(gaps.groupBy("part").agg(F.sum("gap").alias("g")).withColumn("all", F.lit(0)), ["all"], "part", "g").select("part", "base")
+    gap_base = running(gaps.groupBy("part").agg(F.sum("gap").alias("g")), "g")
     inside = Window.partitionBy("part").orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)
     line = gaps.withColumn("at", F.coalesce(F.sum("gap").over(inside), F.lit(0))).join(gap_base, "part")
     line = staged(line.select("sequence_id", F.col("used").alias("offset"), (F.col("at") + F.col("base")).alias("x0"), (F.col("at") + F.col("base") + F.col("gap")).alias("x1")), "gaps")
     gap_total = line.agg(F.coalesce(F.max("x1"), F.lit(0))).first()[0]
 
-    doc_base = _offsets(long_docs.groupBy("part").agg(F.sum("n").alias("s")).withColumn("all", F.lit(0)), ["all"], "part", "s").select("part", "base")
+    doc_base = running(long_docs.groupBy("part").agg(F.sum("n").alias("s")), "s")
     ahead = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     keys = long_docs.select("part", "at", "n").withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(doc_base, "part")
     keys = keys.select("part", "at", "n", (F.col("before") + F.col("base")).alias("f0"), (F.col("before") + F.col("base") + F.col("n")).alias("f1"))
@@ -249,18 +250,17 @@ def _cut_fillers(long_docs: DataFrame, whole: DataFrame, capacity: int, n_patter
     own = own.select("part", "at", "f0", "lo", "hi", (F.col("q") + n_patterned).alias("sequence_id"), (F.col("lo") - g0 - F.col("q") * capacity).alias("offset"))
     cuts = filled.unionAll(own).groupBy("part", "at").agg(F.collect_list(F.struct((F.col("lo") - F.col("f0")).alias("start"), (F.col("hi") - F.col("lo")).alias("length"), "sequence_id", "offset")).alias("cuts"))
 
-    def cut(frames):
-        for frame in frames:
-            out = []
-            for id_, n, ids, pieces in zip(frame["id"], frame["n"], frame["ids"], frame["cuts"], strict=True):
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
-                for c in pieces:
-                    s, z = int(c["start"]), int(c["length"])
-                    out.append((id_, s, z, zlib.crc32(wide[s : s + z].tobytes()), n, int(c["sequence_id"]), int(c["offset"])))
-            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"id": frame["id"].dtype})
-
-    shape = f"id {dict(long_docs.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return long_docs.select("part", "at", "id", "n", "ids").join(cuts, ["part", "at"]).select("id", "n", "ids", "cuts").mapInPandas(cut, shape)
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for ids, pieces in zip(frame["ids"], frame["cuts"], strict=True):
+            wide = np.frombuffer(ids, "<u2").astype("<u4")
+            out.append([{**c, "ids_crc32": zlib.crc32(wide[c["start"] : c["start"] + c["length"]].tobytes())} for c in pieces])
+        return pd.DataFrame({"pieces": out})
+
+    shape = "pieces array<struct<start:long,length:long,ids_crc32:long,sequence_id:long,offset:long>>"
+    got = map_batches(long_docs.select("part", "at", "id", "n", "ids").join(cuts, ["part", "at"]).select("id", "n", "ids", "cuts"), cut, shape, carry=["id", "n"])
+    got = got.select("id", "n", F.explode("pieces").alias("x"))
+    return got.select("id", "x.start", "x.length", "x.ids_crc32", F.col("n").alias("doc_tokens"), "x.sequence_id", "x.offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Words are runs of characters other than space and tab to carriage return. Null and empty texts
 have zero in every statistic and fail the base rule. The trees learn labels.quality from a bounded
 sample; with no labels, or one class only, every text that passes the base rule is kept.
-Repeated rows are judged alike; other columns are not looked at.
+Repeated rows are judged alike; a labelled id that repeats is learned from once, by the greatest of
+its feature rows, and by the better of its labels; other columns are not looked at, and ids of any
+type, null included, come back as they were. A text is one row of statistics whatever its length.
 """
 
 from __future__ import annotations
@@ -127,15 +129,8 @@ def statistics(texts: pd.Series) -> pd.DataFrame:
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts and features array of every row's whole text."""
-    kind = dict(df.dtypes)[id_col]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = statistics(frame["t"])
-        out.insert(0, "id", frame["id"].to_numpy())
-        return out
-
     columns = ", ".join(f"{c} long" for c in _COLUMNS)
-    got = map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), run, f"id {kind}, {columns}, features array<double>")
+    got = map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), lambda frame: statistics(frame["t"]), f"{columns}, features array<double>", carry=["id"])
     return got.withColumnRenamed("id", id_col)
 
 
@@ -148,7 +143,9 @@ def train(stats: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Boo
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    got = stats.select("doc_id", "features").join(F.broadcast(picked), "doc_id").select("y", "features").limit(2 * sample_rows).toPandas()
+    sample = stats.select("doc_id", "features").join(F.broadcast(picked), "doc_id")  # bounded by sample_rows
+    # an id that repeats counts once, with the greatest of its rows, so ids bound what is collected
+    got = sample.groupBy("doc_id").agg(F.max("features").alias("features"), F.max("y").alias("y")).orderBy("doc_id").select("y", "features").toPandas()
     x = np.array(got["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return BoostedTrees(monotone=MONOTONE).fit(x, got["y"].to_numpy(float))
 
