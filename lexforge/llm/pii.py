@@ -2,8 +2,17 @@
 
 Round by round: seed entities induce lexical patterns from the words around them; Spark scores the
 graph of patterns and instances; patterns of high confidence name identifiers that no fixed shape
-matches. Null text counts as empty and gives no spans; repeated rows give repeated results. No text
-is shuffled: what leaves a task are (pattern, instance) counts, summed before they are dealt out.
+matches. Null text counts as empty and gives no spans; repeated rows give repeated results (and
+count as often, as texts that quote each other do); other columns are not read unless they are to
+be kept, whatever their names; ids of any type, null included, come back as they were. Spans of one
+start are ordered by kind as listed; of several patterns at one identifier the first of
+patterns_at decides; a pattern that scores alike for two kinds takes the later name.
+
+Context is looked for within LEFT characters before and RIGHT after; a word that reaches beyond
+makes no pattern. Every step over a text is linear in it. No text is shuffled: what leaves a task
+are (pattern, instance) counts, summed before they are dealt out. Which patterns are counted or
+looked up goes to the tasks as a filter of at most 2**FILTER_BITS bits, which lets through all that
+are wanted and few others; a join by pattern then decides.
 """
 
 from __future__ import annotations
@@ -12,12 +21,14 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import map_batches, staged, text_of
-from lexforge.llm.secrets import digest_rows
+from lexforge.llm.secrets import SPANS, digest_rows, merged
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = {k: i for i, k in enumerate((*BASE, *(f"context_{k}" for k in BASE)))}
@@ -27,7 +38,9 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IDENTIFIER = re.compile(r"[A-Za-z0-9._%+@/#-]*[0-9@][A-Za-z0-9._%+@/#-]*")
+RUN = re.compile(r"[A-Za-z0-9._%+@/#-]+")
+TELLING = re.compile(r"[0-9@]")
+LEFT, RIGHT, FILTER_BITS = 80, 48, 27
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = str.maketrans("123456789", "000000000")
 
@@ -40,7 +53,7 @@ class Bootstrap:
     least_seeds: int = 3
     accept: float = 0.6
     prior: float = 1.0
-    batch_patterns: int = 100_000  # patterns in one broadcast; more go in several passes
+    most_broadcast: int = 100_000  # accepted patterns that go to the tasks as a table; more are joined
 
 
 def luhn(digits: str) -> bool:
@@ -72,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(s, e, "email") for s, e in emails(text)]
     for m in IP.finditer(text):
         parts = m.group().split(".")
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in parts):
             found.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -94,8 +107,13 @@ def word(token: str) -> str:
 
 def patterns_at(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around [start, end): two words before; one before and one after; a label."""
-    left = [word(t) for t in text[max(0, start - 80) : start].split()[-2:]]
-    right = [word(t) for t in text[end : end + 48].split()[:1]]
+    low, high = max(0, start - LEFT), min(len(text), end + RIGHT)
+    left, right = text[low:start].split(), text[end:high].split()
+    if left and low and not text[low].isspace() and not text[low - 1].isspace():
+        left = left[1:]
+    if right and high < len(text) and not text[high - 1].isspace() and not text[high].isspace():
+        right.pop()
+    left, right = [word(t) for t in left[-2:]], [word(t) for t in right[:1]]
     out = []
     if len(left) == 2:
         out.append(f"{left[0]} {left[1]} _")
@@ -107,15 +125,19 @@ def patterns_at(text: str, start: int, end: int) -> list[str]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Identifier-shaped runs outside the base spans."""
-    out = []
-    for m in IDENTIFIER.finditer(text):
+    """Identifier-shaped runs outside the base spans, found in one walk along both."""
+    out, at, taken = [], 0, merged(base)
+    for m in RUN.finditer(text):
         start, end = m.start(), m.end()
-        while end > start and text[end - 1] in ".-/%+#":
+        if end - start < 5 or not TELLING.search(text, start, end):
+            continue
+        while text[end - 1] in ".-/%+#":
             end -= 1
-        while start < end and text[start] in ".-/%":
+        while text[start] in ".-/%":
             start += 1
-        if end - start >= 5 and not any(s < end and start < e for s, e, _ in base):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if end - start >= 5 and (at == len(taken) or taken[at][0] >= end):
             out.append((start, end))
     return out
 
@@ -139,40 +161,59 @@ def edges(df: DataFrame, text_col: str = "text") -> DataFrame:
     return got.groupBy("pattern", "inst", "kind").agg(F.sum("n").alias("n"))
 
 
-def _chunks(patterns: DataFrame, size: int):
-    """The patterns of a frame in hash classes of about size, each small enough to broadcast."""
-    count = patterns.count()
-    parts = -(-count // size) if count else 0
-    for k in range(parts):
-        yield [tuple(r) for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k).collect()]
+def hashed(value: str) -> int:
+    """Spark's xxhash64 of a string."""
+    return xxhash.xxh64_intdigest(value, 42)
 
 
-def occurrences(df: DataFrame, patterns: DataFrame, text_col: str, size: int) -> DataFrame:
-    """(pattern, total): how often each pattern's words stand around any single token, in all texts."""
-    out = None
-    for chunk in _chunks(patterns.select("pattern"), size):
-        known = df.sparkSession.sparkContext.broadcast(frozenset(p for (p,) in chunk))
-
-        def run(frame: pd.DataFrame, known=known) -> pd.DataFrame:
-            wanted, seen, norm = known.value, Counter(), {}
-            lefts = {p.split(" ", 1)[0] for p in wanted}
-            for value in frame["t"]:
-                raw = text_of(value).split()
-                toks = [norm[t] if t in norm else norm.setdefault(t, word(t)) for t in raw]
-                for j, a in enumerate(toks):
-                    if a not in lefts:
-                        continue
-                    for p in (f"{a} {toks[j + 1]} _" if j + 1 < len(toks) else "", f"{a} _ {toks[j + 2]}" if j + 2 < len(toks) else "", f"{a} _"):
-                        if p in wanted:
-                            seen[p] += 1
-            return pd.DataFrame(list(seen.items()), columns=["pattern", "n"])
-
-        got = map_batches(df.select(df[text_col].alias("t")), run, "pattern string, n long")
-        got = staged(got.groupBy("pattern").agg(F.sum("n").alias("total")), "pii-totals")
-        out = got if out is None else out.unionAll(got)
+def bit_filter(words: DataFrame, column: Column, count: int) -> np.ndarray:
+    """Bits of the hashes of column: 64 for each of count words, at most 2**FILTER_BITS (16 MB)."""
+    bits = min(FILTER_BITS, max(15, (64 * max(count, 1)).bit_length()))
+    at = F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1))
+    cells = words.groupBy(F.floor(at / 32768).alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits"))
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in cells.collect():  # at most 2**(FILTER_BITS - 15) rows of 4 kB
+        out[r["cell"] * 4096 : (r["cell"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def lets(bits: np.ndarray, value: str) -> bool:
+    """Whether bit_filter may hold value; always if it does."""
+    at = hashed(value) & (8 * len(bits) - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def occurrences(df: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
+    """(pattern, total): how often each pattern's words stand around any single token, in all texts."""
+    count = patterns.count()
+    shared = df.sparkSession.sparkContext.broadcast(  # two filters of bounded size
+        (bit_filter(patterns, F.col("pattern"), count), bit_filter(patterns, F.substring_index("pattern", " ", 1), count))
+    )
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        wanted, lefts = shared.value
+        seen, norm = Counter(), {}
+        for value in frame["t"]:
+            toks = text_of(value).split()
+            for t in set(toks).difference(norm):
+                w = word(t)
+                norm[t] = w, lets(lefts, w)
+            toks = [norm[t] for t in toks]
+            for j in [j for j, t in enumerate(toks) if t[1]]:
+                a = toks[j][0]
+                seen[f"{a} _"] += 1
+                if j + 1 < len(toks):
+                    seen[f"{a} {toks[j + 1][0]} _"] += 1
+                if j + 2 < len(toks):
+                    seen[f"{a} _ {toks[j + 2][0]}"] += 1
+        found = [(p, n) for p, n in seen.items() if lets(wanted, p)]
+        return pd.DataFrame(found, columns=["pattern", "n"])
+
+    got = map_batches(df.select(df[text_col].alias("t")), run, "pattern string, n long")
+    got = got.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
+    return staged(got, "pii-totals")
+
+
 def induce(df: DataFrame, text_col: str = "text", rule: Bootstrap | None = None) -> DataFrame:
     """(pattern, kind, score) of the accepted patterns.
 
@@ -189,10 +230,7 @@ def induce(df: DataFrame, text_col: str = "text", rule: Bootstrap | None = None)
         .where(F.col("seeds") >= rule.least_seeds)
     )
     support = staged(support, "pii-support")
-    totals = occurrences(df, support.select("pattern").distinct(), text_col, rule.batch_patterns)
-    empty = support.select("pattern", "kind", F.lit(0.0).alias("score")).limit(0)
-    if totals is None:
-        return empty
+    totals = occurrences(df, support.select("pattern").distinct(), text_col)
     own = graph.groupBy("pattern").agg(F.sum("n").alias("own"))
     base = support.join(totals, "pattern", "left").join(own, "pattern")
     base = base.select("pattern", "kind", "seeds", "weight", "own", F.greatest(F.coalesce("total", F.lit(0)), "own").alias("total"))
@@ -215,42 +253,66 @@ def induce(df: DataFrame, text_col: str = "text", rule: Bootstrap | None = None)
             "pii-scores",
         )
     best = scored.where(F.col("score") >= rule.accept).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
-    return best
+    return staged(best, "pii-accepted")
 
 
-def find(df: DataFrame, accepted: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Bootstrap | None = None, keep: list[str] | None = None) -> DataFrame:
-    """id (and the columns of keep), spans array<struct<start,end,kind,base>> of every whole text.
+def spans_of(text: str, kind_of) -> list[dict]:
+    """Base spans and, where kind_of(text, start, end) names a kind, context spans of one text."""
+    base = base_spans(text)
+    spans = [(s, e, k, True) for s, e, k in base]
+    if kind_of:
+        for s, e in candidates(text, base):
+            if kind := kind_of(text, s, e):
+                spans.append((s, e, f"context_{kind}", False))
+    spans.sort(key=lambda x: (x[0], KINDS[x[2]], x[1]))
+    return [{"start": s, "end": e, "kind": k, "base": b} for s, e, k, b in spans]
 
-    Accepted patterns are broadcast in bounded batches; each batch adds its spans in turn.
-    """
-    rule = rule or Bootstrap()
-    keep = keep or []
-    kind_of = dict(df.dtypes)
-    rest = "".join(f", `k{i}` {kind_of[c]}" for i, c in enumerate(keep))
-    chunks = list(_chunks(accepted.select("pattern", "kind"), rule.batch_patterns)) or [[]]
-    shared = [df.sparkSession.sparkContext.broadcast(dict(c)) for c in chunks]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+def find(df: DataFrame, accepted: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Bootstrap | None = None) -> DataFrame:
+    """id, spans array<struct<start,end,kind,base>> of every whole text."""
+    texts = df.select(df[id_col].alias("id"), df[text_col].alias("t"))
+    got = _mapped(texts, accepted, rule or Bootstrap(), lambda text, spans: spans, f"spans {SPANS}", ["id"])
+    return got.withColumnRenamed("id", id_col)
+
+
+def _mapped(texts: DataFrame, accepted: DataFrame, rule: Bootstrap, make, schema: str, carry: list[str]) -> DataFrame:
+    """The columns of carry and what make(text, spans) gives for column t."""
+    name = schema.split()[0]
+    count = accepted.count()
+    if count <= rule.most_broadcast:
+        shared = texts.sparkSession.sparkContext.broadcast({r["pattern"]: r["kind"] for r in accepted.select("pattern", "kind").collect()})
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            known = shared.value
+            kind_of = (lambda text, s, e: next((known[p] for p in patterns_at(text, s, e) if p in known), None)) if known else None
+            return pd.DataFrame({name: [make(t, spans_of(text_of(t), kind_of)) for t in frame["t"]]}, dtype=object)
+
+        return map_batches(texts, run, schema, carry)
+
+    # too many to hold: what a filter lets through of each text's patterns meets the accepted ones by a join
+    rows = staged(texts.withColumn("row", F.monotonically_increasing_id()), "pii-texts")
+    bits = texts.sparkSession.sparkContext.broadcast(bit_filter(accepted, F.col("pattern"), count))  # bounded
+
+    def hits(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for value in frame["t"]:
-            text = text_of(value)
-            base = base_spans(text)
-            spans = [(s, e, k, True) for s, e, k in base]
-            if any(b.value for b in shared):
-                for s, e in candidates(text, base):
-                    kind = next((b.value[p] for p in patterns_at(text, s, e) for b in shared if p in b.value), None)
-                    if kind:
-                        spans.append((s, e, f"context_{kind}", False))
-            spans.sort(key=lambda x: (x[0], KINDS[x[2]], x[1]))
-            out.append([{"start": s, "end": e, "kind": k, "base": b} for s, e, k, b in spans])
-        return frame.drop(columns="t").assign(spans=out)
-
-    columns = [df[id_col].alias("id"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep)), df[text_col].alias("t")]
-    schema = f"id {kind_of[id_col]}{rest}, spans array<struct<start:long,end:long,kind:string,base:boolean>>"
-    got = map_batches(df.select(*columns), run, schema).withColumnRenamed("id", id_col)
-    for i, c in enumerate(keep):
-        got = got.withColumnRenamed(f"k{i}", c)
-    return got
+        for text in map(text_of, frame["t"]):
+            found = [(s, i, p) for s, e in candidates(text, base_spans(text)) for i, p in enumerate(patterns_at(text, s, e)) if lets(bits.value, p)]
+            out.append([{"start": s, "i": i, "pattern": p} for s, i, p in found])
+        return pd.DataFrame({"hits": out})
+
+    asked = map_batches(rows.select("row", "t"), hits, "hits array<struct<start:long,i:int,pattern:string>>", ["row"])
+    asked = asked.select("row", F.explode("hits").alias("h")).select("row", "h.start", "h.i", "h.pattern")
+    kinds = asked.join(accepted.select("pattern", "kind"), "pattern").groupBy("row", "start").agg(F.min_by("kind", "i").alias("kind"))
+    kinds = kinds.groupBy("row").agg(F.collect_list(F.struct("start", "kind")).alias("kinds"))  # of one text
+
+    def named(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t, kinds in zip(frame["t"], frame["kinds"], strict=True):
+            at = {k["start"]: k["kind"] for k in kinds} if kinds is not None else {}
+            out.append(make(t, spans_of(text_of(t), (lambda text, s, e, at=at: at.get(s)) if at else None)))
+        return pd.DataFrame({name: out}, dtype=object)
+
+    return map_batches(rows.join(kinds, "row", "left").select(*carry, "t", "kinds"), named, schema, carry)
 
 
 def redact_text(text: str, spans) -> str:
@@ -266,20 +328,20 @@ def redact_text(text: str, spans) -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: personal data of every whole text of documents, with the digest of the fixed shapes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digest_rows(find(docs, induce(docs)), "doc_id", KINDS, BASE)
+    return digest_rows(find(docs, induce(docs)), "doc_id", BASE)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: docs with personal data replaced by the name of its kind, n_chars renewed."""
-    found = induce(docs)
-    others = [c for c in docs.columns if c != "doc_id"]
-    got = find(docs, found, keep=others)
-
-    @F.pandas_udf("string")
-    def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if not isinstance(t, str) else redact_text(t, s) for t, s in zip(texts, spans, strict=True)], index=texts.index)
+    """Pipeline stage: docs with personal data replaced by the name of its kind, n_chars renewed.
 
-    got = got.withColumn("text", redacted("text", "spans"))
+    Every row stays, repeated ones too; null texts stay null, texts without finds as they were; of
+    overlapping spans the first names the whole stretch.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    given = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(others)), docs["text"].alias("t"))
+    replaced = lambda text, spans: redact_text(text, spans) if isinstance(text, str) else None
+    got = _mapped(given, induce(docs), Bootstrap(), replaced, "redacted string", [f"k{i}" for i in range(len(others))])
+    got = got.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(others)), F.col("redacted").alias("text"))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return got.select(docs.columns)
