@@ -3,19 +3,26 @@
 A byte goes if it lies in a length-byte string that starts anywhere else too, in the same text or
 another; overlaps count, and strings are judged on the input. Null text counts as empty; texts
 shorter than length keep everything; repeated rows are copies and lose everything from length bytes
-on. Other columns pass by.
+on. Other columns pass by unchanged, whatever their names and types, null ids too. Ties of a hash go
+to the leftmost gram; which of several equal strings is looked at makes no difference to the result.
 
 Plan. Every window of length bytes picks an anchor: the leftmost gram of least hash in it. Equal
 windows pick equal grams at equal offsets, and the windows of one anchor start in one run, so a
-text is described by one row per anchor: gram hash, offsets, hash of all bytes its windows span.
-1. Counts by gram hash (summed before they are dealt) leave the grams seen twice or more.
+text is described by one row per anchor: gram hash, place and offsets, and a 128-bit digest
+(BLAKE2b) of all bytes its windows span with the offsets. Texts are named by row numbers, which meet
+the rows again by SHA-256. So nothing is removed on a short hash: bytes are equal by a cryptographic
+digest or by comparison.
+1. Counts by gram hash (summed before they are dealt out) leave the grams seen twice or more.
 2. Anchors whose whole span is seen again are repeats as they stand, however many copies there are.
 3. For the others, one block per gram of the distinct spans is suffix-sorted: a mergesort whose
    comparisons find the common extension of two suffixes by binary search over prefix polynomial
    hashes. Neighbours in the order are verified byte by byte. Windows at offset o are equal when
    both extensions reach their ends, so classes by common extension to the right and to the left
    give all repeats without comparing pairs.
-4. Blocks of more than block_rows distinct spans are dealt out by window hash instead of by gram.
+4. Blocks of more than block_rows distinct spans are cut by a second anchor: the windows of a band
+   of offsets share the bytes in the middle, so a span becomes one span per band, named by the
+   gram, the band and the digest of those bytes, and goes through 2 and 3 again; bands of one window
+   end it, since all spans of a block are then equal. Only digests seen twice go on.
 Nothing is capped; what a task holds is bounded by block_rows and by single texts.
 """
 
@@ -25,13 +32,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import map_batches, mix64, staged, text_of
+from lexforge.llm.common import dropped, map_batches, map_tasks, mix64, staged, text_of
 
 GRAM = 32
+BANDS = (16, 1)
 _POS = 24
 _BASE = 0x9E3779B97F4A7C55
 _CHUNK = 500_000
@@ -80,11 +88,12 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(docs: list[bytes], length: int) -> pd.DataFrame:
-    """doc, p, a, b, g, cls: anchor p of document doc owns the windows that start in [a, b]."""
-    data = np.frombuffer(b"".join(docs), dtype=np.uint8)
+    """doc, p, a, b, g, c1, c2: anchor p of document doc owns the windows that start in [a, b]."""
+    whole = b"".join(docs)
+    data = np.frombuffer(whole, dtype=np.uint8)
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     if len(data) < length:
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc", "p", "a", "b", "g", "cls")})
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc", "p", "a", "b", "g", "c1", "c2")})
     hashes = PrefixHash(data)
     grams = mix64(hashes.of(np.arange(len(data) - GRAM + 1), GRAM))
     low = np.uint64((1 << _POS) - 1)
@@ -99,17 +108,26 @@ def anchors_of(docs: list[bytes], length: int) -> pd.DataFrame:
     at = np.flatnonzero(new)
     a, b = starts[at], starts[np.concatenate([at[1:], [len(starts)]]) - 1] if len(at) else starts[:0]
     p, doc = pick[at], doc_of[a]
-    span = hashes.of(a, b + length - a)
-    cls = mix64(span ^ ((p - a).astype(np.uint64) << np.uint64(32)) ^ (b - a).astype(np.uint64), 3)
+    names = digests([whole[x:y] for x, y in zip(a.tolist(), (b + length).tolist(), strict=True)], p - a, b - a)
     f = first[doc]
-    return pd.DataFrame({"doc": doc, "p": p - f, "a": a - f, "b": b - f, "g": grams[p].view(np.int64), "cls": cls.view(np.int64)})
+    return pd.DataFrame({"doc": doc, "p": p - f, "a": a - f, "b": b - f, "g": grams[p].view(np.int64), "c1": names[:, 0], "c2": names[:, 1]})
+
+
+def digests(spans: list[bytes], *marks: np.ndarray) -> np.ndarray:
+    """Two longs for each span: a 128-bit BLAKE2b of its bytes, parted by marks, which are below 2**16."""
+    salt = np.zeros((len(spans), 8), dtype="<u2")
+    for i, m in enumerate(marks):
+        salt[:, i] = m
+    salts, make = salt.tobytes(), hashlib.blake2b
+    got = b"".join([make(x, digest_size=16, salt=salts[16 * i : 16 * i + 16]).digest() for i, x in enumerate(spans)])
+    return np.frombuffer(got, "<i8").reshape(-1, 2)
 
 
 def _pieces(texts, length: int):
     """Batches of (row, offset, bytes) of about _CHUNK bytes; longer texts overlap by length-1."""
     held, size = [], 0
     for row, text in enumerate(texts):
-        data = text_of(text).encode("utf-8", "surrogatepass")
+        data = text_of(text).encode()
         for at in range(0, max(len(data) - length + 1, 0), _CHUNK):
             piece = data[at : at + _CHUNK + length - 1]
             if size and size + len(piece) > _CHUNK:
@@ -121,18 +139,22 @@ def _pieces(texts, length: int):
         yield held
 
 
-def _anchor_rows(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+def placed(p, back, more):
+    """One long for an anchor's place, how far its first window starts before it, and its last after that."""
+    return p * 65536 + back * 256 + more
+
+
+def _anchor_rows(texts, rows: np.ndarray, length: int) -> pd.DataFrame:
+    """g, c1, c2, row, at of the anchors of texts; rows are their numbers."""
     out = []
-    keys = frame["key"].to_numpy()
-    for held in _pieces(frame["t"], length):
+    for held in _pieces(texts, length):
         got = anchors_of([x[2] for x in held], length)
         row, at = np.array([x[0] for x in held]), np.array([x[1] for x in held])
         doc = got.pop("doc").to_numpy()
-        for c in ("p", "a", "b"):
-            got[c] += at[doc]
-        got["key"] = keys[row[doc]]
-        out.append(got)
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("p", "a", "b", "g", "cls", "key")})
+        got["at"] = placed(got.p + at[doc], got.p - got.a, got.b - got.a)
+        got["row"] = rows[row[doc]]
+        out.append(got[["g", "c1", "c2", "row", "at"]])
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.zeros(0, np.int64) for k in ("g", "c1", "c2", "row", "at")})
 
 
 def common_extension(hashes: PrefixHash, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -228,13 +250,13 @@ def _by_bytes(data, start, size, group) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Runs (key, a, b) of repeated window starts among single spans of frame, whole blocks of g.
+    """Runs (row, a, b) of repeated window starts among single spans of frame, whole blocks of g.
 
-    frame: g, cls, n (times the span occurs), key, p, a, b, span (the bytes from a on).
+    frame: g, c1, c2, n (times the span occurs), row, at, span (the bytes from its first window on).
     """
-    frame = frame.drop_duplicates(["g", "cls"]).sort_values(["g", "cls"], kind="stable", ignore_index=True)
+    frame = frame.drop_duplicates(["g", "c1", "c2"]).sort_values(["g", "c1", "c2"], kind="stable", ignore_index=True)
     group = pd.factorize(frame["g"])[0].astype(np.int64)
-    p, a, b = (frame[c].to_numpy(np.int64) for c in ("p", "a", "b"))
+    p, a, b = _unplaced(frame["at"].to_numpy(np.int64))
     spans = frame["span"].tolist()
     n = len(frame)
     cut, total = p - a, b - a + length
@@ -264,7 +286,14 @@ def block_repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, first = np.nonzero(edge == 1)
     _, after = np.nonzero(edge == -1)
-    return pd.DataFrame({"key": frame["key"].to_numpy()[row], "a": p[row] - (after - 1), "b": p[row] - first})
+    return pd.DataFrame({"row": frame["row"].to_numpy()[row], "a": p[row] - (after - 1), "b": p[row] - first})
+
+
+def _unplaced(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p, a, b of placed()."""
+    p = at >> 16
+    a = p - (at >> 8 & 255)
+    return p, a, a + (at & 255)
 
 
 def _blocks(frames, length: int, rows: int = 5_000):
@@ -281,65 +310,129 @@ def _blocks(frames, length: int, rows: int = 5_000):
         yield block_repeats(held, length)
 
 
-def _windows(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """One row per window of each span: g, o, its 128-bit hash, and what names the span."""
-    parts = []
-    for r in frame.itertuples(index=False):
-        o = [r.p - s for s in range(r.a, r.b + 1)]
-        h = [xxhash.xxh128_digest(r.span[s - r.a : s - r.a + length]) for s in range(r.a, r.b + 1)]
-        parts.append(pd.DataFrame({"g": r.g, "o": o, "h": h, "n": r.n, "key": r.key, "s": range(r.a, r.b + 1)}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def repeats(df: DataFrame, text_col: str = "text", length: int = 200, block_rows: int = 32_768) -> DataFrame:
-    """(key, runs array<struct<a,b>>): runs of repeated window starts by text, key = xxhash64(text)."""
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
-    spark = df.sparkSession
-    keyed = df.select(F.xxhash64(F.coalesce(df[text_col], F.lit(""))).alias("key"), F.coalesce(df[text_col], F.lit("")).alias("t"))
-    rows = map_batches(keyed, lambda f: _anchor_rows(f, length), "p long, a long, b long, g long, cls long, key long")
-    rows = staged(rows.select("g", "cls", "key", *(F.col(c).cast("int").alias(c) for c in ("p", "a", "b"))), "anchors")
-    again = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("n > 1")
+def banded(frame: pd.DataFrame, length: int, width: int) -> pd.DataFrame:
+    """One span per band of width offsets of each span, its block named by the bytes that the band's windows share."""
+    out = []
+    p, a, b = _unplaced(frame["at"].to_numpy(np.int64))
+    for i, (g, n, row, span) in enumerate(zip(frame["g"], frame["n"], frame["row"], frame["span"], strict=True)):
+        for band in range((p[i] - b[i]) // width, (p[i] - a[i]) // width + 1):
+            lo, hi = max(a[i], p[i] - (band + 1) * width + 1), min(b[i], p[i] - band * width)
+            middle = span[p[i] - band * width - a[i] : p[i] - (band + 1) * width + 1 + length - a[i]]
+            out.append((g, band, middle, n, row, placed(p[i], p[i] - lo, hi - lo), span[lo - a[i] : hi + length - a[i]], p[i] - lo, hi - lo))
+    got = pd.DataFrame(out, columns=["g", "band", "middle", "n", "row", "at", "span", "back", "more"])
+    core = digests(got.pop("middle").tolist(), got["band"].to_numpy(np.int64)) if out else np.zeros((0, 2), np.int64)
+    own = digests(got["span"].tolist(), got.pop("back").to_numpy(np.int64), got.pop("more").to_numpy(np.int64)) if out else core
+    got["g"] = mix64(got["g"].to_numpy(np.int64).view(np.uint64) ^ core[:, 0].view(np.uint64), width).view(np.int64) if out else got["g"]
+    got["c1"], got["c2"] = own[:, 0], own[:, 1]
+    return got[["g", "c1", "c2", "n", "row", "at", "span"]]
+
+
+NAME = ["g", "c1", "c2"]
+
+
+def _first() -> Column:
+    return F.struct("row", "at")
+
+
+def settled(held: DataFrame, length: int, block_rows: int, bands: tuple[int, ...]) -> DataFrame:
+    """(row, a, b): repeats among the spans of held (g, c1, c2, n, m, row, at, span), m per block."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = (
+        held.where(F.col("m") <= block_rows)
+        .drop("m")
+        .repartition(parts, "g")
+        .sortWithinPartitions("g")
+        .mapInPandas(lambda frames: _blocks(frames, length), "row long, a long, b long")
+    )
+    hot = held.where(F.col("m") > block_rows)
+    if not bands or hot.isEmpty():  # spans of one window each are all equal in their block, so none is left
+        return out
+    shape = "g long, c1 long, c2 long, n long, row long, at long, span binary"
+    cut = staged(map_batches(hot.dropDuplicates(NAME).drop("m"), lambda f: banded(f, length, bands[0]), shape), "bands")
+    spans = staged(cut.groupBy(*NAME).agg(F.sum("n").alias("n"), F.min(_first()).alias("one")), "band-spans")
+    copied = cut.where("n = 1").join(spans.where("n > 1").select(*NAME), NAME, "left_semi").select("row", *_run(F.col("at")))
+    sizes = staged(spans.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 and m > 1").select("g", "m"), "band-sizes")
+    wanted = spans.join(sizes, "g").select(*NAME, F.col("n").alias("t"), "m", "one.row", "one.at")
+    rest = cut.join(wanted, [*NAME, "row", "at"]).select(*NAME, F.col("t").alias("n"), "m", "row", "at", "span")
+    return out.unionAll(copied).unionAll(settled(staged(rest, "band-blocks"), length, block_rows, bands[1:]))
+
+
+def _run(at: Column) -> list[Column]:
+    """First and last window start of placed()."""
+    a = F.shiftright(at, 16) - F.shiftright(at, 8).bitwiseAND(F.lit(255))
+    return [a.alias("a"), (a + at.bitwiseAND(F.lit(255))).alias("b")]
+
+
+def _named(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def repeats(df: DataFrame, text_col: str = "text", length: int = 200, block_rows: int = 2048) -> DataFrame:
+    """(name, runs array<struct<a,b>>): runs of repeated window starts by text, name = SHA-256 of the text."""
+    if not GRAM <= length <= 256:
+        raise ValueError(f"length must be from {GRAM} to 256")
+    text = F.coalesce(df[text_col], F.lit(""))
+
+    def start():
+        part, at = TaskContext.get().partitionId(), 0
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            nonlocal at
+            numbers = (part << 33) + at + np.arange(len(frame))
+            at += len(frame)
+            got = _anchor_rows(frame["t"], numbers, length)
+            own = np.flatnonzero(np.isin(numbers, got["row"].unique()))
+            names = pd.DataFrame({k: np.zeros(len(own), np.int64) for k in ("g", "c1", "c2", "at")} | {"row": numbers[own]})
+            names["name"] = [hashlib.sha256(frame["t"].iloc[i].encode()).digest() for i in own]
+            return pd.concat([got.assign(name=None), names], ignore_index=True)
+
+        return run
+
+    shape = "g long, c1 long, c2 long, row long, at long, name binary"
+    both = staged(map_tasks(df.select(text.alias("t")), start, shape), "anchors")
+    rows = both.where("name is null").drop("name")
+    texts = both.where("name is not null").select("row", "name")
+    again = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("c1", "c2") for k, f in (("lo", F.min), ("hi", F.max)))).where("n > 1")
     # tables between a count and the join it serves: Spark splits a hot key only in a join by itself
-    again = staged(again.select("g", (F.col("lo") == F.col("hi")).alias("alike")), "grams")
+    again = staged(again.select("g", F.expr("lo_c1 = hi_c1 and lo_c2 = hi_c2").alias("alike")), "grams")
     seen = staged(rows.join(again, "g"), "again")
-    alike = seen.where("alike").select("key", "a", "b")
-    mixed = seen.where("not alike")
-    spans = mixed.groupBy("g", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "p", "a", "b")).alias("one"))
-    spans = staged(spans, "spans")
-    copied = mixed.join(spans.where("n > 1").select("g", "cls"), ["g", "cls"], "left_semi").select("key", "a", "b")
+    alike = seen.where("alike").select("row", *_run(F.col("at")))
+    mixed = seen.where("not alike").drop("alike")
+    spans = staged(mixed.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n"), F.min(_first()).alias("one")), "spans")
+    copied = mixed.join(spans.where("n > 1").select(*NAME), NAME, "left_semi").select("row", *_run(F.col("at")))
     sizes = spans.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 and m > 1").select("g", "m")
     sizes = staged(sizes, "sizes")
-    wanted = spans.join(sizes, "g").select("g", "cls", "n", "m", "one.key", "one.p", "one.a", "one.b")
-    wanted = staged(wanted.groupBy("key").agg(F.collect_list(F.struct("g", "cls", "n", "m", "p", "a", "b")).alias("w")), "wanted")
+    wanted = spans.join(sizes, "g").select(*NAME, "n", "m", "one.row", "one.at")
+    # one row stands for all texts of a name; the copies of a text read its spans but once
+    chosen = texts.groupBy("name").agg(F.min("row").alias("row"))
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct(*NAME, "n", "m", "at")).alias("w")).join(texts, "row")
+    wanted = staged(wanted.groupBy("name").agg(F.flatten(F.collect_list(F.transform("w", lambda x: F.struct(*(x[c].alias(c) for c in (*NAME, "n", "m", "at")), F.col("row").alias("row"))))).alias("w")), "wanted")
+
+    def fetched():
+        done: set[bytes] = set()
 
-    def cut(frames):
-        done: set[int] = set()
-        for frame in frames:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for key, text, w in zip(frame["key"], frame["t"], frame["w"], strict=True):
-                if key in done:
-                    continue
-                done.add(key)
-                data = text.encode("utf-8", "surrogatepass")
-                out += [(x["g"], x["cls"], x["n"], x["m"], key, x["p"], x["a"], x["b"], data[x["a"] : x["b"] + length]) for x in w]
-            yield pd.DataFrame(out, columns=["g", "cls", "n", "m", "key", "p", "a", "b", "span"])
-
-    shape = "g long, cls long, n long, m long, key long, p int, a int, b int, span binary"
-    held = staged(keyed.join(wanted, "key").mapInPandas(cut, shape), "blocks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = (
-        held.where(F.col("m") <= block_rows)
-        .repartition(parts, "g")
-        .sortWithinPartitions("g")
-        .mapInPandas(lambda frames: _blocks(frames, length), "key long, a long, b long")
-    )
-    wide = map_batches(held.where(F.col("m") > block_rows).dropDuplicates(["g", "cls"]), lambda f: _windows(f, length), "g long, o long, h binary, n long, key long, s long")
-    twice = wide.groupBy("g", "o", "h").agg(F.sum("n").alias("t")).where("t > 1").select("g", "o", "h")
-    large = wide.where("n = 1").join(twice, ["g", "o", "h"], "left_semi").select("key", F.col("s").alias("a"), F.col("s").alias("b"))
-    every = alike.unionAll(copied).unionAll(small).unionAll(large)
-    ends = every.groupBy("key", "a").agg(F.max("b").alias("b"))
-    return staged(ends.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
+            for name, t, w in zip(frame["name"], frame["t"], frame["w"], strict=True):
+                if name not in done:
+                    done.add(name)
+                    data = t.encode()
+                    _, a, b = _unplaced(np.array([x["at"] for x in w], dtype=np.int64))
+                    out += [(*(x[c] for c in (*NAME, "n", "m", "row", "at")), data[i : j + length]) for x, i, j in zip(w, a.tolist(), b.tolist(), strict=True)]
+            return pd.DataFrame(out, columns=[*NAME, "n", "m", "row", "at", "span"])
+
+        return run
+
+    keyed = df.select(_named(text).alias("name"), text.alias("t"))
+    shape = "g long, c1 long, c2 long, n long, m long, row long, at long, span binary"
+    held = staged(map_tasks(keyed.join(wanted, "name"), fetched, shape), "blocks")
+    every = alike.unionAll(copied).unionAll(settled(held, length, block_rows, BANDS))
+    ends = every.groupBy("row", "a").agg(F.max("b").alias("b"))
+    runs = ends.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    runs = runs.join(texts, "row").join(chosen.select("row"), "row", "left_semi")
+    out = staged(runs.select("name", "runs"), "runs")
+    dropped(both, again, seen, spans, sizes, wanted, held)
+    return out
 
 
 def kept_bytes(data: bytes, runs, length: int) -> tuple[bytes, int]:
@@ -355,27 +448,24 @@ def kept_bytes(data: bytes, runs, length: int) -> tuple[bytes, int]:
 
 
 def dedup(df: DataFrame, apply, schema: str, text_col: str = "text", length: int = 200) -> DataFrame:
-    """df with the columns of schema, as apply(data, kept, spans) gives them for each row."""
+    """df with the columns of schema, as apply(text, data, kept, spans) gives them for each row, in place of the text."""
     found = repeats(df, text_col, length)
     names = [c.split()[0] for c in schema.split(", ")]
-    keyed = df.withColumn("__key", F.xxhash64(F.coalesce(df[text_col], F.lit(""))))
-    joined = keyed.join(found.withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs"), "__key", "left").drop("__key")
     others = [c for c in df.columns if c != text_col]
-    kinds = dict(df.dtypes)
+    given = df.select(*(df[c].alias(f"k{i}") for i, c in enumerate(others)), df[text_col].alias("t"))
+    joined = given.join(found, _named(F.coalesce(given["t"], F.lit(""))) == found["name"], "left").drop("name")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for text, runs in zip(frame["__t"], frame["__runs"], strict=True):
-            data = text_of(text).encode("utf-8", "surrogatepass")
+        for text, runs in zip(frame["t"], frame["runs"], strict=True):
+            data = text_of(text).encode()
             kept, spans = kept_bytes(data, runs, length) if runs is not None else (data, 0)
             rows.append(apply(text, data, kept, spans))
-        return pd.concat([frame.drop(columns=["__t", "__runs"]).reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+        return pd.DataFrame(rows, columns=[f"o{i}" for i in range(len(names))])
 
-    given = [F.col(c).alias(f"k{i}") for i, c in enumerate(others)]
-    out = map_batches(joined.select(*given, F.col(text_col).alias("__t"), "__runs"), run, ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(others)), schema]))
-    for i, c in enumerate(others):
-        out = out.withColumnRenamed(f"k{i}", c)
-    return out
+    made = ", ".join(f"o{i} {c.split()[1]}" for i, c in enumerate(schema.split(", ")))
+    out = map_batches(joined, run, made, carry=[f"k{i}" for i in range(len(others))])
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(others)), *(F.col(f"o{i}").alias(n) for i, n in enumerate(names)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +481,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: docs without repeated 200-byte strings, n_chars renewed.
 
-    A character cut in half by a boundary goes whole; null texts stay null.
+    A character cut in half by a boundary goes whole; null texts stay null; every row stays, and of
+    repeated rows each loses what repeats.
     """
     got = dedup(docs, lambda text, data, kept, spans: (text if not spans else kept.decode("utf-8", "ignore"),), "text string")
     if "n_chars" in docs.columns:
