@@ -3,20 +3,27 @@
 Words are runs of characters other than space and tab to carriage return, with A-Z lower-cased.
 Fewer words than a shingle make one shingle of the whole sequence; texts without a word, and null
 texts, have fingerprint zero, which is linked like any other. Repeated rows share a fingerprint,
-so each fingerprint is searched once whatever the number of copies. Other columns pass by.
-
-Search: two fingerprints within radius r agree on at least one of r+1 blocks of bits, so a BK-tree
-per (block, value) - a shard tree - holds every pair. The number of fingerprints grows with the
-input, so shard trees are not broadcast: each is built in the task that its own queries are dealt
-to. A shard's links leave the task as one spanning star per local component, never as pairs.
+so each fingerprint is searched once whatever the number of copies. Ids may be of any ordered type,
+repeat or be null: a component is named by its smallest id, null if it has none. A text is one
+fingerprint whatever its length; other columns pass by, whatever their names.
+
+Search: 64 bits are cut in n blocks; two fingerprints within radius r agree on at least n-r of
+them, so a BK-tree per choice of n-r blocks and their value - a shard tree - holds every pair. n
+grows with the number of fingerprints, so that a shard of unlike ones stays small; a shard that is
+crowded all the same is cut in parts, and every pair of parts is a shard of its own. Their number
+grows with the input, so shard trees are not broadcast: each is built in the task that its own
+queries are dealt to, shard by shard. A shard's links leave the task as one spanning star per local
+component, never as pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import components, local_roots, map_batches, staged, text_of
@@ -46,20 +53,36 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """id and fp (the fingerprint as a signed long) of every row's whole text."""
-    kind = dict(df.dtypes)[id_col]
+    return _printed(df.select(df[id_col].alias("id"), df[text_col].alias("t")), ["id"], width)
+
+
+def _printed(df: DataFrame, carry: list[str], width: int = 4) -> DataFrame:
+    """The columns of carry and fp, the fingerprint of column t."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fps = np.array([fingerprint(text_of(t), width) for t in frame["t"]], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"id": frame["id"], "fp": fps})
+        return pd.DataFrame({"fp": np.array([fingerprint(text_of(t), width) for t in frame["t"]], dtype=np.uint64).view(np.int64)})
 
-    return map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), run, f"id {kind}, fp long")
+    return map_batches(df, run, "fp long", carry)
 
 
-def block_bounds(radius: int) -> list[tuple[int, int]]:
-    """radius+1 (shift, width) blocks that tile 64 bits."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def blocks_for(count: int, radius: int, shard: int = 64) -> int:
+    """Least number of blocks, up to 2 * radius, with which a shard holds about shard of count random fingerprints."""
+    return next((n for n in range(radius + 1, 2 * radius) if count >> ((n - radius) * 64 // n) <= shard), 2 * radius) if radius else 1
+
+
+def shard_keys(fp: Column, radius: int, blocks: int) -> Column:
+    """array of shard keys: for every choice of blocks - radius blocks, its number and the bits of the blocks."""
+    if blocks == 1:
+        return F.array(fp)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    keys = []
+    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        value = F.lit(number).cast("long")
+        for i in chosen:
+            width = edges[i + 1] - edges[i]
+            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(value)
+    return F.array(*keys)
 
 
 class BKForest:
@@ -114,7 +137,7 @@ class BKForest:
 
 
 def shard_links(frame: pd.DataFrame, radius: int, budget: int = 2_000_000) -> pd.DataFrame:
-    """Spanning stars (a, b) of the links within each shard of frame(shard, fp, node).
+    """Spanning stars (a, b) of the links between fingerprints within each shard of frame(shard, fp).
 
     Queries go in blocks whose visits cannot exceed budget by more than one shard.
     """
@@ -134,37 +157,53 @@ def shard_links(frame: pd.DataFrame, radius: int, budget: int = 2_000_000) -> pd
             if apart.any():
                 root = local_roots(n, a[apart], b[apart])[root]
         at = to
-    node = frame["node"].to_numpy()
+    node = frame["fp"].to_numpy()
     least = pd.Series(node).groupby(root).transform("min").to_numpy()
     far = least != node
     return pd.DataFrame({"a": node[far], "b": least[far]})
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) between the nodes of distinct(fp, node) that span all pairs within radius."""
-    spark = distinct.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = F.array(*[
-        F.format_string(f"{i}:%x", F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
-        for i, (shift, width) in enumerate(block_bounds(radius))
-    ])
-    dealt = distinct.select("fp", "node", F.explode(shards).alias("shard")).repartition(parts, "shard")
-
-    def run(frames):
-        held = [f for f in frames if len(f)]
-        if held:
-            yield shard_links(pd.concat(held, ignore_index=True), radius)
-
-    return dealt.mapInPandas(run, "a long, b long")
+def _streamed(frames, radius: int, rows: int = 50_000):
+    """shard_links over frames sorted by shard, some whole shards at a time."""
+    held = None
+    for frame in frames:
+        held = frame if held is None or not len(held) else pd.concat([held, frame], ignore_index=True)
+        if len(held) >= rows:
+            last = held["shard"] == held["shard"].iloc[-1]
+            if not last.all():
+                yield shard_links(held[~last].reset_index(drop=True), radius)
+                held = held[last].reset_index(drop=True)
+    if held is not None and len(held):
+        yield shard_links(held, radius)
+
+
+def fingerprint_links(distinct: DataFrame, count: int, radius: int = 4, part: int = 2048) -> DataFrame:
+    """Links (a, b) between the fingerprints of distinct(fp) that span all pairs within radius."""
+    if not 0 <= radius < 32:
+        raise ValueError("radius must be from 0 to 31")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.select("fp", F.explode(shard_keys(F.col("fp"), radius, blocks_for(count, radius))).alias("shard"))
+    crowded = staged(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 2 * part), "crowded")
+    dealt = dealt.join(crowded, "shard", "left").withColumn("n", F.ceil(F.coalesce("c", F.lit(1)) / F.lit(part)).cast("int"))
+    dealt = dealt.withColumn("mine", F.when(F.col("c").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp", "shard"), F.col("n"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("c").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))))
+    dealt = dealt.select("fp", F.xxhash64("shard", F.least("mine", "other"), F.greatest("mine", "other")).alias("shard"))  # two shards of one number only meet
+    return dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(lambda frames: _streamed(frames, radius), "a long, b long")
+
+
+def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, class): the smallest fingerprint reachable over links of at most radius bits, for every fp of prints."""
+    distinct = staged(prints.select("fp").distinct(), "prints")
+    joined = components(fingerprint_links(distinct, distinct.count(), radius))
+    return distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
 
 
 def near_duplicates(df: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component (smallest id reachable over links of at most radius bits)."""
     prints = staged(fingerprints(df, id_col, text_col), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null")
-    joined = components(fingerprint_links(distinct, radius))
-    named = distinct.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component")
+    lows = prints.groupBy("fp").agg(F.min("id").alias("low")).join(staged(classes(prints, radius), "classes"), "fp")
+    named = lows.join(lows.groupBy("class").agg(F.min("low").alias("component")), "class").select("fp", "component")
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +215,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the row with the smallest doc_id.
 
-    Rows without doc_id are kept, and so is one row, whole, of rows that share a doc_id.
+    Rows have numbers of their own, so rows that share a doc_id stay or go each for its own text;
+    of rows with one doc_id in one group, and of groups without a doc_id, the first row stays.
     """
-    groups = near_duplicates(docs)
-    stay = groups.where("doc_id = component or doc_id is null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    names = {c: {"text": "t", "doc_id": "id"}.get(c, f"k{i}") for i, c in enumerate(docs.columns)}
+    given = docs.select(*(docs[c].alias(n) for c, n in names.items()))
+    rows = staged(_printed(given, list(names.values())).withColumn("row", F.monotonically_increasing_id()), "simhash")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    stay = rows.groupBy("fp").agg(F.min(order).alias("low")).join(classes(rows), "fp").groupBy("class").agg(F.min("low").alias("low"))
+    kept = rows.join(stay.select("low.row"), "row", "left_semi")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
