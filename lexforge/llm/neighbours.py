@@ -1,9 +1,11 @@
 """Embedding near-dedup by NN-descent, with exact counts of the links found.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing, and vectors
-of different lengths do not link with each other. Bit-identical
-vectors are one node with a weight, so copies cost nothing. Repeated or null ids are fine: nodes
-have numbers of their own, and a component is named by its smallest id. Other columns pass by.
+of different lengths do not link with each other. Bit-identical vectors are one node with a weight,
+so copies cost nothing. Repeated or null ids are fine: nodes have numbers of their own, ids stay as
+they were, and a component is named by its smallest id. Of equal similarities in a list the smaller
+node number stays; a list cut in a tie counts as saturated like any other. Other columns pass by,
+whatever their names; a vector of any length is one row.
 
 1. A first neighbour graph comes from sign-projection tables, as many as a pair at t needs to meet
    by angle alone with the chance of the floor, whatever the number of nodes. A crowded cell is cut
@@ -15,8 +17,9 @@ have numbers of their own, and a component is named by its smallest id. Other co
 4. A list that is full of links is saturated and may hide links to other components. Saturated
    nodes get further lists that hold only nodes of other components; components that these link
    become one, and lists are made again until no link is left.
-5. Links are counted over the whole component, compared in blocks of bounded size, and only counts
-   leave a task. Pairs are never written.
+5. Links are counted. A list that is not saturated holds them all; saturated nodes, and all nodes of
+   components of at most whole nodes, are compared with their whole component in blocks of bounded
+   size, and only counts leave a task. Pairs of saturated nodes are never written.
 6. A new sample of nodes is compared with all nodes to audit recall: the mean over nodes with links of
    the share of linked nodes found. It grows until it holds enough nodes with links. Tables are
    doubled until recall reaches the floor; if it does not, the run fails rather than return less.
@@ -24,18 +27,18 @@ have numbers of their own, and a component is named by its smallest id. Other co
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import components, map_batches, staged
+from lexforge.llm.common import components, map_batches, map_tasks, staged
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,8 @@ class Descent:
     most_cell: int = 512
     rounds: int = 2
     block: int = 2048
+    most_block: int = 8192
+    whole: int = 4096
     audit: int = 512
     recall: float = 0.97
     attempts: int = 3
@@ -56,11 +61,12 @@ class Descent:
 
 def prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """nid, id, twin (128-bit name of the exact vector; null where it cannot link), unit (float64 bytes)."""
-    kind = dict(df.dtypes)[id_col]
 
-    def run(frames):
+    def start():
         part, at = TaskContext.get().partitionId(), 0
-        for frame in frames:
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            nonlocal at
             rows = []
             for v in frame["v"]:
                 twin = unit = None
@@ -70,14 +76,14 @@ def prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                     if np.isfinite(top) and top > 0:
                         scaled = x / top
                         unit = (scaled / np.sqrt(scaled @ scaled)).tobytes()
-                        twin = xxhash.xxh128_digest(x.tobytes())
+                        twin = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
                 rows.append(((part << 33) + at, twin, unit))
                 at += 1
-            out = pd.DataFrame(rows, columns=["nid", "twin", "unit"])
-            out.insert(0, "id", frame["id"].to_numpy())
-            yield out
+            return pd.DataFrame(rows, columns=["nid", "twin", "unit"])
 
-    return df.select(df[id_col].alias("id"), df[vec_col].alias("v")).mapInPandas(run, f"id {kind}, nid long, twin binary, unit binary")
+        return run
+
+    return map_tasks(df.select(df[id_col].alias("id"), df[vec_col].alias("v")), start, "nid long, twin binary, unit binary", carry=["id"])
 
 
 def _matrix(col, dtype=np.float32) -> np.ndarray:
@@ -219,6 +225,12 @@ def confirmed(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return map_batches(both, run, "a long, b long")
 
 
+def saturated(graph: DataFrame, rule: Descent) -> DataFrame:
+    """nid of the nodes whose lists are full of links."""
+    links = graph.where(F.col("sim") >= rule.threshold - 1e-4).groupBy(F.col("u").alias("nid")).agg(F.count(F.lit(1)).alias("n"))
+    return links.where(F.col("n") >= rule.k).select("nid")
+
+
 def widened(graph: DataFrame, nodes: DataFrame, named: DataFrame, rule: Descent, count: int, floor: float, seeds: list[int]) -> DataFrame:
     """named, with the components made one whose links only saturated lists had cut off.
 
@@ -226,8 +238,7 @@ def widened(graph: DataFrame, nodes: DataFrame, named: DataFrame, rule: Descent,
     in the same cells and lists, and keep their best of other components. Every round that finds a
     link joins components, and the last one finds none.
     """
-    full = graph.where(F.col("sim") >= rule.threshold - 1e-4).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rule.k)
-    full = staged(nodes.join(full.select(F.col("u").alias("nid")), "nid"), "saturated")
+    full = staged(nodes.join(saturated(graph, rule), "nid"), "saturated")
     alone = full.select(F.col("nid").alias("node")).join(named, "node", "left_anti")
     named = staged(named.unionAll(alone.select("node", F.col("node").alias("component"))), "named")
     while True:
@@ -249,18 +260,29 @@ def widened(graph: DataFrame, nodes: DataFrame, named: DataFrame, rule: Descent,
         named = staged(named.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "named")
 
 
-def counted(nodes: DataFrame, named: DataFrame, rule: Descent) -> DataFrame:
-    """(nid, links, near): weight and number of the other nodes of the component at or over the threshold, exactly.
+def counted(nodes: DataFrame, named: DataFrame, pairs: DataFrame, full: DataFrame, rule: Descent) -> DataFrame:
+    """(nid, links, near): weight and number of the other nodes linked.
 
-    Components of more than rule.block nodes are cut in blocks; every ordered pair of blocks is a
-    group of its own, so no task holds more than two blocks of one component.
+    pairs are the links of the lists, full the nodes whose lists may lack some. A component is cut in
+    blocks, and every ordered pair of blocks is a group of its own; blocks are small where that
+    spreads a component over tasks, and at most rule.most_block nodes where it is large.
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = nodes.join(named.withColumnRenamed("node", "nid"), "nid").join(sizes, "component")
-    rows = rows.withColumn("nb", F.ceil(F.col("size") / rule.block)).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("nb")))
+    sizes = staged(named.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    asking = named.join(sizes, "component").join(full.select(F.col("nid").alias("node"), F.lit(True).alias("full")), "node", "left")
+    asking = staged(asking.select("node", "component", "size", (F.coalesce("full", F.lit(False)) | (F.col("size") <= rule.whole)).alias("asks")), "asking")
+    weight = nodes.select("nid", "weight")
+    lists = pairs.select(F.col("a").alias("node"), F.col("b").alias("nid")).unionAll(pairs.select(F.col("b").alias("node"), F.col("a").alias("nid")))
+    lists = lists.join(asking.where("not asks").select("node"), "node", "left_semi").join(weight, "nid")
+    listed = lists.groupBy(F.col("node").alias("nid")).agg(F.sum("weight").alias("links"), F.count(F.lit(1)).alias("near"))
+
+    some = asking.join(asking.where("asks").select("component").distinct(), "component", "left_semi")
+    rows = nodes.join(some.withColumnRenamed("node", "nid"), "nid")
+    spread = rule.most_block // (rule.block // 4)
+    number = F.greatest(F.least(F.ceil(F.col("size") * 4 / rule.block), F.lit(spread)), F.ceil(F.col("size") / rule.most_block))
+    rows = rows.withColumn("nb", number).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("nb")))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)))
-    asks = pairs.select("component", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("ask"), "nid", "weight", "unit")
+    asks = pairs.where("asks").select("component", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("ask"), "nid", "weight", "unit")
     members = pairs.select("component", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("ask"), "nid", "weight", "unit")
     keyed = asks.unionAll(members).withColumn("key", F.concat_ws(":", "component", "i", "j"))
 
@@ -289,7 +311,7 @@ def counted(nodes: DataFrame, named: DataFrame, rule: Descent) -> DataFrame:
             yield one(held)
 
     got = keyed.select("key", "ask", "nid", "weight", "unit").repartition(parts, "key").sortWithinPartitions("key").mapInPandas(run, "nid long, links long, near long")
-    return got.groupBy("nid").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+    return got.groupBy("nid").agg(F.sum("links").alias("links"), F.sum("near").alias("near")).unionAll(listed)
 
 
 def audited(nodes: DataFrame, links: DataFrame, rule: Descent, count: int, seed: int) -> float:
@@ -356,9 +378,10 @@ def near_duplicates(df: DataFrame, rule: Descent | None = None, id_col: str = "v
         seed = passes << attempt
         for _ in range(rule.rounds):
             graph = refine(graph, nodes, rule, floor)
-        named = staged(components(confirmed(graph, nodes, rule.threshold)), "named")
+        pairs = staged(confirmed(graph, nodes, rule.threshold), "pairs")
+        named = staged(components(pairs), "named")
         named = widened(graph, nodes, named, rule, count, floor, list(range(seed)))
-        links = staged(counted(nodes, named, rule), "links")
+        links = staged(counted(nodes, named, pairs, saturated(graph, rule), rule), "links")
         recall = audited(nodes, links, rule, count, attempt)
         if recall >= rule.recall:
             break
