@@ -5,7 +5,15 @@ that pairs such as an insult with a group mention can count for more than the tw
 the lower-cased letter runs of the whole text and their prefixes, which carry over to unseen
 endings. Null and empty texts score sigmoid(b). Labels are only ever read for the bounded training
 sample; with no labels, or one class only, the score is the smoothed rate of toxic labels.
-Repeated rows score alike; other columns are not looked at.
+Repeated rows score alike; an id that repeats is learned from once, by the text of greatest hash and
+the worse of its labels; other columns are not looked at; a text of any length is one set of terms.
+Ties of gain go to the smaller bucket.
+
+The machine has the terms whose own log-likelihood gain with the label is beyond what chance gives
+the best of all terms looked at (2 ln of their number), and of the pair_terms most telling frequent
+terms those whose pairs gain that much more than the two apart, whatever their own gain: a term that
+tells only beside another is kept. Terms are counted by Spark over the sample; the driver gets the
+counts of kept terms and, for each sample row, its kept terms.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import map_batches, text_of
+from lexforge.llm.common import map_batches, staged, text_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -60,19 +68,15 @@ class FactorizationMachine:
         return out
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 250, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
-        """Weighted logistic loss by Adam on the full sample, L2 on weights and factors."""
+        """Weighted logistic loss by Adam on the full sample, L2 on weights and factors; rows hold active indexes."""
         p0 = float(np.clip((weight @ y + 0.5) / (weight.sum() + 1), 1e-4, 1 - 1e-4))
         self.bias = float(np.log(p0 / (1 - p0)))
-        self._select(rows, y, weight, p0)
         m = len(self.active)
-        if not m or y.min() == y.max():
+        if not m or not len(y) or y.min() == y.max():
             self.active, self.linear, self.factors = {}, np.zeros(0), np.zeros((0, self.rank))
             return self
-        lookup = np.full(1 << self.bits, -1, dtype=np.int64)
-        lookup[list(self.active)] = list(self.active.values())
-        rows = [(i := lookup[r])[i >= 0] for r in rows]
         sizes = np.array([len(r) for r in rows])
-        flat, owner, n = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes), len(rows)
+        flat, owner, n = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), sizes), len(rows)
         rng = np.random.default_rng(seed)
         theta = np.concatenate([[self.bias], np.zeros(m), rng.normal(0, 0.02, m * self.rank)])
         m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -92,21 +96,41 @@ class FactorizationMachine:
         self.bias, self.linear, self.factors = float(theta[0]), theta[1 : 1 + m], theta[1 + m :].reshape(m, self.rank)
         return self
 
-    def _select(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, p0: float, least: float = 25.0) -> None:
-        """Active buckets: those whose log-likelihood ratio with the label reaches least."""
-        self.active = {}
-        if not len(rows) or not sum(map(len, rows)):
-            return
-        df, pos = np.zeros(1 << self.bits), np.zeros(1 << self.bits)
-        for at in range(0, len(rows), 1000):
-            part = rows[at : at + 1000]
-            owner = np.repeat(np.arange(at, at + len(part)), [len(r) for r in part])
-            flat = np.concatenate(part)
-            np.add.at(df, flat, weight[owner])
-            np.add.at(pos, flat, (weight * y)[owner])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = 2 * (np.nan_to_num(pos * np.log(pos / (df * p0))) + np.nan_to_num((df - pos) * np.log((df - pos) / (df * (1 - p0)))))
-        self.active = {int(b): i for i, b in enumerate(np.flatnonzero((df >= 3) & (gain >= least)))}
+
+def gain_of(n, pos, rate: float):
+    """Twice the log-likelihood that n labels with pos toxic ones gain by a rate of their own."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.nan_to_num(pos * np.log(pos / (n * rate))) + np.nan_to_num((n - pos) * np.log((n - pos) / (n * (1 - rate)))))
+
+
+def split_gain(n, pos, total: float, total_pos: float):
+    """Gain of telling the n rows with pos toxic ones from the rest of total rows with total_pos."""
+    rate = total_pos / total
+    return gain_of(n, pos, rate) + gain_of(total - n, total_pos - pos, rate)
+
+
+def telling_pairs(on: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Columns of the boolean matrix on (rows x terms) that have a pair which tells more than the two apart."""
+    total, total_pos = float(weight.sum()), float(weight @ y)
+    k = on.shape[1]
+    if k < 2 or not 0 < total_pos < total:
+        return np.zeros(0, dtype=np.int64)
+    x, rate = on.astype(np.float32), total_pos / total
+    both = (x * weight[:, None].astype(np.float32)).T @ x
+    both_pos = (x * (weight * y)[:, None].astype(np.float32)).T @ x
+    n, pos = np.diag(both).astype(float), np.diag(both_pos).astype(float)
+    own = split_gain(n, pos, total, total_pos)
+    least = 2 * np.log(k * k) + 10
+    found: set[int] = set()
+    for i in range(k):
+        cells = [(both[i], both_pos[i]), (n[i] - both[i], pos[i] - both_pos[i]), (n - both[i], pos - both_pos[i]), (total - n - n[i] + both[i], total_pos - pos - pos[i] + both_pos[i])]
+        gain = sum(gain_of(np.maximum(c, 0).astype(float), np.clip(p, 0, np.maximum(c, 0)).astype(float), rate) for c, p in cells)
+        gain = gain - own[i] - own
+        gain[i] = 0
+        hits = np.flatnonzero(gain >= least)
+        if len(hits):
+            found.update([i, *hits.tolist()])
+    return np.array(sorted(found), dtype=np.int64)
 
 
 def _rows_of(texts: pd.Series, model: FactorizationMachine) -> tuple[list[np.ndarray], list[int]]:
@@ -122,12 +146,13 @@ def _rows_of(texts: pd.Series, model: FactorizationMachine) -> tuple[list[np.nda
     return rows, signs
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 16_000, model: FactorizationMachine | None = None) -> FactorizationMachine:
+def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 16_000, pair_terms: int = 768, most_terms: int = 16_384, model: FactorizationMachine | None = None) -> FactorizationMachine:
     """Fit on at most sample_rows labelled documents, the first by a hash of doc_id.
 
-    Rows with crc32(doc_id) mod 4 = 2, null labels and null ids are never learned from. The ids
-    of the sample (bounded by sample_rows) are broadcast; buckets, not texts, reach the driver.
-    Near copies share one unit of weight.
+    Rows with crc32(doc_id) mod 4 = 2, null labels and null ids are never learned from. The ids of
+    the sample are broadcast (at most sample_rows). At most most_terms terms of the highest own gain,
+    and pair_terms frequent ones looked at in pairs, reach the driver. Near copies share one unit of
+    weight.
     """
     model = model or FactorizationMachine()
     picked = (
@@ -137,34 +162,72 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 16_000, mo
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text")
+    sample = documents.select("doc_id", documents["text"].alias("t")).join(F.broadcast(picked), "doc_id")
 
     def extract(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, signs = _rows_of(frame["text"], model)
-        return pd.DataFrame({"y": frame["y"], "sign": signs, "b": [r.astype("<i4").tobytes() for r in rows]})
+        rows, signs = _rows_of(frame["t"], model)
+        return pd.DataFrame({"sign": signs, "terms": rows, "hash": [zlib.crc32(text_of(t).encode()) for t in frame["t"]]})
+
+    got = map_batches(sample, extract, "sign long, terms array<int>, hash long", carry=["doc_id", "y"])
+    got = got.groupBy("doc_id").agg(F.max(F.struct("hash", "sign", "terms")).alias("x"), F.max("y").alias("y"))
+    rows = staged(got.select("y", "x.sign", "x.terms"), "toxic-sample")
+    sizes = rows.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).select("sign", F.when(F.col("sign") < 0, 1.0).otherwise(1 / F.col("n")).alias("w"))
+    rows = staged(rows.join(sizes, "sign").select("y", "w", "terms"), "toxic-rows")
+    total, total_pos = (float(x or 0) for x in rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("y"))).first())
+    if not 0 < total_pos < total:
+        y = rows.select("y", "w").toPandas()
+        return model.fit([], y["y"].to_numpy(float), y["w"].to_numpy(float))
+    counts = rows.select("y", "w", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos")).where("n >= 3")
+    rate = total_pos / total
+    part = lambda n, x, r: F.when(x > 1e-9, 2 * x * F.ln(x / (n * r))).otherwise(0.0)
+    both = lambda n, pos: part(n, pos, rate) + part(n, n - pos, 1 - rate)
+    n, pos = F.col("n"), F.col("pos")
+    counts = staged(counts.withColumn("gain", both(n, pos) + both(total - n, total_pos - pos)), "toxic-terms")
+    least = max(7.0, 2 * float(np.log(max(counts.count(), 1))))
+    own = [r["term"] for r in counts.where(F.col("gain") >= least).orderBy(F.desc("gain"), "term").limit(most_terms).collect()]
+    # the frequent ones: a term that nearly all or nearly no rows have cannot tell much in any pair
+    often = [r["term"] for r in counts.orderBy(F.desc(n * (total - n)), "term").limit(pair_terms).collect()]
+    known = {t: i for i, t in enumerate(dict.fromkeys([*own, *often]))}
+    shared = documents.sparkSession.sparkContext.broadcast(known)  # at most most_terms + pair_terms
+
+    def narrowed(frame: pd.DataFrame) -> pd.DataFrame:
+        held = shared.value
+        return pd.DataFrame({"k": [np.array([held[t] for t in r.tolist() if t in held], "<i4").tobytes() for r in frame["terms"]]})
 
-    got = map_batches(sample, extract, "y double, sign long, b binary").toPandas()
-    if not len(got):
-        return model
-    size = got.groupby("sign")["sign"].transform("size").where(got["sign"] >= 0, 1)
-    rows = [np.frombuffer(b, "<i4") for b in got["b"]]
-    return model.fit(rows, got["y"].to_numpy(float), (1.0 / size).to_numpy(float))
+    data = map_batches(rows, narrowed, "k binary", carry=["y", "w"]).toPandas()
+    y, w = data["y"].to_numpy(float), data["w"].to_numpy(float)
+    kept = [np.frombuffer(b, "<i4") for b in data["k"]]
+    place = np.array([known[t] for t in often], dtype=np.int64)
+    column = np.full(len(known), -1, dtype=np.int64)
+    column[place] = np.arange(len(place))
+    on = np.zeros((len(kept), len(place)), dtype=bool)
+    for i, r in enumerate(kept):
+        c = column[r]
+        on[i, c[c >= 0]] = True
+    names = list(known)
+    chosen = dict.fromkeys([*own, *(names[place[j]] for j in telling_pairs(on, y, w))])
+    model.active = {t: i for i, t in enumerate(chosen)}
+    index = np.array([model.active.get(t, -1) for t in names], dtype=np.int64)
+    return model.fit([(i := index[r])[i >= 0] for r in kept], y, w)
 
 
-def score_texts(texts: pd.Series, model: FactorizationMachine, cache: dict[str, tuple[int, ...]]) -> np.ndarray:
-    """Scores of one batch; only chunks that hold an active term cost more than a lookup."""
+def score_texts(texts: pd.Series, model: FactorizationMachine, hot: dict[str, tuple[int, ...]], cold: set[str], remember: int = 200_000) -> np.ndarray:
+    """Scores of one batch; only chunks that hold an active term, or are new, are looked at one by one."""
     rows = []
     for text in texts:
         found: set[int] = set()
-        for chunk in set(text_of(text).split()):
-            hit = cache.get(chunk)
+        for chunk in set(text_of(text).split()).difference(cold):
+            hit = hot.get(chunk)
             if hit is None:
                 hit = tuple(model.active[t] for t in model.terms(chunk) if t in model.active)
-                if len(cache) > 150_000:
-                    cache.clear()
-                cache[chunk] = hit
-            if hit:
-                found.update(hit)
+                if hit:
+                    hot[chunk] = hit
+                else:
+                    cold.add(chunk)
+            found.update(hit)
+        if len(cold) + len(hot) > remember:
+            cold.clear()
+            hot.clear()
         rows.append(np.array(sorted(found), dtype=np.int64))
     return 1 / (1 + np.exp(-np.clip(model.margins(rows), -30, 30)))
 
@@ -172,11 +235,12 @@ def score_texts(texts: pd.Series, model: FactorizationMachine, cache: dict[str,
 def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """df with out_col, the probability of a toxic label, appended (replacing a column of that name)."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    cache: dict[str, tuple[int, ...]] = {}
+    hot: dict[str, tuple[int, ...]] = {}
+    cold: set[str] = set()
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(texts, shared.value, cache), index=texts.index)
+        return pd.Series(score_texts(texts, shared.value, hot, cold), index=texts.index)
 
     return df.withColumn(out_col, scored(df[text_col]))
 
@@ -191,6 +255,12 @@ def query(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
-    """Pipeline stage: the rows of docs whose score is below threshold, all columns as they were."""
+    """Pipeline stage: the rows of docs whose score is below threshold, all columns as they were.
+
+    Rows are judged one by one, so repeated rows stay or go together; null and empty texts have the
+    score of a text without known terms.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, out_col="__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    given = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(docs.columns)))
+    clean = score(given, model, f"k{docs.columns.index('text')}", "toxicity").where(F.col("toxicity") < threshold)
+    return clean.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
