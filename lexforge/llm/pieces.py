@@ -8,7 +8,12 @@ the best-scoring path is relaxed from left to right. Characters without a piece
 
 Null and empty texts have no ids. A text of any length is one sequence. Decoding gives the text
 back, but for U+2581, the vocabulary's own space mark, which comes back as a space; lone surrogates
-are replaced. Repeated rows repeat their ids; other columns are not read.
+are replaced. Repeated rows repeat their ids; other columns are not read, and ids of any type, null
+included, come back as they were. Equal ranks cannot meet but in one piece, which the leftmost takes.
+
+A run is first cut where no piece reaches across, which no merge can undo. A pass merges every place
+of a run's best rank at once, so a run of megabytes takes as many passes as it uses pieces, not as
+many as it has symbols; where a merge would open a better rank, the pass takes one place only.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm.common import slices, text_of
+from lexforge.llm.common import map_tasks, text_of
 
 SPACE = "▁"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -131,7 +136,11 @@ class PieceCodec:
 
         heads = np.flatnonzero((data & 0xC0) != 0x80)  # characters
         heads = heads[owner[heads] >= 0]
-        start, word = heads, owner[heads]
+        over = np.zeros(len(data) + 1, dtype=np.int64)  # how many pieces reach across the place before a byte
+        np.add.at(over, edges[0] + 1, 1)
+        np.add.at(over, edges[1], -1)
+        new = np.concatenate([[True], owner[heads][1:] != owner[heads][:-1]]) | (np.cumsum(over)[heads] == 0)
+        start, word = heads, np.cumsum(new)
         length = np.where(data[heads] < 0x80, 1, np.where(data[heads] < 0xE0, 2, np.where(data[heads] < 0xF0, 3, 4)))
         end = heads + length
         out_s, out_e = [], []
@@ -151,8 +160,7 @@ class PieceCodec:
                     break
                 size, best = size[best != none], best[best != none]
             hits = np.flatnonzero(pair == np.repeat(best, size))
-            _, lead = np.unique(word[hits], return_index=True)
-            left = hits[lead]  # the leftmost best pair of every run
+            left = self._apart(hits, start, end, word, pair, look)
             end[left] = end[left + 1]
             keep = np.ones(len(start), dtype=bool)
             keep[left + 1] = False
@@ -167,6 +175,37 @@ class PieceCodec:
         o = np.argsort(s, kind="stable")
         return s[o], e[o]
 
+    @staticmethod
+    def _apart(hits: np.ndarray, start, end, word, pair, look) -> np.ndarray:
+        """Of each run's places of its best rank those that one pass may merge, leftmost first.
+
+        Places that share a symbol: every second one. All places of a run only if no symbol made by
+        them has a better pair with a neighbour, made or not; else the leftmost alone.
+        """
+        chain = np.cumsum(np.concatenate([[True], (np.diff(hits) > 1) | (word[hits][1:] != word[hits][:-1])])) - 1
+        begin = hits[np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))]
+        left = hits[(hits - begin[chain]) % 2 == 0]
+        if len(left) == len(np.unique(word[left])):
+            return left
+        worse = np.zeros(len(left), dtype=bool)
+        n, made = len(start), np.zeros(len(start) + 1, dtype=bool)
+        made[left] = True
+        made_end = np.where(made[:n], end[np.minimum(np.arange(n) + 1, n - 1)], end)
+        for stop in (end, made_end):  # the symbol to the right as it is, and as this pass makes it
+            at = np.minimum(left + 2, n - 1)
+            on = (left + 2 < n) & (word[at] == word[left])
+            worse[on] |= look(start[left[on]], stop[at[on]]) < pair[left[on]]
+        for back, need in ((1, None), (2, made)):  # the symbol to the left, or the one made of two
+            at = np.maximum(left - back, 0)
+            on = (left - back >= 0) & (word[at] == word[left])
+            if need is not None:
+                on &= need[at]
+            worse[on] |= look(start[at[on]], end[left[on] + 1]) < pair[left[on]]
+        bad = np.isin(word[left], word[left][worse])
+        lead = np.zeros(len(left), dtype=bool)
+        lead[np.unique(word[left], return_index=True)[1]] = True
+        return left[~bad | lead]
+
     def _best_path(self, data: np.ndarray, owner: np.ndarray, edges) -> tuple[np.ndarray, np.ndarray]:
         """Unigram relaxation: the best-scoring cover of every run, single characters as a last resort."""
         n = len(data)
@@ -241,7 +280,11 @@ class PieceCodec:
             size += len(run) + 1
         if held:
             self._segment(held)
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for run in fresh:
+            if len(run) > 256:  # long runs hardly repeat and would fill the memory
+                del self.known[run]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes joined, space marks turned, the mark put in front taken off."""
@@ -252,29 +295,22 @@ class PieceCodec:
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kind: str = "bpe") -> DataFrame:
     """id, ids array<long> of every row's whole text."""
-    shape = dict(df.dtypes)[id_col]
 
-    def run(frames):
+    def start():
         codec = PieceCodec(path, kind)
-        for frame in frames:
-            for piece in slices(frame):
-                got = codec.encode([text_of(t) for t in piece["t"]])
-                yield pd.DataFrame({"id": piece["id"], "ids": [np.frombuffer(b, "<u4").astype(np.int64) for b in got]})
+        return lambda frame: pd.DataFrame({"ids": [np.frombuffer(b, "<u4").astype(np.int64) for b in codec.encode([text_of(t) for t in frame["t"]])]})
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("t")).mapInPandas(run, f"id {shape}, ids array<long>").withColumnRenamed("id", id_col)
+    return map_tasks(df.select(df[id_col].alias("id"), df[text_col].alias("t")), start, "ids array<long>", carry=["id"]).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """id, text of every row's ids; null ids decode to null."""
-    shape = dict(df.dtypes)[id_col]
 
-    def run(frames):
+    def start():
         codec = PieceCodec(path)
-        for frame in frames:
-            texts = [None if x is None else codec.decode(np.asarray(x, dtype="<u4").tobytes()) for x in frame["x"]]
-            yield pd.DataFrame({"id": frame["id"], "text": texts})
+        return lambda frame: pd.DataFrame({"text": [None if x is None else codec.decode(np.asarray(x, dtype="<u4").tobytes()) for x in frame["x"]]}, dtype=object)
 
-    return df.select(df[id_col].alias("id"), df[ids_col].alias("x")).mapInPandas(run, f"id {shape}, text string").withColumnRenamed("id", id_col)
+    return map_tasks(df.select(df[id_col].alias("id"), df[ids_col].alias("x")), start, "text string", carry=["id"]).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,20 +319,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id, n_tokens, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids), n_chars (decoded
     code points), round_trip.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    shape = dict(docs.dtypes)["doc_id"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    def run(frames):
+    def start():
         codec = PieceCodec()
-        for frame in frames:
-            for piece in slices(frame):
-                rows = []
-                texts = [text_of(t) for t in piece["t"]]
-                for text, ids in zip(texts, codec.encode(texts), strict=True):
-                    back = codec.decode(ids)
-                    rows.append((len(ids) // 4, zlib.crc32(ids), len(back), back == text.replace(SPACE, " ")))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "n_chars", "round_trip"])
-                out.insert(0, "doc_id", piece["doc_id"].to_numpy())
-                yield out
-
-    return docs.withColumnRenamed("text", "t").mapInPandas(run, f"doc_id {shape}, n_tokens long, ids_crc32 long, n_chars long, round_trip boolean")
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            texts = [text_of(t) for t in frame["t"]]
+            for text, ids in zip(texts, codec.encode(texts), strict=True):
+                back = codec.decode(ids)
+                rows.append((len(ids) // 4, zlib.crc32(ids), len(back), back == text.replace(SPACE, " ")))
+            return pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "n_chars", "round_trip"])
+
+        return run
+
+    return map_tasks(docs.select("doc_id", docs["text"].alias("t")), start, "n_tokens long, ids_crc32 long, n_chars long, round_trip boolean", carry=["doc_id"])
