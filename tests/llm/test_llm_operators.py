@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,9 +11,10 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexforge.llm import html_main, neighbours, packing, pieces, pii, quality, secrets, simhash, substrings, toxicity
-from lexforge.llm.common import components, local_roots
+from lexforge.llm.common import components, local_roots, running
 from lexforge.llm.gbt import BoostedTrees
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `key` string, id string, t string"
@@ -182,9 +184,9 @@ def test_substrings(spark, folder, texts):
 
 def test_wide_blocks_give_the_same(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    runs = lambda rows: {r.key: sorted((x.a, x.b) for x in r.runs) for r in substrings.repeats(df, block_rows=rows).collect()}
+    runs = lambda rows: {bytes(r.name): sorted((x.a, x.b) for x in r.runs) for r in substrings.repeats(df, block_rows=rows).collect()}
     cover = lambda got: {k: {i for a, b in v for i in range(a, b + 1)} for k, v in got.items()}
-    assert cover(runs(1)) == cover(runs(32_768))
+    assert cover(runs(1)) == cover(runs(2)) == cover(runs(32_768))
 
 
 def test_suffix_order_at_random():
@@ -419,9 +421,194 @@ def test_toxicity_held_out(spark, tmp_path):
 def test_machine_learns_pairs_that_weights_miss():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000)
-    rows = [np.array([i for i, on in ((1, x), (2, y), (3, 1)) if on], dtype=np.int32) for x, y in zip(a, b)]
+    rows = [np.array([i for i, on in ((0, x), (1, y), (2, 1)) if on]) for x, y in zip(a, b)]
     y = (a & b).astype(float)
-    model = toxicity.FactorizationMachine(bits=4).fit(rows, y, np.ones(4000))
-    active = [np.array([model.active[int(t)] for t in r if int(t) in model.active]) for r in rows]
-    score = 1 / (1 + np.exp(-model.margins(active)))
+    model = toxicity.FactorizationMachine(active={10: 0, 11: 1, 12: 2}).fit(rows, y, np.ones(4000))
+    score = 1 / (1 + np.exp(-model.margins(rows)))
     assert ((score > 0.5) == y).mean() > 0.99 and np.abs(model.factors).max() > 0.1
+
+
+def test_machine_sums_as_its_formula():
+    rng = np.random.default_rng(5)
+    model = toxicity.FactorizationMachine(bias=0.3, linear=rng.normal(size=9), factors=rng.normal(size=(9, 4)))
+    rows = [rng.permutation(9)[:n] for n in (0, 1, 2, 5, 9)]
+    for row, got in zip(rows, model.margins(rows), strict=True):
+        want = 0.3 + sum(model.linear[i] for i in row)
+        want += sum(model.factors[i] @ model.factors[j] for x, i in enumerate(row) for j in row[x + 1 :])
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("law", ["xor", "and_of_common_words"])
+def test_terms_that_tell_only_in_pairs(spark, tmp_path, law):
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        toxic = a != b if law == "xor" else a and b
+        w = prose(rng, rng.randint(5, 25)).split() + ["alpha"] * a + ["omega"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        marks.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(2400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(got[i] > 0.5) == marks[i][2] for i in held]) > 0.97
+
+
+IDS = [2**60 + 1, None, 2**60 + 3, -(2**62) - 5]
+
+
+@pytest.mark.parametrize("module", QUERIES, ids=lambda m: m.__name__.rsplit(".", 1)[-1])
+def test_large_ids_beside_nulls(spark, tmp_path, module):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30 + 10 * k)) for k, i in enumerate(IDS)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"<p>{t}") for i, t in rows], "page_id long, html string").selectExpr("page_id", "'u' url", "html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    vectors = [(i, [float(k == j) for j in range(8)]) for k, i in enumerate(IDS)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate(IDS)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = module.query(spark, str(tmp_path)).collect()
+    assert {r[0] for r in got} == set(IDS)
+    if module in (neighbours, simhash):
+        assert {r.component_id for r in got} == set(IDS)
+
+
+def test_pii_of_awkward_texts():
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 5006, "ip")]
+    assert pii.base_spans("0" * 5000 + "256.1.1.1") == []
+    began = time.perf_counter()
+    assert pii.candidates("a" * 1_000_000, []) == []
+    assert time.perf_counter() - began < 1
+    text = " ".join(f"user{i}@mail.com ref-{i}99" for i in range(20_000))
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert len(base) == len(found) == 20_000 and time.perf_counter() - began < 5
+
+
+def brute_candidates(text, base):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+@/#-]*[0-9@][A-Za-z0-9._%+@/#-]*", text):
+        s, e = m.span()
+        while e > s and text[e - 1] in ".-/%+#":
+            e -= 1
+        while s < e and text[s] in ".-/%":
+            s += 1
+        if e - s >= 5 and not any(a < e and s < b for a, b, _ in base):
+            out.append((s, e))
+    return out
+
+
+def test_pii_candidates_at_random():
+    rng = random.Random(3)
+    parts = ["abc", "@", "d.ef", ".", "12", "-", "/", " ", "x@y.zz", "10.0.0.1", "+1 (555) 123-4567", "\n", "#"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        base = pii.base_spans(t)
+        assert pii.candidates(t, base) == brute_candidates(t, base)
+
+
+def planted(rng, n):
+    """Texts with labelled account numbers of a shape that no fixed pattern has, and texts without."""
+    texts, truth = [], []
+    for i in range(n):
+        filler = prose(rng, rng.randint(10, 30))
+        if i % 3 == 0:
+            texts.append(f"{filler} customer mailbox: user{i}@mail.example.com {prose(rng, 8)}")
+        elif i % 3 == 1:
+            lead = f"{filler} customer mailbox: "
+            value = f"user{i}[at]mail"
+            texts.append(f"{lead}{value} {prose(rng, 8)}")
+            truth.append((i, len(lead), len(lead) + len(f"user{i}")))
+        else:
+            texts.append(f"{filler} version v{i}.0.{i % 7} of {prose(rng, 8)}")
+    return texts, truth
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_pii_patterns_find_held_out_identifiers(spark, most):
+    """Patterns learned on one half find identifiers of the other: measured precision and recall."""
+    rng = random.Random(8)
+    learn, _ = planted(rng, 120)
+    held, truth = planted(rng, 120)
+    df = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    accepted = pii.induce(df(learn))
+    got = pii.find(df(held), accepted, rule=pii.Bootstrap(most_broadcast=most)).collect()
+    found = {(r.doc_id, s.start, s.end) for r in got for s in r.spans if s.kind == "context_email"}
+    right = found & set(truth)
+    assert len(right) / len(truth) == 1.0 and len(right) / len(found) == 1.0
+
+
+def test_bit_filter_lets_all_wanted_through(spark):
+    words = [f"w{i} é _" for i in range(3000)]
+    bits = pii.bit_filter(spark.createDataFrame([(w,) for w in words], "p string"), F.col("p"), len(words))
+    assert all(pii.lets(bits, w) for w in words)
+    assert sum(pii.lets(bits, f"other {i}") for i in range(3000)) < 150
+
+
+def test_texts_of_one_short_hash_are_told_apart(spark, texts, monkeypatch):
+    """With every gram and prefix hash made useless, digests and byte checks must give the same."""
+    rng = random.Random(6)
+    shared = prose(rng, 60)
+    some = [f"{prose(rng, 30)} {shared} {prose(rng, 30)}" for _ in range(6)]
+    data = [t.encode() for t in some]
+    monkeypatch.setattr(substrings.PrefixHash, "of", lambda self, start, size: np.zeros(len(np.broadcast_to(start, np.broadcast_shapes(np.shape(start), np.shape(size)))), np.uint64))
+    got = substrings.anchors_of(data, 200)
+    frame = got.assign(n=1, row=got["doc"], at=substrings.placed(got.p, got.p - got.a, got.b - got.a))
+    frame["span"] = [data[d][a : b + 200] for d, a, b in zip(got.doc, got.a, got.b)]
+    runs = substrings.block_repeats(frame[["g", "c1", "c2", "n", "row", "at", "span"]], 200)
+    hit = {(r, s) for r, a, b in runs.itertuples(index=False) for s in range(a, b + 1)}
+    seen = defaultdict(list)
+    for d, b in enumerate(data):
+        for s in range(len(b) - 199):
+            seen[b[s : s + 200]].append((d, s))
+    assert hit <= {x for v in seen.values() if len(v) > 1 for x in v}
+
+
+def test_components_of_rows_that_share_ids(spark, tmp_path):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (2, c, "z"), (3, a, "w"), (None, c, "v"), (1, a, "u")], "doc_id long, text string, t string")
+    kept = simhash.keep_first(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (2, c)], key=str)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 4])
+def test_crowded_shards_and_more_blocks_find_all(spark, radius):
+    rng = np.random.default_rng(7)
+    centre = rng.integers(-(2**62), 2**62, 4)
+    values = np.unique(np.concatenate([centre[i % 4] ^ (np.int64(1) << rng.integers(0, 62, 60)) ^ (np.int64(1) << rng.integers(0, 62, 60)) for i in range(8)]))
+    d = np.bitwise_count((values[:, None] ^ values[None]).view(np.uint64))
+    a, b = np.nonzero(d <= radius)
+    want = local_roots(len(values), a, b)
+    df = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    for count in (len(values), 10**9):  # the second as if there were so many
+        links = simhash.fingerprint_links(df, count, radius, part=16).collect()
+        place = {int(v): i for i, v in enumerate(values)}
+        x, y = (np.array([place[r[k]] for r in links], dtype=np.int64) for k in ("a", "b"))
+        assert (local_roots(len(values), x, y) == want).all()
+
+
+def test_running_sums_over_levels(spark):
+    rng = random.Random(4)
+    parts = sorted(rng.sample(range(500), 120))
+    sizes = [rng.randint(0, 9) for _ in parts]
+    df = spark.createDataFrame(list(zip(parts, sizes, strict=True)), "part long, n long")
+    got = {r.part: r.base for r in running(df, "n", group=3).collect()}
+    assert got == {p: sum(sizes[:i]) for i, p in enumerate(parts)}
+
+
+def test_runs_without_spaces_equal_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec, rng = pieces.PieceCodec(), random.Random(3)
+    some = ["".join(rng.choice(letters) for _ in range(3000)) for letters in ("ab", "the", "abcdefghijklmnopqrstuvwxyz", "日本語한a", "aA1.")]
+    some += ["a" * 4097, "ha" * 2000, "the" * 1500]
+    assert [np.frombuffer(b, "<u4").tolist() for b in codec.encode(some)] == model.encode(some)
+    began = time.perf_counter()
+    codec.encode(["".join(rng.choice("abcdefghijklmnop") for _ in range(200_000))])
+    assert time.perf_counter() - began < 15
