@@ -394,12 +394,15 @@ def repeats(df: DataFrame, text_col: str = "text", length: int = 200, block_rows
     texts = both.where("name is not null").select("row", "name")
     again = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("c1", "c2") for k, f in (("lo", F.min), ("hi", F.max)))).where("n > 1")
     # tables between a count and the join it serves: Spark splits a hot key only in a join by itself
-    again = staged(again.select("g", F.expr("lo_c1 = hi_c1 and lo_c2 = hi_c2").alias("alike")), "grams")
+    again = staged(again.select("g", F.expr("lo_c1 = hi_c1 and lo_c2 = hi_c2").alias("alike"), F.ceil(F.col("n") / 4096).cast("int").alias("salts")), "grams")
     seen = staged(rows.join(again, "g"), "again")
     alike = seen.where("alike").select("row", *_run(F.col("at")))
     mixed = seen.where("not alike").drop("alike")
-    spans = staged(mixed.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n"), F.min(_first()).alias("one")), "spans")
-    copied = mixed.join(spans.where("n > 1").select(*NAME), NAME, "left_semi").select("row", *_run(F.col("at")))
+    spans = staged(mixed.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n"), F.min(_first()).alias("one"), F.first("salts").alias("salts")), "spans")
+    # a gram that stands everywhere is dealt by salt too: one for every 4096 anchors that have it
+    known = spans.where("n > 1").select(*NAME, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = mixed.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.col("salts")).cast("int"))
+    copied = salted.join(known, [*NAME, "salt"], "left_semi").select("row", *_run(F.col("at")))
     sizes = spans.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("least = 1 and m > 1").select("g", "m")
     sizes = staged(sizes, "sizes")
     wanted = spans.join(sizes, "g").select(*NAME, "n", "m", "one.row", "one.at")
