@@ -53,55 +53,62 @@ class BoostedTrees:
         roots: list[int] = []
         if len(y) and y.min() != y.max():
             cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
-            binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
+            starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])]).astype(np.int64)
+            codes = (np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1) + starts[:-1]).astype(np.int32)
             margin = np.full(len(y), self.base)
             for _ in range(self.rounds):
                 prob = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
                 g, h = weight * (prob - y), weight * np.maximum(prob * (1 - prob), 1e-6)
                 roots.append(len(nodes))
-                self._grow(nodes, binned, cuts, g, h, np.arange(len(y)), 0, -np.inf, np.inf, margin)
+                self._grow(nodes, codes, starts, cuts, g, h, np.arange(len(y)), 0, -np.inf, np.inf, margin)
         arrays = [np.array(a) for a in zip(*nodes, strict=True)] or [np.zeros(0)] * 5
         self.feature, self.cut = arrays[0].astype(np.int32), arrays[1].astype(float)
         self.left, self.right = arrays[2].astype(np.int32), arrays[3].astype(np.int32)
         self.value, self.roots = arrays[4].astype(float), np.array(roots, dtype=np.int32)
         return self
 
-    def _grow(self, nodes, binned, cuts, g, h, rows, level, low, high, margin) -> int:
+    def _grow(self, nodes, codes, starts, cuts, g, h, rows, level, low, high, margin) -> int:
         at = len(nodes)
         total_g, total_h = g[rows].sum(), h[rows].sum()
         value = float(np.clip(-total_g / (total_h + self.reg), low, high))
         nodes.append([0, np.inf, at, at, self.rate * value])
-        best = self._best(binned, cuts, g, h, rows, total_g, total_h, low, high) if level < self.depth and len(rows) >= 2 * self.least_rows else None
+        best = self._best(codes, starts, cuts, g, h, rows, total_g, total_h, low, high) if level < self.depth and len(rows) >= 2 * self.least_rows else None
         if best is None:
             margin[rows] += self.rate * value
             return at
         j, k, lv, rv = best
-        goes = binned[rows, j] <= k
+        goes = codes[rows, j] <= starts[j] + k
         sign, mid = self.monotone.get(j, 0), (lv + rv) / 2
         bounds = {0: ((low, high), (low, high)), 1: ((low, mid), (mid, high)), -1: ((mid, high), (low, mid))}[sign]
-        a = self._grow(nodes, binned, cuts, g, h, rows[goes], level + 1, *bounds[0], margin)
-        b = self._grow(nodes, binned, cuts, g, h, rows[~goes], level + 1, *bounds[1], margin)
+        a = self._grow(nodes, codes, starts, cuts, g, h, rows[goes], level + 1, *bounds[0], margin)
+        b = self._grow(nodes, codes, starts, cuts, g, h, rows[~goes], level + 1, *bounds[1], margin)
         nodes[at] = [j, cuts[j][k], a, b, 0.0]
         return at
 
-    def _best(self, binned, cuts, g, h, rows, total_g, total_h, low, high):
-        found, gain = None, 1e-6
-        score = total_g**2 / (total_h + self.reg)
-        for j, c in enumerate(cuts):
-            if not len(c):
-                continue
-            b = binned[rows, j]
-            n = np.cumsum(np.bincount(b, minlength=len(c) + 1))[:-1]
-            lg = np.cumsum(np.bincount(b, g[rows], len(c) + 1))[:-1]
-            lh = np.cumsum(np.bincount(b, h[rows], len(c) + 1))[:-1]
-            rg, rh = total_g - lg, total_h - lh
-            lv, rv = np.clip(-lg / (lh + self.reg), low, high), np.clip(-rg / (rh + self.reg), low, high)
-            gains = lg**2 / (lh + self.reg) + rg**2 / (rh + self.reg) - score
-            ok = (n >= self.least_rows) & (len(rows) - n >= self.least_rows)
-            if sign := self.monotone.get(j, 0):
-                ok &= sign * (rv - lv) >= 0
-            gains = np.where(ok, gains, -np.inf)
-            k = int(np.argmax(gains))
-            if gains[k] > gain:
-                found, gain = (j, k, float(lv[k]), float(rv[k])), gains[k]
-        return found
+    def _best(self, codes, starts, cuts, g, h, rows, total_g, total_h, low, high):
+        """Best (feature, bin, left value, right value) over all features at once; codes number the bins of all."""
+        flat = codes[rows].ravel()
+        width, size = codes.shape[1], int(starts[-1])
+        n = np.bincount(flat, minlength=size).astype(float)
+        lg = np.bincount(flat, np.repeat(g[rows], width), size)
+        lh = np.bincount(flat, np.repeat(h[rows], width), size)
+
+        def inside(x: np.ndarray) -> np.ndarray:
+            """Running sums within each feature."""
+            total = np.cumsum(x)
+            ahead = np.concatenate([[0.0], total])[starts[:-1]]
+            return total - np.repeat(ahead, np.diff(starts))
+
+        n, lg, lh = inside(n), inside(lg), inside(lh)
+        rg, rh = total_g - lg, total_h - lh
+        lv, rv = np.clip(-lg / (lh + self.reg), low, high), np.clip(-rg / (rh + self.reg), low, high)
+        gains = lg**2 / (lh + self.reg) + rg**2 / (rh + self.reg) - total_g**2 / (total_h + self.reg)
+        ok = (n >= self.least_rows) & (len(rows) - n >= self.least_rows)
+        feature = np.repeat(np.arange(width), np.diff(starts))
+        ok[starts[1:] - 1] = False  # the last bin of a feature is no cut
+        if self.monotone:
+            sign = np.array([self.monotone.get(j, 0) for j in range(width)])[feature]
+            ok &= sign * (rv - lv) >= 0
+        gains = np.where(ok, gains, -np.inf)
+        k = int(np.argmax(gains))
+        return (int(feature[k]), k - int(starts[feature[k]]), float(lv[k]), float(rv[k])) if gains[k] > 1e-6 else None
