@@ -612,3 +612,37 @@ def test_runs_without_spaces_equal_the_library():
     began = time.perf_counter()
     codec.encode(["".join(rng.choice("abcdefghijklmnop") for _ in range(200_000))])
     assert time.perf_counter() - began < 15
+
+
+FOREIGN = [
+    (  # tables for layout, br between links
+        """<html><head><title>T</title></head><body><div id="page"><div class="site-top"><a href="/">Example Daily</a><span>Tuesday</span></div><table width="100%"><tr><td class="menu" width="20%"><a href="/a">News</a><br><a href="/b">Sport</a><br><a href="/c">Weather</a></td><td><h1>Harbour wall to be rebuilt</h1><p>The council agreed on Tuesday to rebuild the old harbour wall, which was damaged in the winter storms. Work is to begin in spring.</p><p>Residents had asked for the work for years, and some of them came to the meeting.<p>"It is about time," said one of them, who has lived by the quay since 1970.</td></tr></table><div class="footer">Copyright 2020 Example Daily. All rights reserved.</div></div></body></html>""",
+        "Harbour wall to be rebuilt\nThe council agreed on Tuesday to rebuild the old harbour wall, which was damaged in the winter storms. Work is to begin in spring.\nResidents had asked for the work for years, and some of them came to the meeting.\n\"It is about time,\" said one of them, who has lived by the quay since 1970.",
+    ),
+    (  # a blog with comments outside the article
+        """<!doctype html><html><body><div class="cookie-banner">We use cookies. <button>OK</button></div><header class="site-header"><nav><ul><li><a href=/>Home</a><li><a href=/blog>Blog</a></ul></nav></header><main><article class="post"><h2 class="title">How to prune roses</h2><p>Cut just above an outward-facing bud, at a slant. <em>Always</em> use clean blades.</p><ul><li>Remove dead wood first.</li><li>Keep the centre open.</li></ul><blockquote>Roses forgive most mistakes.</blockquote></article><section id="comments"><h3>2 comments</h3><div class="comment"><p>Thanks, this helped a lot with my garden!</p></div></section></main><aside class="sidebar"><h3>Popular</h3><ul><li><a href=/x>Ten tulips</a></ul></aside><footer><p>&copy; Rose blog</p></footer></body></html>""",
+        "How to prune roses\nCut just above an outward-facing bud, at a slant. Always use clean blades.\nRemove dead wood first.\nKeep the centre open.\nRoses forgive most mistakes.",
+    ),
+    ("just some plain text. With a sentence.", "just some plain text. With a sentence."),
+    ("<p>One line<br>and another, with &lt;marks&gt; in it.</p>\n<p> A second\n\tparagraph, which is not short either.", "One line and another, with <marks> in it.\nA second paragraph, which is not short either."),
+]
+
+
+@pytest.mark.parametrize("page", range(len(FOREIGN)))
+def test_html_of_foreign_layouts(page):
+    source, want = FOREIGN[page]
+    assert html_main.main_texts([source], html_main.default_trees()) == [want]
+
+
+def test_quality_verdict_on_held_out_rows(spark):
+    """Trees learned on half of the labelled driver rows judge the other half; accuracy over the majority rate."""
+    data = "/root/testdata/sf0.01"
+    stats = quality.measured(spark.read.parquet(f"{data}/documents.parquet"))
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = stats.join(labels, "doc_id").toPandas()
+    even = known[known.doc_id % 2 == 0]
+    trees = BoostedTrees(monotone=quality.MONOTONE).fit(np.array(even.features.tolist()), even.quality.to_numpy(float))
+    odd = known[known.doc_id % 2 == 1]
+    right = (trees.predict(np.array(odd.features.tolist())) >= 0.5) == (odd.quality == 1)
+    print("held-out accuracy", right.mean(), "majority", max(odd.quality.mean(), 1 - odd.quality.mean()), "rows", len(odd))
+    assert right.mean() >= 0.95
