@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions.normalize import ARABIC
+from lexforge.functions.normalize import ARABIC, bound
 
 # PII patterns in the order of redaction, with their risk.
 PII = [
@@ -28,11 +28,11 @@ LEVELS = ["none", "low", "medium", "high", "critical"]
 DOSES = {"paracetamol": (250, 1000), "acetaminophen": (250, 1000), "ibuprofen": (200, 800), "amoxicillin": (250, 1000), "metformin": (500, 2000), "atorvastatin": (10, 80), "lisinopril": (2.5, 40), "amlodipine": (2.5, 10), "omeprazole": (10, 40), "aspirin": (75, 325)}
 INTERACTIONS = [("warfarin", "aspirin"), ("metformin", "contrast"), ("lisinopril", "spironolactone"), ("simvastatin", "clarithromycin")]
 PROTECTED = {
-    "laterality": ("critical", "right left bilateral anterior posterior lateral medial superior inferior cranial caudal dorsal ventral proximal distal".split()),
-    "severity": ("high", "acute chronic mild moderate severe life-threatening critical minor serious refractory intractable".split()),
-    "fracture_type": ("critical", "open closed comminuted hairline greenstick displaced compressed spiral impacted transverse oblique pathological".split()),
-    "temporal": ("medium", "recent old recurrent persistent previous early late temporary permanent acute subacute".split()),
-    "body_region": ("medium", "cervical thoracic lumbar sacral pelvic shoulder elbow wrist ankle spine femoral tibial humeral radial".split()),
+    "laterality": ("critical", "أيمن أيسر ثنائي أمامي خلفي جانبي إنسي وحشي علوي سفلي قحفي ذيلي ظهري بطني right left bilateral anterior posterior lateral medial superior inferior cranial caudal dorsal ventral proximal distal".split()),
+    "severity": ("high", [*"حاد مزمن خفيف متوسط شديد بسيط خطير مستعصٍ".split(), "مهدد للحياة", *"acute chronic mild moderate severe life-threatening critical minor serious refractory intractable".split()]),
+    "fracture_type": ("critical", "مفتوح مغلق مضاعف شعري مُحيط منفصل مضغوط ملتوي منزلق open closed comminuted hairline greenstick displaced compressed spiral impacted transverse oblique pathological".split()),
+    "temporal": ("medium", "حديث قديم متكرر مستعصٍ حادث سابق مبكر متأخر مؤقت دائم recent old recurrent persistent previous early late temporary permanent acute subacute".split()),
+    "body_region": ("medium", [*"العنق الظهر الصدر البطن الحوض الركبة الكتف المرفق الرسغ الكاحل".split(), "العمود الفقري", *"cervical thoracic lumbar sacral pelvic shoulder elbow wrist ankle spine femoral tibial humeral radial".split()]),
 }
 
 
@@ -66,21 +66,27 @@ def is_rtl(c: Column) -> Column:
 
 
 def keyword_class(c: Column, lexicon: dict[str, str], floor: float = 0.15) -> Column:
-    """struct<category,confidence>: share of regex hits; general under floor or without hits."""
+    """struct<category,confidence>: share of regex hits; general under floor or without hits. Hits are counted once."""
     counts = F.array(*[F.struct(F.regexp_count(c, F.lit(p)).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, p) in enumerate(lexicon.items())])
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x.n)
-    best = F.array_max(counts)
-    share = F.when(total > 0, best.n / total).otherwise(0.3)
-    return F.struct(F.when((total == 0) | (share < floor), "general").otherwise(best.k).alias("category"), F.round(share, 6).alias("confidence"))
+
+    def judged(x: Column) -> Column:
+        total, best = F.aggregate(x, F.lit(0), lambda a, y: a + y.n), F.array_max(x)
+        share = F.when(total > 0, best.n / total).otherwise(0.3)
+        return F.struct(F.when((total == 0) | (share < floor), "general").otherwise(best.k).alias("category"), F.round(share, 6).alias("confidence"))
+
+    return bound(counts, judged)
 
 
 def weighted_class(c: Column, lexicon: dict[str, tuple[str, str, str]]) -> Column:
     """struct<category,score,share>: hits weighted 3, 2, 1 by level of importance; also the share of all."""
     score = lambda p: 3 * F.regexp_count(c, F.lit(p[0])) + 2 * F.regexp_count(c, F.lit(p[1])) + F.regexp_count(c, F.lit(p[2]))
     scores = F.array(*[F.struct(score(p).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, p) in enumerate(lexicon.items())])
-    total = F.aggregate(scores, F.lit(0), lambda a, x: a + x.n)
-    best = F.array_max(scores)
-    return F.struct(F.when(best.n > 0, best.k).otherwise("general").alias("category"), best.n.alias("score"), F.round(F.when(total > 0, best.n / total).otherwise(0.0), 6).alias("share"))
+
+    def judged(x: Column) -> Column:
+        total, best = F.aggregate(x, F.lit(0), lambda a, y: a + y.n), F.array_max(x)
+        return F.struct(F.when(best.n > 0, best.k).otherwise("general").alias("category"), best.n.alias("score"), F.round(F.when(total > 0, best.n / total).otherwise(0.0), 6).alias("share"))
+
+    return bound(scores, judged)
 
 
 def pii_counts(c: Column, patterns: list[tuple[str, str, str]] | None = None) -> list[Column]:
@@ -129,6 +135,13 @@ def merge_conflicts(a: Column, b: Column) -> Column:
     return F.filter(F.array(*[F.when(clash(k), F.lit(k)) for k in PROTECTED]), lambda v: v.isNotNull())
 
 
+def merge_severity(conflicts: Column) -> Column:
+    """The worst level of the classes in conflict, none if there is none."""
+    ranks = F.create_map(*[F.lit(x) for k, (level, _) in PROTECTED.items() for x in (k, LEVELS.index(level))])
+    worst = F.array_max(F.transform(conflicts, lambda k: ranks[k]))
+    return F.element_at(F.array(*map(F.lit, LEVELS)), F.coalesce(worst, F.lit(0)) + 1)
+
+
 def drugs(c: Column) -> Column:
     """Known drugs that occur, sorted."""
     known = sorted({*DOSES, *(d for pair in INTERACTIONS for d in pair)})

@@ -119,6 +119,14 @@ def language_runs(c: Column) -> Column:
     return F.aggregate(words(c), start, step)
 
 
+def rtl_display(c: Column) -> Column:
+    """Mixed text for display: in right-to-left text, runs of Latin letters and digits stand between
+    left-to-right marks; other text is as it was."""
+    ar, en = F.regexp_count(c, F.lit(ARABIC)), F.regexp_count(c, F.lit("[A-Za-z]"))
+    marked = F.regexp_replace(c, r"[A-Za-z0-9][A-Za-z0-9 .,:/_-]*[A-Za-z0-9]", "\u200e$0\u200e")
+    return F.when((ar + en > 0) & (ar / (ar + en) > 0.7), marked).otherwise(c)
+
+
 #: Corrections of machine-translated text, in order.
 TRANSLATION_STEPS = [
     (r"\s+،", "،"), (r"(?<=[0-9]) (?=[0-9])", ""), ("رغم وأن", "رغم أن"), (r"(?U)\b(\w+)( \1\b)+", "$1"),

@@ -110,11 +110,31 @@ def confusions(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     return rows.groupBy("wanted", "got").agg(F.sum("n").alias("n"))
 
 
+def error_by_length(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """length, n, avg_cer: error rates by the length of the reference."""
+    return df.groupBy(F.char_length(reference).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg(cer(F.col(reference), F.col(hypothesis))).alias("avg_cer"))
+
+
+def mean_confidence(tokens: Column) -> Column:
+    """Mean of the confidences of array<struct<confidence,...>>; 0 without tokens."""
+    total = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + t.confidence)
+    return F.when(F.size(tokens) > 0, total / F.size(tokens)).otherwise(0.0)
+
+
 def entropy(p: Column) -> Column:
     """-sum p ln p of an array of probabilities."""
     return F.aggregate(p, F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
 
 
+# The 30 features in their order, with what stands for a measurement that is absent.
+FEATURES = {
+    "width": 0.0, "height": 0.0, "aspect_ratio": None, "blur_score": 0.0, "brightness": 0.5, "edge_density": 0.0, "border_noise": 0.0, "contrast": 0.5, "sharpness": 0.5, "text_density": 0.3,
+    "whitespace_ratio": 0.2, "horizontal_line_score": 0.0, "vertical_line_score": 0.0, "ink_coverage": 0.3, "skew_score": 0.0, "char_count": None, "word_count": None, "avg_word": None, "digit_ratio": None,
+    "arabic_ratio": None, "latin_ratio": None, "punct_ratio": None, "unique_ratio": None, "line_spacing_ratio": 0.3, "margin_uniformity": 0.8, "header_score": 0.0, "footer_score": 0.0, "table_score": 0.0,
+    "term_score": None, "confidence_score": 0.5,
+}
+
+
 def text_features(df: DataFrame, text: str, vocabulary: list[str] | None = None) -> DataFrame:
     """df with counts and ratios over all characters of a text column."""
     c, w = F.col(text), F.col("__w")
@@ -130,3 +150,13 @@ def text_features(df: DataFrame, text: str, vocabulary: list[str] | None = None)
         known = F.filter(F.array(*map(F.lit, vocabulary)), lambda t: F.contains(F.lower(c), t))
         out = out.withColumn("term_score", F.size(known) / len(vocabulary))
     return out.drop("__w")
+
+
+def feature_vector(df: DataFrame, text: str, vocabulary: list[str], out: str = "features") -> DataFrame:
+    """df with the 30 features of FEATURES as array<double>: measurements from columns of their names
+    where df has them, else their defaults; text features from the text."""
+    own = set(df.columns)
+    measured = text_features(df, text, vocabulary)
+    value = {k: F.coalesce(F.col(k).cast("double"), F.lit(v)) if k in own and v is not None else F.lit(v) if v is not None else F.coalesce(F.col(k).cast("double"), F.lit(0.0)) if k != "aspect_ratio" else None for k, v in FEATURES.items()}
+    value["aspect_ratio"] = value["width"] / F.greatest(value["height"], F.lit(1.0))
+    return measured.withColumn(out, F.array(*value.values())).select(*df.columns, out)

@@ -99,3 +99,19 @@ def worst_level(levels: Column, order: list[str]) -> Column:
     """The highest of an array of named levels, the first of order if it is empty."""
     rank = F.array_max(F.transform(levels, lambda x: F.array_position(F.lit(order), x)))
     return F.element_at(F.lit(order), F.greatest(F.coalesce(rank, F.lit(1)), F.lit(1)).cast("int"))
+
+
+def verified_chain(df: DataFrame, key: str, order: str, fields: list[str], previous: str, entry: str) -> DataFrame:
+    """key, n, broken, first_break of a ledger whose rows hold the hash of the row before and their own.
+
+    An entry must be the SHA-256 of its previous hash and its fields; its previous hash must be the
+    entry of the row before it, null or empty for the first. Every row is checked by itself and its
+    neighbour, so a long chain is no sequential work.
+    """
+    from pyspark.sql import Window
+
+    before = F.coalesce(F.lag(entry).over(Window.partitionBy(key).orderBy(order)), F.lit(""))
+    own = F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), *(F.col(f).cast("string") for f in fields)), 256)
+    bad = (own != F.col(entry)) | (F.coalesce(previous, F.lit("")) != before)
+    rows = df.select(key, order, bad.alias("bad"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("broken"), F.min(F.when(F.col("bad"), F.col(order))).alias("first_break"))

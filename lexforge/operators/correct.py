@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.normalize import words
+from lexforge.session import cut
 
 
-def apply_dictionary(df: DataFrame, fixes: DataFrame, key: str, text: str) -> DataFrame:
+def apply_dictionary(df: DataFrame, fixes: DataFrame, key: str, text: str, most_broadcast: int = 200_000) -> DataFrame:
     """key, corrected, n_fixed: white-space words replaced by fixes(word, correction), any case.
 
-    Only distinct words meet the dictionary; the join is by word, and rows come back by key.
+    A dictionary of up to most_broadcast words goes to every task and texts stay where they are;
+    a larger one meets the words of the texts by a join, and rows come back by key. A word with
+    several corrections takes the smallest.
     """
+    known = cut(fixes.groupBy(F.lower("word").alias("k")).agg(F.min("correction").alias("correction")))
+    if known.count() <= most_broadcast:
+        shared = df.sparkSession.sparkContext.broadcast({r["k"]: r["correction"] for r in known.collect()})
+
+        @F.pandas_udf("corrected string, n_fixed long")
+        def replaced(texts: pd.Series) -> pd.DataFrame:
+            """A dictionary look-up per word has no built-in form: a map column is searched from end to end."""
+            table, out = shared.value, []
+            for t in texts:
+                w = [] if t is None else re.findall(r"[^ \t\n\x0B\f\r]+", t)
+                new = [table.get(x.lower()) for x in w]
+                out.append((" ".join(x if n is None else n for x, n in zip(w, new, strict=True)), sum(n is not None for n in new)))
+            return pd.DataFrame(out, columns=["corrected", "n_fixed"])
+
+        got = df.select(key, replaced(F.col(text)).alias("r"))
+        return got.where("r.corrected <> ''").select(key, "r.corrected", "r.n_fixed")
     tokens = df.select(key, F.posexplode(words(F.col(text))).alias("i", "w"))
-    known = fixes.select(F.lower("word").alias("k"), "correction")
     found = tokens.withColumn("k", F.lower("w")).join(known, "k", "left")
     sorted_ = F.array_sort(F.collect_list(F.struct("i", F.coalesce("correction", "w").alias("w"))))
     return found.groupBy(key).agg(F.array_join(F.transform(sorted_, lambda x: x.w), " ").alias("corrected"), F.count("correction").alias("n_fixed"))

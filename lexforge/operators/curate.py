@@ -73,11 +73,14 @@ def ordered_split(df: DataFrame, best_first: list[str], key: str, train: float,
     order = [*(F.desc(c) for c in best_first), F.asc(key)]
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = counts.agg(F.sum("c").alias("n"))
-    rows = ranged.withColumn("__i", inside).join(before.drop("c"), "__p").join(F.broadcast(total))
-    return _bounded_split(rows, F.col("__i") + F.col("base"), F.col("n"), train, val).drop("__p", "__i", "base", "n")
+    counts = sorted((r["__p"], r["c"]) for r in ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("c")).collect())  # one row per task
+    bases, total = [], 0
+    for part, c in counts:
+        bases.append((part, total))
+        total += c
+    before = df.sparkSession.createDataFrame(bases or [(0, 0)], "__p int, base long")
+    rows = ranged.withColumn("__i", inside).join(F.broadcast(before), "__p")
+    return _bounded_split(rows, F.col("__i") + F.col("base"), F.lit(total), train, val).drop("__p", "__i", "base")
 
 
 def hash_split(df: DataFrame, key: str, train: float, val: float, seed: int) -> DataFrame:
@@ -97,6 +100,11 @@ def hybrid_sample(df: DataFrame, key: str, confidence: str, n: int, share: float
     return first.unionByName(fixed_sample(df, key, n - int(n * share), seed, first))
 
 
+def margin_sample(df: DataFrame, key: str, confidence: str, n: int) -> DataFrame:
+    """key, margin: the n rows of greatest margin, one less the confidence, ties to the smallest key."""
+    return df.select(key, (1 - F.col(confidence)).alias("margin")).orderBy(F.desc("margin"), key).limit(n)
+
+
 def should_train(new: Column, days: Column, least: int, force: int) -> Column:
     return (new >= least) | (days >= force)
 

@@ -16,6 +16,12 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.groupBy(F.sha2(text, 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")
 
 
+def group_members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """hash, first, key: every member of the groups, a row each, so a group of any size is fine."""
+    hashed = df.select(key, F.sha2(text, 256).alias("hash"))
+    return hashed.join(exact_groups(df, key, text).select("hash", "first"), "hash")
+
+
 def shingles(c: Column, width: int = 5) -> Column:
     """Distinct word shingles of a text; a shorter text is one shingle, an empty one has none."""
 
@@ -26,29 +32,67 @@ def shingles(c: Column, width: int = 5) -> Column:
     return bound(words(c), cut)
 
 
+def hashed_shingles(c: Column, width: int = 5) -> Column:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; a shorter text is one shingle, an empty one has none."""
+
+    def cut(w: Column) -> Column:
+        full = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))
+        return F.when(F.size(w) >= width, F.array_sort(F.array_distinct(full))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(words(c), cut)
+
+
 def shingle_links(df: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """a, b, similarity: texts whose shingle sets have a Jaccard index of threshold or more, exactly.
+    """a, b, similarity: texts whose shingle sets have a Jaccard index of threshold or more.
 
-    Equal shingle sets are one class and are linked only to their smallest key. Of the others each
-    gives up only the prefix of its rarest shingles that a partner must share (prefix filtering), so
-    shingles that stand everywhere join nothing; lengths bound the pairs further.
+    Shingles are their 64-bit hashes from the start. Equal sets are one class and are linked only to
+    their smallest key. Of the others each gives up only the prefix of its rarest shingles that a
+    partner must share (prefix filtering), so shingles that stand everywhere join nothing; lengths
+    and the places of the shared shingle bound the pairs further.
     """
-    sets = df.select(F.col(key).alias("key"), F.array_sort(shingles(F.col(text), width)).alias("s")).where(F.size("s") > 0)
-    classes = sets.groupBy(F.sha2(F.array_join("s", "\n"), 256).alias("h")).agg(F.min("key").alias("key"), F.first("s").alias("s"))
-    twins = sets.withColumn("h", F.sha2(F.array_join("s", "\n"), 256)).select("h", F.col("key").alias("b")).join(classes.select("h", F.col("key").alias("a")), "h").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    flat = classes.select("key", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("x"))
-    rare = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(rare, "x").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("df", "x")))
-    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1)).select("x", "key", "n")
+    sets = cut(df.select(F.col(key).alias("key"), hashed_shingles(F.col(text), width).alias("s")).where(F.size("s") > 0).withColumn("h", F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256)))
+    classes = cut(sets.groupBy("h").agg(F.min("key").alias("key"), F.first("s").alias("s")))
+    twins = sets.select("h", F.col("key").alias("b")).join(classes.select("h", F.col("key").alias("a")), "h").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    flat = classes.select("key", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one text alone are its rarest: they fill the front of its order and join nothing
+    shared = flat.join(often, "x").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    most = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("xs"))
+    prefix = shared.where(most > 0).select("key", "n", F.posexplode(F.slice("xs", F.lit(1), most.cast("int"))).alias("i", "e"), F.size("xs").alias("m"))
+    prefix = prefix.select("key", "n", (F.col("n") - F.col("m") + F.col("i")).alias("at"), F.col("e.x").alias("x"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold))
+    # at place i of an order of n, at most n - i shingles can still be shared
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * threshold / (1 + threshold) - 1e-9)
+    fits = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold) & (F.col("a.n") - F.col("a.at") >= need) & (F.col("b.n") - F.col("b.at") >= need)
+    near = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.key") < F.col("b.key")) & fits)
     pairs = near.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     s = classes.select("key", "s")
     both = pairs.join(s.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    sim = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    sim = bound(F.size(F.array_intersect("x", "y")), lambda n: n / (F.size("x") + F.size("y") - n))
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold).unionAll(twins)
 
 
+def shared_grams(docs: DataFrame, items: DataFrame, key: str, item: str, text: str, width: int, most_broadcast: int = 2_000_000) -> DataFrame:
+    """key, item, shared: how many distinct lower-cased word grams of an item each document has.
+
+    The grams of items, the small side, are counted and go to every task only up to most_broadcast;
+    beyond, the join is dealt out by hash. Documents give up hashes, not strings; a hit is compared
+    word by word.
+    """
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, i, width)).alias("h")))
+    listed = lambda df, k: df.select(k, words(F.lower(text)).alias("w")).where(F.size("w") >= width)
+    grams = listed(items, item).select(item, "w", F.explode(hashes(F.col("w"))).alias("e")).select(item, "e.h", F.slice("w", F.col("e.i"), width).alias("g")).distinct()
+    grams = cut(grams)
+    rows = listed(docs, key).select(key, "w", F.explode(hashes(F.col("w"))).alias("e"))
+    own = F.slice("w", F.col("e.i"), width)
+    if grams.count() <= most_broadcast:
+        hits = rows.withColumn("h", F.col("e.h")).join(F.broadcast(grams), "h").where(own == F.col("g"))
+    else:
+        hits = rows.select(key, own.alias("own"), F.col("e.h").alias("h")).join(grams, "h").where("own = g")
+    found = hits.select(key, item, "g").distinct()
+    return found.groupBy(key, item).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component: the smallest node reachable over edges (a, b), by minimum labels with jumps.
 
@@ -94,13 +138,22 @@ def cosine_links(df: DataFrame, key: str, vector: str, threshold: float, pivots:
 
 
 def merged_clusters(df: DataFrame, named: DataFrame, links: DataFrame, key: str, text: Column) -> DataFrame:
-    """component, n, representative (longest text, then smallest key), mean link similarity."""
+    """component, n, representative (longest text, then smallest key), score (mean link similarity)."""
     members = named.join(df.select(F.col(key).alias("node"), text.alias("t")), "node")
     sims = links.join(named.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.avg("similarity").alias("score"))
     best = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.struct(F.char_length("t"), -F.col("node"))).alias("representative"))
     return best.join(sims, "component")
 
 
+def centroids(df: DataFrame, named: DataFrame, key: str, vector: str) -> DataFrame:
+    """component, centroid: the unit vector along the mean of the members' unit vectors, place by place."""
+    unit = bound(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), lambda n: F.transform(vector, lambda x: x.cast("double") / n))
+    places = named.join(df.select(F.col(key).alias("node"), F.posexplode(unit).alias("i", "x")), "node").groupBy("component", "i").agg(F.avg("x").alias("x"))
+    mean = places.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("m"))  # one entry per dimension
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
+    return mean.select("component", bound(norm, lambda n: F.when(n > 0, F.transform("m", lambda x: x / n)).otherwise(F.col("m"))).alias("centroid"))
+
+
 def without_conflicts(links: DataFrame, conflict: Column) -> DataFrame:
     """Links whose two sides may be merged."""
     return links.where(~F.coalesce(conflict, F.lit(False)))

@@ -80,6 +80,45 @@ class Steps:
         return out
 
 
+class Engines:
+    """Reading engines by name: each is a DataFrame function that adds text and confidence to its input."""
+
+    def __init__(self) -> None:
+        self.engines: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def register(self, name: str, read: Callable[[DataFrame], DataFrame]) -> Engines:
+        if name in self.engines:
+            raise ValueError(f"engine {name!r} is registered already")
+        self.engines[name] = read
+        return self
+
+    def names(self) -> list[str]:
+        return sorted(self.engines)
+
+    def outputs(self, df: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """The rows of every engine named (all by default), with its name in column engine."""
+        frames = [self.engines[n](df).withColumn("engine", F.lit(n)) for n in (names or self.names())]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+
+def learning_rounds(pool: DataFrame, key: str, choose: Callable[[DataFrame], DataFrame], label: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """key, label, round: in every round choose() picks rows of the pool, label() gives them a column
+    label, and they leave the pool."""
+    from lexforge.session import cut
+
+    known: DataFrame | None = None
+    for i in range(rounds):
+        fresh = cut(label(choose(pool)).select(key, "label", F.lit(i).alias("round")))
+        known = fresh if known is None else known.unionAll(fresh)
+        pool = pool.join(fresh.select(key), key, "left_anti")
+    if known is None:
+        raise ValueError("rounds must be 1 or more")
+    return known
+
+
 def clock(seconds: Column) -> Column:
     """mm:ss of a number of seconds."""
     s = F.floor(seconds)

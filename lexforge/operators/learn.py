@@ -92,10 +92,10 @@ def vote_weight(confidence: Column) -> Column:
     return F.pow(confidence, 1.5)
 
 
-def best_confidence(df: DataFrame, doc: str, engine: str, text: str, confidence: str, priority: dict[str, int] | None = None) -> DataFrame:
-    """doc, text, engine, confidence of the most confident engine, ties by priority, then name."""
+def best_confidence(df: DataFrame, doc: str, engine: str, text: str, confidence: str, priority: dict[str, int] | None = None, order: str | None = None) -> DataFrame:
+    """doc, text, engine, confidence of the most confident engine, ties by priority, then name, then the last by order."""
     rank = F.create_map(*[F.lit(x) for kv in (priority or {"": 0}).items() for x in kv])[F.col(engine)]
-    best = F.max_by(F.struct(text, engine, confidence), F.struct(F.col(confidence), F.coalesce(rank, F.lit(0)), F.col(engine)))
+    best = F.max_by(F.struct(text, engine, confidence), F.struct(F.col(confidence), F.coalesce(rank, F.lit(0)), F.col(engine), *([F.col(order)] if order else [])))
     return df.groupBy(doc).agg(best.alias("b")).select(doc, f"b.{text}", f"b.{engine}", f"b.{confidence}")
 
 

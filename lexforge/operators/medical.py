@@ -16,12 +16,16 @@ ENTITIES = [
     ("DATE", r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b"),
     ("VALUE", r"(?i)\b\d+(?:\.\d+)?\s*(?:mg|ml|mmhg|bpm|kg|cm)\b"),
 ]
-#: Relation patterns: subject, relation, object groups.
+# Relation patterns, English and Arabic; subject and object, or the subject alone.
 RELATIONS = [
-    ("DIAGNOSED_WITH", r"(?i)(patient|he|she)\s+(?:was|is)\s+diagnosed with\s+([a-z]+(?: [a-z]+)?)"),
-    ("PRESCRIBED_FOR", r"(?i)([a-z]+)\s+(?:was |is )?prescribed for\s+([a-z]+)"),
-    ("PERFORMED_ON", r"(?i)([a-z]+)\s+(?:was |is )?performed on\s+(?:the )?([a-z]+)"),
-    ("VALUE_OF", r"(?i)([a-z ]{3,20}?)\s+(?:of|is|was)\s+(\d+(?:\.\d+)?\s*(?:mg|ml|mmhg|bpm))"),
+    ("DIAGNOSED_WITH", r"(?is)patient\s+(?:has|is diagnosed with|was diagnosed with|suffers from)\s+(.+?)()(?:,|;|\.|\n|$)"),
+    ("PRESCRIBED_FOR", r"(?is)(?:prescribed|take|administer(?:ed)?|given)\s+(.+?)\s+(?:for|to treat)\s+(.+?)(?:,|;|\.|\n|$)"),
+    ("PERFORMED_ON", r"(?is)(?:perform(?:ed)?|underwent)\s+(.+?)\s+(?:on|of)\s+(.+?)(?:,|;|\.|\n|$)"),
+    ("VALUE_OF", r"(?is)(?:normal|abnormal|elevated|low|high)\s+(.+?)\s+(?:in|of)\s+(.+?)(?:,|;|\.|\n|$)"),
+    ("DIAGNOSED_WITH", r"(?is)(?:المريض|المريضة)\s+(?:مصاب|مصابة)\s+بـ?\s+(.+?)()(?:،|؛|\.|\n|$)"),
+    ("PRESCRIBED_FOR", r"(?is)(?:وصف|يأخذ|تناول)\s+(.+?)\s+(?:لعلاج|لـ)\s+(.+?)(?:،|؛|\.|\n|$)"),
+    ("PERFORMED_ON", r"(?is)(?:إجراء|تم|أجري)\s+(.+?)\s+(?:على|في)\s+(.+?)(?:،|؛|\.|\n|$)"),
+    ("VALUE_OF", r"(?is)(?:طبيعي|غير طبيعي|مرتفع|منخفض)\s+(.+?)\s+(?:في|من)\s+(.+?)(?:،|؛|\.|\n|$)"),
 ]
 CATEGORIES = {
     "anatomy": r"(?i)\b(?:bone|joint|muscle|knee|hip|spine)\b|عظم|مفصل", "fractures": r"(?i)\bfractur\w*|كسر", "surgery": r"(?i)\b(?:surg\w*|operation)\b|جراح", "drugs": r"(?i)\b(?:drug|dose|tablet|mg)\b|دواء",
@@ -46,7 +50,7 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def relations(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, subject, relation, object triples."""
+    """key, subject, relation, object triples; the object is empty where the pattern names none."""
     out = None
     for name, p in RELATIONS:
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("o"))
@@ -56,9 +60,10 @@ def relations(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def grounded(triples: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Triples with the entity kind of their object, null where none has that text."""
-    kinds = found.select(key, F.lower(F.trim("value")).alias("object"), "kind").groupBy(key, "object").agg(F.min("kind").alias("object_kind"))
-    return triples.join(kinds, [key, "object"], "left")
+    """Triples with the entity kinds of subject and object, null where none has that text."""
+    kinds = found.select(key, F.lower(F.trim("value")).alias("value"), "kind").groupBy(key, "value").agg(F.min("kind").alias("kind"))
+    out = triples.join(kinds.withColumnsRenamed({"value": "subject", "kind": "subject_kind"}), [key, "subject"], "left")
+    return out.join(kinds.withColumnsRenamed({"value": "object", "kind": "object_kind"}), [key, "object"], "left")
 
 
 def names(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -16,14 +16,29 @@ def review_queue(df: DataFrame, mode: str, limit: int, key: str) -> DataFrame:
     return rows.orderBy(*order, key).limit(limit)
 
 
-def match_corrections(texts: DataFrame, corrections: DataFrame, text: str, least: float = 0.8, pool: int = 100) -> DataFrame:
-    """text, corrected, similarity: the exact correction at 1.0, else those of the pool (the most
-    frequent corrections, at most pool rows) whose character sets are alike."""
-    exact = texts.join(corrections.select(F.col("original").alias(text), "corrected"), text).select(text, "corrected", F.lit(1.0).alias("similarity"))
-    top = corrections.orderBy(F.desc("frequency"), "original").limit(pool).select("original", "corrected")
-    rest = texts.join(exact.select(text), text, "left_anti").join(F.broadcast(top))  # bounded by pool
-    sim = jaccard(F.split(text, ""), F.split("original", ""))
-    return exact.unionByName(rest.select(text, "corrected", sim.alias("similarity")).where(F.col("similarity") > least))
+def match_corrections(texts: DataFrame, corrections: DataFrame, text: str, least: float = 0.8) -> DataFrame:
+    """text, corrected, similarity, match: the exact correction at 1.0, else all whose character sets
+    are alike by more than least.
+
+    Only distinct character sets meet, and only where they share one of the rarest characters that a
+    set alike enough cannot do without, so neither texts nor corrections are paired off.
+    """
+    exact = texts.join(corrections.select(F.col("original").alias(text), "corrected"), text).select(text, "corrected", F.lit(1.0).alias("similarity"), F.lit("exact").alias("match"))
+    letters = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(c, ""))), "")
+    rest = texts.join(exact.select(text), text, "left_anti").withColumn("x", letters(F.col(text)))
+    fixes = corrections.select("original", "corrected", letters(F.col("original")).alias("y"))
+    each = lambda df, c: df.select(c).distinct().select(c, F.char_length(c).alias("n"), F.explode(F.split(c, "")).alias("ch"))
+    a, b = each(rest, "x"), each(fixes, "y")
+    often = a.select("ch").unionAll(b.select("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("df"))
+
+    def rare(df: DataFrame, c: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(c).orderBy("df", "ch"))
+        return df.join(often, "ch").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(c, "ch")
+
+    pairs = rare(a, "x").join(rare(b, "y"), "ch").select("x", "y").distinct()
+    pairs = pairs.withColumn("similarity", jaccard(F.split("x", ""), F.split("y", ""))).where(F.col("similarity") > least)
+    fuzzy = rest.join(pairs, "x").join(fixes, "y").select(text, "corrected", "similarity", F.lit("fuzzy").alias("match"))
+    return exact.unionByName(fuzzy)
 
 
 def trigrams(c: Column) -> Column:
@@ -65,9 +80,8 @@ def next_account(accounts: DataFrame, strategy: str, turn: int = 0) -> DataFrame
     if strategy == "weighted":
         u = (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1_000_003)) + 1) / 1_000_004
         return free.orderBy((-F.ln(u) / F.greatest("weight", F.lit(1e-9))).asc(), "id").limit(1)
-    count = free.agg(F.count(F.lit(1)).alias("n"))
-    numbered = free.withColumn("r", F.row_number().over(Window.orderBy("id")) - 1).join(F.broadcast(count))
-    return numbered.where(F.col("r") == F.pmod(F.lit(turn), F.col("n"))).drop("r", "n")
+    n = free.count()
+    return free.orderBy("id").offset(turn % n).limit(1) if n else free.limit(0)
 
 
 def fused_lines(df: DataFrame, key: str, strategy: str, weights: dict[str, float]) -> DataFrame:
@@ -90,6 +104,21 @@ def fused_lines(df: DataFrame, key: str, strategy: str, weights: dict[str, float
     return got.select(key, "b.text", (F.col("mean") if strategy == "weighted_average" else F.col("b.confidence")).alias("confidence"))
 
 
+def merged_pages(pages: DataFrame, doc: str, page: str, weights: dict[str, float]) -> DataFrame:
+    """doc, page, text, confidence, engines: pages of a document read by several engines, joined by
+    their ordinal; a page that some engine lacks is taken from the others."""
+    best = fused_lines(pages.withColumn("__k", F.struct(doc, page)), "__k", "highest_confidence", weights)
+    engines = pages.groupBy(doc, page).agg(F.array_join(F.array_sort(F.collect_set("engine")), " + ").alias("engines"))
+    return best.select(F.col(f"__k.{doc}").alias(doc), F.col(f"__k.{page}").alias(page), "text", "confidence").join(engines, [doc, page])
+
+
+def classification_vote(sections: DataFrame, doc: str, category: str, confidence: str) -> DataFrame:
+    """doc, category, confidence, share: the category of most summed confidence over a document's sections, ties by name."""
+    sums = sections.groupBy(doc, category).agg(F.sum(confidence).alias("s"))
+    got = sums.groupBy(doc).agg(F.min_by(F.struct(category, "s"), F.struct(-F.round("s", 9), category)).alias("b"), F.sum("s").alias("all"))
+    return got.select(doc, f"b.{category}", F.col("b.s").alias("confidence"), (F.col("b.s") / F.col("all")).alias("share"))
+
+
 def dedup_safety(cases: DataFrame, key: str) -> DataFrame:
     """key, recall, preserved: tokens of the input that the output still has, and the share of
     protected pairs (array<struct<a,b>>) whose two texts are both still there."""

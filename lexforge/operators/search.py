@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.functions.normalize import bound
 from lexforge.operators.relational import contains_any
+from lexforge.session import cut
 
 _TOKEN = re.compile(r'"([^"]+)"|(\S+)')
 
@@ -67,6 +69,28 @@ def bm25(index: DataFrame, size: DataFrame, terms: list[str], key: str, k1: floa
     return rows.groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def bm25_scan(docs: DataFrame, terms: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key, score as bm25() over postings, without an index: texts are cut in terms once, and only
+    lengths and the frequencies of the query's terms are kept."""
+    terms = sorted({t.lower() for t in terms})
+    tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    counts = lambda w: F.struct(F.size(w).alias("len"), *(F.size(_equal(w, t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    rows = cut(docs.select(key, bound(tokens, counts).alias("c")).select(key, "c.*"))
+    size = rows.agg(F.count("len").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
+
+    def part(i: int) -> Column:
+        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
+        idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5) + 1)
+        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).otherwise(0.0)
+
+    hits = rows.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).join(F.broadcast(size))  # one row
+    return hits.select(key, reduce(lambda x, y: x + y, map(part, range(len(terms)))).alias("score"))
+
+
+def _equal(w: Column, term: str) -> Column:
+    return F.filter(w, lambda x: x == term)
+
+
 def relevance(q: str, term: Column, frequency: Column, category: Column) -> Column:
     """Exact match 10, substring up to 5 by share of the term, frequency up to 1, half for a category."""
     exact = F.when(F.lower(term) == q.lower(), 10.0).otherwise(0.0)

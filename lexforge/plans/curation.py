@@ -17,7 +17,7 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", F.col("role").alias("engine"), "text", conf.alias("confidence"), F.col("turn").alias("y"))
 
 
-_READINGS = "(SELECT conv_id, role AS engine, substr(text, 1, 60) AS text, ((conv_id * 7 + turn * 13) % 50) / 100.0::DOUBLE + 0.5 AS confidence, turn AS y FROM conversations)"
+_READINGS = "(SELECT conv_id, role AS engine, text, ((conv_id * 7 + turn * 13) % 50) / 100.0::DOUBLE + 0.5 AS confidence, turn AS y FROM conversations)"
 
 
 @query("""SELECT conv_id, turn, non_empty AND changed AND ratio_ok AS is_valid, round(CASE WHEN ratio_ok THEN 1.0 ELSE 0.7 END::DOUBLE, 6) AS score FROM (
@@ -83,11 +83,10 @@ def rule_indicator(spark: SparkSession, d: str) -> DataFrame:
     return got.select("p_partkey", "usage", "i.score", "i.indicator")
 
 
-@query(f"""SELECT conv_id, arg_max(text, (confidence, engine, y)) AS text, max(confidence) AS confidence FROM {_READINGS} GROUP BY conv_id""")
+@query(f"""SELECT conv_id, arg_max(text, (confidence, CASE engine WHEN 'user' THEN 2 WHEN 'assistant' THEN 1 ELSE 0 END, engine, y)) AS text, max(confidence) AS confidence FROM {_READINGS} GROUP BY conv_id""")
 def fusion_best(spark: SparkSession, d: str) -> DataFrame:
-    rows = _readings(spark, d)
-    best = F.max_by("text", F.struct("confidence", "engine", "y"))
-    return rows.groupBy("conv_id").agg(best.alias("text"), F.max("confidence").alias("confidence"))
+    got = L.best_confidence(_readings(spark, d), "conv_id", "engine", "text", "confidence", {"user": 2, "assistant": 1}, order="y")
+    return got.select("conv_id", "text", "confidence")
 
 
 @query(f"""SELECT conv_id, CASE WHEN round(c[1] - coalesce(c[2], -1), 9) >= 0.15 THEN 'best' ELSE 'vote' END AS choice FROM (SELECT conv_id, list_reverse_sort(list(confidence)) AS c FROM {_READINGS} GROUP BY conv_id)""")
@@ -126,9 +125,3 @@ def instruction_pairs(spark: SparkSession, d: str) -> DataFrame:
     q, a = turns.where("role = 'user'").alias("q"), turns.where("role = 'assistant'").alias("a")
     both = q.join(a, (F.col("a.conv_id") == F.col("q.conv_id")) & (F.col("a.turn") == F.col("q.turn") + 1))
     return instructions(both, F.lit("Summarise"), F.col("q.text"), F.col("a.text"))
-
-
-@query("""SELECT 3 AS kept, '1.10.0' AS best""")
-def best_model(spark: SparkSession, d: str) -> DataFrame:
-    models = spark.createDataFrame([("1.9.2", 0.81), ("1.10.0", 0.9), ("0.12.1", 0.7)], "version string, score double")
-    return models.agg(F.count(F.lit(1)).cast("int").alias("kept"), F.max_by("version", F.struct("score", C.version_key(F.col("version")))).alias("best"))

@@ -142,16 +142,25 @@ def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("hit_rate", F.round(1 - F.col("keys") / F.col("requests"), 6))
 
 
-@query("""SELECT user_id, event_id, prev, sha256(concat(coalesce(prev, 'genesis'), '|', event_id, '|', event_type)) AS entry_hash, prev IS NULL OR prev = expected AS valid FROM (
-SELECT *, lag(sha256(concat(event_id, '|', event_type))) OVER (PARTITION BY user_id ORDER BY event_id) AS prev,
-sha256(concat(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), '|', lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id))) AS expected FROM events)""")
+@query("""WITH c AS (SELECT event_id // 16 AS ledger, list(event_id || '|' || event_type ORDER BY event_id) AS items, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY 1),
+e AS (SELECT ledger, ids[i] AS event_id, items[i] AS item, list_reduce(list_concat([''], items[1:i - 1]), lambda a, x: sha256(a || '|' || x)) AS p, list_reduce(list_concat([''], items[1:i]), lambda a, x: sha256(a || '|' || x)) AS entry FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM c)),
+l AS (SELECT ledger, event_id, CASE WHEN event_id % 101 = 0 THEN event_id || '|forged' ELSE item END AS item, CASE WHEN event_id % 103 = 0 THEN 'cut' ELSE p END AS p, entry FROM e WHERE event_id % 211 <> 5),
+b AS (SELECT ledger, event_id, sha256(p || '|' || item) <> entry OR p <> coalesce(lag(entry) OVER (PARTITION BY ledger ORDER BY event_id), '') AS bad FROM l)
+SELECT ledger, count(*) AS n, count(*) FILTER (bad) AS broken, min(event_id) FILTER (bad) AS first_break FROM b GROUP BY ledger""")
 def hash_chain(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    own = F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type"), 256)
-    rows = table(spark, d, "events").withColumn("own", own)
-    rows = rows.withColumn("prev", F.lag("own").over(w)).withColumn("expected", F.sha2(F.concat_ws("|", F.lag("event_id").over(w).cast("string"), F.lag("event_type").over(w)), 256))
-    entry = F.sha2(F.concat_ws("|", F.coalesce("prev", F.lit("genesis")), F.col("event_id").cast("string"), "event_type"), 256)
-    return rows.select("user_id", "event_id", "prev", entry.alias("entry_hash"), (F.col("prev").isNull() | (F.col("prev") == F.col("expected"))).alias("valid"))
+    """Ledgers of 16 events each, some rows of which are forged, cut off or missing, are checked from their own columns."""
+    rows = table(spark, d, "events").select(F.floor(F.col("event_id") / 16).alias("ledger"), "event_id", "event_type")
+    listed = rows.groupBy("ledger").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("items"))  # 16 at most
+    entry = lambda p, x: F.sha2(F.concat_ws("|", p, x.event_id.cast("string"), x.event_type), 256)
+    start = F.array().cast("array<string>")
+    hashes = F.aggregate("items", start, lambda acc, x: F.concat(acc, F.array(entry(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(""), x))))
+    each = listed.withColumn("hashes", hashes).select("ledger", "hashes", F.posexplode("items").alias("i", "x"))
+    before = F.when(F.col("i") > 0, F.get("hashes", F.col("i") - 1)).otherwise("")
+    each = each.select("ledger", "x.event_id", "x.event_type", before.alias("p"), F.get("hashes", F.col("i")).alias("entry_hash")).where("event_id % 211 <> 5")
+    forged = F.when(F.col("event_id") % 101 == 0, "forged").otherwise(F.col("event_type"))
+    cut = F.when(F.col("event_id") % 103 == 0, "cut").otherwise(F.col("p"))
+    ledger = each.select("ledger", "event_id", forged.alias("event_type"), cut.alias("prev_hash"), "entry_hash")
+    return A.verified_chain(ledger, "ledger", "event_id", ["event_id", "event_type"], "prev_hash", "entry_hash")
 
 
 @query("""SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS event_id FROM events GROUP BY user_id""")

@@ -10,25 +10,21 @@ from lexforge.operators import review as V
 from lexforge.plans.base import query
 from lexforge.session import table
 
-_NOTES = [(0, "Patient was diagnosed with severe asthma. Amoxicillin prescribed for infection, 500 mg."), (1, "Surgery was performed on the knee on 2024-03-01 at Central Hospital by Dr. Lee."), (2, "nothing of note"), (3, None)]
-
-
-def _notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_NOTES, "id int, text string")
-
-
 @query("""SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 25""")
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_size").alias("confidence"))
     return V.review_queue(rows, "low_conf", 25, "p_partkey").select("p_partkey", "p_size")
 
 
-@query("""WITH t AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name AS original, upper(p_name) AS corrected, count(*) AS frequency FROM part WHERE p_size > 25 GROUP BY p_name)
-SELECT p_name, corrected, 1.0::DOUBLE AS similarity FROM t JOIN c ON original = p_name""")
+@query("""WITH t AS (SELECT DISTINCT p_name FROM part), c AS (SELECT DISTINCT p_name AS original, upper(p_name) AS corrected FROM part WHERE p_size > 25),
+e AS (SELECT p_name, corrected, 1.0::DOUBLE AS similarity, 'exact' AS match FROM t JOIN c ON original = p_name), l AS (SELECT *, list_distinct(string_split(original, '')) AS y FROM c),
+r AS (SELECT p_name, list_distinct(string_split(p_name, '')) AS x FROM t WHERE p_name NOT IN (SELECT p_name FROM e))
+SELECT * FROM e UNION ALL SELECT p_name, corrected, round(len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity, 'fuzzy' AS match FROM r, l
+WHERE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) > 0.8""")
 def correction_lookup(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
-    fixes = parts.where("p_size > 25").groupBy(F.col("p_name").alias("original")).agg(F.max(F.upper("p_name")).alias("corrected"), F.count(F.lit(1)).alias("frequency"))
-    return V.match_corrections(parts.select("p_name").distinct(), fixes, "p_name").where("similarity = 1.0")
+    fixes = parts.where("p_size > 25").select(F.col("p_name").alias("original"), F.upper("p_name").alias("corrected")).distinct()
+    return V.match_corrections(parts.select("p_name").distinct(), fixes, "p_name").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""WITH w AS (SELECT p_name, list_distinct(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM (SELECT DISTINCT p_name FROM part)),
@@ -47,10 +43,14 @@ def fallback_pick(spark: SparkSession, d: str) -> DataFrame:
     return V.fallback_model(models, 20, "3").select("id", "cost")
 
 
-@query("""SELECT s_suppkey AS id FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1""")
+@query("""SELECT * FROM (SELECT 'priority' AS strategy, s_suppkey AS id FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'lru', s_suppkey FROM supplier ORDER BY CASE WHEN s_nationkey > 3 THEN s_nationkey END NULLS FIRST, s_suppkey LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'round_robin', s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET (SELECT 1234567 % count(*) FROM supplier))""")
 def account_pick(spark: SparkSession, d: str) -> DataFrame:
-    accounts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("priority"), F.lit(True).alias("active"))
-    return V.next_account(accounts, "priority").select("id")
+    used = F.when(F.col("s_nationkey") > 3, F.col("s_nationkey"))
+    accounts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("priority"), used.alias("last_used"), F.lit(True).alias("active"))
+    picks = [V.next_account(accounts, s, 1234567).select(F.lit(s).alias("strategy"), "id") for s in ("priority", "lru", "round_robin")]
+    return picks[0].unionAll(picks[1]).unionAll(picks[2])
 
 
 @query("""SELECT l_orderkey, arg_max(l_returnflag, (length(l_returnflag), l_discount, l_linestatus, l_returnflag)) AS text FROM lineitem GROUP BY l_orderkey""")
@@ -59,41 +59,6 @@ def fused_lines(spark: SparkSession, d: str) -> DataFrame:
     return V.fused_lines(rows, "l_orderkey", "longest_text", {"F": 0.9, "O": 0.8}).select("l_orderkey", "text")
 
 
-@query("""SELECT * FROM (VALUES (0, 'DIAGNOSIS', 'diagnosed with severe asthma'), (0, 'MEDICATION', 'Amoxicillin'), (0, 'VALUE', '500 mg'), (1, 'PROCEDURE', 'Surgery'), (1, 'ANATOMY', 'knee'), (1, 'DATE', '2024-03-01')) t(id, kind, value)""")
-def medical_entities(spark: SparkSession, d: str) -> DataFrame:
-    return M.entities(_notes(spark), "id", "text").select("id", "kind", "value")
-
-
-@query("""SELECT * FROM (VALUES (0, 'patient', 'DIAGNOSED_WITH', 'severe asthma', NULL), (0, 'amoxicillin', 'PRESCRIBED_FOR', 'infection', NULL), (1, 'surgery', 'PERFORMED_ON', 'knee', 'ANATOMY')) t(id, subject, relation, object, object_kind)""")
-def medical_relations(spark: SparkSession, d: str) -> DataFrame:
-    notes = _notes(spark)
-    return M.grounded(M.relations(notes, "id", "text"), M.entities(notes, "id", "text"), "id").select("id", "subject", "relation", "object", "object_kind")
-
-
-@query("""SELECT * FROM (VALUES (1, 'ORGANIZATION', 'Central Hospital'), (1, 'PERSON', 'Dr. Lee'), (1, 'DATE', '2024-03-01')) t(id, kind, value)""")
-def named_entities(spark: SparkSession, d: str) -> DataFrame:
-    return M.names(_notes(spark), "id", "text").select("id", "kind", "value")
-
-
-@query("""SELECT * FROM (VALUES (0, 1.0::DOUBLE, 1.0::DOUBLE), (1, 0.5::DOUBLE, 0.0::DOUBLE), (2, 1.0::DOUBLE, 1.0::DOUBLE)) t(id, recall, preserved)""")
-def dedup_safety(spark: SparkSession, d: str) -> DataFrame:
-    cases = spark.createDataFrame([(0, ["a b", "c"], ["a b", "c"], [("a b", "c")]), (1, ["a b", "c d"], ["a b"], [("a b", "c d")]), (2, [], [], [])], "id int, input array<string>, output array<string>, protected array<struct<a:string,b:string>>")
-    return V.dedup_safety(cases, "id")
-
-
-@query("""SELECT * FROM (VALUES (0, 'bone', 'عظم'), (2, 'knee joint', 'مفصل الركبة')) t(id, english, arabic)""")
-def vocabulary_pairs(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([(0, "bone | عظم"), (1, "only english"), (2, "knee joint - مفصل الركبة")], "id int, t string")
-    return V.bilingual_pairs(lines, "id", "t")
-
-
-@query("""SELECT * FROM (VALUES ('بيت', 'بيت'), ('نيت', 'بيت'), ('xyz', 'xyz')) t(token, word)""")
-def dotted_recovery(spark: SparkSession, d: str) -> DataFrame:
-    tokens = spark.createDataFrame([("بيت",), ("نيت",), ("xyz",)], "token string")
-    vocabulary = spark.createDataFrame([("بيت", 9), ("بنت", 3)], "word string, frequency int")
-    return V.recovered(tokens, vocabulary, "token")
-
-
 @query("""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1) <> '' THEN regexp_extract(substr(text, 1, 200), '(?s)^(.*[.!?])', 1) ELSE substr(text, 1, 200) END AS summary FROM documents""")
 def lead_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", M.lead_summary(F.col("text")).alias("summary"))

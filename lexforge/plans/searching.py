@@ -39,10 +39,20 @@ f AS (SELECT term, count(*) AS df FROM t GROUP BY term)
 SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM t JOIN f USING (term), s GROUP BY doc_id""")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    got = S.bm25(S.postings(docs, "doc_id", "text"), S.corpus_size(docs, "text"), ["license", "Apache", "version"], "doc_id")
+    got = S.bm25_scan(docs, ["license", "Apache", "version"], "doc_id", "text")
     return got.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id")
 
 
+@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM w), p AS (SELECT item_id, len(w) AS len, unnest(w) AS term FROM w),
+t AS (SELECT term, item_id, count(*) AS tf, any_value(len) AS len FROM p WHERE term IN ('the', 'und') GROUP BY term, item_id), f AS (SELECT term, count(*) AS df FROM t GROUP BY term)
+SELECT item_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM t JOIN f USING (term), s GROUP BY item_id""")
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark")
+    got = S.bm25(S.postings(items, "item_id", "text"), S.corpus_size(items, "text"), ["the", "und"], "item_id")
+    return got.select("item_id", F.round("score", 6).alias("score"))
+
+
 @query("""SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN greatest(p - 100, 1) > 1 THEN '...' ELSE '' END || substr(text, greatest(p - 100, 1), p + 107 - greatest(p - 100, 1)) || CASE WHEN p + 107 <= length(text) THEN '...' ELSE '' END
 ELSE substr(text, 1, 200) END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'license') AS p FROM documents)""")
 def search_snippet(spark: SparkSession, d: str) -> DataFrame:

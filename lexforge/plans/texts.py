@@ -26,12 +26,6 @@ def norm_text_cmp(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", N.comparison(F.col("text")).alias("t"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'محمد الى المدرسة', 'محمد الي المدرسة', 'محمد الي المدرسه', true), (1, 'إسلام آمن أحمد', 'اسلام آمن احمد', 'اسلام امن احمد', false), (2, 'كـــتاب', 'كـــتاب', 'كتاب', false)) t(id, sanitised, evaluation, comparison, marked)""")
-def arabic_normalise(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "مُحَمَّد  إلى المدرسة".replace("إلى", "الى")), (1, "إسلام آمن أحمد"), (2, "كـــتاب")], "id int, t string")
-    return rows.select("id", N.collapse(N.sanitised_label(F.col("t"))).alias("sanitised"), N.evaluation(F.col("t")).alias("evaluation"), N.comparison(F.col("t")).alias("comparison"), N.has_diacritics(F.col("t")).alias("marked"))
-
-
 _LETTERS = "len(regexp_extract_all(text, '[A-Za-z]'))"
 _ARABIC = "len(regexp_extract_all(text, '[\\x{0600}-\\x{06FF}]'))"
 
@@ -159,24 +153,6 @@ def grammar_check(spark: SparkSession, d: str) -> DataFrame:
     return got.select("conv_id", "turn", "g.missing_space", "g.space_before", "triple")
 
 
-@query("""SELECT * FROM (VALUES (0, 'aspirin,warfarin', 'aspirin+warfarin', 0::INT, 0.5::DOUBLE), (1, 'aspirin', '', 1::INT, 0.7::DOUBLE), (2, '', '', 0::INT, 0.95::DOUBLE), (3, 'ibuprofen', '', 0::INT, 0.95::DOUBLE)) t(id, drugs, interactions, dose_errors, confidence)""")
-def drug_checks(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "Warfarin 5mg daily + Aspirin 100mg daily"), (1, "Aspirin 1000 mg at once"), (2, "rest and water"), (3, "ibuprofen 400 mg TID")], "id int, t string")
-    c = F.col("t")
-    rows = rows.select("id", F.array_join(D.drugs(c), ",").alias("drugs"), F.array_join(D.interactions(c), ",").alias("interactions"), F.size(D.dose_issues(c)).alias("dose_errors"), D.dose_issues(c).alias("i"), F.size(D.interactions(c)).alias("n"))
-    levels = F.concat(F.transform("i", lambda x: x.level), F.array_repeat(F.lit("CRITICAL"), F.col("n")))
-    return rows.select("id", "drugs", "interactions", "dose_errors", F.round(D.validator_confidence(levels), 6).alias("confidence"))
-
-
-@query("""SELECT * FROM (VALUES (0, 1, 'laterality'), (2, 3, ''), (4, 5, 'severity')) t(id_a, id_b, conflicts)""")
-def merge_safety(spark: SparkSession, d: str) -> DataFrame:
-    texts = [(0, "fracture of the right wrist"), (1, "fracture of the left wrist"), (2, "pain in the knee"), (3, "pain in the right knee"), (4, "mild pain in the knee"), (5, "severe pain in the knee")]
-    rows = spark.createDataFrame(texts, "id int, t string")
-    a, b = rows.alias("a"), rows.alias("b")
-    both = a.join(b, (F.col("b.id") == F.col("a.id") + 1) & (F.col("a.id") % 2 == 0))
-    return both.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.array_join(D.merge_conflicts(F.col("a.t"), F.col("b.t")), ",").alias("conflicts"))
-
-
 @query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS value FROM documents) SELECT doc_id, value, count(*) AS n FROM m GROUP BY doc_id, value""")
 def entity_spans(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -185,7 +161,7 @@ def entity_spans(spark: SparkSession, d: str) -> DataFrame:
     return right.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, '{"resourceType":"Bundle","type":"document","entry":[{"resource":{"resourceType":"Composition","title":"document ' || doc_id || '","section":[{"text":' || to_json(substr(text, 1, 40))::VARCHAR || '}]}}]}' AS bundle FROM documents WHERE NOT regexp_matches(text, '[/]')""")
+@query("""SELECT doc_id, '{"resourceType":"Bundle","type":"document","entry":[{"resource":{"resourceType":"Composition","title":"document ' || doc_id || '","section":[{' || coalesce('"text":' || to_json(text)::VARCHAR, '') || '}]}}]}' AS bundle FROM documents""")
 def fhir_bundle(spark: SparkSession, d: str) -> DataFrame:
     from lexforge.operators.export import fhir
 

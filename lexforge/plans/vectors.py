@@ -38,20 +38,17 @@ def _grams(name: str, key: str) -> str:
 
 @query(f"WITH b AS ({_grams('benchmark', 'item_id')}), t AS ({_grams('documents', 'doc_id')}) SELECT doc_id, item_id, count(*) AS shared FROM t JOIN b USING (g) GROUP BY doc_id, item_id")
 def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
-    grams = lambda name, key: table(spark, d, name).select(key, F.explode(U.shingles(F.lower("text"), 8)).alias("g")).where(F.size(F.split("g", " ")) == 8)
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    return U.shared_grams(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", 8)
 
 
-@query("""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS r, regexp_replace(substr(replace(text, 'th', 't'), 1, 200), '[^ -~]', '', 'g') AS h FROM benchmark), c AS (SELECT item_id, CASE WHEN length(r) > 0 THEN levenshtein(r, h)::DOUBLE / length(r) WHEN length(h) = 0 THEN 0 ELSE 1 END AS cer FROM b)
-SELECT item_id, round(cer, 6) AS cer, CASE WHEN cer <= 0.02 THEN 'A+' WHEN cer <= 0.05 THEN 'A' WHEN cer < 0.1 THEN 'B' WHEN cer <= 0.2 THEN 'C' WHEN cer <= 0.4 THEN 'D' ELSE 'F' END AS grade FROM c""")
+@query()
 def cer_grade(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("r"), F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("h"))
     rate = M.cer(F.col("r"), F.col("h"))
     return rows.select("item_id", F.round(rate, 6).alias("cer"), M.grade(rate).alias("grade"))
 
 
-@query("""WITH b AS (SELECT item_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS r, regexp_replace(substr(replace(text, 'th', 't'), 1, 200), '[^ -~]', '', 'g') AS h FROM benchmark)
-SELECT round(sum(levenshtein(r, h))::DOUBLE / sum(length(r)), 6) AS micro, round(avg(levenshtein(r, h)::DOUBLE / length(r)), 6) AS macro, round(avg((r = h)::INT), 6) AS exact, count(*) AS n FROM b WHERE length(r) > 0""")
+@query()
 def corpus_error_rate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark").select(F.col("text").alias("r"), F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("h")).where("char_length(r) > 0")
     edits, n = F.levenshtein("r", "h"), F.char_length("r")

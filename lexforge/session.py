@@ -34,9 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = getattr(shared_folder, "own", None) or f"file://{tempfile.mkdtemp(prefix='lexforge-')}"
+        shared_folder.own = root
+    return root.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder of spark.checkpoint.dir; own folder only if unset."""
+    """df with its lineage cut in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

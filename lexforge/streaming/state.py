@@ -7,7 +7,6 @@ events in applyInPandas) and a stream (applyInPandasWithState keeps the dict bet
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,23 +27,26 @@ class RateLimiter:
         self.limit, self.burst, self.window, self.violations, self.penalty = limit, burst, window, violations, penalty
 
     def start(self) -> dict:
-        return {"hits": [], "bad": [], "until": 0.0}
+        return {"hits": [], "from": 0, "bad": [], "until": 0.0}
 
     def step(self, s: dict, t: float, row) -> tuple:
         if t < s["until"]:
-            return False, len(s["hits"]), True
-        hits = deque(s["hits"])
-        while hits and hits[0] <= t - self.window:
-            hits.popleft()
-        allowed = len(hits) < self.limit + self.burst
+            return False, len(s["hits"]) - s["from"], True
+        hits = s["hits"]
+        while s["from"] < len(hits) and hits[s["from"]] <= t - self.window:
+            s["from"] += 1
+        if s["from"] > len(hits) // 2:  # what has left the window goes when it is the larger part
+            del hits[: s["from"]]
+            s["from"] = 0
+        n = len(hits) - s["from"]
+        allowed = n < self.limit + self.burst
         if allowed:
             hits.append(t)
         else:
             s["bad"] = [b for b in s["bad"] if b > t - 3600] + [t]
             if len(s["bad"]) >= self.violations:
                 s["until"], s["bad"] = t + self.penalty, []
-        s["hits"] = list(hits)
-        return allowed, len(hits), False
+        return allowed, n + allowed, False
 
 
 class CircuitBreaker:
@@ -77,6 +79,35 @@ class CircuitBreaker:
         return s["state"], True
 
 
+class Throttle:
+    """Blocks a provider after a call that failed, twice as long with every failure in a row, and
+    while its quota of calls in the window is used up; a good call ends the row."""
+
+    out = "sent boolean, wait double"
+
+    def __init__(self, quota: int = 60, window: float = 60.0, pause: float = 1.0, longest: float = 300.0) -> None:
+        self.quota, self.window, self.pause, self.longest = quota, window, pause, longest
+
+    def start(self) -> dict:
+        return {"until": 0.0, "failures": 0, "since": 0.0, "used": 0}
+
+    def step(self, s: dict, t: float, row) -> tuple:
+        if t < s["until"]:
+            return False, s["until"] - t
+        if t - s["since"] >= self.window:
+            s |= {"since": t, "used": 0}
+        if s["used"] >= self.quota:
+            s["until"] = s["since"] + self.window
+            return False, s["until"] - t
+        s["used"] += 1
+        if row.ok:
+            s["failures"] = 0
+        else:
+            s["until"] = t + min(self.pause * 2 ** s["failures"], self.longest)
+            s["failures"] += 1
+        return True, 0.0
+
+
 class Cooldown:
     """Passes a firing event only if none of its key passed within the last seconds."""
 

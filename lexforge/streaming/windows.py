@@ -53,6 +53,13 @@ def watch_folder(spark: SparkSession, path: str, schema: str, kind: str = "json"
     return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
+def fan_out(events: DataFrame, subscribers: DataFrame, tenant: str, seconds: int, ts: str = "ts") -> DataFrame:
+    """Every event with each subscriber of its tenant whose heartbeat (column seen) is at most seconds
+    older than the event; subscribers hold tenant, subscriber and seen."""
+    alive = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("seen").cast("timestamp"))
+    return events.join(subscribers, tenant).where(alive.between(0, seconds * 1_000_000)).drop("seen")
+
+
 def upsert_stream(df: DataFrame, apply, checkpoint: str, trigger: dict | None = None):
     """Starts a query that hands every micro-batch to apply(frame, batch_id)."""
     return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
