@@ -240,11 +240,11 @@ def merged_pages(spark: SparkSession, d: str) -> DataFrame:
     return V.merged_pages(rows, "l_orderkey", "page", {"easyocr": 0.95, "trocr": 0.88}).select("l_orderkey", "page", "text", "engines")
 
 
-@query("""SELECT o_custkey, arg_min(k, (-round(s, 9), k)) AS category, round(max(s), 6) AS confidence, floor(max(s) / sum(s) * 1000000)::BIGINT AS share FROM (SELECT o_custkey, o_orderpriority AS k, sum((o_orderkey % 100) / 100.0) AS s FROM orders GROUP BY ALL) GROUP BY o_custkey HAVING sum(s) > 0""")
+@query("""SELECT o_custkey, arg_min(k, (-round(s, 9), k)) AS category, max(s)::DOUBLE AS confidence, floor(max(s)::DOUBLE / sum(s)::DOUBLE * 1000000)::BIGINT AS share FROM (SELECT o_custkey, o_orderpriority AS k, sum(o_orderkey % 100) AS s FROM orders GROUP BY ALL) GROUP BY o_custkey HAVING sum(s) > 0""")
 def classification_vote(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 100 / 100.0).alias("confidence"))
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 100).cast("double").alias("confidence"))
     got = V.classification_vote(rows, "o_custkey", "category", "confidence").where("share is not null")
-    return got.select("o_custkey", "category", F.round("confidence", 6).alias("confidence"), F.floor(F.col("share") * 1_000_000).alias("share"))
+    return got.select("o_custkey", "category", "confidence", F.floor(F.col("share") * 1_000_000).alias("share"))
 
 
 @query("""SELECT l_orderkey, CASE WHEN sum(n) >= 3 THEN arg_max(t, (n, c, t)) ELSE arg_max(t, (c, t)) END AS text FROM (SELECT l_orderkey, l_returnflag AS t, count(*) AS n, max(l_discount) AS c FROM lineitem GROUP BY ALL) GROUP BY l_orderkey""")
