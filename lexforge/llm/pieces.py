@@ -166,7 +166,9 @@ class PieceCodec:
             keep[left + 1] = False
             moved = np.cumsum(keep) - 1
             start, end, word, pair = start[keep], end[keep], word[keep], pair[keep]
-            touched = np.unique(np.concatenate([moved[left], np.maximum(moved[left] - 1, 0)]))
+            near = np.zeros(len(start), dtype=bool)
+            near[moved[left]] = near[np.maximum(moved[left] - 1, 0)] = True
+            touched = np.flatnonzero(near)
             pair[touched] = none
             ok = touched[(touched + 1 < len(start))]
             ok = ok[word[ok] == word[ok + 1]]
@@ -185,7 +187,9 @@ class PieceCodec:
         chain = np.cumsum(np.concatenate([[True], (np.diff(hits) > 1) | (word[hits][1:] != word[hits][:-1])])) - 1
         begin = hits[np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))]
         left = hits[(hits - begin[chain]) % 2 == 0]
-        if len(left) == len(np.unique(word[left])):
+        own = word[left]  # in order
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        if new.all():
             return left
         worse = np.zeros(len(left), dtype=bool)
         n, made = len(start), np.zeros(len(start) + 1, dtype=bool)
@@ -201,10 +205,9 @@ class PieceCodec:
             if need is not None:
                 on &= need[at]
             worse[on] |= look(start[at[on]], end[left[on] + 1]) < pair[left[on]]
-        bad = np.isin(word[left], word[left][worse])
-        lead = np.zeros(len(left), dtype=bool)
-        lead[np.unique(word[left], return_index=True)[1]] = True
-        return left[~bad | lead]
+        run = np.cumsum(new) - 1
+        bad = np.bincount(run, worse, run[-1] + 1)[run] > 0
+        return left[~bad | new]
 
     def _best_path(self, data: np.ndarray, owner: np.ndarray, edges) -> tuple[np.ndarray, np.ndarray]:
         """Unigram relaxation: the best-scoring cover of every run, single characters as a last resort."""
