@@ -150,9 +150,12 @@ def drugs(c: Column) -> Column:
 
 def interactions(c: Column) -> Column:
     """Interacting pairs of which both drugs occur, in either order."""
-    found = drugs(c)
-    pair = lambda p: F.when(F.array_contains(found, p[0]) & F.array_contains(found, p[1]), F.lit("+".join(sorted(p))))
-    return F.filter(F.array(*[pair(p) for p in INTERACTIONS]), lambda v: v.isNotNull())
+
+    def pairs(found: Column) -> Column:
+        pair = lambda p: F.when(F.array_contains(found, p[0]) & F.array_contains(found, p[1]), F.lit("+".join(sorted(p))))
+        return F.filter(F.array(*[pair(p) for p in INTERACTIONS]), lambda v: v.isNotNull())
+
+    return bound(drugs(c), pairs)
 
 
 DOSAGE = r"(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|IU|units?)\b"

@@ -79,7 +79,8 @@ def shared_grams(docs: DataFrame, items: DataFrame, key: str, item: str, text: s
     beyond, the join is dealt out by hash. Documents give up hashes, not strings; a hit is compared
     word by word.
     """
-    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(w, i, width)).alias("h")))
+    rolled = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - width + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(x, i, width)).alias("h")))
+    hashes = lambda w: bound(F.transform(w, lambda x: F.xxhash64(x)), rolled)  # noqa: E731  a word is hashed once, not once per gram
     listed = lambda df, k: df.select(k, words(F.lower(text)).alias("w")).where(F.size("w") >= width)
     grams = listed(items, item).select(item, "w", F.explode(hashes(F.col("w"))).alias("e")).select(item, "e.h", F.slice("w", F.col("e.i"), width).alias("g")).distinct()
     grams = cut(grams)

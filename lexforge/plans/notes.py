@@ -6,7 +6,7 @@ that Spark and SQL both compute; every order has one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import detect as D
@@ -91,9 +91,14 @@ _PAIRS = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{a}') AN
 SELECT o_orderkey, array_to_string({_HAS('text', _DRUGS)}, ',') AS drugs, array_to_string({_PAIRS}, ',') AS interactions, len({_PAIRS}) AS n, {_LOWS} AS lows, {_HIGHS} AS highs FROM {_NOTES})""")
 def drug_checks(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
-    rows = _notes(spark, d).select("o_orderkey", F.array_join(D.drugs(c), ",").alias("drugs"), D.interactions(c).alias("p"), D.dose_issues(c).alias("i"))
-    levels = F.concat(F.transform("i", lambda x: x.level), F.transform("p", lambda x: F.lit("CRITICAL")))
-    return rows.select("o_orderkey", "drugs", F.array_join("p", ",").alias("interactions"), F.size("i").alias("dose_errors"), F.round(D.validator_confidence(levels), 6).alias("confidence"))
+    found = F.struct(D.drugs(c).alias("drugs"), D.interactions(c).alias("pairs"), D.dose_issues(c).alias("issues"))
+
+    def checked(x: Column) -> Column:
+        levels = F.concat(F.transform(x.issues, lambda y: y.level), F.transform(x.pairs, lambda y: F.lit("CRITICAL")))
+        return F.struct(F.array_join(x.drugs, ",").alias("drugs"), F.array_join(x.pairs, ",").alias("interactions"), F.size(x.issues).alias("dose_errors"), F.round(D.validator_confidence(levels), 6).alias("confidence"))
+
+    got = _notes(spark, d).select("o_orderkey", N.bound(found, checked).alias("x"))
+    return got.select("o_orderkey", "x.drugs", "x.interactions", "x.dose_errors", "x.confidence")
 
 
 FINDINGS = ["fracture of the right wrist", "fracture of the left wrist", "mild pain in the knee", "severe pain in the shoulder", "كسر مغلق أيمن حاد", "كسر مفتوح أيسر مزمن", "no change since", "acute open fracture of the spine"]
