@@ -183,6 +183,54 @@ def rtl_display(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").selectExpr("p_partkey", f"{_MIXED} AS t").select("p_partkey", N.rtl_display(F.col("t")).alias("shown"))
 
 
+_TENS = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]
+_ONES = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+_ROMAN = f"{pick(_TENS, '(p_size * 3 - p_size * 3 % 10) / 10')} || {pick(_ONES, '(p_size * 3)')}"
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 AND p_size * 3 % 100 > 0 THEN (p_size * 3 % 100)::INT END AS value FROM part""")
+def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh numeral has a letter too many."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{_ROMAN} || CASE WHEN p_partkey % 7 = 0 THEN 'IIII' ELSE '' END AS t")
+    return rows.select("p_partkey", N.roman_value(F.col("t")).alias("value"))
+
+
+_PATH = "'in/' || p_brand || '\\\\..' || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' : a?' ELSE '' END || '.' || " + pick(["PDF", "txt", "tar", "png", "xyz", "py", "mp3"], "p_partkey")
+
+
+@query(f"""SELECT p_partkey, left(regexp_replace(regexp_replace(list_extract(regexp_split_to_array(p, '[/\\\\]'), -1), '[<>:"|?*]', '_', 'g'), '^\\.+', ''), 255) AS name,
+CASE lower(regexp_extract(p, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'document' WHEN 'txt' THEN 'text' WHEN 'tar' THEN 'archive' WHEN 'png' THEN 'image' WHEN 'py' THEN 'code' WHEN 'mp3' THEN 'audio' ELSE 'other' END AS kind
+FROM (SELECT p_partkey, {_PATH.replace(chr(92) * 2, chr(92))} AS p FROM part)""")
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    path = F.col("p")
+    return table(spark, d, "part").selectExpr("p_partkey", f"{_PATH} AS p").select("p_partkey", N.safe_filename(path).alias("name"), D.file_kind(path).alias("kind"))
+
+
+@query(f"""SELECT p_partkey, array_to_string({_ALL}(t, '[\\x{{600}}-\\x{{6FF}}]+'), ' ') AS arabic, array_to_string({_ALL}(t, '[A-Za-z]+'), ' ') AS latin, array_to_string({_ALL}(t, '[0-9]+'), ' ') AS numbers
+FROM (SELECT p_partkey, {_MIXED} || ' ' || p_size AS t FROM part)""")
+def script_components(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{_MIXED} || ' ' || p_size AS t").select("p_partkey", N.components(F.col("t")).alias("c"))
+    return rows.select("p_partkey", "c.arabic", "c.latin", "c.numbers")
+
+
+@query("""SELECT o_custkey, lang, count(*) AS runs, sum(len(w))::BIGINT AS tokens FROM (SELECT o_custkey, k, s, CASE WHEN o_orderkey % 3 = 0 THEN 'ar' WHEN o_orderkey % 3 = 1 THEN 'en' ELSE 'other' END AS lang, list(k) AS w FROM (
+SELECT *, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS s, 1 AS k FROM (SELECT *, CASE WHEN lag(o_orderkey % 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = o_orderkey % 3 THEN 0 ELSE 1 END AS fresh FROM orders)) GROUP BY ALL) GROUP BY o_custkey, lang""")
+def language_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of a customer in turn, written as one Arabic word, one Latin word or one number each."""
+    token = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'كلمة' WHEN 1 THEN 'word' ELSE '77' END")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", token.alias("w")))), lambda x: x.w), " ")
+    runs = table(spark, d, "orders").groupBy("o_custkey").agg(line.alias("t")).select("o_custkey", F.explode(N.language_runs(F.col("t"))).alias("r"))
+    return runs.groupBy("o_custkey", F.col("r.lang").alias("lang")).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.size(F.split("r.text", " "))).alias("tokens"))
+
+
+@query("""SELECT p_partkey FROM part WHERE p_brand = 'Brand#1' AND p_size % 3 >= 2 AND p_type = (SELECT min(p_type) FROM part WHERE p_brand = 'Brand#1') AND p_size % 2 = 1""")
+def trusted_patterns(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part")
+    kind = rows.where("p_brand = 'Brand#1'").agg(F.min("p_type")).first()[0] or ""
+    patterns = rows.select("p_partkey", F.col("p_brand").alias("image_hash"), F.col("p_type").alias("language"), F.lit("w").alias("writer_id"), (F.col("p_size") % 3).alias("usage"), (F.col("p_size") % 2).alias("corrections"))
+    return V.pattern_lookup(patterns, "Brand#1", kind, "w").select("p_partkey")
+
+
 # --- features, samples, models
 
 

@@ -207,3 +207,14 @@ def best_model(spark: SparkSession, d: str) -> DataFrame:
     models = table(spark, d, "supplier").selectExpr("s_nationkey", f"{_VERSION} AS version", "floor(s_acctbal / 1000) AS score")
     key = C.version_key(F.col("version"))
     return models.groupBy("s_nationkey").agg(F.max_by("version", F.struct("score", key)).alias("best"), F.max_by("version", key).alias("newest"), F.count(F.lit(1)).alias("kept"))
+
+
+_HITS = [f"len({_ALL}(text, '{_quoted(p)}'))" for p in M.CATEGORIES.values()]
+_MOST = "CASE WHEN m = 0 THEN 'general' " + " ".join(f"WHEN n[{i + 1}] = m THEN '{k}'" for i, k in enumerate(M.CATEGORIES)) + " END"
+
+
+@query(f"""SELECT o_orderkey, {_MOST} AS category, round(least(1.0, 0.5 + CASE WHEN length(text) < 30 THEN 0.2 WHEN length(text) < 60 THEN 0.1 ELSE 0 END + least(0.1 * list_sum(n), 0.3)), 6) AS confidence
+FROM (SELECT *, list_max(n) AS m FROM (SELECT o_orderkey, text, [{', '.join(_HITS)}] AS n FROM {_NOTES}))""")
+def note_categories(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("text")
+    return _notes(spark, d).select("o_orderkey", M.category(c).alias("category"), F.round(M.term_confidence(c, F.lit(None).cast("string")), 6).alias("confidence"))
