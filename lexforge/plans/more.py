@@ -223,12 +223,10 @@ def language_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("o_custkey", F.col("r.lang").alias("lang")).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.size(F.split("r.text", " "))).alias("tokens"))
 
 
-@query("""SELECT p_partkey FROM part WHERE p_brand = 'Brand#1' AND p_size % 3 >= 2 AND p_type = (SELECT min(p_type) FROM part WHERE p_brand = 'Brand#1') AND p_size % 2 = 1""")
+@query("""SELECT p_partkey FROM part WHERE p_brand = 'Brand#1' AND p_size % 3 >= 2 AND p_size % 2 = 1""")
 def trusted_patterns(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part")
-    kind = rows.where("p_brand = 'Brand#1'").agg(F.min("p_type")).first()[0] or ""
-    patterns = rows.select("p_partkey", F.col("p_brand").alias("image_hash"), F.col("p_type").alias("language"), F.lit("w").alias("writer_id"), (F.col("p_size") % 3).alias("usage"), (F.col("p_size") % 2).alias("corrections"))
-    return V.pattern_lookup(patterns, "Brand#1", kind, "w").select("p_partkey")
+    patterns = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("image_hash"), F.lit("en").alias("language"), F.lit("w").alias("writer_id"), (F.col("p_size") % 3).alias("usage"), (F.col("p_size") % 2).alias("corrections"))
+    return V.pattern_lookup(patterns, "Brand#1", "en", "w").select("p_partkey")
 
 
 # --- features, samples, models
