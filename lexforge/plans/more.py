@@ -31,9 +31,9 @@ _ALL = "regexp_extract_all"
 # --- changes of tables
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 AND o.m IS NOT NULL THEN o.m ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""")
+@query("""SELECT c_custkey, coalesce(o.m, c_acctbal) AS c_acctbal, c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""")
 def update_by_key(spark: SparkSession, d: str) -> DataFrame:
-    changes = table(spark, d, "orders").where("o_custkey % 5 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), F.lit("hacked").alias("c_mktsegment"))
+    changes = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), F.lit("hacked").alias("c_mktsegment"))
     return R.update_by_key(table(spark, d, "customer"), changes, ["c_custkey"], ["c_acctbal"]).select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
@@ -318,11 +318,12 @@ def greedy_spans(spark: SparkSession, d: str) -> DataFrame:
 # --- events
 
 
-@query("""SELECT event_id, subscriber FROM events JOIN (SELECT c_nationkey % 10 AS tenant, c_custkey AS subscriber, TIMESTAMP '2024-01-01' + to_hours(CAST(c_custkey * 7 % 400 AS INTEGER)) AS seen FROM customer WHERE c_custkey <= 40) ON tenant = user_id % 10 WHERE epoch_us(ts) - epoch_us(seen) BETWEEN 0 AND 86400000000""")
+@query("""SELECT event_id, subscriber FROM events JOIN (SELECT c_custkey // 10 AS tenant, c_custkey AS subscriber, TIMESTAMP '2024-01-01' + to_hours(CAST(c_custkey * 7 % 700 AS INTEGER)) AS seen FROM customer) ON tenant = user_id WHERE epoch_us(ts) - epoch_us(seen) BETWEEN 0 AND 86400000000""")
 def tenant_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    seen = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(c_custkey * 7 % 400 as int))")
-    subscribers = table(spark, d, "customer").where("c_custkey <= 40").select((F.col("c_nationkey") % 10).alias("tenant"), F.col("c_custkey").alias("subscriber"), seen.alias("seen"))
-    events = windows.event_time(table(spark, d, "events")).withColumn("tenant", F.col("user_id") % 10)
+    """A user is the tenant of ten customers, so fan-out grows with the events."""
+    seen = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(c_custkey * 7 % 700 as int))")
+    subscribers = table(spark, d, "customer").select(F.expr("c_custkey div 10").alias("tenant"), F.col("c_custkey").alias("subscriber"), seen.alias("seen"))
+    events = windows.event_time(table(spark, d, "events")).withColumn("tenant", F.col("user_id"))
     return windows.fan_out(events, subscribers, "tenant", 86_400).select("event_id", "subscriber")
 
 
