@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import map_batches, staged, text_of
+from lexforge.llm.common import map_batches, map_tasks, staged, text_of
 from lexforge.llm.secrets import SPANS, digest_rows, merged
 
 BASE = ("email", "ip", "card", "phone")
@@ -41,6 +41,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 RUN = re.compile(r"[A-Za-z0-9._%+@/#-]+")
 TELLING = re.compile(r"[0-9@]")
 LEFT, RIGHT, FILTER_BITS = 80, 48, 27
+REMEMBER = 200_000  # tokens
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = str.maketrans("123456789", "000000000")
 
@@ -190,26 +191,33 @@ def occurrences(df: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
         (bit_filter(patterns, F.col("pattern"), count), bit_filter(patterns, F.substring_index("pattern", " ", 1), count))
     )
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wanted, lefts = shared.value
-        seen, norm = Counter(), {}
-        for value in frame["t"]:
-            toks = text_of(value).split()
-            for t in set(toks).difference(norm):
-                w = word(t)
-                norm[t] = w, lets(lefts, w)
-            toks = [norm[t] for t in toks]
-            for j in [j for j, t in enumerate(toks) if t[1]]:
-                a = toks[j][0]
-                seen[f"{a} _"] += 1
-                if j + 1 < len(toks):
-                    seen[f"{a} {toks[j + 1][0]} _"] += 1
-                if j + 2 < len(toks):
-                    seen[f"{a} _ {toks[j + 2][0]}"] += 1
-        found = [(p, n) for p, n in seen.items() if lets(wanted, p)]
-        return pd.DataFrame(found, columns=["pattern", "n"])
-
-    got = map_batches(df.select(df[text_col].alias("t")), run, "pattern string, n long")
+    def start():
+        norm: dict[str, tuple[str, bool]] = {}  # of a task's tokens, so that each is looked at about once
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            wanted, lefts = shared.value
+            seen: Counter = Counter()
+            for value in frame["t"]:
+                toks = text_of(value).split()
+                for t in set(toks).difference(norm):
+                    w = word(t)
+                    norm[t] = w, lets(lefts, w)
+                toks = [norm[t] for t in toks]
+                for j in [j for j, t in enumerate(toks) if t[1]]:
+                    a = toks[j][0]
+                    seen[f"{a} _"] += 1
+                    if j + 1 < len(toks):
+                        seen[f"{a} {toks[j + 1][0]} _"] += 1
+                    if j + 2 < len(toks):
+                        seen[f"{a} _ {toks[j + 2][0]}"] += 1
+                if len(norm) > REMEMBER:
+                    norm.clear()
+            found = [(p, n) for p, n in seen.items() if lets(wanted, p)]
+            return pd.DataFrame(found, columns=["pattern", "n"])
+
+        return run
+
+    got = map_tasks(df.select(df[text_col].alias("t")), start, "pattern string, n long")
     got = got.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
     return staged(got, "pii-totals")
 
