@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline, with SQL where SQL can express them."""
+"""Queries op1 to op13 and the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexforge.llm import html_main, neighbours, packing, pieces, pii, quality, secrets, simhash, substrings, toxicity
+from lexforge.llm import audit, digests, html_main, neighbours, packing, pieces, pii, quality, secrets, simhash, substrings, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": html_main.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_toxicity": toxicity.query,
+        "op11_embedding_whitening": whitening.query,
+        "op12_filter_interaction_audit": audit.query,
+        "op13_document_fingerprints": digests.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_interaction_audit": audit.SQL}
