@@ -1,4 +1,4 @@
-"""Dictionary corrections of texts, learned fixes, suggestions."""
+"""Dictionary corrections of texts and learned fixes."""
 
 from __future__ import annotations
 
@@ -46,13 +46,3 @@ def learned_fixes(votes: DataFrame, least: int = 2) -> DataFrame:
     counts = votes.groupBy(F.lower("original").alias("word"), F.col("corrected").alias("correction")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "correction"))
     return counts.withColumn("r", rank).where("r = 1").select("word", "correction", "n")
-
-
-def close_words(queries: DataFrame, vocabulary: DataFrame, n: int = 5, least: float = 0.45) -> DataFrame:
-    """query, word, similarity: the n closest words, blocked by first letter and similar length."""
-    q = queries.select(F.col("word").alias("query")).withColumn("b", F.substring("query", 1, 1)).withColumn("l", F.explode(F.sequence(F.char_length("query") - 2, F.char_length("query") + 2)))
-    v = vocabulary.select("word").distinct().withColumn("b", F.substring("word", 1, 1)).withColumn("l", F.char_length("word"))
-    both = q.join(v, ["b", "l"])
-    sim = 1 - F.levenshtein("query", "word") / F.greatest(F.char_length("query"), F.char_length("word"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "word"))
-    return both.withColumn("similarity", sim).where(F.col("similarity") >= least).withColumn("r", rank).where(F.col("r") <= n).select("query", "word", "similarity")

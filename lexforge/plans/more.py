@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lexforge.functions import detect as D
 from lexforge.functions import normalize as N
 from lexforge.functions import similarity as M
-from lexforge.operators import correct as K
 from lexforge.operators import curate as C
 from lexforge.operators import dedup as U
 from lexforge.operators import export as X
@@ -78,17 +77,6 @@ def positional_diff(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.array_join(F.transform("p", lambda x: F.concat_ws(">", x.original, x.corrected)), " ").alias("changed"))
 
 
-_NAMES = "(SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS word FROM part)"
-
-
-@query(f"""WITH q AS (SELECT DISTINCT replace(word, 'e', 'a') AS query FROM {_NAMES}), s AS (SELECT query, word, 1 - levenshtein(query, word)::DOUBLE / greatest(length(query), length(word)) AS s FROM q, {_NAMES} v WHERE substr(query, 1, 1) = substr(word, 1, 1) AND abs(length(query) - length(word)) <= 2)
-SELECT query, word, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, word) AS r FROM s WHERE s >= 0.45) WHERE r <= 5""")
-def close_words(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    asked = words.select(F.replace("word", F.lit("e"), F.lit("a")).alias("word")).distinct()
-    return K.close_words(asked, words).withColumn("similarity", F.round("similarity", 6))
-
-
 @query("""SELECT p_partkey, round(len(list_intersect(list_distinct(string_split(p_name, '')), list_distinct(string_split(p_brand, ''))))::DOUBLE / len(list_distinct(list_concat(string_split(p_name, ''), string_split(p_brand, '')))), 6) AS letters,
 round(len(list_filter(list_zip(string_split(p_name, ''), string_split(p_brand, '')), lambda p: p[1] = p[2]))::DOUBLE / greatest(length(p_name), length(p_brand)), 6) AS places FROM part""")
 def letter_similarity(spark: SparkSession, d: str) -> DataFrame:

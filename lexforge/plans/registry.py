@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.plans import curation, events, more, notes, relational, reviewing, searching, texts, vectors
+from lexforge.plans import curation, events, more, notes, relational, reviewing, searching, spelling, texts, vectors
 from lexforge.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "curation", "events", "more", "notes", "relational", "reviewing", "searching", "texts", "vectors"]
+__all__ = ["ORACLE", "QUERIES", "curation", "events", "more", "notes", "relational", "reviewing", "searching", "spelling", "texts", "vectors"]
