@@ -4,7 +4,7 @@ Candidates come from a deletion neighbourhood: a vocabulary word and a token at
 (insert, delete, replace, swap of neighbours) share a string that each reaches by at most two
 deletions, so an equi-join on hashed deletions finds every pair whatever its first letter or length.
 Words of over LONG letters are met by a fifth of their letters instead, since two edits leave one
-fifth whole within two places, so a token of a million letters costs 125 substrings. Close matches
+fifth whole within two places, so a token of a million letters costs 125 hashes. Close matches
 share letters: a pair that may be close shares one of the rarest letters of both, and only pairs
 with enough letters in common are compared.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,38 +36,92 @@ KEYWORDS = "False None True and as assert async await break class continue def d
 # --- candidates within two edits
 
 
-def _shorter(w: Column) -> Column:
-    """All strings with one letter less."""
-    n = F.char_length(w)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))).otherwise(F.array().cast("array<string>"))
+def _mixed(h: np.ndarray, *marks: int) -> np.ndarray:
+    """Hashes of equal value for equal strings of equal marks, spread over 64 bits."""
+    with np.errstate(over="ignore"):
+        for m in marks:
+            h = h * _BASE + np.uint64(m)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
 
 
-def deletions(w: Column) -> Column:
-    """Hashes of the word and of all strings with one or two letters less."""
-    once = bound(_shorter(w), lambda d: F.concat(F.array(w), d, F.flatten(F.transform(d, _shorter))))
-    return F.array_distinct(F.transform(once, lambda x: F.xxhash64(x)))
+def near_hashes(words: list[str], vocabulary: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word in words, hash): what a word and another at most two edits away have in common.
 
-
-def _fifths(n: Column) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each fifth of n letters."""
-    edges = [F.floor(n * i / FIFTHS).cast("int") for i in range(FIFTHS + 1)]
-    return [(edges[i] + 1, edges[i + 1] - edges[i]) for i in range(FIFTHS)]
-
-
-def _own_parts(w: Column) -> Column:
-    """Hashes of a long vocabulary word's fifths, with their number and the word's length."""
-    n = F.char_length(w)
-    return F.array(*(F.xxhash64(F.lit(i), n, F.substring(w, at, size)) for i, (at, size) in enumerate(_fifths(n))))
-
-
-def _possible_parts(w: Column) -> Column:
-    """Hashes of what may stand, in the token, where a fifth of a vocabulary word of like length stands."""
-    found = []
-    for other in range(-MOST, MOST + 1):
-        n = F.char_length(w) + other
-        for i, (at, size) in enumerate(_fifths(n)):
-            found += [F.when((n > LONG) & (at + s >= 1), F.xxhash64(F.lit(i), n, F.substring(w, at + s, size))) for s in range(-MOST, MOST + 1)]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    Words of up to LONG letters give the hashes of all strings with up to two letters less, longer
+    ones of a vocabulary those of their fifths, with number and length; tokens of like length give
+    what may stand in the place of such a fifth. Hashes are sums over letters, so all of a word's
+    come from the sums of its beginnings, for all words of one length at once.
+    """
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    owners, hashes = [], []
+    with np.errstate(over="ignore"):
+        for n in np.unique(sizes):
+            n = int(n)
+            of = np.flatnonzero(sizes == n)
+            powers = np.cumprod(np.array([1] + [_BASE] * (n + MOST), dtype=np.uint64))
+            for some in np.array_split(of, len(of) * (n + 1) * 8 // 4_000_000 + 1):
+                letters = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(some), n).astype(np.uint64) + np.uint64(1)
+                begin = np.zeros((len(some), n + 1), dtype=np.uint64)  # begin[:, k] is the hash of the first k letters
+                for k in range(n):
+                    begin[:, k + 1] = begin[:, k] * _BASE + letters[:, k]
+                part = lambda i, j: begin[:, j] - begin[:, i] * powers[j - i]  # noqa: E731  letters i to j
+                found = []
+                if n <= LONG + (0 if vocabulary else MOST):
+                    i = np.arange(n)
+                    found += [_mixed(begin[:, n:], n), _mixed(begin[:, i] * powers[n - 1 - i] + part(i + 1, np.full(n, n)), n - 1)]
+                    i, j = np.triu_indices(n, 1)
+                    found.append(_mixed(begin[:, i] * powers[n - 2 - i] + part(i + 1, j) * powers[n - 1 - j] + part(j + 1, np.full(len(j), n)), n - 2) if n > 1 else np.zeros((len(some), 0), dtype=np.uint64))
+                for other in [0] if vocabulary else range(-MOST, MOST + 1):
+                    long_ = n + other
+                    edges = [long_ * e // FIFTHS for e in range(FIFTHS + 1)]
+                    for e in range(FIFTHS if long_ > LONG else 0):
+                        for s in [0] if vocabulary else range(-MOST, MOST + 1):
+                            at, to = edges[e] + s, edges[e + 1] + s
+                            if 0 <= at and to <= n:
+                                found.append(_mixed(part(np.array([at]), np.array([to])), e, long_))
+                flat = np.concatenate(found, axis=1) if found else np.zeros((len(some), 0), dtype=np.uint64)
+                owners.append(np.repeat(some, flat.shape[1]))
+                hashes.append(flat.ravel())
+    return (np.concatenate(owners), np.concatenate(hashes)) if owners else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+
+
+_BASE = np.uint64(0x5851F42D4C957F2D)
+
+
+def _hashed(words: DataFrame, vocabulary: bool, bits: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """word, h of every word; with a filter, only hashes that it lets through."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 4096):
+                some = frame["word"].iloc[at : at + 4096].tolist()
+                owner, h = near_hashes(some, vocabulary)
+                if bits is not None:
+                    place = h >> np.uint64(64 - bits[0])
+                    on = (bits[1][(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    owner, h = owner[on], h[on]
+                yield pd.DataFrame({"word": np.array(some, dtype=object)[owner], "h": h.view(np.int64)}).drop_duplicates()
+
+    return words.mapInPandas(run, "word string, h long")
+
+
+def _filter(index: DataFrame, most_bits: int = 27) -> tuple[int, np.ndarray]:
+    """(number of leading bits, a bit for each beginning that a hash of index has): sixteen bits a hash, 16 MB at most."""
+    n = max(15, min(most_bits, (16 * index.count()).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - n)
+
+    def drawn(frame: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(4096, dtype=np.uint8)
+        at = frame["p"].to_numpy() & 0x7FFF
+        np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"g": [frame["p"].iloc[0] >> 15], "b": [own.tobytes()]})
+
+    out = np.zeros(1 << (n - 3), dtype=np.uint8)
+    rows = index.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 15)).applyInPandas(drawn, "g long, b binary")
+    for r in rows.toLocalIterator():
+        out[r["g"] * 4096 : (r["g"] + 1) * 4096] = np.frombuffer(r["b"], dtype=np.uint8)
+    return n, out
 
 
 def within_two(a: list[str], b: list[str]) -> np.ndarray:
@@ -129,16 +183,15 @@ def swaps_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def edit_candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """word, candidate, distance: every pair of tokens(word) and vocabulary(word) at most two edits apart.
 
-    Both sides are made distinct. A pair that shares several deletions is kept once, before its
-    letters are compared.
+    Both sides are made distinct. The vocabulary's hashes are written as the index; tokens give up
+    only hashes that its filter lets through, so what is shuffled follows the matches, not all
+    deletions. A pair that shares several is kept once, before its letters are compared.
     """
     words = lambda df: df.select("word").where(F.col("word") != "").distinct()
-    w, n = F.col("word"), F.char_length("word")
-    vocab = words(vocabulary).withColumn("h", F.when(n <= LONG, deletions(w)).otherwise(_own_parts(w)))
-    asked = words(tokens).withColumn("h", F.concat(F.when(n <= LONG + MOST, deletions(w)).otherwise(F.array().cast("array<bigint>")), F.when(n > LONG - MOST, _possible_parts(w)).otherwise(F.array().cast("array<bigint>"))))
-    left, right = asked.select("word", F.explode("h").alias("h")), vocab.select(F.col("word").alias("candidate"), F.explode("h").alias("h"))
+    index = cut(_hashed(words(vocabulary), True))
+    left = _hashed(words(tokens), False, _filter(index))
     fits = F.abs(F.char_length("word") - F.char_length("candidate")) <= MOST
-    pairs = left.join(right, "h").where(fits).select("word", "candidate").distinct()
+    pairs = left.join(index.withColumnRenamed("word", "candidate"), "h").where(fits).select("word", "candidate").distinct()
     plain = F.levenshtein("word", "candidate", 2 * MOST)  # a swap is two plain edits
     near = pairs.withColumn("plain", plain).where("plain >= 0")
     sure = near.where("plain < 2").select("word", "candidate", F.col("plain").alias("distance"))
@@ -258,20 +311,10 @@ def left_alone(w: Column, protected: list[str]) -> Column:
     Also words of which neither Latin nor Arabic letters make up more than half.
     """
     kept = [*KEYWORDS, *protected]
+    shapes = r"^[^a-zA-Z؀-ۿ]+$|[_-]|^[a-z]+[A-Z]|^[A-Z][a-z]+[A-Z]|\.[\p{L}\p{N}_]{1,4}$|^.$"
     half = lambda p: 2 * F.regexp_count(w, F.lit(p)) > F.char_length(w)
-    tests = [
-        w.rlike(r"^[^a-zA-Z؀-ۿ]+$"),
-        w.isin(kept) | F.lower(w).isin(kept),
-        w.rlike("[_-]"),
-        w.rlike("^[a-z]+[A-Z]") | w.rlike("^[A-Z][a-z]+[A-Z]"),
-        w.rlike(r"\.[\p{L}\p{N}_]{1,4}$"),
-        F.char_length(w) <= 1,
-        ~(half("[a-zA-Z]") | half("[؀-ۿ]")),
-    ]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+    script = w.rlike("^[a-zA-Z]+$") | half("[a-zA-Z]") | half("[؀-ۿ]")
+    return w.isin(kept) | F.lower(w).isin(kept) | w.rlike(shapes) | ~script
 
 
 def corrections(tokens: DataFrame, vocabulary: DataFrame, votes: DataFrame, protected: list[str], min_votes: int = 2) -> DataFrame:

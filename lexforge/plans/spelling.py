@@ -57,7 +57,8 @@ def word_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     """A reviewer who takes the sign off the last word of each text."""
-    last = F.regexp_extract("text", r"([\p{L}]+[.,;!?])[ \t\n\x0B\f\r]*$", 1)
+    end = F.substring_index(F.rtrim(F.col("text"), F.lit(" \t\n\x0b\f\r")), " ", -1)
+    last = F.regexp_extract(end, r"([\p{L}]+[.,;!?])$", 1)
     return table(spark, d, "documents").select(last.alias("original"), F.regexp_replace(last, "[.,;!?]$", "").alias("corrected")).where("original <> ''")
 
 
