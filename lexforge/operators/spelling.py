@@ -144,7 +144,7 @@ def within_two(a: list[str], b: list[str]) -> np.ndarray:
 
         x, y = letters([a[i] for i in some], 1), letters([b[i] for i in some], 2)
         far, band = 9, range(2 * MOST + 1)
-        row = np.full((len(some), 2 * MOST + 3), far)  # column o + 1 holds place j = i + o - MOST
+        row = np.full((len(some), 2 * MOST + 3), far, dtype=np.int8)  # column o + 1 holds place j = i + o - MOST
         row[:, MOST + 1 : 2 * MOST + 2] = np.arange(MOST + 1)
         rows = [row, np.full_like(row, far), np.full_like(row, far)]
         goal = np.clip(m[some] - n[some] + MOST + 1, 1, 2 * MOST + 1)
@@ -159,7 +159,7 @@ def within_two(a: list[str], b: list[str]) -> np.ndarray:
                 if j == 0:
                     now[:, o + 1] = i
                     continue
-                value = np.minimum(rows[0][:, o + 1] + (at(x, i) != at(y, j)), np.minimum(rows[0][:, o + 2], now[:, o]) + 1)
+                value = np.minimum(rows[0][:, o + 1] + (at(x, i) != at(y, j)).view(np.int8), np.minimum(rows[0][:, o + 2], now[:, o]) + 1)
                 if i > 1 and j > 1:
                     value = np.where((at(x, i) == at(y, j - 1)) & (at(x, i - 1) == at(y, j)), np.minimum(value, rows[1][:, o + 1] + 1), value)
                 if i > 1 and j > 2:
@@ -180,15 +180,19 @@ def swaps_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(within_two(a.tolist(), b.tolist()).astype("int32"))
 
 
-def edit_candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def edit_candidates(tokens: DataFrame, vocabulary: DataFrame, most_shared: int = 30_000) -> DataFrame:
     """word, candidate, distance: every pair of tokens(word) and vocabulary(word) at most two edits apart.
 
-    Both sides are made distinct. The vocabulary's hashes are written as the index; tokens give up
-    only hashes that its filter lets through, so what is shuffled follows the matches, not all
-    deletions. A pair that shares several is kept once, before its letters are compared.
+    Both sides are made distinct. A vocabulary of up to most_shared words is hashed once and its
+    sorted hashes go to every task, so only the tokens are shuffled. A larger one is written as an
+    index of hashes, tokens give up the hashes that the index's filter lets through, and the two are
+    joined; a pair that shares several is kept once, before its letters are compared.
     """
     words = lambda df: df.select("word").where(F.col("word") != "").distinct()
-    index = cut(_hashed(words(vocabulary), True))
+    known = cut(words(vocabulary))
+    if known.count() <= most_shared:
+        return _looked_up(words(tokens), sorted(r["word"] for r in known.collect()))
+    index = cut(_hashed(known, True))
     left = _hashed(words(tokens), False, _filter(index))
     fits = F.abs(F.char_length("word") - F.char_length("candidate")) <= MOST
     pairs = left.join(index.withColumnRenamed("word", "candidate"), "h").where(fits).select("word", "candidate").distinct()
@@ -199,6 +203,37 @@ def edit_candidates(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return sure.unionAll(rest.where(F.col("distance") <= MOST))
 
 
+def _looked_up(tokens: DataFrame, known: list[str]) -> DataFrame:
+    """edit_candidates of distinct tokens among a vocabulary that every task may hold."""
+    owner, h = near_hashes(known, True)
+    order = np.argsort(h, kind="stable")
+    hit = np.zeros(1 << 24, dtype=bool)  # by a hash's first bits: most hashes of a token stop here
+    hit[(h >> np.uint64(40)).astype(np.int64)] = True
+    shared = tokens.sparkSession.sparkContext.broadcast((known, owner[order].astype(np.int32), h[order], np.packbits(hit)))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, owner, hashes, bits = shared.value
+        lengths, hit = np.array([len(w) for w in known]), np.unpackbits(bits).view(bool)
+        for frame in frames:
+            for at in range(0, len(frame), 2048):
+                some = frame["word"].iloc[at : at + 2048].tolist()
+                place, h = near_hashes(some, False)
+                on = hit[(h >> np.uint64(40)).astype(np.int64)]
+                place, h = place[on], h[on]
+                low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                many = high - low
+                starts = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+                met = np.unique(np.repeat(place, many) * len(known) + owner[starts + np.arange(len(starts))]) if len(starts) else np.zeros(0, dtype=np.int64)
+                token, candidate = met // max(1, len(known)), met % max(1, len(known))
+                fits = np.abs(np.array([len(w) for w in some])[token] - lengths[candidate]) <= MOST
+                token, candidate = token[fits], candidate[fits]
+                a, b = [some[i] for i in token], [known[i] for i in candidate]
+                frame_ = pd.DataFrame({"word": a, "candidate": b, "distance": within_two(a, b)})
+                yield frame_[frame_["distance"] <= MOST]
+
+    return tokens.mapInPandas(run, "word string, candidate string, distance int")
+
+
 # --- close matches
 
 
@@ -265,6 +300,11 @@ def matching_words(queries: DataFrame, vocabulary: DataFrame, n: int = 5, cutoff
 # --- suggestions
 
 
+def _at_hand(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, marked for a broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def voted(votes: DataFrame, least: int = 1) -> DataFrame:
     """word, correction, n: the most voted correction of each lower-cased word, ties to the smallest, that differs from it."""
     counts = votes.select(F.lower(F.trim("original")).alias("word"), F.trim("corrected").alias("correction")).where("word <> correction").groupBy("word", "correction").agg(F.count(F.lit(1)).alias("n"))
@@ -325,8 +365,8 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, votes: DataFrame, prot
     of these the smallest.
     """
     open_ = tokens.select("word").distinct().where(~left_alone(F.col("word"), protected)).withColumn("k", F.lower("word"))
-    learned = voted(votes, min_votes).select(F.col("word").alias("k"), F.col("correction").alias("voted"))
-    counts = vocabulary.groupBy(F.col("word").alias("candidate")).agg(F.max("count").alias("count"))
+    learned = _at_hand(cut(voted(votes, min_votes).select(F.col("word").alias("k"), F.col("correction").alias("voted"))))
+    counts = _at_hand(cut(vocabulary.groupBy(F.col("word").alias("candidate")).agg(F.max("count").alias("count"))))
     state = cut(open_.join(learned, "k", "left").join(counts.select(F.col("candidate").alias("k"), F.lit(True).alias("known")), "k", "left"))
     lost = state.where("voted is null and known is null and char_length(word) > 2")
     near = edit_candidates(lost.select(F.col("k").alias("word")), counts.select(F.col("candidate").alias("word"))).join(counts, "candidate")

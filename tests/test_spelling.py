@@ -58,12 +58,13 @@ def test_distance_of_pairs():
         assert d == (1 if len(a) > 5000 else min(3, damerau(a, b))), (a, b)
 
 
-def test_candidates_are_complete(spark):
+@pytest.mark.parametrize("most_shared", [1000, 0])
+def test_candidates_are_complete(spark, most_shared):
     rng = random.Random(2)
     vocab = some_words(rng, 120) + ["".join(rng.choice("abcdef") for _ in range(n)) for n in range(20, 60)] + ["éa", "w" * 3000]
     tokens = some_words(rng, 80, "abcx") + [edited(rng, w, rng.randrange(4)) for w in vocab[100:160] for _ in range(4)] + ["w" * 2998, "w" * 3002 + "x", "ea"]
     frame = lambda ws: spark.createDataFrame([(w, "x") for w in [*ws, None, "", *ws[:5]]], "word string, h string")
-    got = sorted(map(tuple, S.edit_candidates(frame(tokens), frame(vocab)).collect()))
+    got = sorted(map(tuple, S.edit_candidates(frame(tokens), frame(vocab), most_shared).collect()))
     short = lambda t, v: len(t) < 100 and len(v) < 100
     want = [(t, v, d) for t in set(tokens) for v in set(vocab) if abs(len(t) - len(v)) <= 2 and short(t, v) and (d := damerau(t, v)) <= 2]
     assert got == sorted([*want, ("w" * 2998, "w" * 3000, 2)])
