@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import similarity as M
 from lexforge.operators import dedup as U
+from lexforge.operators import density
 from lexforge.operators import learn as L
 from lexforge.plans.base import query
 from lexforge.session import cut, table
@@ -101,6 +102,16 @@ def dedup_components(spark: SparkSession, d: str) -> DataFrame:
     return U.components(links)
 
 
+@query("""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(list_transform(embedding, lambda y: y::DOUBLE), list_transform(embedding, lambda y: y::DOUBLE)))) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.35),
+core AS (SELECT a AS node FROM l GROUP BY a HAVING count(*) + 1 >= 3), cl AS (SELECT a, b FROM l JOIN core x ON x.node = a JOIN core y ON y.node = b),
+r AS (SELECT node, node AS component FROM core UNION SELECT cl.b, r.component FROM r JOIN cl ON cl.a = r.node), c AS (SELECT node, min(component) AS cluster FROM r GROUP BY node),
+n AS (SELECT l.a AS node, min(c.cluster) AS found FROM l JOIN c ON c.node = l.b GROUP BY l.a)
+SELECT vec_id, CASE WHEN c.node IS NOT NULL THEN 'core' WHEN n.node IS NOT NULL THEN 'border' ELSE 'noise' END AS kind, coalesce(c.cluster, n.found) AS cluster FROM e LEFT JOIN c ON c.node = vec_id LEFT JOIN n ON n.node = vec_id""")
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return density.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35, 3)
+
+
 @query()
 def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
