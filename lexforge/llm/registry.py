@@ -1,4 +1,4 @@
-"""Queries op1 to op13 and the pipeline, with SQL where SQL can express them."""
+"""Queries op1 to op13, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from lexforge.llm import audit, digests, html_main, neighbours, packing, pieces, pii, quality, secrets, simhash, substrings, toxicity, whitening
 
 
@@ -25,7 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_embedding_whitening": whitening.query,
         "op12_filter_interaction_audit": audit.query,
         "op13_document_fingerprints": digests.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
