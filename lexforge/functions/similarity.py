@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,43 +74,114 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def align(a: str, b: str) -> list[tuple[str, str]]:
-    """Needleman-Wunsch pairs (gap as ''), match 1, else -1; diagonal before up before left."""
-    n, m = len(a), len(b)
-    score = np.zeros((n + 1, m + 1), dtype=np.int32)
-    score[:, 0], score[0, :] = -np.arange(n + 1), -np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i, j] = max(score[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
-    i, j, out = n, m, []
+    """Needleman-Wunsch pairs (gap as ''), match 1, else -1; back from the end diagonal before up before left."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (a, b))
+    i, j = alignment(x, y)
+    return [(a[p] if p >= 0 else "", b[q] if q >= 0 else "") for p, q in zip(i.tolist(), j.tolist())]
+
+
+def alignment(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a and b beside each other, -1 for a gap: the one path that the full table would give.
+
+    Only a band of diagonals is filled, whole rows at a time: a row's gaps are a running maximum. The
+    band doubles until no path that leaves it could score as much, so ties fall as in the full table.
+    Scores are kept for every root-th row and the rows between are made again on the way back, so
+    memory is the band times the root of the length. Equal ends are matched first, which is where the
+    way back from the end goes anyway.
+    """
+    least = min(len(a), len(b))
+    tail = least if least and (a[len(a) - least :] == b[len(b) - least :]).all() else int(np.argmin(a[len(a) - least :][::-1] == b[len(b) - least :][::-1])) if least else 0
+    m, n = len(a) - tail, len(b) - tail
+    width = 16
+    while True:
+        low, high = min(0, n - m) - width, max(0, n - m) + width
+        place = np.arange(low, high + 1)  # column j of row i stands at j - i - low
+        far = -(4 * (m + n) + 4)
+
+        def below(row: np.ndarray, i: int) -> np.ndarray:
+            """Row i of the table from row i - 1."""
+            j = place + i
+            inside = (j >= 1) & (j <= n)
+            same = np.full(len(place), -1)
+            same[inside] += 2 * (b[j[inside] - 1] == a[i - 1])
+            best = np.maximum(np.where(inside, row + same, far), np.append(row[1:], far) - 1)
+            best[(j < 0) | (j > n)] = far
+            best[j == 0] = -i
+            return np.maximum.accumulate(best + place) - place
+
+        row = np.where((place >= 0) & (place <= n), -place, far)
+        step = max(1, int(m**0.5))
+        kept = {0: row}
+        for i in range(1, m + 1):
+            row = below(row, i)
+            if i % step == 0:
+                kept[i] = row
+        score = int(row[n - m - low])
+        if width > max(m, n) or score > min(m, n) - 3 * (width + 1) - abs(n - m):
+            break
+        width *= 2
+    i, j, left, right = m, n, [], []
     while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
-            i, j = i - 1, j - 1
-            out.append((a[i], b[j]))
-        elif i and score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-            out.append((a[i], ""))
-        else:
-            j -= 1
-            out.append(("", b[j]))
-    return out[::-1]
+        first = (max(i - 1, 0) // step) * step
+        rows = [kept[first]]
+        for r in range(first + 1, i + 1):
+            rows.append(below(rows[-1], r))
+        while i > first or (i == 0 and j):
+            here = rows[i - first][j - i - low]
+            if i and j and here == rows[i - 1 - first][j - i - low] + (1 if a[i - 1] == b[j - 1] else -1):
+                i, j = i - 1, j - 1
+                left.append(i)
+                right.append(j)
+            elif i and j - i - low + 1 < len(place) and here == rows[i - 1 - first][j - i - low + 1] - 1:
+                i -= 1
+                left.append(i)
+                right.append(-1)
+            else:
+                j -= 1
+                left.append(-1)
+                right.append(j)
+    ends = np.arange(tail)
+    return np.concatenate([np.array(left[::-1], dtype=np.int64), m + ends]), np.concatenate([np.array(right[::-1], dtype=np.int64), n + ends])
 
 
 def confusions(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """wanted, got, n over the alignments of all rows; counts are summed in each batch first."""
+    """wanted, got, n over the alignments of all rows (gap as ''); counts are summed in each batch first. Null is empty."""
 
     def run(frames):
         for frame in frames:
-            seen: dict[tuple[str, str], int] = {}
+            seen: Counter[tuple[str, str]] = Counter()
             for a, b in zip(frame["a"], frame["b"], strict=True):
-                for pair in align(a or "", b or ""):
-                    if pair[0] != pair[1]:
-                        seen[pair] = seen.get(pair, 0) + 1
+                if a != b:
+                    seen.update(p for p in align(a or "", b or "") if p[0] != p[1])
             yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["wanted", "got", "n"])
 
     rows = df.select(df[reference].alias("a"), df[hypothesis].alias("b")).mapInPandas(run, "wanted string, got string, n long")
     return rows.groupBy("wanted", "got").agg(F.sum("n").alias("n"))
 
 
+def top_confusions(df: DataFrame, reference: str, hypothesis: str, top: int = 20, each: int = 3) -> DataFrame:
+    """wanted, errors, rank, got, n: for the top characters most often wrong (dropped ones count), what stands for them most often.
+
+    Ties go to the smaller character. A character that is only ever dropped has a row without got.
+    """
+    seen = confusions(df, reference, hypothesis).where("wanted <> ''")
+    worst = seen.groupBy("wanted").agg(F.sum("n").alias("errors")).orderBy(F.desc("errors"), "wanted").limit(top)
+    rank = F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("n"), "got"))
+    named = seen.where("got <> ''").withColumn("rank", rank).where(F.col("rank") <= each)
+    return worst.join(named, "wanted", "left").select("wanted", "errors", "rank", "got", "n")
+
+
+@F.pandas_udf(T.StringType())
+def marked_differences(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The first text with [old->new], [-old-] and [+new+] where the second differs; null if one is null."""
+    marks = {"equal": "{0}", "replace": "[{0}->{1}]", "delete": "[-{0}-]", "insert": "[+{1}+]"}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        codes = [] if x is None or y is None else difflib.SequenceMatcher(None, x, y).get_opcodes()
+        out.append(None if x is None or y is None else "".join(marks[tag].format(x[i:k], y[j:l]) for tag, i, k, j, l in codes))
+    return pd.Series(out, dtype=object)
+
+
 def error_by_length(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """length, n, avg_cer: error rates by the length of the reference."""
     return df.groupBy(F.char_length(reference).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg(cer(F.col(reference), F.col(hypothesis))).alias("avg_cer"))

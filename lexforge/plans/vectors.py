@@ -68,6 +68,19 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return M.confusions(rows, "text", "h")
 
 
+@query()
+def top_confusions(spark: SparkSession, d: str) -> DataFrame:
+    """The characters of the benchmark texts that a worse reading gets wrong most often, and what it takes them for."""
+    read = F.translate(F.replace(F.replace(F.col("text"), F.lit("th"), F.lit("t")), F.lit("rn"), F.lit("m")), "lo", "1")
+    return M.top_confusions(table(spark, d, "benchmark").select("text", read.alias("h")), "text", "h")
+
+
+@query()
+def marked_differences(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("h"))
+    return rows.select("item_id", M.marked_differences("text", "h").alias("marked"))
+
+
 @query()
 def seq_ratio(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark").select("item_id", "text", F.lower("text").alias("low"))
