@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import normalize as N
+from lexforge.operators import positions as P
 from lexforge.operators import relational as R
 from lexforge.operators import search as S
 from lexforge.plans.base import query
@@ -53,6 +56,26 @@ def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     return got.select("item_id", F.round("score", 6).alias("score"))
 
 
+MATCHES = ['"of the"', "NEAR(and the to, 3)", "licen* version", '"the apache license" OR token NOT "de la"']
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), t AS (SELECT doc_id, len(w) AS len, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS p FROM w),
+c AS (SELECT 0 AS q, 0 AS c, a.doc_id, a.len, a.p FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.term = 'of' AND b.term = 'the'
+UNION SELECT 1, 0, a.doc_id, a.len, a.p FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(b.p - a.p) <= 4 JOIN t c ON a.doc_id = c.doc_id AND abs(c.p - a.p) <= 4 WHERE a.term = 'and' AND b.term = 'the' AND c.term = 'to'
+UNION SELECT 2, 0, doc_id, len, p FROM t WHERE starts_with(term, 'licen') UNION SELECT 2, 1, doc_id, len, p FROM t WHERE term = 'version'
+UNION SELECT 3, 0, a.doc_id, a.len, a.p FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.p = a.p + 1 JOIN t c ON a.doc_id = c.doc_id AND c.p = a.p + 2 WHERE a.term = 'the' AND b.term = 'apache' AND c.term = 'license'
+UNION SELECT 3, 1, doc_id, len, p FROM t WHERE term = 'token' UNION SELECT 3, 2, a.doc_id, a.len, a.p FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.term = 'de' AND b.term = 'la'),
+k AS (SELECT q, c, doc_id, any_value(len) AS len, count(*) AS tf, min(p) AS first FROM c GROUP BY q, c, doc_id), f AS (SELECT q, c, count(*) AS df FROM k GROUP BY q, c),
+m AS (SELECT q, doc_id, bool_or(c = 0) AS c0, bool_or(c = 1) AS c1, bool_or(c = 2) AS c2 FROM k GROUP BY q, doc_id HAVING CASE q WHEN 2 THEN c0 AND c1 WHEN 3 THEN c0 OR (c1 AND NOT c2) ELSE c0 END)
+SELECT q AS asked, doc_id, CAST(sum(tf) AS BIGINT) AS hits, min(first) AS first, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM m JOIN k USING (q, doc_id) JOIN f USING (q, c), s WHERE NOT (q = 3 AND c = 2) GROUP BY q, doc_id""")
+def phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases, nearness, beginnings and their combinations over an index of all documents."""
+    index = P.positional_index(table(spark, d, "documents"), "doc_id", "text")
+    got = [P.match(index, q).select(F.lit(i).alias("asked"), "doc_id", "hits", "first", F.round("score", 6).alias("score")) for i, q in enumerate(MATCHES)]
+    return reduce(DataFrame.unionAll, got)
+
+
 @query("""SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN greatest(p - 100, 1) > 1 THEN '...' ELSE '' END || substr(text, greatest(p - 100, 1), p + 107 - greatest(p - 100, 1)) || CASE WHEN p + 107 <= length(text) THEN '...' ELSE '' END
 ELSE substr(text, 1, 200) END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'license') AS p FROM documents)""")
 def search_snippet(spark: SparkSession, d: str) -> DataFrame:
