@@ -17,6 +17,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -180,18 +181,21 @@ def swaps_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(within_two(a.tolist(), b.tolist()).astype("int32"))
 
 
-def edit_candidates(tokens: DataFrame, vocabulary: DataFrame, most_shared: int = 30_000) -> DataFrame:
+def edit_candidates(tokens: DataFrame, vocabulary: DataFrame, most_shared: int = 100_000, most_slices: int = 8) -> DataFrame:
     """word, candidate, distance: every pair of tokens(word) and vocabulary(word) at most two edits apart.
 
-    Both sides are made distinct. A vocabulary of up to most_shared words is hashed once and its
-    sorted hashes go to every task, so only the tokens are shuffled. A larger one is written as an
-    index of hashes, tokens give up the hashes that the index's filter lets through, and the two are
-    joined; a pair that shares several is kept once, before its letters are compared.
+    Both sides are made distinct. A vocabulary of up to most_slices times most_shared words is hashed
+    in slices whose sorted hashes go to every task, so only the tokens are shuffled. A larger one is
+    written as an index of hashes, tokens give up the hashes that the index's filter lets through,
+    and the two are joined; a pair that shares several is kept once, before its letters are compared.
     """
     words = lambda df: df.select("word").where(F.col("word") != "").distinct()
     known = cut(words(vocabulary))
-    if known.count() <= most_shared:
-        return _looked_up(words(tokens), sorted(r["word"] for r in known.collect()))
+    count = known.count()
+    if count <= most_shared * most_slices:
+        listed, asked = sorted(r["word"] for r in known.collect()), cut(words(tokens))
+        slices = [listed[at : at + most_shared] for at in range(0, max(1, count), max(1, most_shared))]
+        return reduce(DataFrame.unionAll, [_looked_up(asked, s) for s in slices])
     index = cut(_hashed(known, True))
     left = _hashed(words(tokens), False, _filter(index))
     fits = F.abs(F.char_length("word") - F.char_length("candidate")) <= MOST

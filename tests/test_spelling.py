@@ -58,7 +58,7 @@ def test_distance_of_pairs():
         assert d == (1 if len(a) > 5000 else min(3, damerau(a, b))), (a, b)
 
 
-@pytest.mark.parametrize("most_shared", [1000, 0])
+@pytest.mark.parametrize("most_shared", [1000, 40, 0])
 def test_candidates_are_complete(spark, most_shared):
     rng = random.Random(2)
     vocab = some_words(rng, 120) + ["".join(rng.choice("abcdef") for _ in range(n)) for n in range(20, 60)] + ["éa", "w" * 3000]
