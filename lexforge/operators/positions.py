@@ -1,9 +1,9 @@
 """Full-text match over a positional inverted index: phrases, prefixes, NEAR, AND, OR, NOT, BM25.
 
-The index has a row per term and document with the term's places, written in buckets of the term, so
-a search reads the buckets of its own terms only (a prefix reads all buckets, with the beginning
-pushed down to the files). Rows of one term are dealt over spread tasks, so a term that every
-document has is no single task's work. A search then gathers, per document, the places of its own
+The index has a row per term and segment (a run of documents of a bounded number of words) with the
+term's places in each document, written in buckets of the term, so a search reads the buckets of its
+own terms only (a prefix reads all buckets, with the beginning pushed down to the files). Rows of one
+term are dealt over spread tasks, so a term that every document has is no single task's work. A search then gathers, per document, the places of its own
 terms and intersects them: a phrase is an intersection of shifted places.
 
 Terms are runs of letters and digits, lower-cased; null texts are not in the index, texts without
@@ -20,20 +20,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexforge.session import cut, shared_folder
 
+#: words of a segment, unless one text has more
+SEGMENT = 1_000_000
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
 @dataclass
 class Index:
-    """places: term, key, len, at array<int>; n documents and mean length in terms."""
+    """segments: term, posts array<struct<key, len, at array<int>>>; n documents and mean length in terms."""
 
-    places: DataFrame
+    segments: DataFrame
     key: str
     n: int
     mean: float
@@ -47,26 +50,40 @@ def positional_index(docs: DataFrame, key: str, text: str, name: str | None = No
     """The index of docs, written in the shared folder as a bucketed table called name (a new name if none is given)."""
     spark = docs.sparkSession
     name = name or f"places_{uuid.uuid4().hex}"
-    shape = StructType([StructField("term", StringType()), StructField("key", docs.schema[key].dataType), StructField("len", LongType()), StructField("at", ArrayType(IntegerType()))])
-    made = pa.schema([("term", pa.string()), ("len", pa.int64()), ("at", pa.list_(pa.int32()))])
+    key_type = docs.schema[key].dataType
+    post = StructType([StructField("key", key_type), StructField("len", IntegerType()), StructField("at", ArrayType(IntegerType()))])
+    shape = StructType([StructField("term", StringType()), StructField("posts", ArrayType(post)), StructField("part", IntegerType())])
+
+    def segment(keys: pa.Array, lists: pa.ListArray, part: int) -> pa.RecordBatch:
+        """A row per term of some documents: sorted by term, the places fall into runs per document."""
+        words = lists.flatten().dictionary_encode()
+        sizes = np.diff(lists.offsets.to_numpy())
+        doc = np.repeat(np.arange(len(lists)), sizes)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes = words.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        code, doc, place = codes[order], doc[order], place[order].astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
+        at = pa.ListArray.from_arrays(np.append(first, len(doc)).astype(np.int32), place)
+        posts = pa.StructArray.from_arrays([keys.take(pa.array(doc[first])), pa.array(sizes[doc[first]].astype(np.int32)), at], ["key", "len", "at"])
+        starts = np.searchsorted(code[first], np.arange(len(words.dictionary) + 1)).astype(np.int32)
+        terms_ = words.dictionary.cast(pa.string())
+        return pa.RecordBatch.from_arrays([terms_, pa.ListArray.from_arrays(starts, posts), pa.array(np.full(len(terms_), part, dtype=np.int32))], ["term", "posts", "part"])
 
     def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's terms with their places, from its list of terms."""
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = batch.column("w").slice(i, 1).flatten().dictionary_encode()
-                if not len(words):
-                    continue
-                codes = words.indices.to_numpy()
-                order = np.argsort(codes, kind="stable").astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(codes))]).astype(np.int32)
-                n = len(words.dictionary)
-                out = pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(np.full(n, len(codes))), pa.ListArray.from_arrays(ends, order)], schema=made)
-                keys = batch.column("key").take(pa.array(np.full(n, i)))
-                yield pa.RecordBatch.from_arrays([out.column(0), keys, out.column(1), out.column(2)], ["term", "key", "len", "at"])
+            ends = batch.column("w").offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SEGMENT, "right")) - 1)
+                keys, lists = batch.column("key").slice(at, to - at), batch.column("w").slice(at, to - at)
+                if len(lists.flatten()):
+                    yield segment(keys, pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at]), lists.flatten()), part % spread)
+                at, part = to, part + 1
 
     listed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), terms(F.col(text)).alias("w"))
-    rows = listed.mapInArrow(grouped, shape).repartition("term", F.pmod(F.xxhash64("key"), F.lit(spread)))
+    rows = listed.mapInArrow(grouped, shape).repartition("term", "part").drop("part")
     path = f"{shared_folder(spark)}/tables/{name}"
     rows.sortWithinPartitions("term").write.bucketBy(buckets, "term").sortBy("term").option("path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
     size = docs.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col(text)))).alias("mean")).first()
@@ -119,7 +136,7 @@ def match(index: Index, text: str, k1: float = 1.2, b: float = 0.75) -> DataFram
     plain = [w for w, p in slots if not p]
     needed = reduce(lambda x, y: x | y, [*([F.col("term").isin(plain)] if plain else []), *(holds(s) for s in slots if s[1])])
     places = lambda s: F.flatten(F.collect_list(F.when(holds(s), F.col("at"))))  # noqa: E731  places in one text
-    met = index.places.where(needed).groupBy("key").agg(F.max("len").alias("len"), *(places(s).alias(f"s{i}") for i, s in enumerate(slots)))
+    met = index.segments.where(needed).select("term", F.explode("posts").alias("p")).select("term", "p.key", "p.len", "p.at").groupBy("key").agg(F.max("len").alias("len"), *(places(s).alias(f"s{i}") for i, s in enumerate(slots)))
 
     def back(places: int):
         return lambda x: x - places

@@ -64,7 +64,7 @@ def test_match_equals_scan(index, texts, text, groups):
 
 
 def test_search_reads_its_buckets_only(index):
-    plan = index.places.where("term = 'beta'")._jdf.queryExecution().executedPlan()
+    plan = index.segments.where("term = 'beta'")._jdf.queryExecution().executedPlan()
     scan = plan.collectLeaves().head()
     assert scan.optionalBucketSet().get().cardinality() == 1 and scan.relation().bucketSpec().get().numBuckets() == 4
     assert "EqualTo(term,beta)" in plan.toString()
