@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexforge.functions.normalize import bound
-from lexforge.session import cut
+from lexforge.session import cut, written
 
 LONG, MOST, FIFTHS = 24, 2, 5
 TOKEN = "[^ \t\n\x0b\f\r]+"
@@ -134,42 +134,43 @@ def within_two(a: list[str], b: list[str]) -> np.ndarray:
     out = np.full(len(a), MOST + 1)
     order = np.flatnonzero(np.abs(n - m) <= MOST)
     order = order[np.argsort(n[order], kind="stable")]
-    for some in np.array_split(order, max(1, len(order) // 2048)):
+    for some in np.array_split(order, len(order) // 16384 + 1):
         if not len(some):
             continue
         longest = int(max(n[some].max(), m[some].max()))
         pad = 4
 
         def letters(words: list[str], end: int, width: int = longest + 2 * pad) -> np.ndarray:
-            return np.stack([np.frombuffer(f"{chr(end) * pad}{w}{chr(end) * (width - pad - len(w))}".encode("utf-32-le"), dtype=np.uint32) for w in words])
+            padded = "".join(f"{chr(end) * pad}{w}{chr(end) * (width - pad - len(w))}" for w in words)
+            return np.ascontiguousarray(np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), width).T)
 
         x, y = letters([a[i] for i in some], 1), letters([b[i] for i in some], 2)
         far, band = 9, range(2 * MOST + 1)
-        row = np.full((len(some), 2 * MOST + 3), far, dtype=np.int8)  # column o + 1 holds place j = i + o - MOST
-        row[:, MOST + 1 : 2 * MOST + 2] = np.arange(MOST + 1)
+        row = np.full((2 * MOST + 3, len(some)), far, dtype=np.int8)  # line o + 1 holds place j = i + o - MOST
+        row[MOST + 1 : 2 * MOST + 2] = np.arange(MOST + 1)[:, None]
         rows = [row, np.full_like(row, far), np.full_like(row, far)]
         goal = np.clip(m[some] - n[some] + MOST + 1, 1, 2 * MOST + 1)
-        best = np.where(n[some] == 0, row[np.arange(len(some)), goal], MOST + 1)
+        best = np.where(n[some] == 0, row[goal, np.arange(len(some))], MOST + 1)
         for i in range(1, int(n[some].max()) + 1):
             now = np.full_like(row, far)
-            at = lambda w, k: w[:, pad + k - 1]  # noqa: E731  the k-th letter, from 1
+            at = lambda w, k: w[pad + k - 1]  # noqa: E731  the k-th letter, from 1
             for o in band:
                 j = i + o - MOST
                 if j < 0:
                     continue
                 if j == 0:
-                    now[:, o + 1] = i
+                    now[o + 1] = i
                     continue
-                value = np.minimum(rows[0][:, o + 1] + (at(x, i) != at(y, j)).view(np.int8), np.minimum(rows[0][:, o + 2], now[:, o]) + 1)
+                value = np.minimum(rows[0][o + 1] + (at(x, i) != at(y, j)).view(np.int8), np.minimum(rows[0][o + 2], now[o]) + 1)
                 if i > 1 and j > 1:
-                    value = np.where((at(x, i) == at(y, j - 1)) & (at(x, i - 1) == at(y, j)), np.minimum(value, rows[1][:, o + 1] + 1), value)
+                    value = np.where((at(x, i) == at(y, j - 1)) & (at(x, i - 1) == at(y, j)), np.minimum(value, rows[1][o + 1] + 1), value)
                 if i > 1 and j > 2:
-                    value = np.where((at(x, i - 1) == at(y, j)) & (at(x, i) == at(y, j - 2)), np.minimum(value, rows[1][:, o] + 2), value)
+                    value = np.where((at(x, i - 1) == at(y, j)) & (at(x, i) == at(y, j - 2)), np.minimum(value, rows[1][o] + 2), value)
                 if i > 2 and j > 1:
-                    value = np.where((at(x, i - 2) == at(y, j)) & (at(x, i) == at(y, j - 1)), np.minimum(value, rows[2][:, o + 2] + 2), value)
-                now[:, o + 1] = value
-            ends = n[some] == i
-            best[ends] = now[ends, goal[ends]]
+                    value = np.where((at(x, i - 2) == at(y, j)) & (at(x, i) == at(y, j - 1)), np.minimum(value, rows[2][o + 2] + 2), value)
+                now[o + 1] = value
+            ends = np.flatnonzero(n[some] == i)
+            best[ends] = now[goal[ends], ends]
             rows = [now, rows[0], rows[1]]
         out[some] = np.minimum(best, MOST + 1)
     return out
@@ -193,10 +194,10 @@ def edit_candidates(tokens: DataFrame, vocabulary: DataFrame, most_shared: int =
     known = cut(words(vocabulary))
     count = known.count()
     if count <= most_shared * most_slices:
-        listed, asked = sorted(r["word"] for r in known.collect()), cut(words(tokens))
+        listed, asked = sorted(r["word"] for r in known.collect()), written(words(tokens))
         slices = [listed[at : at + most_shared] for at in range(0, max(1, count), max(1, most_shared))]
         return reduce(DataFrame.unionAll, [_looked_up(asked, s) for s in slices])
-    index = cut(_hashed(known, True))
+    index = written(_hashed(known, True))
     left = _hashed(words(tokens), False, _filter(index))
     fits = F.abs(F.char_length("word") - F.char_length("candidate")) <= MOST
     pairs = left.join(index.withColumnRenamed("word", "candidate"), "h").where(fits).select("word", "candidate").distinct()
@@ -252,12 +253,12 @@ def close_pairs(queries: DataFrame, vocabulary: DataFrame, share: float, need: C
     v = vocabulary.select("word").where(F.col("word") != "").distinct()
     letters = q.select(F.lit(0).alias("side"), F.col("query").alias("w")).unionAll(v.select(F.lit(1).alias("side"), F.col("word").alias("w"))).select("side", "w", F.explode(F.split("w", "")).alias("c"))
     counted = letters.where("c <> ''").groupBy("side", "w", "c").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    flat = cut(counted.select("side", "w", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat("c", i.cast("string")))).alias("t")))  # a letter and which of its kind it is
+    flat = written(counted.select("side", "w", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat("c", i.cast("string")))).alias("t")))  # a letter and which of its kind it is
     often = flat.where("side = 1").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     flat = flat.join(often, "t", "left")
     ranked = flat.groupBy("side", "w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("r"))  # one entry per letter of a word
     size = F.size("r")
-    kept = cut(ranked.select("side", "w", size.alias("n"), F.transform("r", lambda r: r.t).alias("b"), F.slice("r", F.lit(1), (size - F.ceil(size * share - 1e-9) + 1).cast("int")).alias("p")))
+    kept = written(ranked.select("side", "w", size.alias("n"), F.transform("r", lambda r: r.t).alias("b"), F.slice("r", F.lit(1), (size - F.ceil(size * share - 1e-9) + 1).cast("int")).alias("p")))
     side = lambda k, w, n: kept.where(F.col("side") == k).select(F.col("w").alias(w), F.col("n").alias(n), F.col("b").alias(f"b{k}"), F.col("p").alias(f"p{k}"), F.explode("p").alias("e")).withColumn("t", F.col("e.t"))
     both = side(0, "query", "x").drop("e").join(side(1, "word", "y").drop("e"), "t")
     first = F.array_min(F.array_intersect("p0", "p1"))
@@ -371,7 +372,7 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, votes: DataFrame, prot
     open_ = tokens.select("word").distinct().where(~left_alone(F.col("word"), protected)).withColumn("k", F.lower("word"))
     learned = _at_hand(cut(voted(votes, min_votes).select(F.col("word").alias("k"), F.col("correction").alias("voted"))))
     counts = _at_hand(cut(vocabulary.groupBy(F.col("word").alias("candidate")).agg(F.max("count").alias("count"))))
-    state = cut(open_.join(learned, "k", "left").join(counts.select(F.col("candidate").alias("k"), F.lit(True).alias("known")), "k", "left"))
+    state = written(open_.join(learned, "k", "left").join(counts.select(F.col("candidate").alias("k"), F.lit(True).alias("known")), "k", "left"))
     lost = state.where("voted is null and known is null and char_length(word) > 2")
     near = edit_candidates(lost.select(F.col("k").alias("word")), counts.select(F.col("candidate").alias("word"))).join(counts, "candidate")
     best = near.groupBy(F.col("word").alias("k")).agg(F.min(F.struct("distance", (-F.col("count")).alias("c"), "candidate"))["candidate"].alias("correction"))
@@ -389,7 +390,7 @@ def corrected_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, v
     """
     texts = df.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("t"))
     words = F.posexplode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).alias("i", "word")
-    fixed = cut(corrections(texts.select(words), vocabulary, votes, protected, min_votes))
+    fixed = written(corrections(texts.select(words), vocabulary, votes, protected, min_votes))
     if fixed.count() <= most_broadcast:
         shared = df.sparkSession.sparkContext.broadcast({r["word"]: r["correction"] for r in fixed.collect()})
 
@@ -400,7 +401,7 @@ def corrected_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, v
 
         got = texts.select(key, looked_up("t").alias("r"))
     else:
-        rows = cut(texts.withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are written
+        rows = written(texts.withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are written
         hits = rows.select("row", words).join(fixed, "word").groupBy("row").agg(F.collect_list(F.struct("i", "correction")).alias("hits"))  # at most a text's own words
 
         @F.pandas_udf(_REBUILT)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,33 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once as a compressed table in the shared folder and read back, for results too large to cut() as they are.
+
+    Tables are taken away when the application ends, since results may be read late.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_take_away)
+    _WRITTEN.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _take_away() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    try:
+        for path in _WRITTEN:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may already be gone at exit
+        return
+    _WRITTEN.clear()
