@@ -34,7 +34,10 @@ _SPLIT = r"[^\p{L}\p{N}]+"
 
 @dataclass
 class Index:
-    """segments: term, posts array<struct<key, len, at array<int>>>; n documents and mean length in terms."""
+    """segments: term, keys, lens, ends, at (arrays); n documents and mean length in terms.
+
+    The i-th document of a row has the places of at up to the i-th of ends, from the one before.
+    """
 
     segments: DataFrame
     key: str
@@ -51,8 +54,8 @@ def positional_index(docs: DataFrame, key: str, text: str, name: str | None = No
     spark = docs.sparkSession
     name = name or f"places_{uuid.uuid4().hex}"
     key_type = docs.schema[key].dataType
-    post = StructType([StructField("key", key_type), StructField("len", IntegerType()), StructField("at", ArrayType(IntegerType()))])
-    shape = StructType([StructField("term", StringType()), StructField("posts", ArrayType(post)), StructField("part", IntegerType())])
+    ints = ArrayType(IntegerType())
+    shape = StructType([StructField("term", StringType()), StructField("keys", ArrayType(key_type)), StructField("lens", ints), StructField("ends", ints), StructField("at", ints), StructField("part", IntegerType())])
 
     def segment(keys: pa.Array, lists: pa.ListArray, part: int) -> pa.RecordBatch:
         """A row per term of some documents: sorted by term, the places fall into runs per document."""
@@ -64,11 +67,12 @@ def positional_index(docs: DataFrame, key: str, text: str, name: str | None = No
         order = np.argsort(codes, kind="stable")
         code, doc, place = codes[order], doc[order], place[order].astype(np.int32)
         first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
-        at = pa.ListArray.from_arrays(np.append(first, len(doc)).astype(np.int32), place)
-        posts = pa.StructArray.from_arrays([keys.take(pa.array(doc[first])), pa.array(sizes[doc[first]].astype(np.int32)), at], ["key", "len", "at"])
-        starts = np.searchsorted(code[first], np.arange(len(words.dictionary) + 1)).astype(np.int32)
-        terms_ = words.dictionary.cast(pa.string())
-        return pa.RecordBatch.from_arrays([terms_, pa.ListArray.from_arrays(starts, posts), pa.array(np.full(len(terms_), part, dtype=np.int32))], ["term", "posts", "part"])
+        starts = np.searchsorted(code[first], np.arange(len(words.dictionary) + 1))  # the first document of each term
+        begins = np.append(first, len(doc))[starts]  # its first place
+        listed = lambda offsets, values: pa.ListArray.from_arrays(offsets.astype(np.int32), values)
+        ends = np.append(first[1:], len(doc)) - begins[code[first]]
+        columns = [listed(starts, keys.take(pa.array(doc[first]))), listed(starts, pa.array(sizes[doc[first]].astype(np.int32))), listed(starts, pa.array(ends.astype(np.int32))), listed(begins, pa.array(place))]
+        return pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), *columns, pa.array(np.full(len(starts) - 1, part, dtype=np.int32))], ["term", "keys", "lens", "ends", "at", "part"])
 
     def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -136,7 +140,10 @@ def match(index: Index, text: str, k1: float = 1.2, b: float = 0.75) -> DataFram
     plain = [w for w, p in slots if not p]
     needed = reduce(lambda x, y: x | y, [*([F.col("term").isin(plain)] if plain else []), *(holds(s) for s in slots if s[1])])
     places = lambda s: F.flatten(F.collect_list(F.when(holds(s), F.col("at"))))  # noqa: E731  places in one text
-    met = index.segments.where(needed).select("term", F.explode("posts").alias("p")).select("term", "p.key", "p.len", "p.at").groupBy("key").agg(F.max("len").alias("len"), *(places(s).alias(f"s{i}") for i, s in enumerate(slots)))
+    before = F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0))
+    posts = index.segments.where(needed).select("term", "lens", "ends", "at", F.posexplode("keys").alias("i", "key"))
+    posts = posts.select("term", "key", F.get("lens", F.col("i")).alias("len"), F.slice("at", before + 1, F.get("ends", F.col("i")) - before).alias("at"))
+    met = posts.groupBy("key").agg(F.max("len").alias("len"), *(places(s).alias(f"s{i}") for i, s in enumerate(slots)))
 
     def back(places: int):
         return lambda x: x - places
