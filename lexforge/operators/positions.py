@@ -2,8 +2,10 @@
 
 The index has a row per term and segment (a run of documents of a bounded number of words) with the
 term's places in each document, written in buckets of the term, so a search reads the buckets of its
-own terms only (a prefix reads all buckets, with the beginning pushed down to the files). Rows of one
-term are dealt over spread tasks, so a term that every document has is no single task's work. A search then gathers, per document, the places of its own
+own terms only (a prefix reads all buckets, with the beginning pushed down to the files). Each task
+writes its own segments, a file per bucket, so nothing is shuffled and a term that every document has
+is no single task's work; with spread, rows are dealt by term first, over spread tasks a term, which
+leaves fewer files. A search then gathers, per document, the places of its own
 terms and intersects them: a phrase is an intersection of shifted places.
 
 Terms are runs of letters and digits, lower-cased; null texts are not in the index, texts without
@@ -49,7 +51,7 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), _SPLIT), lambda w: w != "")
 
 
-def positional_index(docs: DataFrame, key: str, text: str, name: str | None = None, buckets: int = 64, spread: int = 32) -> Index:
+def positional_index(docs: DataFrame, key: str, text: str, name: str | None = None, buckets: int = 16, spread: int | None = None) -> Index:
     """The index of docs, written in the shared folder as a bucketed table called name (a new name if none is given)."""
     spark = docs.sparkSession
     name = name or f"places_{uuid.uuid4().hex}"
@@ -83,13 +85,14 @@ def positional_index(docs: DataFrame, key: str, text: str, name: str | None = No
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + SEGMENT, "right")) - 1)
                 keys, lists = batch.column("key").slice(at, to - at), batch.column("w").slice(at, to - at)
                 if len(lists.flatten()):
-                    yield segment(keys, pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at]), lists.flatten()), part % spread)
+                    yield segment(keys, pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at]), lists.flatten()), part % (spread or 1))
                 at, part = to, part + 1
 
     listed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), terms(F.col(text)).alias("w"))
-    rows = listed.mapInArrow(grouped, shape).repartition("term", "part").drop("part")
+    rows = listed.mapInArrow(grouped, shape)
+    rows = (rows.repartition("term", "part") if spread else rows).drop("part")
     path = f"{shared_folder(spark)}/tables/{name}"
-    rows.sortWithinPartitions("term").write.bucketBy(buckets, "term").sortBy("term").option("path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
+    rows.write.bucketBy(buckets, "term").sortBy("term").option("path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
     size = docs.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col(text)))).alias("mean")).first()
     return Index(spark.table(name), key, size["n"], size["mean"] or 0.0)
 

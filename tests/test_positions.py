@@ -19,10 +19,10 @@ def texts():
     return [*out, (200, None), (201, ""), (202, "!!"), (203, "beta " * 4000 + "gamma"), (None, "alpha beta")]
 
 
-@pytest.fixture(scope="module")
-def index(spark, texts):
+@pytest.fixture(scope="module", params=[None, 3])
+def index(spark, texts, request):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, term string, at int").repartition(3)
-    return P.positional_index(docs, "doc_id", "text", buckets=4, spread=3)
+    return P.positional_index(docs, "doc_id", "text", buckets=4, spread=request.param)
 
 
 def starts(words, clause):
