@@ -114,7 +114,7 @@ class Cooldown:
     out = "fired boolean"
 
     def __init__(self, seconds: float = 300.0) -> None:
-        self.seconds = seconds
+        self.seconds = self.memory = seconds
 
     def start(self) -> dict:
         return {"last": None}
