@@ -1,4 +1,4 @@
-"""Density clusters of vectors: core, border and noise points over exact cosine links, without listing the links.
+"""Density clusters of vectors, flat and as a hierarchy: core, border and noise points over exact cosine links, without listing the links.
 
 Equal vectors are one point with a weight. Points are dealt to the cell of their nearest pivot and
 cells are cut in blocks; two cells whose pivots are further apart than their radii and the link angle
@@ -20,24 +20,27 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.normalize import bound
 from lexforge.operators.dedup import components
-from lexforge.session import cut
+from lexforge.session import cut, written
 
 BLOCK = 2048
 _NONE = np.zeros(0, dtype=np.int64)
 MOST_PIVOTS = 256
 
 
-def unit_points(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """(rows key, digest), (points digest, node, w, v): unit vectors once each, named by their smallest key.
+def unit_points(df: DataFrame, key: str, vector: str, apart: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows key, digest), (points digest, node, w, v, mark): unit vectors once each, named by their smallest key.
 
-    Vectors that are null, empty, zero or hold null or non-finite entries have no digest.
+    Vectors that are null, empty, zero or hold null or non-finite entries have no digest. With apart,
+    a column, equal vectors that differ in it are points of their own; mark is its text.
     """
     v = F.transform(vector, lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = bound(norm, lambda n: F.when((n > 0) & (n < float("inf")), F.transform("v", lambda x: x / n)))
-    rows = cut(df.select(F.col(key).alias("key"), v.alias("v")).select("key", F.when(F.col("v").isNotNull() & fine, unit).alias("v")).withColumn("digest", F.when(F.col("v").isNotNull(), F.sha2(F.array_join("v", ","), 256))))
-    points = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
+    mark = (F.lit(None) if apart is None else F.col(apart)).cast("string")
+    told = F.concat(F.array_join("v", ","), F.coalesce(F.concat(F.lit("|"), "mark"), F.lit("")))
+    rows = cut(df.select(F.col(key).alias("key"), v.alias("v"), mark.alias("mark")).select("key", "mark", F.when(F.col("v").isNotNull() & fine, unit).alias("v")).withColumn("digest", F.when(F.col("v").isNotNull(), F.sha2(told, 256))))
+    points = rows.where("digest is not null").groupBy("digest").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"), F.first("mark").alias("mark"))
     return rows.select("key", "digest"), points
 
 
@@ -59,7 +62,7 @@ class Blocks:
             cell = angles.argmin(axis=1)
             return pd.DataFrame({"cell": cell.astype(np.int32), "far": angles[np.arange(len(cell)), cell]})
 
-        self.points = cut(points.withColumn("c", dealt("v")).select("node", "w", "v", "c.cell", "c.far"))
+        self.points = cut(points.withColumn("c", dealt("v")).select("node", "w", "v", "mark", "c.cell", "c.far"))
         sizes = self.points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()  # a row per pivot
         radius, pieces = {r["cell"]: r["r"] for r in sizes}, {r["cell"]: -(-r["n"] // block) for r in sizes}
         angle = math.acos(max(-1.0, min(1.0, least))) + 1e-5
@@ -67,10 +70,10 @@ class Blocks:
         meets = [(a, b, pieces[a], pieces[b]) for a in radius for b in radius if apart[a, b] <= radius[a] + radius[b] + angle]
         self.meets = spark.createDataFrame(meets, "cell int, other int, own int, pieces int") if meets else spark.createDataFrame([], "cell int, other int, own int, pieces int")
 
-    def between(self, rows: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *, keep: list[str]) -> DataFrame:
+    def between(self, rows: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *, keep: list[str], cosines: bool = False) -> DataFrame:
         """What step makes of each pair of blocks: their rows and the matrix of who is linked to whom; rows hold cell, v and keep.
 
-        The two blocks are the same one where a block meets itself; its diagonal is no link.
+        With cosines the matrix holds those of the links, and -2 where there is none. The two blocks are the same one where a block meets itself; its diagonal is no link.
         """
         least = self.least
         piece = F.pmod(F.xxhash64("node"), F.col("own")).cast("int")
@@ -85,10 +88,11 @@ class Blocks:
             two = one if same else two
             if not len(one) or not len(two):
                 return step(one[:0], two[:0], np.zeros((0, 0), dtype=bool))
-            linked = np.round(np.stack(one["v"].to_list()) @ np.stack(two["v"].to_list()).T, 6) >= least
+            product = np.round(np.stack(one["v"].to_list()) @ np.stack(two["v"].to_list()).T, 6)
+            linked = product >= least
             if same:
                 np.fill_diagonal(linked, False)
-            return step(one, two, linked)
+            return step(one, two, np.where(linked, product, -2.0) if cosines else linked)
 
         return pairs.groupBy("low", "high").applyInPandas(run, schema)
 
@@ -152,3 +156,115 @@ def density_clusters(df: DataFrame, key: str, vector: str, least: float = 0.7, m
     done = done.select("node", F.when(F.col("core"), "core").when(F.col("found").isNotNull(), "border").otherwise("noise").alias("kind"), F.when(F.col("core"), F.col("cluster")).otherwise(F.col("found")).alias("cluster"))
     every = rows.join(points.select("digest", "node").join(done, "node"), "digest", "left")
     return every.select(F.col("key").alias(key), F.coalesce("kind", F.lit("noise")).alias("kind"), "cluster")
+
+
+LADDER = [0.95, 0.9, 0.85, 0.8, 0.75, 0.7]
+
+
+def _rungs(one: pd.DataFrame, two: pd.DataFrame, cosine: np.ndarray, ladder: np.ndarray) -> np.ndarray:
+    """The rung of every link, the first whose floor it reaches; len(ladder) where there is none or the marks differ."""
+    rung = np.searchsorted(-ladder, -cosine, side="left").astype(np.int16)
+    if len(one) and len(two):
+        codes, _ = pd.factorize(pd.concat([one["mark"], two["mark"]], ignore_index=True))
+        a, b = codes[: len(one), None], codes[None, len(one) :]
+        rung[(a != b) & (a >= 0) & (b >= 0)] = len(ladder)
+    return rung
+
+
+def _joins(one: pd.DataFrame, two: pd.DataFrame, rung: np.ndarray, rungs: int) -> pd.DataFrame:
+    """A least spanning forest of a pair of blocks: a, b and the rung at which their parts meet."""
+    nodes = np.unique(np.concatenate([one["node"].to_numpy(np.int64), two["node"].to_numpy(np.int64)]))
+    at, to = np.searchsorted(nodes, one["node"].to_numpy()), np.searchsorted(nodes, two["node"].to_numpy())
+    root = np.arange(len(nodes))
+    out = []
+    for level in range(rungs):
+        i, j = np.nonzero(rung == level)
+        a, b, before = at[i], to[j], root.copy()
+        while len(a):
+            x, y = root[a], root[b]
+            open_ = x != y
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        hung = np.flatnonzero((before == np.arange(len(nodes))) & (root != before))
+        out.append(pd.DataFrame({"a": nodes[root[hung]], "b": nodes[hung], "rung": np.full(len(hung), level, dtype=np.int32)}))
+    return pd.concat(out)
+
+
+def hierarchical_clusters(df: DataFrame, key: str, vector: str, apart: str | None = None, ladder: list[float] | None = None, min_samples: int = 3, min_size: int = 5, block: int = BLOCK) -> DataFrame:
+    """key, cluster, rung, stability of every row: the most stable clusters of the density hierarchy, noise without them.
+
+    ladder holds cosines under 1, falling: a link stands on the first rung whose floor it reaches, and
+    there is none below the last. Two points whose values of apart are both there and differ are never
+    linked. A point is dense from the first rung on which min_samples rows, itself included, are within
+    reach, and two points meet on the highest of their link's rung and their own two. The parts that
+    have met on a rung are its clusters; those of min_size rows form the tree, in which a cluster goes on
+    while one of its parts alone is of that size. Its stability is the sum over its rungs of its rows
+    times the gain in density, one over distance (1 - floor), over the rung below, where the last rung's
+    is one over 2. A cluster is taken if it is at least as stable as the best choice inside it; the
+    widest taken one names its rows by its smallest key, with the rung where it begins.
+
+    Rows whose vector is null, empty, zero or not finite are noise. Keys are whole numbers; repeated rows
+    count as rows. The tree is built in Spark: a rung joins the parts of the one before, so
+    what a step reads shrinks, and no part is ever gathered in one task.
+    """
+    ladder = LADDER if ladder is None else ladder
+    if any(a <= b for a, b in zip(ladder, ladder[1:])) or not ladder or ladder[0] >= 1:
+        raise ValueError("ladder must hold falling cosines under 1")
+    floors, rungs = np.array(ladder, dtype=float), len(ladder)
+    density = [1 / (1 - f) for f in ladder] + [0.5]
+    rows, points = unit_points(df, key, vector, apart)
+    blocks = Blocks(points, ladder[-1], block)
+
+    def around(one: pd.DataFrame, two: pd.DataFrame, cosine: np.ndarray) -> pd.DataFrame:
+        rung, out = _rungs(one, two, cosine, floors), []
+        for level in range(rungs):
+            met = (rung == level).astype(np.float64)  # sums of whole numbers, exact below 2**53
+            ends = [(one, met @ two["w"].to_numpy(np.float64))] + ([] if one is two else [(two, met.T @ one["w"].to_numpy(np.float64))])
+            out += [pd.DataFrame({"node": x["node"].to_numpy(np.int64), "rung": np.full(len(x), level, dtype=np.int32), "near": near.astype(np.int64)})[near > 0] for x, near in ends]
+        return pd.concat(out)
+
+    near = blocks.between(blocks.points, around, "node long, rung int, near long", keep=["w", "mark"], cosines=True)
+    sums = near.groupBy("node").agg(*(F.sum(F.when(F.col("rung") <= i, F.col("near")).otherwise(0)).alias(f"n{i}") for i in range(rungs)))
+    core = F.coalesce(*(F.when(F.col("w") + F.coalesce(f"n{i}", F.lit(0)) >= min_samples, F.lit(i)) for i in range(rungs)))
+    dense = cut(blocks.points.join(sums, "node", "left").withColumn("core", core).where("core is not null").select("node", "w", "v", "mark", "cell", "core"))
+
+    def meet(one: pd.DataFrame, two: pd.DataFrame, cosine: np.ndarray) -> pd.DataFrame:
+        rung = _rungs(one, two, cosine, floors)
+        if len(one) and len(two):
+            reach = np.maximum(one["core"].to_numpy(np.int16)[:, None], two["core"].to_numpy(np.int16)[None, :])
+            rung = np.where(rung < rungs, np.maximum(rung, reach), rungs)
+        return _joins(one, two, rung, rungs)
+
+    joins = cut(blocks.between(dense, meet, "a long, b long, rung int", keep=["mark", "core"], cosines=True).distinct())
+    paths = dense.select("node", "w", "core", F.col("node").alias("part"), F.array().cast("array<long>").alias("path"))
+    for level in range(rungs):
+        now = paths.select("node", "part")
+        edges = joins.where(F.col("rung") == level).join(now.toDF("a", "x"), "a").join(now.toDF("b", "y"), "b").where("x <> y")
+        met = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("part", "whole")
+        paths = paths.join(met, "part", "left").withColumn("part", F.coalesce("whole", "part")).drop("whole")
+        paths = written(paths.withColumn("path", F.concat("path", F.array("part"))))  # a table: cut() would keep constraints, which double with every rung
+
+    steps = paths.select("w", "core", "path", F.posexplode("path").alias("rung", "part")).where("rung >= core")
+    above = F.try_element_at("path", F.col("rung") + 2)
+    tree = cut(steps.groupBy("rung", "part").agg(F.sum("w").alias("n"), F.min(above).alias("above")).where(F.col("n") >= min_size))
+    best = None
+    for level in range(rungs):
+        here = tree.where(F.col("rung") == level).select("rung", "part", "above", (F.col("n") * (density[level] - density[level + 1])).alias("gain"))
+        if best is None:
+            grown = here.withColumn("own", F.col("gain")).withColumn("below", F.lit(0.0)).withColumn("parts", F.lit(0).cast("long"))
+        else:
+            inner = best.groupBy("above").agg(F.count(F.lit(1)).alias("parts"), F.max("own").alias("one"), F.max("below").alias("under"), F.sum(F.greatest("own", "below")).alias("all"))
+            found = here.join(inner.withColumnRenamed("above", "part"), "part", "left").fillna({"parts": 0})
+            one = F.col("parts") == 1
+            grown = found.select("rung", "part", "above", (F.col("gain") + F.when(one, F.col("one")).otherwise(0.0)).alias("own"), F.when(one, F.col("under")).when(F.col("parts") > 1, F.col("all")).otherwise(0.0).alias("below"), "parts")
+        best = written(grown.select("rung", "part", "above", "own", "below", "parts"))
+        tops = best if level == 0 else tops.unionByName(best)
+    split = tops.where("parts > 1").select((F.col("rung") - 1).alias("rung"), F.col("part").alias("above"), F.lit(True).alias("begins"))
+    ends = tops.join(split, ["rung", "above"], "left").where((F.col("begins") | (F.col("rung") == rungs - 1)) & (F.col("own") >= F.col("below")))
+    taken = ends.select("rung", "part", F.col("own").alias("stability"))
+    named = paths.select("node", "core", F.posexplode("path").alias("rung", "part")).where("rung >= core").join(taken, ["rung", "part"])
+    named = named.groupBy("node").agg(F.max_by(F.struct(F.col("part").alias("cluster"), "rung", "stability"), "rung").alias("c")).select("node", "c.*")
+    every = rows.join(points.select("digest", "node").join(named, "node"), "digest", "left")
+    return every.select(F.col("key").alias(key), "cluster", "rung", "stability")

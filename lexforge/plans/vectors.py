@@ -125,6 +125,13 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35, 3)
 
 
+@query()
+def hierarchical_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The most stable density clusters of all vectors from cosine 0.95 down to 0.7; vectors of different labels are never linked."""
+    got = density.hierarchical_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", "label", min_samples=2, min_size=2)
+    return got.select("vec_id", "cluster", "rung", F.round("stability", 6).alias("stability"))
+
+
 @query()
 def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
