@@ -244,7 +244,7 @@ def hierarchical_clusters(df: DataFrame, key: str, vector: str, apart: str | Non
         edges = joins.where(F.col("rung") == level).join(now.toDF("a", "x"), "a").join(now.toDF("b", "y"), "b").where("x <> y")
         met = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("part", "whole")
         paths = paths.join(met, "part", "left").withColumn("part", F.coalesce("whole", "part")).drop("whole")
-        paths = written(paths.withColumn("path", F.concat("path", F.array("part"))))  # a table: cut() would keep constraints, which double with every rung
+        paths = written(paths.withColumn("path", F.concat("path", F.array("part"))))  # a table: with cut() planning slowed with every rung
 
     steps = paths.select("w", "core", "path", F.posexplode("path").alias("rung", "part")).where("rung >= core")
     above = F.try_element_at("path", F.col("rung") + 2)
