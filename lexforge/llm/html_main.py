@@ -7,10 +7,14 @@ tree dynamic program picks the best set in which no node is kept under a dropped
 styles, form controls and other parts that are never prose are not nodes at all.
 
 Null, empty and text-free pages give the empty text. Character references are decoded, white space
-in a block (str.split's), a br too, becomes one space, blocks - ended by block elements - are joined
-by one newline. A page without any markup is its own main text. Repeated rows give repeated texts;
-other columns are not read; page ids of any type, null included, come back as they were. Of equal
-odds, a node is dropped. A page of any length is one tree, read in linear time.
+in a block (str.split's), a br too, becomes one space. Only block elements end a block: pictures,
+scripts, controls, breaks within words and unknown elements stay inside the sentence that holds
+them. Blocks are joined by one newline. A page without any markup is its own main text. Repeated
+rows give repeated texts; other columns are not read; page ids of any type, null included, come back
+as they were. Of equal odds, a node is dropped. A page of any length is one tree, read in linear
+time: a tag ends at the first > outside quoted attribute values, a quote that never closes counts as
+an ordinary character, what follows the last > of the page in an open tag is dropped, as browsers
+do, and the open elements of each name are kept, so that an end tag costs the same at any depth.
 
 The trees are fitted on pages drawn by page_sample from a seeded generator of layouts, whose main
 blocks are known; that sample is the documented bound of the training set. It is fitted once per
@@ -31,24 +35,25 @@ from pyspark.sql import DataFrame, SparkSession
 from lexforge.llm.common import map_batches, text_of
 from lexforge.llm.gbt import BoostedTrees
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?+|["'])*+)>""")
 _ATTR = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 # Fixed values of HTML: elements by how they nest and show.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style textarea title noscript template iframe noembed noframes head select option button svg math canvas object audio video label input".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+UNSEEN = frozenset("script style textarea title noscript template iframe noembed noframes head select datalist option button svg canvas object audio video input annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("table ul ol dl body html div article section main aside".split())
 # Words that authors put in class, id and role names.
 TOKENS = {
     "main": "article articlebody blog body content entry main maincontent post story text".split(),
     "nav": "breadcrumb breadcrumbs menu menubar nav navbar navigation pager pagination tabs toc toolbar".split(),
-    "frame": "banner bottom brand copyright footer footers header head masthead top topbar".split(),
-    "side": "aside author bio complementary popular recent recommended related rail sidebar side tags widget".split(),
+    "top": "banner brand header head masthead top topbar".split(),
+    "foot": "bottom copyright footer footers".split(),
+    "side": "aside author bio complementary more popular recent recommended related rail sidebar side tags widget".split(),
     "notice": "alert alertdialog consent cookie cookies dialog gdpr modal notice notification overlay popup privacy".split(),
     "advert": "ad ads adsense advert advertisement adverts dfp promo promotion promoted sponsor sponsored".split(),
     "form": "contact form login newsletter register search searchbox signup subscribe subscription".split(),
@@ -56,12 +61,12 @@ TOKENS = {
     "share": "follow share sharing social".split(),
 }
 _KIND = {w: k for k, words in TOKENS.items() for w in words}
-_TAGS = {"main": ("article", "main"), "nav": ("nav", "menu"), "frame": ("header", "footer"), "aside": ("aside",), "form": ("form", "fieldset"), "p": ("p", "pre", "blockquote"), "head": ("h1", "h2", "h3", "h4", "h5", "h6"), "list": ("ul", "ol", "dl"), "item": ("li", "dt", "dd"), "table": ("table", "tr", "td", "th", "tbody"), "figure": ("figure", "figcaption", "img"), "div": ("div", "section", "span", "center")}
+_TAGS = {"main": ("article", "main"), "nav": ("nav", "menu"), "top": ("header",), "foot": ("footer",), "aside": ("aside",), "form": ("form", "fieldset"), "p": ("p", "pre", "blockquote"), "head": ("h1", "h2", "h3", "h4", "h5", "h6"), "list": ("ul", "ol", "dl"), "item": ("li", "dt", "dd"), "table": ("table", "tr", "td", "th", "tbody"), "figure": ("figure", "figcaption", "img"), "div": ("div", "section", "span", "center")}
 _TAG_OF = {t: k for k, ts in _TAGS.items() for t in ts}
 TAG_KINDS, TOKEN_KINDS = tuple(_TAGS), tuple(TOKENS)
 FEATURES = (
     *(f"tag_{t}" for t in TAG_KINDS), *(f"own_{k}" for k in TOKEN_KINDS), *(f"above_{k}" for k in TOKEN_KINDS),
-    *(f"under_{t}" for t in ("main", "nav", "frame", "aside", "form", "item", "head")),
+    *(f"under_{t}" for t in ("main", "nav", "top", "foot", "aside", "form", "item", "head")),
     "block", "depth", "siblings", "sibling_at", "same_siblings", "children", "log_text", "text_share", "link_ratio", "text_per_node",
     "p_below", "main_below", "sentences", "commas", "words_per_block", "page_at", "next_text", "previous_text", "item_ratio",
 )
@@ -82,94 +87,119 @@ def parse(source: str) -> list[Node]:
     """Nodes in page order, a parent before its children; node 0 is the page."""
     nodes = [Node("#page", -1, 0)]
     stack = [0]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+    holders = [0]  # where the open block elements are
     texts: list[str] = []
-    state = {"links": 0, "linked": 0, "block": 0}
-    unseen = 0
-
-    def holder() -> int:
-        """The nearest open element that makes blocks."""
-        return next(i for i in reversed(stack) if nodes[i].tag not in INLINE)
+    unseen = linked = block = 0
 
     def flush() -> None:
+        nonlocal linked
         if texts:
             words = " ".join("".join(texts).split())
             texts.clear()
             if words:
-                at = state["block"]
-                nodes.append(Node("#text", at, nodes[at].depth + 1, set(), words, len(words), min(state["linked"], len(words))))
-        state["linked"] = 0
+                nodes.append(Node("#text", block, nodes[block].depth + 1, set(), words, len(words), min(linked, len(words))))
+        linked = 0
 
     def add(raw: str) -> None:
+        nonlocal block, linked
         if unseen or not raw:
             return
         words = html.unescape(raw)
         if not texts:
             if words.isspace():
                 return
-            state["block"] = holder()
+            block = stack[holders[-1]]
         texts.append(words)
-        if state["links"]:
-            state["linked"] += len(words.strip())
+        if places.get("a"):
+            linked += len(words.strip())
 
     def pop_to(depth: int) -> None:
         nonlocal unseen
         while len(stack) > depth:
             tag = nodes[stack.pop()].tag
+            places[tag].pop()
             unseen -= tag in UNSEEN
-            state["links"] -= tag == "a"
+        while holders[-1] >= depth:
+            holders.pop()
+
+    def nearest(tags: frozenset[str] | set[str]) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close_implied(tags: set[str]) -> None:
+        """Ends the elements of these names in which no list, table or section was opened."""
+        scope = nearest(SCOPE)
+        while (k := nearest(tags)) > scope:
+            pop_to(k)
 
     at, end = 0, len(source)
     while at < end:
-        m = _TOKEN.search(source, at)
-        if m is None:
+        start = source.find("<", at)
+        if start < 0:
             add(source[at:])
             break
-        add(source[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                add(html.escape(m.group()[9:-3]))
+        add(source[at:start])
+        follows = source[start + 1 : start + 2]
+        if follows in ("!", "?"):
+            opening, closing = next((p for p in (("<!--", "-->"), ("<![CDATA[", "]]>")) if source.startswith(p[0], start)), (source[start : start + 2], ">"))
+            stop = source.find(closing, start + len(opening))
+            if opening == "<![CDATA[":
+                add(html.escape(source[start + len(opening) : stop if stop >= 0 else end]))
+            at = stop + len(closing) if stop >= 0 else end
+            continue
+        m = _TAG.match(source, start)
+        if m is None:
+            named = follows == "/" and source[start + 2 : start + 3] or follows
+            if named.isascii() and named.isalpha():
+                break  # no > follows outside quotes
+            add("<")
+            at = start + 1
             continue
+        at = m.end()
         tag = m.group(2).lower()
         if tag == "br":
             add("\n")
             continue
         if m.group(1):
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
+            depth = nearest({tag})
             if depth:
-                if tag not in INLINE:
+                if tag in BLOCK:
                     flush()
-                elif any(nodes[i].tag not in INLINE for i in stack[depth:]):
+                elif tag not in UNSEEN and holders[-1] > depth:
                     continue  # a stray end of formatting does not end the blocks opened since
                 pop_to(depth)
+            elif tag == "p":
+                flush()
             continue
-        if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
-        if tag not in INLINE:
+        if tag in BLOCK:
             flush()
-        if tag == "body":
-            pop_to(next((k for k in range(1, len(stack)) if nodes[stack[k]].tag == "head"), len(stack)))
+        if tag == "body" and places.get("head"):
+            pop_to(places["head"][0])
         if tag in ENDS_P:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == "p" or nodes[stack[k]].tag in SCOPE), 0)
-            if k and nodes[stack[k]].tag == "p":
-                pop_to(k)
+            close_implied({"p"})
         if tag in CLOSES:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag in CLOSES[tag] or nodes[stack[k]].tag in SCOPE), 0)
-            if k and nodes[stack[k]].tag in CLOSES[tag]:
-                pop_to(k)
+            close_implied(CLOSES[tag])
         if tag in VOID or m.group(3).endswith("/") and tag not in RAW and tag in UNSEEN:
             continue
         node = Node(tag, stack[-1], nodes[stack[-1]].depth + 1)
         if m.group(3):
             for a in _ATTR.finditer(m.group(3)):
                 node.tokens.update(_KIND[w] for w in map(str.lower, _SPLIT.split(a[2] or a[3] or a[4] or "")) if w in _KIND)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            holders.append(len(stack))
         nodes.append(node)
         stack.append(len(nodes) - 1)
         unseen += tag in UNSEEN
-        state["links"] += tag == "a"
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            add(html.escape(source[at : close.start() if close else end]))
             at = close.end() if close else end
+            if tag in BLOCK:
+                flush()
             pop_to(len(stack) - 1)
     flush()
     return nodes
@@ -258,6 +288,7 @@ def page_sample(count: int, seed: int) -> list[tuple[str, set[str]]]:
     """(html, texts of its main blocks) of generated pages in many layouts."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    some = lambda x, p: x if rng.random() < p else ""
     syllables = ["ba", "con", "de", "er", "fi", "gra", "hel", "in", "jo", "ka", "lum", "men", "nor", "os", "pre", "qui", "ra", "sti", "tor", "un", "ver", "wy", "xe", "zu", "é", "ü"]
 
     def words(n: int) -> str:
@@ -285,8 +316,14 @@ def page_sample(count: int, seed: int) -> list[tuple[str, set[str]]]:
             main.append(" ".join(text.split()))
             return text
 
+        def named(tag: str, body: str, names: tuple[str, ...]) -> str:
+            return f'<{tag} {pick("class", "id")}="{pick(*names)}">{body}</{tag}>'
+
+        def bare(tag: str, body: str, names: tuple[str, ...]) -> str:
+            return f"<{tag}>{body}</{tag}>"
+
         def advert() -> str:
-            return element(pick("div", "div", "aside", "section"), pick(sentence(), prose(1, 3), f'<a href="#">{words(4)}</a>'), ("ad", "ads", "advert", "sponsored", "ad-slot", "promo"))
+            return named(pick("div", "div", "aside", "section"), pick(sentence(), prose(1, 3), f'<a href="#">{words(4)}</a>'), ("ad", "ads", "advert", "sponsored", "ad-slot", "promo"))
 
         def paragraph(body: str) -> str:
             style = rng.random()
@@ -299,7 +336,7 @@ def page_sample(count: int, seed: int) -> list[tuple[str, set[str]]]:
             if rng.random() < 0.85:
                 title = own(sentence(4, 12))
                 out.append(pick(f"<h1>{title}</h1>", f"<h2>{title}</h2>", f"<header><h1>{title}</h1></header>"))
-            for _ in range(int(rng.integers(1, 14)) if rng.random() < 0.9 else 1):
+            for _ in range(int(rng.integers(1, 14)) if rng.random() < 0.85 else int(rng.integers(1, 3))):
                 what = rng.random()
                 if what < 0.66:
                     out.append(paragraph(own(pick(prose(), prose(), sentence(1, 6), words(1).capitalize() + "."))))
@@ -313,29 +350,30 @@ def page_sample(count: int, seed: int) -> list[tuple[str, set[str]]]:
                     out.append(f"<pre><code>{own(words(6))}</code></pre>")
                 elif what < 0.94:
                     out.append("<table>" + "".join(f"<tr><td>{own(words(3))}</td><td>{own(words(2))}</td></tr>" for _ in range(3)) + "</table>")
-                elif what < 0.97:
+                elif what < 0.955:
                     out.append(advert())
+                elif what < 0.98:
+                    cards = "".join(named(pick("div", "article", "li"), f'<h{pick(3, 4)}><a href="/{words(1)}">{sentence(3, 9)}</a></h4>' + some(f"<p>{sentence()}</p>", 0.6), ("card", "teaser", "item")) for _ in range(int(rng.integers(2, 5))))
+                    out.append(cards if rng.random() < 0.3 else named(pick("section", "div", "aside"), f"<h{pick(2, 3)}>{words(2)}</h3>" + cards, ("related", "recommended", "more", "popular")))
                 else:
-                    out.append(element("div", links(3), ("share", "social-share", "related", "tags")))
+                    out.append(named("div", links(3), ("share", "social-share", "related", "tags")))
             return "".join(out)
 
         tag = pick("article", "article", "main", "div", "div", "section")
         names = ("content", "post", "article-body", "entry-content", "main-content", "story", "text")
         body = content()
-        if rng.random() < 0.06:  # bare pages: no wrapper, sometimes no markup
-            plain = pick("".join(f"<p>{own(prose())}</p>" for _ in range(int(rng.integers(1, 6)))), own(prose(1, 9)), "<h1>" + own(sentence(3, 9)) + "</h1>" + own(prose(1, 9)))
-            pages.append((pick(plain, f"<html><body>{plain}</body></html>"), set(main)))
-            continue
+        kind = rng.random()
+        if 0.25 <= kind < 0.4:  # short notes without names: a menu, a few paragraphs, a foot
+            body = "".join(f"<p>{own(pick(sentence(1, 4), sentence(), prose(1, 3)))}</p>" for _ in range(int(rng.integers(1, 4))))
+            tag = pick("div", "div", "article", "main", "section")
         middle = element(tag, body, () if tag in ("article", "main") and rng.random() < 0.6 else names)
         if tag in ("div", "section") and not middle.startswith(f"<{tag} "):
             middle = middle.replace(f"<{tag}>", f'<{tag} class="{pick(*names)}">', 1) if rng.random() < 0.6 else middle
-        talk = element(pick("section", "div", "ol"), "<h3>" + words(2) + "</h3>" + "".join(element(pick("div", "li", "article"), paragraph(prose(1, 4)), ("comment", "reply", "comment-body")) for _ in range(int(rng.integers(1, 6)))), ("comments", "comment-list", "disqus", "replies"))
-        if "class=" not in talk[:40] and "id=" not in talk[:40]:
-            talk = '<div class="comments">' + talk + "</div>"
+        talk = named(pick("section", "div", "ol"), "<h3>" + words(2) + "</h3>" + "".join(element(pick("div", "li", "article"), paragraph(prose(1, 4)), ("comment", "reply", "comment-body")) for _ in range(int(rng.integers(1, 6)))), ("comments", "comment-list", "disqus", "replies"))
         side = element(pick("aside", "aside", "div"), "<h3>" + words(2) + "</h3>" + pick(links(5), paragraph(prose(1, 3)), links(4) + paragraph(sentence())), ("sidebar", "widget", "related", "rail"))
         if side.startswith("<div>"):
             side = side.replace("<div>", '<div class="sidebar">', 1)
-        form = element(pick("form", "form", "div"), f'{sentence(3, 8)}<input name="q"><button>{words(1)}</button>', ("login", "newsletter", "search-form", "subscribe"))
+        form = pick(element, element, bare)(pick("form", "form", "div"), some(f"<h{pick(2, 3, 4)}>{words(2)}</h3>", 0.3) + pick(sentence(3, 8), f"<p>{sentence(3, 12)}</p>", f"<p>{prose(1, 3)}</p>") + pick('<input name="q">', f'<label>{words(1)} <input name="q"></label>', f'<p><label for="q">{words(2)}</label><input id="q"></p>') + f"<button>{words(1)}</button>", ("login", "newsletter", "search-form", "subscribe"))
         if form.startswith("<div>"):
             form = form.replace("<div>", '<div id="newsletter">', 1)
         notice = element("div", pick(sentence(), prose(1, 3)) + f"<button>{words(1)}</button>", ("cookie-notice", "consent", "alert", "gdpr", "popup"))
@@ -345,17 +383,24 @@ def page_sample(count: int, seed: int) -> list[tuple[str, set[str]]]:
         if head.startswith("<div>"):
             head = head.replace("<div>", '<div id="header">', 1)
         nav = element(pick("nav", "nav", "div"), links(int(rng.integers(2, 9))), ("menu", "nav", "navbar", "breadcrumb"))
-        foot = element(pick("footer", "footer", "div"), pick(f"&copy; {words(2)} &middot; {sentence()}", links(4) + sentence(), prose(1, 3)), ("footer", "bottom", "copyright"))
+        foot = pick(element, element, bare)(pick("footer", "footer", "div"), pick(f"&copy; {words(2)} &middot; {sentence()}", links(4) + sentence(), prose(1, 3), f"<p>{sentence(3, 9)}</p>", f"<p>{prose(1, 4)}</p>", f"<p>&copy; {words(2)}</p><p>{sentence()}</p>", sentence(2, 7)), ("footer", "bottom", "copyright"))
         if foot.startswith("<div>"):
             foot = foot.replace("<div>", '<div class="footer">', 1)
-        some = lambda x, p: x if rng.random() < p else ""
+        if kind < 0.25:  # bare pages: no wrapper, sometimes no markup
+            main.clear()
+            plain = pick("".join(f"<p>{own(pick(prose(), sentence(1, 4)))}</p>" for _ in range(int(rng.integers(1, 6)))), own(prose(1, 9)), "<h1>" + own(sentence(3, 9)) + "</h1>" + own(prose(1, 9)))
+            rest = some(form, 0.3) + some(foot, 0.8)
+            pages.append((pick(plain, f"<html><body>{plain}</body></html>", *[f"<html><body>{some(head, 0.3)}{some(nav, 0.5)}{plain if plain.startswith('<p>') else f'<div>{plain}</div>'}{rest}</body></html>"] * 3), set(main)))
+            continue
+        if rng.random() < 0.1:  # columns laid out as cells of a table
+            middle = f'<table width="100%"><tr>{some(named("td", links(4), ("menu", "nav", "sidebar")), 0.7)}<td>{pick(body, middle)}</td></tr></table>'
         core = pick(middle + some(talk, 0.35), middle + some(talk, 0.35), f'<div class="{pick("wrap", "container", "row", "main")}">{middle}{some(side, 0.7)}{some(talk, 0.3)}</div>')
         body = some(notice, 0.25) + some(head, 0.5) + some(nav, 0.85) + some(advert(), 0.5) + some(form, 0.15) + some(side, 0.2) + core + some(side, 0.25) + some(advert(), 0.2) + some(form, 0.2) + some(foot, 0.9) + some(notice, 0.1)
         pages.append((f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{}}</style></head><body>{body}</body></html>", set(main)))
     return pages
 
 
-def train(pages: int = 400, seed: int = 5) -> BoostedTrees:
+def train(pages: int = 600, seed: int = 5) -> BoostedTrees:
     """Trees fitted on generated pages; a node is positive if main text lies in its subtree."""
     x, y = [], []
     for source, main in page_sample(pages, seed):
@@ -365,7 +410,7 @@ def train(pages: int = 400, seed: int = 5) -> BoostedTrees:
             good[nodes[i].parent] = max(good[nodes[i].parent], good[i])
         x.append(node_features(nodes))
         y.append(good)
-    return BoostedTrees(rounds=30, depth=5, rate=0.3, bins=32).fit(np.concatenate(x), np.concatenate(y))
+    return BoostedTrees(rounds=50, depth=5, rate=0.3, bins=32).fit(np.concatenate(x), np.concatenate(y))
 
 
 @functools.lru_cache(maxsize=1)
