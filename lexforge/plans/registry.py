@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.plans import curation, events, monitoring, more, notes, relational, reviewing, searching, spelling, texts, vectors
+from lexforge.plans import archived, curation, events, monitoring, more, notes, relational, reviewing, searching, spelling, texts, vectors
 from lexforge.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "curation", "events", "monitoring", "more", "notes", "relational", "reviewing", "searching", "spelling", "texts", "vectors"]
+__all__ = ["ORACLE", "QUERIES", "archived", "curation", "events", "monitoring", "more", "notes", "relational", "reviewing", "searching", "spelling", "texts", "vectors"]
