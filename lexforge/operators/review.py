@@ -113,10 +113,10 @@ def merged_pages(pages: DataFrame, doc: str, page: str, weights: dict[str, float
 
 
 def classification_vote(sections: DataFrame, doc: str, category: str, confidence: str) -> DataFrame:
-    """doc, category, confidence, share: the category of most summed confidence over a document's sections, ties by name."""
+    """doc, category, confidence, share: the category of most summed confidence over a document's sections, ties by name; no share of a sum of zero."""
     sums = sections.groupBy(doc, category).agg(F.sum(confidence).alias("s"))
     got = sums.groupBy(doc).agg(F.min_by(F.struct(category, "s"), F.struct(-F.round("s", 9), category)).alias("b"), F.sum("s").alias("all"))
-    return got.select(doc, f"b.{category}", F.col("b.s").alias("confidence"), (F.col("b.s") / F.col("all")).alias("share"))
+    return got.select(doc, f"b.{category}", F.col("b.s").alias("confidence"), F.try_divide("b.s", "all").alias("share"))
 
 
 def dedup_safety(cases: DataFrame, key: str) -> DataFrame:
