@@ -20,9 +20,16 @@ def buckets(df: DataFrame, width: str, value: str, ts: str = "ts", by: list[str]
 
 
 def sessions(df: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame:
-    """Sessions of each key that end after gap without events."""
-    got = df.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
-    return got.select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+    """Sessions of each key that end after gap without events.
+
+    Ends are aggregates, not the window's own: Spark moves a filter on the window below the merging of
+    sessions, where it drops events instead of sessions.
+    """
+    # windows that touch are merged, so they are a microsecond short: a gap of just that length ends a session
+    short = f"{gap} -1 microseconds"
+    ends = F.min(ts).alias("first"), F.max(F.col(ts) + F.expr(f"interval {gap}")).alias("last")
+    got = df.groupBy(F.session_window(ts, short).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), *ends)
+    return got.select(key, F.unix_micros("first").alias("start_us"), F.unix_micros("last").alias("end_us"), "n")
 
 
 def settled(df: DataFrame, key: str, gap: str, as_of: Column, ts: str = "ts") -> DataFrame:

@@ -1,9 +1,23 @@
 """Faults that larger tables and odd inputs showed."""
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from lexforge.operators import review as V
+from lexforge.streaming import windows
 
 
 def test_vote_without_confidence_has_no_share(spark):
     rows = spark.createDataFrame([(1, "a", 0.0), (1, "b", 0.0), (2, "a", 3.0), (2, "b", 1.0)], "doc long, category string, confidence double")
     got = {r.doc: tuple(r)[1:] for r in V.classification_vote(rows, "doc", "category", "confidence").collect()}
     assert got == {1: ("a", 0.0, None), 2: ("a", 3.0, 0.75)}
+
+
+def test_open_session_is_not_settled_by_its_first_events(spark):
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = spark.createDataFrame([(u, at + dt.timedelta(minutes=m)) for u, m in [(1, 0), (1, 20), (2, 0), (3, 0), (3, 30), (3, 59)]], "user long, ts timestamp")
+    as_of = lambda minutes: F.unix_micros(F.lit(at + dt.timedelta(minutes=minutes)))
+    ends = lambda minutes: sorted((r.user, r.n) for r in windows.settled(rows, "user", "30 minutes", as_of(minutes)).collect())
+    assert ends(40) == [(2, 1), (3, 1)]
+    assert (1, 2) in ends(50) and ends(100) == [(1, 2), (2, 1), (3, 1), (3, 2)]
