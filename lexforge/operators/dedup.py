@@ -139,9 +139,12 @@ def cosine_links(df: DataFrame, key: str, vector: str, threshold: float, pivots:
 
 
 def merged_clusters(df: DataFrame, named: DataFrame, links: DataFrame, key: str, text: Column) -> DataFrame:
-    """component, n, representative (longest text, then smallest key), score (mean link similarity)."""
+    """component, n, representative (longest text, then smallest key), score (mean link similarity).
+
+    A column n of links tells how many a row sums up.
+    """
     members = named.join(df.select(F.col(key).alias("node"), text.alias("t")), "node")
-    sims = links.join(named.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.avg("similarity").alias("score"))
+    sims = links.join(named.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg((F.sum("similarity") / F.sum(F.col("n") if "n" in links.columns else F.lit(1))).alias("score"))
     best = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.struct(F.char_length("t"), -F.col("node"))).alias("representative"))
     return best.join(sims, "component")
 

@@ -1,9 +1,13 @@
 """Faults that larger tables and odd inputs showed."""
 
 import datetime as dt
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lexforge.operators import dedup as U
+from lexforge.operators import density
 from lexforge.operators import export as X
 from lexforge.operators import review as V
 from lexforge.streaming import windows
@@ -29,3 +33,37 @@ def test_highlighted_words_end_at_accents_as_in_the_sql(spark):
     got = spark.range(1).select(X.highlighted(F.lit(text), ["the", "und", "les"]), X.highlighted(F.lit("été étéé Été, x"), ["été"])).first()
     assert got[0] == "**les**éré **les**, Les_ **und**äge **und** thé **the**"
     assert got[1].startswith("**été** étéé ")
+
+
+def brute_links(rows, least):
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    links = [(a, b, float(unit[a] @ unit[b])) for a in unit for b in unit if a < b and round(float(unit[a] @ unit[b]), 6) >= least]
+    label = {k: k for a, b, _ in links for k in (a, b)}
+    for _ in label:
+        for a, b, _ in links:
+            label[a] = label[b] = min(label[a], label[b])
+    sums = {c: [s for a, _, s in links if label[a] == c] for c in set(label.values())}
+    return label, {c: sum(s) / len(s) for c, s in sums.items()}
+
+
+def test_linked_rows_without_listing_links(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 5))
+    vectors = [(centres[i % 12] + rng.normal(size=5) * 0.1 * (i % 5)).tolist() for i in range(120)]
+    rows = [(1000 - i, v) for i, v in enumerate(vectors)] + [(i, vectors[1]) for i in range(6)] + [(2000 + i, vectors[3]) for i in range(2)]
+    frame = spark.createDataFrame(rows + [(5000, None), (5001, [0.0] * 5)], "vec_id long, embedding array<double>")
+    for least in (0.97, 0.9995):
+        named, links = density.linked_rows(frame, "vec_id", "embedding", least, block=8)
+        label, score = brute_links(rows, least)
+        assert {r.node: r.component for r in named.collect()} == label
+        got = {r.component: r for r in U.merged_clusters(frame, named, links, "vec_id", F.col("vec_id").cast("string")).collect()}
+        assert {c: r.n for c, r in got.items()} == dict(Counter(label.values()))
+        assert all(abs(got[c].score - s) < 1e-9 for c, s in score.items())
+
+
+def test_points_travel_once_per_share(spark):
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    blocks = density.Blocks(density.unit_points(frame, "vec_id", "embedding")[1], 0.1, block=8)  # 50 cells that rule nothing out
+    assert max(len(r.others) for r in blocks.meets.collect()) <= density.SHARES
+    assert blocks.points.groupBy("share").count().agg(F.max("count")).first()[0] <= 100
