@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexforge.operators import dedup as U
 from lexforge.operators import density
 from lexforge.operators import export as X
+from lexforge.operators import learn as L
 from lexforge.operators import review as V
 from lexforge.streaming import windows
 
@@ -67,3 +68,37 @@ def test_points_travel_once_per_share(spark):
     blocks = density.Blocks(density.unit_points(frame, "vec_id", "embedding")[1], 0.1, block=8)  # 50 cells that rule nothing out
     assert max(len(r.others) for r in blocks.meets.collect()) <= density.SHARES
     assert blocks.points.groupBy("share").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_nearest_rows_equal_all_pairs(spark, monkeypatch):
+    for name, value in (("_BLOCK", 16), ("QUERIES", 8), ("SHARE", 40)):
+        monkeypatch.setattr(L, name, value)
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=6).round(2) for _ in range(150)] + [np.ones(6)] * 30 + [np.ones(6) + 1e-7 * i for i in range(30)] + [np.zeros(6)] * 2
+    x = np.array([v for v in vectors])
+    frame = spark.createDataFrame([(int(i), v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    queries = frame.where("vec_id % 7 = 0")
+    rounded = lambda v: float(np.trunc(v * 1e6 + np.copysign(0.5, v)) / 1e6)
+    near, similar = [], []
+    for q in range(0, len(x), 7):
+        rest = [i for i in range(len(x)) if i != q]
+        near += [(q, i, i % 3, d) for d, i in sorted((rounded(np.sqrt(((x[q] - x[i]) ** 2).sum())), i) for i in rest)[:5]]
+        cosine = lambda i: rounded(x[q] @ x[i] / (np.linalg.norm(x[q]) * np.linalg.norm(x[i]))) if x[q].any() and x[i].any() else 0.0  # noqa: B023, E731
+        similar += [(q, i, -s) for s, i in sorted((-cosine(i), i) for i in rest if i % 3 == q % 3)[:5]]
+    same = lambda got, want: [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], atol=1e-9)
+    assert same(sorted((r.q, r.d, r.vec_id, r.label) for r in L.nearest(queries, frame, "vec_id", "embedding", ["label"], 5).collect()), sorted((q, d, i, t) for q, i, t, d in near))
+    assert same(sorted(map(tuple, L.top_k(queries, frame, "vec_id", "embedding", 5, tenant="label").collect())), sorted(similar))
+
+
+def test_vectors_without_a_distance_come_last(spark):
+    rows = [(0, [1.0, 2.0], "a"), (1, None, "b"), (2, [1.0, None], "c"), (3, [1.0], "d"), (4, [float("nan"), 1.0], "e"), (5, [1.0, 3.0], None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r.q, str(r.d), r.vec_id, r.label) for r in L.nearest(frame.where("vec_id < 2"), frame, "vec_id", "embedding", ["label"], 4).collect())
+    assert got == [(0, "1.0", 5, None), (0, "None", 1, "b"), (0, "None", 2, "c"), (0, "nan", 4, "e"), (1, "None", 0, "a"), (1, "None", 2, "c"), (1, "None", 3, "d"), (1, "None", 4, "e")]
+
+
+def test_neighbours_leave_no_pairs(spark):
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 2) for i in range(500)], "vec_id long, embedding array<double>, label int")
+    plan = L.nearest(frame.where("vec_id % 10 = 0"), frame, "vec_id", "embedding", ["label"], 5)._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
