@@ -228,21 +228,33 @@ def file_kind(path: Column) -> Column:
     return reduce(lambda a, kv: a.when(ext.isin(kv[1]), kv[0]), list(kinds.items())[1:], F.when(ext.isin(kinds["image"]), "image")).otherwise("other")
 
 
-def spans(df: DataFrame, text: str, patterns: list[tuple[str, str]], keep: list[str]) -> DataFrame:
-    """keep, kind, start, end, value of every match; positions come from cumulative splits, JVM-side."""
-    out = None
-    for kind, p in patterns:
-        found = F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))
-        parts = F.split(text, p)
-        walk = F.aggregate(
-            F.zip_with(parts, found, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("m"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("s")),
-            lambda acc, x: F.when(x.m.isNull(), acc).otherwise(F.struct((acc.at + x.gap + F.char_length(x.m)).alias("at"), F.concat(acc.s, F.array(F.struct((acc.at + x.gap).alias("start"), (acc.at + x.gap + F.char_length(x.m)).alias("end"), x.m.alias("value")))).alias("s"))),
+def span_list(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """array<struct<kind,start,end,value>> of every match, pattern by pattern; positions come from cumulative splits, JVM-side."""
+
+    def walk(kind: str, p: str) -> Column:
+        return bound(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), lambda found: placed(kind, p, found))
+
+    def placed(kind: str, p: str, found: Column) -> Column:
+        steps = F.aggregate(
+            F.zip_with(F.split(text, p), found, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("m"))),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("s")),
+            lambda acc, x: F.when(x.m.isNull(), acc).otherwise(F.struct((acc.at + x.gap + F.char_length(x.m)).alias("at"), F.concat(acc.s, F.array(F.struct(F.lit(kind).alias("kind"), (acc.at + x.gap).alias("start"), (acc.at + x.gap + F.char_length(x.m)).alias("end"), x.m.alias("value")))).alias("s"))),
             lambda acc: acc.s,
         )
-        rows = df.where(F.col(text).rlike(p)).select(*keep, F.lit(kind).alias("kind"), F.explode(walk).alias("x")).select(*keep, "kind", "x.start", "x.end", "x.value")
-        out = rows if out is None else out.unionAll(rows)
-    return out
+        return F.when(F.size(found) > 0, steps).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+
+    return F.concat(*[walk(kind, p) for kind, p in patterns])
+
+
+def each(rows: DataFrame) -> DataFrame:
+    """Rows of explode_outer(...) AS x without the empty ones: before a plain explode Spark puts a filter that works out the whole list a second time."""
+    return rows.where("x is not null")
+
+
+def spans(df: DataFrame, text: str, patterns: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+    """keep, kind, start, end, value of every match, in one pass over df."""
+    rows = each(df.select(*keep, F.explode_outer(span_list(F.col(text), patterns)).alias("x")))
+    return rows.select(*keep, "x.kind", "x.start", "x.end", "x.value")
 
 
 def greedy_spans(found: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions.detect import spans
+from lexforge.functions.detect import each, span_list, spans
+from lexforge.functions.normalize import bound
 
 #: Entity patterns (English and Arabic); the order is their priority.
 ENTITIES = [
@@ -37,26 +38,44 @@ PLACE = r"\b(?:in|at|from)\s+([A-Z][a-z]{2,})"
 TYPOS = {"hipertension": "hypertension", "diabetis": "diabetes", "pnemonia": "pneumonia", "arthritus": "arthritis", "anemea": "anemia"}
 
 
+def entity_list(text: Column) -> Column:
+    """array<struct<p,start,end,kind,value>> of a text's entities, without those that overlap one of higher priority."""
+    rank = F.create_map(*[F.lit(x) for i, (k, _) in enumerate(ENTITIES) for x in (k, i)])
+    ranked = F.array_sort(F.transform(span_list(text, ENTITIES), lambda s: F.struct(F.element_at(rank, s.kind).alias("p"), s.start, s.end, s.kind, s.value)))
+    free = lambda acc, s: ~F.exists(acc, lambda t: (t.start < s.end) & (s.start < t.end))
+    return bound(ranked, lambda r: F.aggregate(r, F.slice(r, 1, 0), lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc)))
+
+
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, start, end, value of the entities, without those that overlap one of higher priority."""
-    from pyspark.sql import Window
+    """key, kind, start, end, value of the entities, without those that overlap one of higher priority in the same text."""
+    rows = each(df.select(key, F.explode_outer(entity_list(F.col(text))).alias("x")))
+    return rows.select(key, "x.kind", "x.start", "x.end", "x.value")
 
-    found = spans(df.select(key, text), text, ENTITIES, [key])
-    rank = F.element_at(F.create_map(*[F.lit(x) for i, (k, _) in enumerate(ENTITIES) for x in (k, i)]), F.col("kind"))
-    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(rank.alias("p"), "start", "end", "kind", "value"))).alias("all"))
-    free = lambda acc, s: ~F.exists(acc, lambda t: (t.start < s.end) & (s.start < t.end))
-    kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 1, 1), lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-    return listed.select(key, F.explode(kept).alias("e")).select(key, "e.kind", "e.start", "e.end", "e.value")
+
+def triple_list(text: Column) -> Column:
+    """array<struct<subject,relation,object>> of a text; the object is empty where the pattern names none."""
+
+    def triples(name: str, p: str) -> Column:
+        return bound(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda subjects: with_objects(name, p, subjects))
+
+    def with_objects(name: str, p: str, subjects: Column) -> Column:
+        both = F.zip_with(subjects, F.regexp_extract_all(text, F.lit(p), F.lit(2)), lambda s, o: F.struct(F.lower(F.trim(s)).alias("subject"), F.lit(name).alias("relation"), F.lower(F.trim(o)).alias("object")))
+        return F.when(F.size(subjects) > 0, both).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>"))
+
+    return F.concat(*[triples(name, p) for name, p in RELATIONS])
 
 
 def relations(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, subject, relation, object triples; the object is empty where the pattern names none."""
-    out = None
-    for name, p in RELATIONS:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("o"))
-        rows = df.where(F.col(text).rlike(p)).select(key, F.explode(pairs).alias("x")).select(key, F.lower(F.trim("x.s")).alias("subject"), F.lit(name).alias("relation"), F.lower(F.trim("x.o")).alias("object"))
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    return each(df.select(key, F.explode_outer(triple_list(F.col(text))).alias("x"))).select(key, "x.subject", "x.relation", "x.object")
+
+
+def grounded_relations(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, subject, relation, object and the entity kinds of subject and object in the same text, null where none has that text; nothing is shuffled."""
+    lists = df.select(key, triple_list(F.col(text)).alias("__t"), entity_list(F.col(text)).alias("__e"))
+    named = each(lists.select(key, "__e", F.explode_outer("__t").alias("x")))
+    kind = lambda c: F.array_min(F.transform(F.filter("__e", lambda e: F.lower(F.trim(e.value)) == F.col(c)), lambda e: e.kind))
+    return named.select(key, "x.subject", "x.relation", "x.object", kind("x.subject").alias("subject_kind"), kind("x.object").alias("object_kind"))
 
 
 def grounded(triples: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -71,18 +90,36 @@ def names(df: DataFrame, key: str, text: str) -> DataFrame:
     return spans(df.select(key, text), text, [("PERSON", PERSON), ("ORGANIZATION", ORGANISATION), ("DATE", ENTITIES[4][1])], [key])
 
 
+def category_hits(c: Column) -> Column:
+    """How often the pattern of each category is found."""
+    return F.array(*[F.regexp_count(c, F.lit(p)) for p in CATEGORIES.values()])
+
+
+def category_of(hits: Column) -> Column:
+    """Category of most hits, ties to the first; general without hits."""
+    most = F.array_max(hits)
+    return F.when(most > 0, F.element_at(F.array(*map(F.lit, CATEGORIES)), F.array_position(hits, most).cast("int"))).otherwise("general")
+
+
 def category(c: Column) -> Column:
     """Category of most pattern hits, ties to the first; short texts and no hits are general."""
-    hits = F.array(*[F.struct(F.regexp_count(c, F.lit(p)).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, p) in enumerate(CATEGORIES.items())])
-    best = F.array_max(hits)
-    return F.when(best.n > 0, best.k).otherwise("general")
+    return bound(category_hits(c), category_of)
 
 
-def term_confidence(source: Column, target: Column) -> Column:
+def confidence_of(source: Column, hits: Column) -> Column:
     """0.5, more for short terms, a tenth per pattern hit up to three, 1 at most."""
     short = F.when(F.char_length(source) < 30, 0.2).when(F.char_length(source) < 60, 0.1).otherwise(0.0)
-    hits = sum((F.regexp_count(F.concat_ws(" ", source, target), F.lit(p)) for p in CATEGORIES.values()), F.lit(0))
-    return F.least(F.lit(1.0), 0.5 + short + F.least(0.1 * hits, F.lit(0.3)))
+    return F.least(F.lit(1.0), 0.5 + short + F.least(0.1 * F.aggregate(hits, F.lit(0), lambda a, n: a + F.coalesce(n, F.lit(0))), F.lit(0.3)))
+
+
+def term_confidence(source: Column, target: Column) -> Column:
+    """0.5, more for short terms, a tenth per pattern hit in both texts up to three, 1 at most."""
+    return bound(category_hits(F.concat_ws(" ", source, target)), lambda hits: confidence_of(source, hits))
+
+
+def classified(c: Column) -> Column:
+    """struct<category,confidence> of a text by itself, from one count of the hits."""
+    return bound(category_hits(c), lambda hits: F.struct(category_of(hits).alias("category"), confidence_of(c, hits).alias("confidence")))
 
 
 def dictionary_entry(term: Column, definition: Column) -> Column:

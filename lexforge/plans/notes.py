@@ -33,7 +33,8 @@ NOTE = " || ".join([
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", f"{NOTE} AS text")
+    """A note per order; explode keeps Spark from writing the note's expression into every use of it."""
+    return table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", f"explode(array({NOTE})) AS text")
 
 
 _NOTES = f"(SELECT o_orderkey, o_custkey, {NOTE} AS text FROM orders)"
@@ -70,8 +71,7 @@ def _relation_rows() -> str:
 @query(f"""WITH k AS (SELECT o_orderkey, lower(trim(value)) AS value, min(kind) AS kind FROM ({_entity_rows()}) GROUP BY ALL)
 SELECT r.o_orderkey, subject, relation, object, a.kind AS subject_kind, b.kind AS object_kind FROM ({_relation_rows()}) r LEFT JOIN k a ON a.o_orderkey = r.o_orderkey AND a.value = subject LEFT JOIN k b ON b.o_orderkey = r.o_orderkey AND b.value = object""")
 def medical_relations(spark: SparkSession, d: str) -> DataFrame:
-    notes = _notes(spark, d)
-    got = M.grounded(M.relations(notes, "o_orderkey", "text"), M.entities(notes, "o_orderkey", "text"), "o_orderkey")
+    got = M.grounded_relations(_notes(spark, d), "o_orderkey", "text")
     return got.select("o_orderkey", "subject", "relation", "object", "subject_kind", "object_kind")
 
 
@@ -145,7 +145,8 @@ len(list_filter(string_split(lower(text), '.'), lambda s: regexp_matches(s, '\\b
 round(least(1.0, 0.5 + CASE WHEN length(text) < 30 THEN 0.2 WHEN length(text) < 60 THEN 0.1 ELSE 0 END + least(0.1 * ({' + '.join(_CATEGORIES)}), 0.3))::DOUBLE, 6) AS confidence FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _CATEGORIES.items())} FROM {_NOTES})""")
 def note_checks(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
-    return _notes(spark, d).select("o_orderkey", M.category(c).alias("category"), F.array_join(M.misspellings(c), ",").alias("misspelled"), D.laterality_conflicts(c).alias("both_sides"), F.round(M.term_confidence(c, F.lit(None).cast("string")), 6).alias("confidence"))
+    got = _notes(spark, d).select("o_orderkey", M.classified(c).alias("x"), F.array_join(M.misspellings(c), ",").alias("misspelled"), D.laterality_conflicts(c).alias("both_sides"))
+    return got.select("o_orderkey", "x.category", "misspelled", "both_sides", F.round("x.confidence", 6).alias("confidence"))
 
 
 _PAIR = "p_name || " + pick([" | عظم", "", " - مفصل الركبة", " : قلب"], "p_partkey")
@@ -217,4 +218,5 @@ _MOST = "CASE WHEN m = 0 THEN 'general' " + " ".join(f"WHEN n[{i + 1}] = m THEN
 FROM (SELECT *, list_max(n) AS m FROM (SELECT o_orderkey, text, [{', '.join(_HITS)}] AS n FROM {_NOTES}))""")
 def note_categories(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
-    return _notes(spark, d).select("o_orderkey", M.category(c).alias("category"), F.round(M.term_confidence(c, F.lit(None).cast("string")), 6).alias("confidence"))
+    got = _notes(spark, d).select("o_orderkey", M.classified(c).alias("x"))
+    return got.select("o_orderkey", "x.category", F.round("x.confidence", 6).alias("confidence"))

@@ -10,7 +10,9 @@ from lexforge.operators import dedup as U
 from lexforge.operators import density
 from lexforge.operators import export as X
 from lexforge.operators import learn as L
+from lexforge.operators import medical as M
 from lexforge.operators import review as V
+from lexforge.plans.registry import QUERIES
 from lexforge.streaming import windows
 
 
@@ -102,3 +104,20 @@ def test_neighbours_leave_no_pairs(spark):
     frame = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 2) for i in range(500)], "vec_id long, embedding array<double>, label int")
     plan = L.nearest(frame.where("vec_id % 10 = 0"), frame, "vec_id", "embedding", ["label"], 5)._jdf.queryExecution().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_note_text_and_hits_are_computed_once(spark):
+    plans = {n: QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() for n in ("note_checks", "note_categories")}
+    for plan in plans.values():
+        assert plan.count("severe asthma") == 1 and plan.count(r"\bfractur") == 1
+
+
+def test_relations_and_entities_without_a_shuffle(spark):
+    text = "Patient was diagnosed with mild knee pain. He was given Aspirin 5 mg for fever. Surgery was performed on the knee"
+    rows = spark.createDataFrame([(1, text), (1, "An MRI of the hip."), (2, ""), (3, None)], "k long, t string")
+    found = sorted(tuple(r) for r in M.entities(rows, "k", "t").select("k", "kind", "start", "value").collect())
+    assert found == [(1, "ANATOMY", 14, "hip"), (1, "ANATOMY", 109, "knee"), (1, "DIAGNOSIS", 12, "diagnosed with mild knee pain"), (1, "MEDICATION", 56, "Aspirin"), (1, "PROCEDURE", 3, "MRI"), (1, "PROCEDURE", 80, "Surgery"), (1, "VALUE", 64, "5 mg")]
+    got = M.grounded_relations(rows, "k", "t")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, M.grounded(M.relations(rows, "k", "t"), M.entities(rows, "k", "t"), "k").select(got.columns).collect()), key=str)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in M.entities(rows, "k", "t")._jdf.queryExecution().executedPlan().toString()
