@@ -46,12 +46,16 @@ def language(c: Column, threshold: float = 0.70, strict: bool = False) -> Column
 
     strict asks for more than the threshold and calls texts without letters unknown.
     """
-    ar, en = script_counts(c)
-    total = ar + en
-    share_ar, share_en = F.when(total > 0, ar / total).otherwise(0.0), F.when(total > 0, en / total).otherwise(0.0)
     over = (lambda s: s > threshold) if strict else (lambda s: s >= threshold)
-    lang = F.when(F.coalesce(F.trim(c), F.lit("")) == "", "unknown").when(total == 0, "unknown" if strict else "mixed").when(over(share_ar), "ar").when(over(share_en), "en").otherwise("mixed")
-    return F.struct(lang.alias("lang"), F.bround(F.greatest(share_ar, share_en), 4).alias("confidence"))
+
+    def told(counts: Column) -> Column:
+        ar, en = F.get(counts, F.lit(0)), F.get(counts, F.lit(1))
+        total = ar + en
+        share_ar, share_en = F.when(total > 0, ar / total).otherwise(0.0), F.when(total > 0, en / total).otherwise(0.0)
+        lang = F.when(F.coalesce(F.trim(c), F.lit("")) == "", "unknown").when(total == 0, "unknown" if strict else "mixed").when(over(share_ar), "ar").when(over(share_en), "en").otherwise("mixed")
+        return F.struct(lang.alias("lang"), F.bround(F.greatest(share_ar, share_en), 4).alias("confidence"))
+
+    return bound(F.array(*script_counts(c)), told)  # each script is counted once, not once per use
 
 
 def direction(c: Column) -> Column:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexforge.functions import detect as D
 from lexforge.operators import dedup as U
 from lexforge.operators import density
 from lexforge.operators import export as X
@@ -121,3 +122,10 @@ def test_relations_and_entities_without_a_shuffle(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, M.grounded(M.relations(rows, "k", "t"), M.entities(rows, "k", "t"), "k").select(got.columns).collect()), key=str)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in M.entities(rows, "k", "t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scripts_are_counted_once(spark):
+    rows = spark.createDataFrame([(1, "abc ابج"), (2, None), (3, " "), (4, "12")], "k long, t string").select("k", D.language(F.col("t")).alias("l"))
+    assert [(r.k, r.l.lang, r.l.confidence) for r in rows.orderBy("k").collect()] == [(1, "mixed", 0.5), (2, "unknown", 0.0), (3, "unknown", 0.0), (4, "mixed", 0.0)]
+    plan = rows.select("k", "l.lang", "l.confidence")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Za-z]") <= 2  # once per column at most
