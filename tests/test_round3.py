@@ -129,3 +129,35 @@ def test_scripts_are_counted_once(spark):
     assert [(r.k, r.l.lang, r.l.confidence) for r in rows.orderBy("k").collect()] == [(1, "mixed", 0.5), (2, "unknown", 0.0), (3, "unknown", 0.0), (4, "mixed", 0.0)]
     plan = rows.select("k", "l.lang", "l.confidence")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[A-Za-z]") <= 2  # once per column at most
+
+
+def brute_places(tokens, eps):
+    label = list(range(len(tokens)))
+    near = [(i, j) for i in range(len(tokens)) for j in range(i) if tokens[i][0] == tokens[j][0] and (tokens[i][1] - tokens[j][1]) ** 2 + (tokens[i][2] - tokens[j][2]) ** 2 <= eps * eps]
+    for _ in tokens:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    out = Counter()
+    for c in set(label):
+        held = [t for t, k in zip(tokens, label) if k == c]
+        spots = {text: [t for t in held if t[3] == text] for text in {t[3] for t in held}}
+        mean = lambda i: sum(sum(t[i] for t in g) / len(g) for g in spots.values()) / len(spots)
+        weight = {text: round(sum(0.8 * t[4] * (1 + 0.02 * len(text)) for t in g), 9) for text, g in spots.items()}
+        out[held[0][0], round(mean(1), 6), round(mean(2), 6), max(weight, key=lambda t: (weight[t], t))] += 1
+    return out
+
+
+def test_places_of_a_page_are_found_where_it_stands(spark):
+    rng = np.random.default_rng(9)
+    tokens = [(int(rng.integers(0, 12)) ** 2 // 12, float(rng.integers(-90, 90)), float(rng.integers(0, 160)), "abc"[int(rng.integers(0, 3))], float(rng.integers(55, 99)) / 100) for _ in range(260)]
+    shape = "page long, x double, y double, text string, confidence double"
+    odd = [(None, 1.0, 1.0, "a", 0.9), (1, float("nan"), 1.0, "a", 0.9), (1, None, 1.0, "a", 0.9), (1, 1.0, 1.0, "a", 0.5), (1, 1.0, 1.0, "a", None)]
+    rows = spark.createDataFrame([*tokens, *odd], shape).withColumn("engine", F.lit("other"))
+    context = spark.sparkContext
+    for most in (256, 8):
+        context.setJobGroup(f"places {most}", "")
+        got = L.spatial_fusion(rows, "page", [], 15.0, **({"most": most} if most < 256 else {})).collect()
+        jobs = len(context.statusTracker().getJobIdsForGroup(f"places {most}"))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert Counter((r.page, r.x, r.y, r.text) for r in got) == brute_places(tokens, 15.0)
+        assert most < 256 or jobs < 10, jobs  # no search for components over all tokens
