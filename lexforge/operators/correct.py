@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lexforge.functions.normalize import words
-from lexforge.session import cut
+from lexforge.session import cut, text_runs
 
 
 def apply_dictionary(df: DataFrame, fixes: DataFrame, key: str, text: str, most_broadcast: int = 200_000) -> DataFrame:
@@ -23,18 +25,20 @@ def apply_dictionary(df: DataFrame, fixes: DataFrame, key: str, text: str, most_
     if known.count() <= most_broadcast:
         shared = df.sparkSession.sparkContext.broadcast({r["k"]: r["correction"] for r in known.collect()})
 
-        @F.pandas_udf("corrected string, n_fixed long")
-        def replaced(texts: pd.Series) -> pd.DataFrame:
+        def replaced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A dictionary look-up per word has no built-in form: a map column is searched from end to end."""
-            table, out = shared.value, []
-            for t in texts:
-                w = [] if t is None else re.findall(r"[^ \t\n\x0B\f\r]+", t)
-                new = [table.get(x.lower()) for x in w]
-                out.append((" ".join(x if n is None else n for x, n in zip(w, new, strict=True)), sum(n is not None for n in new)))
-            return pd.DataFrame(out, columns=["corrected", "n_fixed"])
-
-        got = df.select(key, replaced(F.col(text)).alias("r"))
-        return got.where("r.corrected <> ''").select(key, "r.corrected", "r.n_fixed")
+            table = shared.value
+            for piece in (p for batch in batches for p in text_runs(batch, "t")):
+                out = []
+                for t in piece.column("t"):
+                    w = re.findall(r"[^ \t\n\x0B\f\r]+", t.as_py() or "")
+                    new = [table.get(x.lower()) for x in w]
+                    out.append((" ".join(x if n is None else n for x, n in zip(w, new, strict=True)), sum(n is not None for n in new)))
+                yield pa.RecordBatch.from_arrays([piece.column("k"), pa.array([c for c, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["k", "corrected", "n_fixed"])
+
+        shape = StructType([StructField("k", df.schema[key].dataType), StructField("corrected", StringType()), StructField("n_fixed", LongType())])
+        got = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(replaced, shape)
+        return got.where("corrected <> ''").select(F.col("k").alias(key), "corrected", "n_fixed")
     tokens = df.select(key, F.posexplode(words(F.col(text))).alias("i", "w"))
     found = tokens.withColumn("k", F.lower("w")).join(known, "k", "left")
     sorted_ = F.array_sort(F.collect_list(F.struct("i", F.coalesce("correction", "w").alias("w"))))

@@ -4,6 +4,7 @@ import datetime as dt
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexforge.functions import detect as D
@@ -161,3 +162,17 @@ def test_places_of_a_page_are_found_where_it_stands(spark):
         context.setLocalProperty("spark.jobGroup.id", None)
         assert Counter((r.page, r.x, r.y, r.text) for r in got) == brute_places(tokens, 15.0)
         assert most < 256 or jobs < 10, jobs  # no search for components over all tokens
+
+
+def test_dictionary_reads_texts_in_runs_of_bounded_bytes(spark):
+    from lexforge.operators import correct as K
+    from lexforge.session import text_runs
+
+    texts = ["x" * 900_000, None, "", "y" * 900_000, "z" * 5_000_000, "a b", "é" * 1_500_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["k", "t"])
+    runs = [r.column("k").to_pylist() for r in text_runs(batch, "t")]
+    assert runs == [[0, 1, 2, 3], [4], [5], [6]] and not list(text_runs(batch[:0], "t"))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["One two", None, "", " \t", "three ONE one"] * 40)], "id int, text string")
+    fixes = spark.createDataFrame([("one", "1"), ("ONE", "0")], "word string, correction string")
+    got = {tuple(r) for r in K.apply_dictionary(docs, fixes, "id", "text").collect()}
+    assert got == {(k, *v) for k in range(0, 200, 5) for k, v in [(k, ("0 two", 1)), (k + 4, ("three 0 0", 2))]}
