@@ -176,3 +176,12 @@ def test_dictionary_reads_texts_in_runs_of_bounded_bytes(spark):
     fixes = spark.createDataFrame([("one", "1"), ("ONE", "0")], "word string, correction string")
     got = {tuple(r) for r in K.apply_dictionary(docs, fixes, "id", "text").collect()}
     assert got == {(k, *v) for k in range(0, 200, 5) for k, v in [(k, ("0 two", 1)), (k + 4, ("three 0 0", 2))]}
+
+
+def test_archives_are_made_in_runs_of_bounded_bytes():
+    from lexforge.plans.archived import _archived
+
+    texts = [str(i) * 700_000 for i in range(9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts), pa.array(["en"] * 9), pa.array([None] * 9, pa.string())], ["doc_id", "text", "lang", "source"])
+    got = list(_archived(iter([batch])))
+    assert [b.num_rows for b in got] == [2, 2, 2, 2, 1] and [k for b in got for k in b.column("doc_id").to_pylist()] == list(range(9))
