@@ -185,3 +185,16 @@ def test_archives_are_made_in_runs_of_bounded_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts), pa.array(["en"] * 9), pa.array([None] * 9, pa.string())], ["doc_id", "text", "lang", "source"])
     got = list(_archived(iter([batch])))
     assert [b.num_rows for b in got] == [2, 2, 2, 2, 1] and [k for b in got for k in b.column("doc_id").to_pylist()] == list(range(9))
+
+
+def test_characters_vote_without_a_row_each(spark):
+    rng = np.random.default_rng(4)
+    turns = [(int(rng.integers(0, 9)), "".join("abé\U0001f600 \0"[int(rng.integers(0, 6))] for _ in range(int(rng.integers(0, 40)))), float(rng.integers(50, 99)) / 100) for _ in range(50)]
+    turns += [(20, "", 0.5), (21, None, 0.5), (None, "x", 0.5), (22, "xy", None), (22, "zz", 0.9), (23, "x", float("nan")), (23, "y", 0.1), (24, "q", float("inf")), (24, None, 0.5), (24, "qrs", 0.7), (25, "u", -1.0)]
+    rows = spark.createDataFrame(turns, "doc long, text string, confidence double")
+    plain = L.char_vote(rows, "doc", "text", "confidence")
+    assert "Generate" not in plain._jdf.queryExecution().toString()
+    got = {r.doc: r.fused for r in plain.collect()}
+    assert set(got) == {t[0] for t in turns if t[0] is not None and t[1]}
+    for most in (0, 300):
+        assert {r.doc: r.fused for r in L.char_vote(rows, "doc", "text", "confidence", most=most).collect()} == got
