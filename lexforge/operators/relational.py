@@ -127,17 +127,22 @@ def near_in_time(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
 
 
 def lineage(edges: DataFrame, child: str, parent: str, rounds: int = 32) -> DataFrame:
-    """(child, ancestor, distance) up to every root, by doubling: each round joins paths end to end."""
+    """(child, ancestor, distance) up to every root, by doubling: a round sets paths on the end of the longest.
+
+    A least path of up to twice the length is one of just that length and another after it, so only
+    the longest are joined and each path is met once, not once per place to cut it.
+    """
     paths = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
-    known, size = paths, -1
+    known, length = cut(paths.distinct()), 1
+    size = known.count()
     for _ in range(rounds):
-        more = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.child"))
+        more = known.where(F.col("distance") == length).alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.child"))
         more = more.select(F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
         known = cut(known.unionAll(more).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")))
         now = known.count()
         if now == size:
             return known
-        size = now
+        size, length = now, 2 * length
     return known
 
 

@@ -198,3 +198,21 @@ def test_characters_vote_without_a_row_each(spark):
     assert set(got) == {t[0] for t in turns if t[0] is not None and t[1]}
     for most in (0, 300):
         assert {r.doc: r.fused for r in L.char_vote(rows, "doc", "text", "confidence", most=most).collect()} == got
+
+
+def test_lineage_joins_only_its_longest_paths(spark, monkeypatch):
+    from lexforge.operators import relational as R
+
+    rng = np.random.default_rng(6)
+    edges = {(i, i + 1) for i in range(20)} | {(int(a), int(b)) for a, b in rng.integers(0, 25, size=(14, 2))} | {(30, 31), (31, 30), (32, 32)}
+    plans, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    rows = spark.createDataFrame([*edges, *edges, (40, None)], "child long, parent long")
+    got = {(r.child, r.ancestor): r.distance for r in R.lineage(rows, "child", "parent").collect()}
+    want, now, step = {}, set(edges), 1
+    while now:
+        want.update({p: step for p in now})
+        now, step = {(a, d) for a, b in now for c, d in edges if b == c} - set(want), step + 1
+    assert got == want
+    joined = [p for p in plans if "Join" in p]
+    assert joined and all("Filter" in p and f"= {2 ** i})" in p for i, p in enumerate(joined))
