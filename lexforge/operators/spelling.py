@@ -16,20 +16,25 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexforge.functions.normalize import bound
-from lexforge.session import cut, written
+from lexforge.session import cut, text_runs, written
 
 LONG, MOST, FIFTHS = 24, 2, 5
 TOKEN = "[^ \t\n\x0b\f\r]+"
+_SPACES = re.compile("([ \t\n\x0b\f\r]+)")
+_ALONE = r"^[^a-zA-Z؀-ۿ]+$|[_-]|^[a-z]+[A-Z]|^[A-Z][a-z]+[A-Z]|\.[\p{L}\p{N}_]{1,4}$|^.$"
 # Reserved words of Python, never corrected.
 KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 
@@ -46,13 +51,14 @@ def _mixed(h: np.ndarray, *marks: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def near_hashes(words: list[str], vocabulary: bool) -> tuple[np.ndarray, np.ndarray]:
+def near_hashes(words: list[str], vocabulary: bool, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """(place of the word in words, hash): what a word and another at most two edits away have in common.
 
     Words of up to LONG letters give the hashes of all strings with up to two letters less, longer
     ones of a vocabulary those of their fifths, with number and length; tokens of like length give
     what may stand in the place of such a fifth. Hashes are sums over letters, so all of a word's
-    come from the sums of its beginnings, for all words of one length at once.
+    come from the sums of its beginnings, for all words of one length at once. With most 1, words give
+    the strings with up to one letter less, and no fifths.
     """
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     owners, hashes = [], []
@@ -71,12 +77,12 @@ def near_hashes(words: list[str], vocabulary: bool) -> tuple[np.ndarray, np.ndar
                 if n <= LONG + (0 if vocabulary else MOST):
                     i = np.arange(n)
                     found += [_mixed(begin[:, n:], n), _mixed(begin[:, i] * powers[n - 1 - i] + part(i + 1, np.full(n, n)), n - 1)]
-                    i, j = np.triu_indices(n, 1)
+                    i, j = np.triu_indices(n, 1) if most > 1 else (np.zeros(0, dtype=np.int64),) * 2
                     found.append(_mixed(begin[:, i] * powers[n - 2 - i] + part(i + 1, j) * powers[n - 1 - j] + part(j + 1, np.full(len(j), n)), n - 2) if n > 1 else np.zeros((len(some), 0), dtype=np.uint64))
                 for other in [0] if vocabulary else range(-MOST, MOST + 1):
                     long_ = n + other
                     edges = [long_ * e // FIFTHS for e in range(FIFTHS + 1)]
-                    for e in range(FIFTHS if long_ > LONG else 0):
+                    for e in range(FIFTHS if long_ > LONG and most > 1 else 0):
                         for s in [0] if vocabulary else range(-MOST, MOST + 1):
                             at, to = edges[e] + s, edges[e + 1] + s
                             if 0 <= at and to <= n:
@@ -126,25 +132,36 @@ def _filter(index: DataFrame, most_bits: int = 27) -> tuple[int, np.ndarray]:
 
 
 def within_two(a: list[str], b: list[str]) -> np.ndarray:
-    """Edit distance with swaps of neighbours of each pair, 3 where it is more than two.
+    """Edit distance with swaps of neighbours of each pair, 3 where it is more than two."""
+    size = lambda words: np.array([len(w) for w in words], dtype=np.int64)
+    return _distances(a, np.arange(len(a)), size(a), b, np.arange(len(b)), size(b))
 
-    Five diagonals of every pair's table are filled at once, row by row, for pairs of like length.
+
+def _distances(a: list[str], of: np.ndarray, n: np.ndarray, b: list[str], to: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """within_two of the words at places of in a and to in b, of lengths n and m.
+
+    Five diagonals of every pair's table are filled at once, row by row, for pairs of like length; a
+    word's letters are laid out once for all its pairs of a run.
     """
-    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    out = np.full(len(a), MOST + 1)
+    out = np.full(len(n), MOST + 1)
     order = np.flatnonzero(np.abs(n - m) <= MOST)
     order = order[np.argsort(n[order], kind="stable")]
-    for some in np.array_split(order, len(order) // 16384 + 1):
-        if not len(some):
-            continue
+    runs, start = [], 0
+    while start < len(order):  # a run's longest word is at most about twice its shortest, and its letters are bounded
+        most = 2 * int(n[order[start]]) + 8
+        end = min(int(np.searchsorted(n[order], most, "right")), start + max(1, 1_200_000 // most))
+        runs.append(order[start:end])
+        start = end
+    for some in runs:
         longest = int(max(n[some].max(), m[some].max()))
         pad = 4
 
-        def letters(words: list[str], end: int, width: int = longest + 2 * pad) -> np.ndarray:
-            padded = "".join(f"{chr(end) * pad}{w}{chr(end) * (width - pad - len(w))}" for w in words)
-            return np.ascontiguousarray(np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), width).T)
+        def letters(words: list[str], at: np.ndarray, end: int, width: int = longest + 2 * pad) -> np.ndarray:
+            used, place = np.unique(at, return_inverse=True)
+            padded = "".join([f"{chr(end) * pad}{words[k]}".ljust(width, chr(end)) for k in used.tolist()])
+            return np.ascontiguousarray(np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(used), width).T[:, place])
 
-        x, y = letters([a[i] for i in some], 1), letters([b[i] for i in some], 2)
+        x, y = letters(a, of[some], 1), letters(b, to[some], 2)
         far, band = 9, range(2 * MOST + 1)
         row = np.full((2 * MOST + 3, len(some)), far, dtype=np.int8)  # line o + 1 holds place j = i + o - MOST
         row[MOST + 1 : 2 * MOST + 2] = np.arange(MOST + 1)[:, None]
@@ -208,33 +225,48 @@ def edit_candidates(tokens: DataFrame, vocabulary: DataFrame, most_shared: int =
     return sure.unionAll(rest.where(F.col("distance") <= MOST))
 
 
-def _looked_up(tokens: DataFrame, known: list[str]) -> DataFrame:
-    """edit_candidates of distinct tokens among a vocabulary that every task may hold."""
-    owner, h = near_hashes(known, True)
+def _near_index(known: list[str], most: int = MOST) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """known, the place in it of every hash, the sorted hashes, and a bit for each beginning of 24 bits that one has."""
+    owner, h = near_hashes(known, True, most)
     order = np.argsort(h, kind="stable")
     hit = np.zeros(1 << 24, dtype=bool)  # by a hash's first bits: most hashes of a token stop here
     hit[(h >> np.uint64(40)).astype(np.int64)] = True
-    shared = tokens.sparkSession.sparkContext.broadcast((known, owner[order].astype(np.int32), h[order], np.packbits(hit)))
+    return known, owner[order].astype(np.int32), h[order], np.packbits(hit)
+
+
+def _near_pairs(index: tuple[list[str], np.ndarray, np.ndarray, np.ndarray], hit: np.ndarray, lengths: np.ndarray, some: list[str], most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in some, place in the index's words, distance) of all pairs at most most edits apart; hit is the index's bits, unpacked."""
+    known, owner, hashes, _ = index
+    place, h = near_hashes(some, False, most)
+    on = hit[(h >> np.uint64(40)).astype(np.int64)]
+    place, h = place[on], h[on]
+    low = np.searchsorted(hashes, h, "left")
+    on = hashes[np.minimum(low, max(0, len(hashes) - 1))] == h if len(hashes) else np.zeros(len(h), dtype=bool)
+    place, h, low = place[on], h[on], low[on]
+    many = np.searchsorted(hashes, h, "right") - low
+    starts = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+    met = np.sort(np.repeat(place, many) * len(known) + owner[starts + np.arange(len(starts))])
+    token, candidate = np.divmod(met[np.diff(met, prepend=-1) > 0], max(1, len(known)))
+    sizes = np.array([len(w) for w in some], dtype=np.int64)
+    fits = np.abs(sizes[token] - lengths[candidate]) <= MOST
+    token, candidate = token[fits], candidate[fits]
+    distance = _distances(some, token, sizes[token], known, candidate, lengths[candidate])
+    near = distance <= most
+    return token[near], candidate[near], distance[near]
+
+
+def _looked_up(tokens: DataFrame, known: list[str]) -> DataFrame:
+    """edit_candidates of distinct tokens among a vocabulary that every task may hold."""
+    shared = tokens.sparkSession.sparkContext.broadcast(_near_index(known))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, owner, hashes, bits = shared.value
-        lengths, hit = np.array([len(w) for w in known]), np.unpackbits(bits).view(bool)
+        index = shared.value
+        lengths, hit = np.array([len(w) for w in index[0]], dtype=np.int64), np.unpackbits(index[3]).view(bool)
         for frame in frames:
             for at in range(0, len(frame), 2048):
                 some = frame["word"].iloc[at : at + 2048].tolist()
-                place, h = near_hashes(some, False)
-                on = hit[(h >> np.uint64(40)).astype(np.int64)]
-                place, h = place[on], h[on]
-                low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                many = high - low
-                starts = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-                met = np.unique(np.repeat(place, many) * len(known) + owner[starts + np.arange(len(starts))]) if len(starts) else np.zeros(0, dtype=np.int64)
-                token, candidate = met // max(1, len(known)), met % max(1, len(known))
-                fits = np.abs(np.array([len(w) for w in some])[token] - lengths[candidate]) <= MOST
-                token, candidate = token[fits], candidate[fits]
-                a, b = [some[i] for i in token], [known[i] for i in candidate]
-                frame_ = pd.DataFrame({"word": a, "candidate": b, "distance": within_two(a, b)})
-                yield frame_[frame_["distance"] <= MOST]
+                token, candidate, distance = _near_pairs(index, hit, lengths, some)
+                yield pd.DataFrame({"word": [some[i] for i in token], "candidate": [index[0][i] for i in candidate], "distance": distance})
 
     return tokens.mapInPandas(run, "word string, candidate string, distance int")
 
@@ -356,10 +388,9 @@ def left_alone(w: Column, protected: list[str]) -> Column:
     Also words of which neither Latin nor Arabic letters make up more than half.
     """
     kept = [*KEYWORDS, *protected]
-    shapes = r"^[^a-zA-Z؀-ۿ]+$|[_-]|^[a-z]+[A-Z]|^[A-Z][a-z]+[A-Z]|\.[\p{L}\p{N}_]{1,4}$|^.$"
     half = lambda p: 2 * F.regexp_count(w, F.lit(p)) > F.char_length(w)
     script = w.rlike("^[a-zA-Z]+$") | half("[a-zA-Z]") | half("[؀-ۿ]")
-    return w.isin(kept) | F.lower(w).isin(kept) | w.rlike(shapes) | ~script
+    return w.isin(kept) | F.lower(w).isin(kept) | w.rlike(_ALONE) | ~script
 
 
 def corrections(tokens: DataFrame, vocabulary: DataFrame, votes: DataFrame, protected: list[str], min_votes: int = 2) -> DataFrame:
@@ -381,13 +412,18 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, votes: DataFrame, prot
     return by_vote.unionAll(by_edit).where("word <> correction")
 
 
-def corrected_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, votes: DataFrame, protected: list[str], min_votes: int = 2, most_broadcast: int = 500_000) -> DataFrame:
+def corrected_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, votes: DataFrame, protected: list[str], min_votes: int = 2, most_broadcast: int = 500_000, most_known: int = 200_000) -> DataFrame:
     """key, corrected, changes array<struct<original, corrected, position>>, n_changes, a row per row with a text.
 
     White space after a word stays as it is, white space before the first word goes. A position
-    counts code points of the corrected text. Only words that change travel: up to most_broadcast of
-    them meet the texts in a broadcast, more in a join, and each text is rebuilt from its own hits.
+    counts code points of the corrected text. A vocabulary and votes of up to most_known words (and
+    most_broadcast) go to every task, which corrects its own texts, so nothing else travels. Beyond
+    that only words that change travel: up to most_broadcast of them meet the texts in a broadcast,
+    more in a join, and each text is rebuilt from its own hits.
     """
+    vocabulary, learned = cut(vocabulary), cut(voted(votes, min_votes))
+    if vocabulary.count() + learned.count() <= min(most_known, most_broadcast):
+        return _corrected_in_place(df, key, text, vocabulary, learned, protected)
     texts = df.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("t"))
     words = F.posexplode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).alias("i", "word")
     fixed = written(corrections(texts.select(words), vocabulary, votes, protected, min_votes))
@@ -413,6 +449,86 @@ def corrected_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, v
     return got.select(key, "r.corrected", "r.changes", F.size("r.changes").cast("long").alias("n_changes"))
 
 
+def _corrected_in_place(df: DataFrame, key: str, text: str, vocabulary: DataFrame, learned: DataFrame, protected: list[str]) -> DataFrame:
+    """corrected_texts with corrections() worked out per run of texts, for their distinct words at once."""
+    counts = vocabulary.where("word <> ''").groupBy("word").agg(F.max("count").alias("count")).collect()
+    counts = dict(sorted((r["word"], r["count"]) for r in counts))
+    told = {r["word"]: r["correction"] for r in learned.collect()}
+    often = np.array(list(counts.values()), dtype=np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((_near_index(list(counts), 1), _near_index(list(counts)), often, told))
+    change = T.StructType().add("original", "string").add("corrected", "string").add("position", "integer")
+    shape = T.StructType().add("key", df.schema[key].dataType).add("corrected", "string").add("changes", T.ArrayType(change)).add("n_changes", "long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, often, told = shared.value
+        words, lengths = one[0], np.array([len(w) for w in one[0]], dtype=np.int64)
+        known, hits, best = set(words), [np.unpackbits(index[3]).view(bool) for index in (one, two)], {}
+
+        def nearest(asked: list[str], index: tuple[list[str], np.ndarray, np.ndarray, np.ndarray], most: int) -> None:
+            """Puts the best candidate within most edits of each word in best."""
+            for at in range(0, len(asked), 4096):
+                some = asked[at : at + 4096]
+                token, candidate, distance = _near_pairs(index, hits[most - 1], lengths, some, most)
+                order = np.lexsort((candidate, -often[candidate], distance, token))
+                first = order[np.flatnonzero(np.diff(token[order], prepend=-1))]
+                best.update((some[t], words[c]) for t, c in zip(token[first].tolist(), candidate[first].tolist()))
+
+        def fixed(found: set[str]) -> dict[str, str]:
+            """What becomes of the words that change; see corrections()."""
+            lowered = {w: w.lower() for w in found}
+            open_ = _not_left_alone([w for w, k in lowered.items() if k in told or (len(w) > 2 and k not in known)], protected)
+            if len(best) > 400_000:  # what was looked up for the texts before is kept up to there
+                best.clear()
+            asked = {k for w in open_ if (k := lowered[w]) not in told and k not in best}
+            # a candidate one edit away goes before all others, and words under LONG letters meet all of these in one
+            nearest(sorted(k for k in asked if len(k) < LONG), one, 1)
+            nearest(sorted(k for k in asked if k not in best), two, MOST)
+            best.update((k, None) for k in asked if k not in best)
+            new = {w: told[k] if (k := lowered[w]) in told else best[k] for w in open_}
+            return {w: c for w, c in new.items() if c is not None and c != w}
+
+        for batch in batches:
+            for some in text_runs(batch, "t", 8_000_000):
+                parts = [_SPACES.split(t) for t in some.column("t").to_pylist()]  # words at even places, between them the spaces
+                new = fixed({w for p in parts for w in p[::2]} - {""})
+                yield pa.RecordBatch.from_arrays([some.column("key"), *_put_in(parts, new)], ["key", "corrected", "changes", "n_changes"])
+
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"))
+    return texts.mapInArrow(run, shape).withColumnRenamed("key", key)
+
+
+def _not_left_alone(words: list[str], protected: list[str]) -> list[str]:
+    """Those of words that are not left_alone()."""
+    kept, w = {*KEYWORDS, *protected}, pa.array(words, pa.string())
+    size = lambda p: pc.multiply(pc.count_substring_regex(w, p), 2)
+    script = pc.or_(pc.greater(size("[a-zA-Z]"), pc.utf8_length(w)), pc.greater(size("[؀-ۿ]"), pc.utf8_length(w)))
+    open_ = pc.and_(script, pc.invert(pc.match_substring_regex(w, _ALONE)))
+    return [x for x, on in zip(words, open_.to_pylist()) if on and x not in kept and x.lower() not in kept]
+
+
+def _put_in(parts: list[list[str]], new: dict[str, str]) -> list[pa.Array]:
+    """corrected, changes, n_changes of texts given as words and spaces in turn."""
+    texts, ends, was, now, at = [], [0], [], [], []
+    for p in parts:
+        begin = 2 if not p[0] else 0  # white space before the first word goes
+        hits = [i for i in range(begin, len(p), 2) if p[i] in new]
+        if hits:
+            before = np.cumsum([0, *map(len, p[begin:])])
+            moved = 0
+            for i in hits:
+                word, better = p[i], new[p[i]]
+                was.append(word)
+                now.append(better)
+                at.append(int(before[i - begin]) + moved)
+                moved += len(better) - len(word)
+                p[i] = better
+        texts.append("".join(p[begin:]))
+        ends.append(len(was))
+    changes = pa.StructArray.from_arrays([pa.array(was, pa.string()), pa.array(now, pa.string()), pa.array(at, pa.int32())], ["original", "corrected", "position"])
+    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), changes)
+    return [pa.array(texts, pa.string()), listed, pa.array(np.diff(ends).astype(np.int64))]
+
+
 _SPACED = re.compile("([^ \t\n\x0b\f\r]+)([ \t\n\x0b\f\r]*)")
 _REBUILT = "corrected string, changes array<struct<original string, corrected string, position int>>"
 
@@ -434,5 +550,16 @@ def _rebuilt(texts: Iterable[tuple[str, Callable[[int, str], str]]]) -> pd.DataF
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """word, count: lower-cased words of letters only, from all texts."""
-    words = df.select(F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("w")).where(F.col("w").rlike(r"^\p{L}+$"))
-    return words.groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("count"))
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in text_runs(batch, "t", 16_000_000):
+                found = Counter()
+                for t in run.column("t").cast(pa.binary()).to_pylist():
+                    found.update(t.split())  # bytes are split at TOKEN's white space
+                w = pa.array(list(found), pa.binary()).cast(pa.string())
+                on = pc.match_substring_regex(w, r"^\p{L}+$")
+                yield pa.RecordBatch.from_arrays([w.filter(on), pa.array(list(found.values()), pa.int64()).filter(on)], ["w", "n"])
+
+    words = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInArrow(counted, "w string, n long")
+    return words.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("count"))

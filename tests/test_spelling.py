@@ -144,3 +144,18 @@ def test_suggestions_in_order(spark):
     assert "Apache" not in got and "xyzzyx" not in got and all(o != "edit" for _, o in got["house"])
     for w, v in got.items():
         assert len({s for s, _ in v}) == len(v) and w not in {s for s, _ in v}
+
+
+def test_a_small_dictionary_corrects_in_place(spark, monkeypatch):
+    """Nothing but the texts is read: no list of their words is written, and the rows are those of the joined way."""
+    rng = random.Random(7)
+    vocab = sorted({*some_words(rng, 80, "abcd", 9), "x" * 24, "x" * 25, "y" * 30})
+    odd = ["snake_case", "aB", "file.txt", "été", "ABC", "Abd", "x" * 23, "x" * 26, "y" * 31, "y" * 29 + "z", "42", "a", "ab\u0085", " ", "العربيه"]
+    texts = ["".join(rng.choice([" ", "\n", "\t ", " ", "\x1c"]) + rng.choice([*odd, *some_words(rng, 3, "abcdx", 9), rng.choice(vocab)]) for _ in range(40)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["", " ", *texts])], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([(w, rng.randrange(1, 4)) for w in vocab], "word string, count long")
+    votes = spark.createDataFrame([("abx", "ab"), ("ABX", "ab"), ("abc", "abc!")] * 2, "original string, corrected string")
+    joined = sorted(S.corrected_texts(docs, "doc_id", "text", known, votes, ["abd"], most_known=0).collect())
+    monkeypatch.setattr(S, "written", None)
+    assert sorted(S.corrected_texts(docs, "doc_id", "text", known, votes, ["abd"]).collect()) == joined
+    assert sum(r["n_changes"] for r in joined) > 100
