@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b, sha256
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from lexforge.functions.normalize import bound, words
-from lexforge.session import cut
+from lexforge.session import cut, text_runs, written
+
+
+def _at_hand(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """rows of a number each, marked for a broadcast if there are few enough."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -32,14 +43,48 @@ def shingles(c: Column, width: int = 5) -> Column:
     return bound(words(c), cut)
 
 
-def hashed_shingles(c: Column, width: int = 5) -> Column:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; a shorter text is one shingle, an empty one has none."""
-
-    def cut(w: Column) -> Column:
-        full = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))
-        return F.when(F.size(w) >= width, F.array_sort(F.array_distinct(full))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+def shingle_sets(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
+    """key, s, h: sorted distinct 64-bit hashes of the word shingles of each text that has a word, and their digest.
 
-    return bound(words(c), cut)
+    A shorter text is one shingle. A word is hashed once, a shingle's hash is made of its words'.
+    """
+    base = np.uint64(0x5851F42D4C957F2D)
+
+    class Hashes(dict):
+        def __missing__(self, word: bytes) -> int:
+            self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+            return h
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = Hashes()
+        for batch in batches:
+            for some in text_runs(batch, "t", 8_000_000):
+                lists = [t.split() for t in some.column("t").cast(pa.binary()).to_pylist()]  # bytes are split at the white space of words()
+                if len(told) > 500_000:
+                    told.clear()
+                every = np.array(list(map(told.__getitem__, chain.from_iterable(lists))), dtype=np.uint64)
+                rolled = every.copy()
+                for i in range(1, min(width, len(every))):
+                    rolled[: len(every) - i] = rolled[: len(every) - i] * base + every[i:]
+                rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                rolled = (rolled ^ (rolled >> np.uint64(29))).view(np.int64)
+                sets, digests, rows, at = [], [], [], 0
+                for row, ws in enumerate(lists):
+                    n = len(ws)
+                    if n >= width:
+                        sets.append(np.unique(rolled[at : at + n - width + 1]))
+                    elif n:
+                        sets.append(np.frombuffer(blake2b(b" ".join(ws), digest_size=8).digest(), dtype=np.int64))
+                    if n:
+                        rows.append(row)
+                        digests.append(sha256(sets[-1].tobytes()).hexdigest())
+                    at += n
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([some.column("key").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(digests, pa.string())], ["key", "s", "h"])
+
+    shape = StructType().add("key", df.schema[key].dataType).add("s", ArrayType(LongType())).add("h", "string")
+    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, shape)
 
 
 def shingle_links(df: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -50,9 +95,18 @@ def shingle_links(df: DataFrame, key: str, text: str, threshold: float = 0.8, wi
     partner must share (prefix filtering), so shingles that stand everywhere join nothing; lengths
     and the places of the shared shingle bound the pairs further.
     """
-    sets = cut(df.select(F.col(key).alias("key"), hashed_shingles(F.col(text), width).alias("s")).where(F.size("s") > 0).withColumn("h", F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256)))
-    classes = cut(sets.groupBy("h").agg(F.min("key").alias("key"), F.first("s").alias("s")))
-    twins = sets.select("h", F.col("key").alias("b")).join(classes.select("h", F.col("key").alias("a")), "h").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    sets = written(shingle_sets(df, key, text, width).withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are written
+    named = sets.groupBy("h").agg(F.min(F.struct("key", "row")).alias("f"))
+    twins = sets.select("h", "row", F.col("key").alias("b")).join(named, "h").where("row <> f.row").select("row", F.col("f.key").alias("a"), "b")
+    twins = cut(twins)
+    n, least = F.col("n"), F.ceil(F.col("n") * threshold - 1e-9)
+    more = lambda c: F.greatest(F.lit(1), F.floor(c / 10))  # noqa: E731  the first of the shared ones stand among the first n - least + more of either text
+    front = sets.select("row", F.size("s").alias("n"), "s").select("row", "n", F.slice("s", F.lit(1), (n - least + more(n)).cast("int")).alias("s"))
+    front = front.join(_at_hand(twins.select("row")), "row", "left_anti").select("row", "n", F.explode("s").alias("x"))
+    met = front.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("x")
+    open_ = cut(front.join(met, "x").groupBy("row", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= more(least)).select("row"))
+    classes = written(sets.join(_at_hand(open_), "row").select("key", "s"))
+    twins = twins.where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
     flat = classes.select("key", F.size("s").alias("n"), F.explode("s").alias("x"))
     often = flat.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles of one text alone are its rarest: they fill the front of its order and join nothing

@@ -1,6 +1,7 @@
 """Operators on small frames with known answers."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -179,3 +180,27 @@ def test_shingle_links_of_copies(spark):
     rows = [(0, words), (1, words), (2, words + " tail"), (3, "other text altogether here now"), (4, ""), (5, None)]
     got = {(r.a, r.b) for r in U.shingle_links(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
     assert got == {(0, 1), (0, 2)}
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_texts_without_a_partner_give_up_few_shingles(spark, monkeypatch, threshold):
+    """Only texts that share enough of their least hashes are compared, and no link is lost."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    line, texts = some(12), []
+    for n in [1, 3, 4, 5, 6, 9, 40, 80, 150]:
+        base = some(n) + (line if n > 30 else [])
+        texts += [base, base, *([w if rng.random() > p else "x" for w in base] for p in (0.01, 0.03, 0.08))]
+    texts += [some(60) + line for _ in range(60)]  # one line in common
+    rows = [(i, rng.choice([" ", "\n ", "\t"]).join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, " \n")]
+    written, tables = U.written, []
+    monkeypatch.setattr(U, "written", lambda df: tables.append(written(df)) or tables[-1])
+    got = {(r.a, r.b): round(r.similarity, 9) for r in U.shingle_links(spark.createDataFrame(rows, "k long, t string").repartition(3), "k", "t", threshold).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in first.values() for b in first.values() if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    want |= {(first[frozenset(s)], i): 1.0 for i, s in enumerate(sets) if first[frozenset(s)] != i}
+    assert got == want and len(want) > 15
+    assert tables[-1].count() < len(first) - (40 if threshold == 0.8 else 5)
