@@ -3,8 +3,8 @@
 The index has a row per term and segment (a run of documents of a bounded number of words) with the
 term's places in each document, written in buckets of the term, so a search reads the buckets of its
 own terms only (a prefix reads all buckets, with the beginning pushed down to the files). Each task
-writes its own segments, a file per bucket, so nothing is shuffled and a term that every document has
-is no single task's work; with spread, rows are dealt by term first, over spread tasks a term, which
+writes its own segments, a file per bucket, so a term that every document has is no single task's
+work and nothing is shuffled but documents of which a part holds too many (see TASK); with spread, rows are dealt by term first, over spread tasks a term, which
 leaves fewer files. A search then gathers, per document, the places of its own
 terms and intersects them: a phrase is an intersection of shifted places.
 
@@ -31,6 +31,8 @@ from lexforge.session import cut, shared_folder
 
 #: words of a segment, unless one text has more
 SEGMENT = 1_000_000
+#: words that a task indexes, on average where they are dealt anew: it sorts their rows for the buckets
+TASK = 8_000_000
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -88,13 +90,17 @@ def positional_index(docs: DataFrame, key: str, text: str, name: str | None = No
                     yield segment(keys, pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at]), lists.flatten()), part % (spread or 1))
                 at, part = to, part + 1
 
-    listed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), terms(F.col(text)).alias("w"))
-    rows = listed.mapInArrow(grouped, shape)
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    each = texts.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(terms(F.col("text")))).alias("words"))
+    size = each.agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("words").alias("most")).first()
+    n, words = size["n"] or 0, size["words"] or 0
+    if (size["most"] or 0) > TASK:
+        texts = texts.repartition(words // TASK + 1, "key")
+    rows = texts.select("key", terms(F.col("text")).alias("w")).mapInArrow(grouped, shape)
     rows = (rows.repartition("term", "part") if spread else rows).drop("part")
     path = f"{shared_folder(spark)}/tables/{name}"
     rows.write.bucketBy(buckets, "term").sortBy("term").option("path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
-    size = docs.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col(text)))).alias("mean")).first()
-    return Index(spark.table(name), key, size["n"], size["mean"] or 0.0)
+    return Index(spark.table(name), key, n, words / n if n else 0.0)
 
 
 _PIECE = re.compile(r'NEAR\(([^,()]+)(?:,\s*(\d+))?\)|"([^"]*)"(\*?)|(\S+)')

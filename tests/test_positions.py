@@ -76,3 +76,13 @@ def test_nothing_to_look_for(spark, index):
             P.match(index, text)
     none = P.positional_index(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
     assert P.match(none, "beta OR alp*").count() == 0
+
+
+def test_documents_in_one_part_are_dealt_to_tasks_of_bounded_words(spark, texts, monkeypatch):
+    monkeypatch.setattr(P, "TASK", 700)
+    docs = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string").coalesce(1)
+    index = P.positional_index(docs, "doc_id", "text", buckets=4)
+    assert len({re.search(r"part-(\d+)", f).group(1) for f in index.segments.inputFiles()}) > 4
+    whole = {r["doc_id"]: r["hits"] for r in P.match(index, '"beta gamma"').collect()}
+    cut = {i: re.sub("[^a-zé0-9]+", " ", t.lower()) for i, t in texts if t is not None}
+    assert whole == {i: n for i, t in cut.items() if (n := len(re.findall(r"\bbeta(?= gamma\b)", t)))}
