@@ -266,7 +266,8 @@ def _looked_up(tokens: DataFrame, known: list[str]) -> DataFrame:
             for at in range(0, len(frame), 2048):
                 some = frame["word"].iloc[at : at + 2048].tolist()
                 token, candidate, distance = _near_pairs(index, hit, lengths, some)
-                yield pd.DataFrame({"word": [some[i] for i in token], "candidate": [index[0][i] for i in candidate], "distance": distance})
+                if len(token):  # a frame of empty lists has no strings' type, which Arrow refuses
+                    yield pd.DataFrame({"word": [some[i] for i in token], "candidate": [index[0][i] for i in candidate], "distance": distance})
 
     return tokens.mapInPandas(run, "word string, candidate string, distance int")
 

@@ -70,6 +70,14 @@ def test_candidates_are_complete(spark, most_shared):
     assert got == sorted([*want, ("w" * 2998, "w" * 3000, 2)])
 
 
+def test_a_run_of_words_without_candidates(spark):
+    """A slice of the dictionary may hold nothing near any of a task's words."""
+    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    assert S.edit_candidates(frame(["qqqqqqqq", "wwwwwwww"]), frame(["the"])).collect() == []
+    got = S.edit_candidates(frame(["qqqqqqqq", "teh"]), frame(["some", "the", "word"]), 1).collect()
+    assert [tuple(r) for r in got] == [("teh", "the", 1)]
+
+
 def test_close_matches_are_complete(spark):
     rng = random.Random(3)
     vocab, asked = sorted(set(some_words(rng, 150, "abcdeé", 9))), sorted({*some_words(rng, 60, "abcdfé", 9), "z" * 40, "ab" * 700})
