@@ -15,15 +15,15 @@ an empty one comes back empty. White space is space and tab to carriage return.
 from __future__ import annotations
 
 import difflib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +33,8 @@ from lexforge.session import cut, text_runs, written
 
 LONG, MOST, FIFTHS = 24, 2, 5
 TOKEN = "[^ \t\n\x0b\f\r]+"
-_SPACES = re.compile("([ \t\n\x0b\f\r]+)")
+_WHITE = " \t\n\x0b\f\r"
+_IS_WHITE = np.isin(np.arange(256), [ord(c) for c in _WHITE])
 _ALONE = r"^[^a-zA-Z؀-ۿ]+$|[_-]|^[a-z]+[A-Z]|^[A-Z][a-z]+[A-Z]|\.[\p{L}\p{N}_]{1,4}$|^.$"
 # Reserved words of Python, never corrected.
 KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
@@ -225,34 +226,76 @@ def edit_candidates(tokens: DataFrame, vocabulary: DataFrame, most_shared: int =
     return sure.unionAll(rest.where(F.col("distance") <= MOST))
 
 
-def _near_index(known: list[str], most: int = MOST) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """known, the place in it of every hash, the sorted hashes, and a bit for each beginning of 24 bits that one has."""
-    owner, h = near_hashes(known, True, most)
-    order = np.argsort(h, kind="stable")
-    hit = np.zeros(1 << 24, dtype=bool)  # by a hash's first bits: most hashes of a token stop here
-    hit[(h >> np.uint64(40)).astype(np.int64)] = True
-    return known, owner[order].astype(np.int32), h[order], np.packbits(hit)
+class _Index(NamedTuple):
+    """The hashes of words, sorted: a bucket is named by a hash's first bits, an entry holds the next ones and the word's place in own bits."""
 
+    words: list[str]
+    bits: int
+    own: int
+    starts: np.ndarray  # the first entry of each bucket, and the end
+    entries: np.ndarray
+    met: np.ndarray  # a bit for each beginning of bits + 5 bits that a hash has: most hashes of a token stop here
 
-def _near_pairs(index: tuple[list[str], np.ndarray, np.ndarray, np.ndarray], hit: np.ndarray, lengths: np.ndarray, some: list[str], most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in some, place in the index's words, distance) of all pairs at most most edits apart; hit is the index's bits, unpacked."""
-    known, owner, hashes, _ = index
+
+def _near_index(words: list[str], most: int = MOST) -> _Index:
+    """Four bytes a hash, about 200 a word of nine letters with most 2."""
+    own = max(1, (len(words) - 1).bit_length())
+    low = np.uint64((1 << own) - 1)
+    keys = [np.zeros(0, dtype=np.uint64)]
+    for at in range(0, len(words), 65_536):
+        owner, h = near_hashes(words[at : at + 65_536], True, most)
+        keys.append((h & ~low) | (owner + at).astype(np.uint64))
+    keys = np.concatenate(keys)
+    keys.sort()
+    bits = min(28, max(8, len(keys).bit_length() - 3))
+    starts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)).astype(np.uint32)
+    entries, on = np.empty(len(keys), dtype=np.uint32), np.zeros(1 << (bits + 5), dtype=bool)
+    for at in range(0, len(keys), 4_000_000):
+        some = keys[at : at + 4_000_000]
+        entries[at : at + 4_000_000] = (_marked(some, bits, own) << np.uint32(own)) | (some & low).astype(np.uint32)
+        on[(some >> np.uint64(59 - bits)).astype(np.int64)] = True
+    return _Index(words, bits, own, starts, entries, np.packbits(on, bitorder="little"))
+
+
+def _marked(h: np.ndarray, bits: int, own: int) -> np.ndarray:
+    """The bits of hashes that an entry holds."""
+    return ((h << np.uint64(bits)) >> np.uint64(32 + own)).astype(np.uint32)
+
+
+def _near_pairs(index: _Index, lengths: np.ndarray, some: list[str], most: int = MOST, at_once: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in some, place in the index's words, distance) of all pairs at most most edits apart, each once.
+
+    Entries are compared at_once at a time, since many short words may share a hash.
+    """
     place, h = near_hashes(some, False, most)
-    on = hit[(h >> np.uint64(40)).astype(np.int64)]
-    place, h = place[on], h[on]
-    low = np.searchsorted(hashes, h, "left")
-    on = hashes[np.minimum(low, max(0, len(hashes) - 1))] == h if len(hashes) else np.zeros(len(h), dtype=bool)
-    place, h, low = place[on], h[on], low[on]
-    many = np.searchsorted(hashes, h, "right") - low
-    starts = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-    met = np.sort(np.repeat(place, many) * len(known) + owner[starts + np.arange(len(starts))])
-    token, candidate = np.divmod(met[np.diff(met, prepend=-1) > 0], max(1, len(known)))
-    sizes = np.array([len(w) for w in some], dtype=np.int64)
-    fits = np.abs(sizes[token] - lengths[candidate]) <= MOST
-    token, candidate = token[fits], candidate[fits]
-    distance = _distances(some, token, sizes[token], known, candidate, lengths[candidate])
-    near = distance <= most
-    return token[near], candidate[near], distance[near]
+    begin = (h >> np.uint64(59 - index.bits)).astype(np.int64)
+    on = ((index.met[begin >> 3] >> (begin & 7).astype(np.uint8)) & 1).view(bool)
+    place, h, bucket = place[on], h[on], begin[on] >> 5
+    first = index.starts[bucket].astype(np.int64)
+    many = index.starts[bucket + 1] - first
+    mark, ends = _marked(h, index.bits, index.own), np.cumsum(many)
+    sizes, found, at = np.array([len(w) for w in some], dtype=np.int64), [], 0
+    while at < len(place):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, "right")))
+        n = many[at:to]
+        hit = np.repeat(first[at:to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        entry, of = index.entries[hit], np.repeat(np.arange(at, to), n)
+        same = (entry >> np.uint32(index.own)) == mark[of]
+        token, candidate = place[of[same]], (entry[same] & np.uint32((1 << index.own) - 1)).astype(np.int64)
+        fits = np.abs(sizes[token] - lengths[candidate]) <= most
+        met = np.sort(token[fits] * len(lengths) + candidate[fits])
+        token, candidate = np.divmod(met[np.diff(met, prepend=-1) > 0], max(1, len(lengths)))
+        distance = _distances(some, token, sizes[token], index.words, candidate, lengths[candidate])
+        near = distance <= most
+        found.append((token[near], candidate[near], distance[near]))
+        at = to
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    token, candidate, distance = (np.concatenate(x) for x in zip(*found))
+    if len(found) > 1:
+        once = np.unique(token * len(lengths) + candidate, return_index=True)[1]
+        token, candidate, distance = token[once], candidate[once], distance[once]
+    return token, candidate, distance
 
 
 def _looked_up(tokens: DataFrame, known: list[str]) -> DataFrame:
@@ -261,13 +304,13 @@ def _looked_up(tokens: DataFrame, known: list[str]) -> DataFrame:
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        lengths, hit = np.array([len(w) for w in index[0]], dtype=np.int64), np.unpackbits(index[3]).view(bool)
+        lengths = np.array([len(w) for w in index.words], dtype=np.int64)
         for frame in frames:
             for at in range(0, len(frame), 2048):
                 some = frame["word"].iloc[at : at + 2048].tolist()
-                token, candidate, distance = _near_pairs(index, hit, lengths, some)
+                token, candidate, distance = _near_pairs(index, lengths, some)
                 if len(token):  # a frame of empty lists has no strings' type, which Arrow refuses
-                    yield pd.DataFrame({"word": [some[i] for i in token], "candidate": [index[0][i] for i in candidate], "distance": distance})
+                    yield pd.DataFrame({"word": [some[i] for i in token], "candidate": [index.words[i] for i in candidate], "distance": distance})
 
     return tokens.mapInPandas(run, "word string, candidate string, distance int")
 
@@ -413,63 +456,81 @@ def corrections(tokens: DataFrame, vocabulary: DataFrame, votes: DataFrame, prot
     return by_vote.unionAll(by_edit).where("word <> correction")
 
 
-def corrected_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, votes: DataFrame, protected: list[str], min_votes: int = 2, most_broadcast: int = 500_000, most_known: int = 200_000) -> DataFrame:
+def corrected_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, votes: DataFrame, protected: list[str], min_votes: int = 2, most_broadcast: int = 1_000_000, most_known: int = 1_000_000) -> DataFrame:
     """key, corrected, changes array<struct<original, corrected, position>>, n_changes, a row per row with a text.
 
     White space after a word stays as it is, white space before the first word goes. A position
     counts code points of the corrected text. A vocabulary and votes of up to most_known words (and
-    most_broadcast) go to every task, which corrects its own texts, so nothing else travels. Beyond
-    that only words that change travel: up to most_broadcast of them meet the texts in a broadcast,
-    more in a join, and each text is rebuilt from its own hits.
+    most_broadcast) go to every task, which corrects its own texts, so nothing else travels; a
+    word takes about 400 bytes there. Beyond that texts are written in runs of some megabytes and
+    only a run's distinct words travel. Up to most_broadcast words that change go to every task,
+    more are brought to their runs by a join.
     """
     vocabulary, learned = cut(vocabulary), cut(voted(votes, min_votes))
+    shape = T.StructType().add("key", df.schema[key].dataType).add("corrected", "string").add("changes", _CHANGES).add("n_changes", "long")
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"))
     if vocabulary.count() + learned.count() <= min(most_known, most_broadcast):
-        return _corrected_in_place(df, key, text, vocabulary, learned, protected)
-    texts = df.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("t"))
-    words = F.posexplode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).alias("i", "word")
-    fixed = written(corrections(texts.select(words), vocabulary, votes, protected, min_votes))
+        return _corrected_in_place(texts, shape, vocabulary, learned, protected).withColumnRenamed("key", key)
+    runs = written(texts.mapInArrow(_numbered, T.StructType().add("run", "long").add("key", df.schema[key].dataType).add("t", "string")))  # numbers hold once they are written
+    words = written(runs.select("run", "t").mapInArrow(lambda batches: _words_of_runs(batches, protected), "run long, word string"))
+    fixed = written(corrections(words.select("word"), vocabulary, votes, protected, min_votes))
     if fixed.count() <= most_broadcast:
         shared = df.sparkSession.sparkContext.broadcast({r["word"]: r["correction"] for r in fixed.collect()})
+        got = runs.select("key", "t").mapInArrow(lambda batches: (_rebuilt(run, shared.value) for batch in batches for run in text_runs(batch, "t", 8_000_000)), shape)
+    else:
+        hits = words.join(fixed, "word")  # at most a run's own words
 
-        @F.pandas_udf(_REBUILT)
-        def looked_up(texts: pd.Series) -> pd.DataFrame:
-            known = shared.value
-            return _rebuilt((t, lambda i, w: known.get(w, w)) for t in texts)
+        def put_in(run: pa.Table, hits: pa.Table) -> pa.Table:
+            new = dict(zip(hits["word"].to_pylist(), hits["correction"].to_pylist()))
+            return pa.Table.from_batches([_rebuilt(batch, new) for batch in run.select(["key", "t"]).to_batches()])
 
-        got = texts.select(key, looked_up("t").alias("r"))
-    else:
-        rows = written(texts.withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are written
-        hits = rows.select("row", words).join(fixed, "word").groupBy("row").agg(F.collect_list(F.struct("i", "correction")).alias("hits"))  # at most a text's own words
+        got = runs.groupBy("run").cogroup(hits.groupBy("run")).applyInArrow(put_in, shape)
+    return got.withColumnRenamed("key", key)
+
+
+_CHANGES = T.ArrayType(T.StructType().add("original", "string").add("corrected", "string").add("position", "integer"))
 
-        @F.pandas_udf(_REBUILT)
-        def put_in(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
-            new = ({} if found is None else {h["i"]: h["correction"] for h in found} for found in hits)
-            return _rebuilt((t, lambda i, w, n=n: n.get(i, w)) for t, n in zip(texts, new))
 
-        got = rows.join(hits, "row", "left").select(key, put_in("t", "hits").alias("r"))
-    return got.select(key, "r.corrected", "r.changes", F.size("r.changes").cast("long").alias("n_changes"))
+def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in runs of about four megabytes, each with a number of its own."""
+    run, held = TaskContext.get().partitionId() << 33, 0
+    for batch in batches:
+        for some in text_runs(batch, "t", 1_000_000):
+            if held > 3_000_000:
+                run, held = run + 1, 0
+            held += some.column("t").nbytes
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, run)), some.column("key"), some.column("t")], ["run", "key", "t"])
 
 
-def _corrected_in_place(df: DataFrame, key: str, text: str, vocabulary: DataFrame, learned: DataFrame, protected: list[str]) -> DataFrame:
-    """corrected_texts with corrections() worked out per run of texts, for their distinct words at once."""
-    counts = vocabulary.where("word <> ''").groupBy("word").agg(F.max("count").alias("count")).collect()
-    counts = dict(sorted((r["word"], r["count"]) for r in counts))
-    told = {r["word"]: r["correction"] for r in learned.collect()}
-    often = np.array(list(counts.values()), dtype=np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((_near_index(list(counts), 1), _near_index(list(counts)), often, told))
-    change = T.StructType().add("original", "string").add("corrected", "string").add("position", "integer")
-    shape = T.StructType().add("key", df.schema[key].dataType).add("corrected", "string").add("changes", T.ArrayType(change)).add("n_changes", "long")
+def _words_of_runs(batches: Iterable[pa.RecordBatch], protected: list[str]) -> Iterator[pa.RecordBatch]:
+    """run, word of the distinct words that are not left alone; a run that two batches share may give one twice."""
+    for batch in batches:
+        run = batch.column("run").to_numpy()
+        edges = np.flatnonzero(np.diff(run, prepend=-1, append=-1))
+        for at, to in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            for some in text_runs(batch.slice(at, to - at), "t", 8_000_000):
+                open_ = _not_left_alone([w for w in _pieces(some.column("t"))[0].to_pylist() if w[0] not in _WHITE], protected)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), run[at])), pa.array(open_, pa.string())], ["run", "word"])
+
+
+def _corrected_in_place(texts: DataFrame, shape: T.StructType, vocabulary: DataFrame, learned: DataFrame, protected: list[str]) -> DataFrame:
+    """corrected_texts of texts(key, t) with corrections() worked out per run of texts, for their distinct words at once."""
+    counts = vocabulary.where("word <> ''").groupBy("word").agg(F.max("count").alias("count")).toArrow().sort_by("word")
+    told = learned.select("word", "correction").toArrow()
+    told = dict(zip(told["word"].to_pylist(), told["correction"].to_pylist()))
+    listed, often = counts["word"].to_pylist(), counts["count"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast((_near_index(listed, 1), _near_index(listed), often, told))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, often, told = shared.value
-        words, lengths = one[0], np.array([len(w) for w in one[0]], dtype=np.int64)
-        known, hits, best = set(words), [np.unpackbits(index[3]).view(bool) for index in (one, two)], {}
+        words, lengths = one.words, np.array([len(w) for w in one.words], dtype=np.int64)
+        known, best = set(words), {}
 
-        def nearest(asked: list[str], index: tuple[list[str], np.ndarray, np.ndarray, np.ndarray], most: int) -> None:
+        def nearest(asked: list[str], index: _Index, most: int) -> None:
             """Puts the best candidate within most edits of each word in best."""
             for at in range(0, len(asked), 4096):
                 some = asked[at : at + 4096]
-                token, candidate, distance = _near_pairs(index, hits[most - 1], lengths, some, most)
+                token, candidate, distance = _near_pairs(index, lengths, some, most)
                 order = np.lexsort((candidate, -often[candidate], distance, token))
                 first = order[np.flatnonzero(np.diff(token[order], prepend=-1))]
                 best.update((some[t], words[c]) for t, c in zip(token[first].tolist(), candidate[first].tolist()))
@@ -490,63 +551,66 @@ def _corrected_in_place(df: DataFrame, key: str, text: str, vocabulary: DataFram
 
         for batch in batches:
             for some in text_runs(batch, "t", 8_000_000):
-                parts = [_SPACES.split(t) for t in some.column("t").to_pylist()]  # words at even places, between them the spaces
-                new = fixed({w for p in parts for w in p[::2]} - {""})
-                yield pa.RecordBatch.from_arrays([some.column("key"), *_put_in(parts, new)], ["key", "corrected", "changes", "n_changes"])
+                yield _rebuilt(some, fixed)
 
-    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"))
-    return texts.mapInArrow(run, shape).withColumnRenamed("key", key)
+    return texts.mapInArrow(run, shape)
 
 
 def _not_left_alone(words: list[str], protected: list[str]) -> list[str]:
     """Those of words that are not left_alone()."""
+    if not words:
+        return []
     kept, w = {*KEYWORDS, *protected}, pa.array(words, pa.string())
-    size = lambda p: pc.multiply(pc.count_substring_regex(w, p), 2)
-    script = pc.or_(pc.greater(size("[a-zA-Z]"), pc.utf8_length(w)), pc.greater(size("[؀-ۿ]"), pc.utf8_length(w)))
-    open_ = pc.and_(script, pc.invert(pc.match_substring_regex(w, _ALONE)))
-    return [x for x, on in zip(words, open_.to_pylist()) if on and x not in kept and x.lower() not in kept]
-
-
-def _put_in(parts: list[list[str]], new: dict[str, str]) -> list[pa.Array]:
-    """corrected, changes, n_changes of texts given as words and spaces in turn."""
-    texts, ends, was, now, at = [], [0], [], [], []
-    for p in parts:
-        begin = 2 if not p[0] else 0  # white space before the first word goes
-        hits = [i for i in range(begin, len(p), 2) if p[i] in new]
-        if hits:
-            before = np.cumsum([0, *map(len, p[begin:])])
-            moved = 0
-            for i in hits:
-                word, better = p[i], new[p[i]]
-                was.append(word)
-                now.append(better)
-                at.append(int(before[i - begin]) + moved)
-                moved += len(better) - len(word)
-                p[i] = better
-        texts.append("".join(p[begin:]))
-        ends.append(len(was))
-    changes = pa.StructArray.from_arrays([pa.array(was, pa.string()), pa.array(now, pa.string()), pa.array(at, pa.int32())], ["original", "corrected", "position"])
-    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), changes)
-    return [pa.array(texts, pa.string()), listed, pa.array(np.diff(ends).astype(np.int64))]
-
-
-_SPACED = re.compile("([^ \t\n\x0b\f\r]+)([ \t\n\x0b\f\r]*)")
-_REBUILT = "corrected string, changes array<struct<original string, corrected string, position int>>"
-
-
-def _rebuilt(texts: Iterable[tuple[str, Callable[[int, str], str]]]) -> pd.DataFrame:
-    """Texts with every word as its function of (place, word) says, and what changed where."""
-    out = []
-    for t, new in texts:
-        done, at, changes = [], 0, []
-        for i, m in enumerate(_SPACED.finditer(t)):
-            word, now = m.group(1), new(i, m.group(1))
-            if now != word:
-                changes.append({"original": word, "corrected": now, "position": at})
-            done.append(now + m.group(2))
-            at += len(done[-1])
-        out.append(("".join(done), changes))
-    return pd.DataFrame(out, columns=["corrected", "changes"])
+    ends, data = np.frombuffer(w.buffers()[1], dtype=np.int32)[: len(w) + 1], np.frombuffer(w.buffers()[2] or b"", dtype=np.uint8)
+    many = lambda on: np.diff(np.concatenate([[0], np.cumsum(on)])[ends])  # noqa: E731  bytes of each word
+    low = data | 32
+    latin, arabic, size = many((low >= 97) & (low <= 122)), many((data >= 0xD8) & (data <= 0xDB)), many((data & 0xC0) != 0x80)  # these four bytes begin the letters of U+0600 to U+06FF
+    open_ = ((2 * latin > size) | (2 * arabic > size)) & ~pc.match_substring_regex(w, _ALONE).to_numpy(zero_copy_only=False)
+    return [x for i in np.flatnonzero(open_).tolist() if (x := words[i]) not in kept and x.lower() not in kept]
+
+
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words and runs of white space of texts without nulls: the distinct ones, the number of each in turn, the first piece of each text and the end."""
+    texts = texts.cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    white = _IS_WHITE[data]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[1:-1] = white[1:] != white[:-1]
+    begins[ends - ends[0]] = True
+    starts = np.flatnonzero(begins[:-1])
+    pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
+    coded = pieces.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, ends - ends[0])
+
+
+def _put_in(distinct: pa.Array, codes: np.ndarray, firsts: np.ndarray, found: list[str], new: dict[str, str]) -> list[pa.Array]:
+    """corrected, changes, n_changes of texts given as _pieces(), found being the distinct ones."""
+    hit = np.array([i for i, w in enumerate(found) if w in new], dtype=np.int64)
+    every = pa.concat_arrays([distinct, pa.array([new[found[i]] for i in hit.tolist()], pa.string()), pa.array([""], pa.string())])
+    becomes = np.arange(len(distinct))
+    becomes[hit] = len(distinct) + np.arange(len(hit))
+    now = becomes[codes]
+    blank = np.array([w[0] in _WHITE for w in found], dtype=bool)
+    lead = firsts[:-1][firsts[:-1] < firsts[1:]]
+    now[lead[blank[codes[lead]]]] = len(every) - 1  # white space before the first word goes
+    made = every.take(pa.array(now))
+    ends = np.frombuffer(made.buffers()[1], dtype=np.int32)[firsts] if len(made) else np.zeros(len(firsts), dtype=np.int32)
+    texts = pa.StringArray.from_buffers(len(firsts) - 1, pa.py_buffer(ends), made.buffers()[2] or pa.py_buffer(b""))
+    at = np.concatenate([[0], np.cumsum(pc.utf8_length(every).to_numpy()[now], dtype=np.int64)])
+    moved = np.flatnonzero((now >= len(distinct)) & (now < len(every) - 1))
+    place = at[moved] - at[firsts[np.searchsorted(firsts, moved, "right") - 1]]
+    changes = pa.StructArray.from_arrays([distinct.take(pa.array(codes[moved])), every.take(pa.array(now[moved])), pa.array(place.astype(np.int32))], ["original", "corrected", "position"])
+    ends = np.searchsorted(moved, firsts)
+    return [texts, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), changes), pa.array(np.diff(ends).astype(np.int64))]
+
+
+def _rebuilt(run: pa.RecordBatch, new: dict[str, str] | Callable[[set[str]], dict[str, str]]) -> pa.RecordBatch:
+    """key, corrected, changes, n_changes of key, t; new has the words that change, or finds them among all."""
+    distinct, codes, firsts = _pieces(run.column("t"))
+    found = distinct.to_pylist()
+    new = new({w for w in found if w[0] not in _WHITE}) if callable(new) else new
+    return pa.RecordBatch.from_arrays([run.column("key"), *_put_in(distinct, codes, firsts, found, new)], ["key", "corrected", "changes", "n_changes"])
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -555,12 +619,9 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in text_runs(batch, "t", 16_000_000):
-                found = Counter()
-                for t in run.column("t").cast(pa.binary()).to_pylist():
-                    found.update(t.split())  # bytes are split at TOKEN's white space
-                w = pa.array(list(found), pa.binary()).cast(pa.string())
-                on = pc.match_substring_regex(w, r"^\p{L}+$")
-                yield pa.RecordBatch.from_arrays([w.filter(on), pa.array(list(found.values()), pa.int64()).filter(on)], ["w", "n"])
+                distinct, codes, _ = _pieces(run.column("t"))
+                on = pc.match_substring_regex(distinct, r"^\p{L}+$")
+                yield pa.RecordBatch.from_arrays([distinct.filter(on), pa.array(np.bincount(codes, minlength=len(distinct))).filter(on)], ["w", "n"])
 
     words = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInArrow(counted, "w string, n long")
     return words.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("count"))

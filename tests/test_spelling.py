@@ -167,3 +167,29 @@ def test_a_small_dictionary_corrects_in_place(spark, monkeypatch):
     monkeypatch.setattr(S, "written", None)
     assert sorted(S.corrected_texts(docs, "doc_id", "text", known, votes, ["abd"]).collect()) == joined
     assert sum(r["n_changes"] for r in joined) > 100
+
+
+def test_texts_of_many_runs_meet_their_own_words(spark, monkeypatch):
+    """The joined way brings each run of texts its changes, whatever way the dictionary takes; entries are compared in bounded parts."""
+    rng = random.Random(11)
+    vocab = sorted({*some_words(rng, 300, "abcd", 9), "x" * 24, "y" * 30})
+    texts = [" ".join(rng.choice([*some_words(rng, 3, "abcdx", 9), rng.choice(vocab) + rng.choice("!,x"), "é", "y" * 31]) for _ in range(60)) for _ in range(200)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, "", " \n", "\tab  ", None])], "name string, text string").repartition(3)
+    known, votes = spark.createDataFrame([(w, rng.randrange(1, 4)) for w in vocab], "word string, count long"), spark.createDataFrame([("abx", "ab")] * 2, "original string, corrected string")
+    in_place = sorted(S.corrected_texts(docs, "name", "text", known, votes, []).collect())
+    for most_broadcast, most_known in ((0, 0), (100_000, 0)):
+        got = S.corrected_texts(docs, "name", "text", known, votes, [], most_broadcast=most_broadcast, most_known=most_known)
+        assert got.columns == ["name", "corrected", "changes", "n_changes"] and sorted(got.collect()) == in_place
+    assert len(in_place) == 203 and sum(r["n_changes"] for r in in_place) > 1000
+    words = rng.sample(sorted({w for t in texts for w in t.split()}), 150)
+    index, lengths = S._near_index(vocab), S.np.array([len(w) for w in vocab])
+    whole, parts = (sorted(zip(*(x.tolist() for x in S._near_pairs(index, lengths, words, 2, n)))) for n in (10**9, 7))
+    assert whole == parts and {(words[t], vocab[c], d) for t, c, d in whole} == {(a, b, d) for a in words for b in vocab if abs(len(a) - len(b)) < 3 and (d := damerau(a, b)) < 3}
+
+
+def test_the_index_takes_few_bytes_a_hash(spark):
+    """A dictionary of the size of larger tables is held by every task."""
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(20_000)})
+    index = S._near_index(words)
+    assert sum(x.nbytes for x in index if isinstance(x, S.np.ndarray)) < 6 * 46 * len(words)
